@@ -1,9 +1,9 @@
 """BPE encoding and decoding by a dynamic program over prefixes (operator 1).
 
 For every prefix of a pre-token exactly one vocabulary entry can be the last
-token of the prefix's encoding. A suffix-matching automaton over the vocabulary
-lists the entries that end at a position, longest first; the entry is taken
-whose start prefix ends in a token that is compatible with it. Two tokens are
+token of the prefix's encoding. A suffix automaton over the vocabulary lists the
+entries that end at a position; the entry is taken whose start prefix ends in a
+token that is compatible with it. Two tokens are
 compatible if the merges, replayed on both together, leave them apart. Following
 the stored last tokens backwards from the end of the word gives the exact ids.
 
@@ -18,22 +18,22 @@ further columns of the input are not read.
 from __future__ import annotations
 
 import json
+import re
+from array import array
 from collections.abc import Callable
 from functools import lru_cache
 from hashlib import sha256
 
-import ahocorasick
 import numpy as np
-import regex
 from pyspark.sql import DataFrame, SparkSession
 from tokenizers import Tokenizer
 
 from .common import map_texts, table, texts
 
-#: Stands for the end-of-word mark inside the automaton; no byte maps to it.
+#: Stands for the end-of-word mark inside words; no byte maps to it.
 END = "\ue000"
 #: Words a task keeps encoded.
-CACHE_WORDS = 1 << 18
+CACHE_WORDS = 400_000
 
 
 def byte_letters() -> list[str]:
@@ -60,18 +60,21 @@ class PrefixEncoder:
             self.rank[vocab[a], vocab[b]] = rank
             self.made[token], self.parts[token] = rank, (vocab[a], vocab[b])
         self.apart: dict[tuple[int, int], bool] = {}
-        letters = set(byte_letters())
-        self.automaton = ahocorasick.Automaton()
+        self.letters = dict(enumerate(byte_letters()))
+        letters = set(self.letters.values())
+        #: Suffix automaton: from a prefix's end backwards, letter -> (token that is read so far or -1, next state).
+        self.suffixes: dict = {}
         for text, token in vocab.items():
             body = text.removesuffix(self.mark) if self.mark and text.endswith(self.mark) else text
             if not body or not set(body) <= letters:
                 continue
             if token in self.parts and not self.compatible(*self.parts[token], upto=self.made[token]):
                 continue  # the merges never reach this entry
-            key = body + END if body != text else body
-            self.automaton.add_word(key, (token, len(key)))
-        self.automaton.make_automaton()
-        self.letters = dict(enumerate(byte_letters()))
+            *rest, first = reversed(body + END if body != text else body)
+            node = self.suffixes
+            for letter in rest:
+                node = node.setdefault(letter, (-1, {}))[1]
+            node[first] = (token, node[first][1] if first in node else {})
 
     def compatible(self, left: int, right: int, upto: float = float("inf")) -> bool:
         """Whether no merge below rank `upto` joins the two tokens, or parts of them, over their border.
@@ -102,30 +105,32 @@ class PrefixEncoder:
         if self.mark:
             text += END
         size = len(text)
-        last: list[tuple[int, int] | None] = [None] * (size + 1)  # token and length that end each prefix
+        last = [-1] * (size + 1)  # the token that ends each prefix
+        lengths = [0] * (size + 1)
         apart = self.apart
-        for at, (token, length) in self.automaton.iter(text):
-            end = at + 1
-            if last[end] is not None:
-                continue
-            if length < end:
-                before = last[end - length]
-                if before is None:
-                    continue
-                pair = (before[0], token)
-                fits = apart.get(pair)
-                if fits is None:
-                    if len(apart) > 1 << 20:
-                        apart.clear()
-                    fits = apart[pair] = self.compatible(*pair)
-                if not fits:
-                    continue
-            last[end] = (token, length)
+        if len(apart) > 1 << 20:
+            apart.clear()
+        for end in range(1, size + 1):
+            node, start, found = self.suffixes, end, []
+            while start and (step := node.get(text[start - 1])):
+                start -= 1
+                token, node = step
+                if token >= 0:
+                    found.append((token, start))
+            for token, start in reversed(found):
+                if start:
+                    before = last[start]
+                    fits = apart.get((before, token))
+                    if fits is None:
+                        fits = apart[before, token] = before >= 0 and self.compatible(before, token)
+                    if not fits:
+                        continue
+                last[end], lengths[end] = token, end - start
+                break
         ids = []
         while size:
-            token, length = last[size]
-            ids.append(token)
-            size -= length
+            ids.append(last[size])
+            size -= lengths[size]
         return ids[::-1]
 
 
@@ -145,8 +150,10 @@ class WordCache(dict):
 class TextCoder:
     """Whole texts to ids and back, for files of the word-end kind (lower case, white space dropped)."""
 
-    #: Below this letter the file's normaliser and word pattern mean the same in Python; other texts are cut into words by the tokenizer file's own rules.
-    PLAIN = regex.compile("[^\\x00-\\u024f]")
+    #: Texts without these letters are cut into words here; for others the tokenizer file's own normaliser and word rules are run.
+    ELSE = re.compile("[\\x1c-\\x1f\\u0130\\u0180-\\U0010ffff]")
+    #: The file's word pattern, for lower-case letters up to U+017F.
+    WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ſ]+|[0-9²³¹¼½¾]|[^a-zªµºß-öø-ſ0-9²³¹¼½¾]+")
 
     def __init__(self, path: str) -> None:
         with open(path, encoding="utf-8") as f:
@@ -154,18 +161,23 @@ class TextCoder:
         self.rules = Tokenizer.from_file(path)
         self.encoder = PrefixEncoder(spec)
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.cut = regex.compile("(" + "|".join(regex.escape(t) for t in self.special) + ")")
-        self.words = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
-        self.plain = WordCache(lambda w: self.shape(self.encoder.encode(w)))
+        self.cut = re.compile("(" + "|".join(re.escape(t) for t in self.special) + ")")
+        words = WordCache(lambda w: self.shape(self.encoder.encode(w)))
+        self.plain = WordCache(lambda run: self.join([words[w] for w in self.WORDS.findall(run)]))
         self.lettered = WordCache(lambda w: self.shape(self.encoder.encode_letters(w)))
 
     def shape(self, ids: list[int]) -> tuple[bytes, str]:
-        return np.array(ids, "<u4").tobytes(), " ".join(self.encoder.piece[i] for i in ids)
+        piece = self.encoder.piece
+        return array("I", ids).tobytes(), " ".join([piece[i] for i in ids])
+
+    @staticmethod
+    def join(parts: list[tuple[bytes, str]]) -> tuple[bytes, str]:
+        return parts[0] if len(parts) == 1 else (b"".join([p[0] for p in parts]), " ".join([p[1] for p in parts]))
 
     def part(self, text: str) -> list[tuple[bytes, str]]:
-        if self.PLAIN.search(text) is None:
+        if self.ELSE.search(text) is None:
             cache = self.plain
-            return [cache[w] for w in self.words.findall(text.lower())]
+            return [cache[run] for run in text.lower().split()]
         words = self.rules.pre_tokenizer.pre_tokenize_str(self.rules.normalizer.normalize_str(text))
         return [self.lettered[w] for w, _ in words]
 
