@@ -63,7 +63,7 @@ def weak_spans(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, i
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """doc_id, row, base and weak: what single texts show. `row` tells rows apart that share a doc_id."""
+    """doc_id, row, _text, base and weak: what single texts show. `row` tells rows apart that share a doc_id, `_text` is the text's hash."""
     span = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64()), ("kind", pa.string())]))
 
     def run(batches):
@@ -73,10 +73,10 @@ def scan(docs: DataFrame) -> DataFrame:
                 b = base_spans(text)
                 base.append([dict(zip(("start", "stop", "kind"), s, strict=True)) for s in b])
                 weak.append([dict(zip(("start", "stop", "kind"), s, strict=True)) for s in weak_spans(text, b)])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), pa.array(base, span), pa.array(weak, span)], names=["doc_id", "row", "base", "weak"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "row", "_text")), pa.array(base, span), pa.array(weak, span)], names=["doc_id", "row", "_text", "base", "weak"])
 
     kind = "array<struct<start:bigint,stop:bigint,kind:string>>"
-    return texts(docs).withColumn("row", F.monotonically_increasing_id()).mapInArrow(run, f"doc_id long, row long, base {kind}, weak {kind}")
+    return texts(docs).select("*", F.monotonically_increasing_id().alias("row"), F.xxhash64("text").alias("_text")).mapInArrow(run, f"doc_id long, row long, _text long, base {kind}, weak {kind}")
 
 
 def link_parts(found: DataFrame, *, scope: int, need: int) -> DataFrame:
@@ -116,13 +116,16 @@ def redact(docs: DataFrame, *, scope: int = 400, need: int = 2, mark: str = "[SE
     Spans are found and cut in one pass per text; the links come from the same
     interval rule, applied to the parts of the one document.
     """
-    spans = find_secrets(docs, scope=scope, need=need).select("doc_id", F.concat("base", "linked").alias("_spans")).filter(F.size("_spans") > 0).dropDuplicates(["doc_id"])
+    # Rows that share a doc_id may differ in text: the text's hash goes with the key.
+    keys = [F.col("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_text")]
+    spans = find_secrets(docs, scope=scope, need=need).select("doc_id", "_text", F.concat("base", "linked").alias("_spans")).filter(F.size("_spans") > 0).dropDuplicates(["doc_id", "_text"])
+    docs_keyed = docs.select("*", keys[1])
 
     @F.pandas_udf("string")
     def cut(text, found):
         return type(text)([_cut(t, s, mark) for t, s in zip(text, found, strict=True)])
 
-    out = docs.join(spans, "doc_id", "left").withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(cut("text", "_spans"))).drop("_spans")
+    out = docs_keyed.join(spans, ["doc_id", "_text"], "left").withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(cut("text", "_spans")))
     out = out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
     return out.select(*docs.columns)
 
