@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, quality, quotes, secrets, simhash, urls
+from . import bpe, decontaminate, quality, quotes, secrets, simhash, substrings, urls
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
     "op4_secrets": secrets.op4_secrets,
     "op5_urls": urls.op5_urls,
     "op6_quality": quality.op6_quality,
+    "op7_substrings": substrings.op7_substrings,
     "op8_quotes": quotes.op8_quotes,
     "op9_simhash": simhash.op9_simhash,
     "op10_decontaminate": decontaminate.op10_decontaminate,

@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,7 +44,7 @@ def spool(df: DataFrame, *, codec: str = "zstd") -> DataFrame:
 
 def slices(batch: pa.RecordBatch, column: str, limit: int) -> Iterator[pa.RecordBatch]:
     """Cut a batch into runs of rows of about `limit` bytes in `column` (a longer row stays whole)."""
-    sizes = [len(x) if x is not None else 0 for x in batch.column(column).cast(pa.large_binary())]
+    sizes = pc.binary_length(batch.column(column)).fill_null(0).to_pylist()
     start = held = 0
     for i, n in enumerate(sizes):
         if held and held + n > limit:
