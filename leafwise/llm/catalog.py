@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, quality, quotes, secrets, simhash, substrings, urls
+from . import bpe, decontaminate, embeddings, quality, quotes, secrets, simhash, substrings, tokenfiles, urls
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
+    "op2_token_files": tokenfiles.op2_token_files,
+    "op3_embeddings": embeddings.op3_embeddings,
     "op4_secrets": secrets.op4_secrets,
     "op5_urls": urls.op5_urls,
     "op6_quality": quality.op6_quality,
