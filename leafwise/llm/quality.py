@@ -7,9 +7,8 @@ which kind of text it resembles. A text's features are the mean and the extremes
 of that difference over its pieces, and the same of the compressed size itself;
 a logistic curve fitted to labelled rows turns them into a score.
 
-Bounds of the fit, the same at every input size: PIECES pieces of labelled text
-for each dictionary and FIT_ROWS labelled rows for the curve, both chosen by a
-hash of the doc_id. Scoring covers every whole text and needs no shuffle.
+Bounds of the fit, the same at every input size: FIT_ROWS labelled rows for the
+curve and, of their texts, PIECES pieces for each dictionary, chosen by hashes. Scoring covers every whole text and needs no shuffle.
 
 Defined results: a null text counts as empty; an empty text has all features
 zero and is scored like any other; rows without a label, or with labels that
@@ -63,9 +62,13 @@ def features(text: str, good: bytes, bad: bytes) -> list[float]:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, held_out: Column) -> DataFrame:
-    """doc_id, text, label: rows to learn from, one label for each doc_id."""
-    known = labels.filter("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("label"), F.max("quality").alias("other")).filter("label = other").select("doc_id", "label")
-    return texts(docs).filter(~held_out).join(known, "doc_id")
+    """doc_id, text, label: FIT_ROWS rows to learn from at most, chosen by a hash of the doc_id, one label for each doc_id.
+
+    The chosen ids are bounded by FIT_ROWS, so they are broadcast; the texts of other rows move nowhere.
+    """
+    known = labels.filter("quality IS NOT NULL AND doc_id IS NOT NULL").filter(~held_out).groupBy("doc_id").agg(F.min("quality").alias("label"), F.max("quality").alias("other")).filter("label = other")
+    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_ROWS).select("doc_id", "label")
+    return texts(docs).join(F.broadcast(chosen), "doc_id")
 
 
 def dictionaries(rows: DataFrame) -> tuple[bytes, bytes] | None:
@@ -117,7 +120,7 @@ def train(docs: DataFrame, labels: DataFrame, held_out: Column) -> Callable[[str
     if made is None:
         return lambda text: 0.5
     good, bad = made
-    chosen = rows.join(rows.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_ROWS), "doc_id").withColumn("text", F.concat_ws(" ", F.col("label").cast("string"), "text"))
+    chosen = rows.withColumn("text", F.concat_ws(" ", F.col("label").cast("string"), "text"))
 
     def start() -> Callable[[str], tuple]:
         return lambda text: (int(text[0]), features(text[2:], good, bad))
