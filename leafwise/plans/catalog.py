@@ -1,6 +1,431 @@
-"""Registered queries of the document-content operators and their SQL."""
+"""Registered queries of the document-content operators, each over its whole tables, and the same in DuckDB SQL."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from leafwise.functions import text as T
+from leafwise.operators import context as C
+from leafwise.operators import figures, ledger, metrics, project, reconcile, render, sections
+from leafwise.sources.html import page_blocks
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def keep(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return keep
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+BLOCKS = r"""
+WITH bare AS (
+  SELECT page_id, regexp_replace(regexp_replace(coalesce(html, ''), '(?is)<script\b.*?</script>', '', 'g'), '(?is)<style\b.*?</style>', '', 'g') AS h FROM pages),
+parts AS (
+  SELECT page_id, string_split(regexp_replace(h, '(?is)<(/?(?:title|h1|p|li|footer|nav|ul|article|head|body|html|br)\b)', chr(1) || '<\1', 'g'), chr(1)) AS a FROM bare),
+part AS (SELECT page_id AS doc_id, unnest(a) AS part, generate_subscripts(a, 1) - 1 AS block_seq FROM parts),
+tagged AS (
+  SELECT doc_id, block_seq, lower(regexp_extract(part, '(?is)^<(title|h1|p|li|footer)\b[^>]*>(.*)$', 1)) AS tag,
+         regexp_replace(regexp_extract(part, '(?is)^<(title|h1|p|li|footer)\b[^>]*>(.*)$', 2), '<[^>]*>', '', 'g') AS raw FROM part),
+blocks AS (
+  SELECT doc_id, CAST(block_seq AS INT) AS block_seq, tag,
+         CASE tag WHEN 'title' THEN 'header' WHEN 'footer' THEN 'footer' WHEN 'li' THEN 'list' ELSE 'text' END AS type,
+         regexp_replace(replace(replace(replace(replace(replace(replace(raw, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', chr(160)), '&amp;', '&'),
+                        '^[\s\x{a0}\x{2028}\x{2029}\x1c-\x1f]+|[\s\x{a0}\x{2028}\x{2029}\x1c-\x1f]+$', '', 'g') AS own,
+         CAST(block_seq // 10 AS INT) AS page_idx
+  FROM tagged WHERE tag <> '')
+"""
+
+
+@query(BLOCKS + "SELECT doc_id, block_seq, type, own AS text, CASE WHEN tag = 'h1' THEN 1 END AS text_level, page_idx FROM blocks")
+def page_blocks_query(spark, sf_dir):
+    """HTML to blocks."""
+    out = page_blocks(table(spark, sf_dir, "pages"))
+    return out.select("doc_id", "block_seq", "type", F.coalesce("text", F.get("list_items", 0)).alias("text"), "text_level", "page_idx")
+
+
+_PROJECTED = "SELECT doc_id, block_seq, own AS text, page_idx + 1 AS page_number, {kind} AS type FROM blocks WHERE own <> '' {where}"
+
+
+@query(BLOCKS + _PROJECTED.format(kind="CAST(NULL AS VARCHAR)", where="AND type NOT IN ('header', 'footer')"))
+def project_plain(spark, sf_dir):
+    """Plain projection without types."""
+    return project.project(page_blocks(table(spark, sf_dir, "pages")))
+
+
+_TYPED = "CASE WHEN tag = 'h1' THEN 'title' WHEN type IN ('header', 'footer') THEN type END"
+
+
+@query(BLOCKS + _PROJECTED.format(kind=_TYPED, where=""))
+def project_chunk_type(spark, sf_dir):
+    """Plain projection with types."""
+    return project.project(page_blocks(table(spark, sf_dir, "pages")), chunk_type=True)
+
+
+def _figure_blocks(spark, sf_dir) -> DataFrame:
+    """Every list entry of the pages as a figure with its text as caption; each third has no image file."""
+    b = page_blocks(table(spark, sf_dir, "pages"))
+    fig = F.col("type") == "list"
+    own = F.get("list_items", 0)
+    return b.withColumns({
+        "img_path": F.when(fig & (F.col("block_seq") % 3 != 0), F.concat(F.lit("f"), "block_seq")),
+        "img_caption": F.when(fig, F.array(own)),
+        "stored_text": F.when(fig & (F.col("block_seq") % 2 == 0), F.concat(F.lit(" "), own, F.lit(" seen "))),
+        "image_seq": F.when(fig & (F.col("block_seq") % 3 == 1), F.col("block_seq")),
+        "type": F.when(fig, "image").otherwise(F.col("type")),
+        "list_items": F.lit(None).cast("array<string>"),
+    })
+
+
+_IMAGES = """
+SELECT doc_id, block_seq, text, page_idx + 1 AS page_number, CASE WHEN tag = 'li' THEN 'image' ELSE {typed} END AS type FROM (
+  SELECT *, CASE WHEN tag = 'li' THEN {image} ELSE nullif(own, '') END AS text FROM blocks) WHERE text IS NOT NULL"""
+
+
+@query(BLOCKS + _IMAGES.format(typed=_TYPED, image="CASE WHEN block_seq % 3 <> 0 THEN CASE WHEN block_seq % 2 = 0 THEN ltrim(own || ' seen') END ELSE nullif(own, '') END"))
+def project_images_mode(spark, sf_dir):
+    """Stored texts of figures take the place of captions."""
+    return project.project(_figure_blocks(spark, sf_dir), mode="images", chunk_type=True)
+
+
+@query(BLOCKS + _IMAGES.format(typed=_TYPED, image="CASE WHEN block_seq % 3 = 1 THEN concat_ws(chr(10), nullif(own, ''), 'v' || block_seq) ELSE nullif(own, '') END"))
+def project_two_stage(spark, sf_dir):
+    """Answers are joined to their figures; a figure with a number must have one."""
+    b = _figure_blocks(spark, sf_dir)
+    results = b.filter("image_seq IS NOT NULL").select("doc_id", "image_seq", F.concat(F.lit("v"), "image_seq").alias("vision_text"))
+    return project.project(project.merge_vision(b, results), mode="two_stage", chunk_type=True)
+
+
+@query(BLOCKS + """, chunks AS (SELECT doc_id, block_seq, own || CASE WHEN tag = 'h1' THEN chr(10) || chr(10) ELSE chr(10) END AS piece FROM blocks WHERE own <> '')
+SELECT p.page_id AS doc_id, regexp_replace(coalesce(string_agg(piece, '' ORDER BY block_seq), ''), '\\n+$', '') AS txt, count(piece) AS n_chunks
+FROM pages p LEFT JOIN chunks c ON c.doc_id = p.page_id GROUP BY 1""".replace("\\\\n", "\\n"))
+def plain_text_per_page(spark, sf_dir):
+    """Ordered plain text and chunk count of every page."""
+    pages = table(spark, sf_dir, "pages")
+    chunks = project.project(page_blocks(pages), chunk_type=True)
+    txt = render.plain_text(chunks, pages.select(F.col("page_id").alias("doc_id")))
+    return txt.join(chunks.groupBy("doc_id").agg(F.count("*").alias("n")), "doc_id", "left").select("doc_id", "txt", F.coalesce("n", F.lit(0)).alias("n_chunks"))
+
+
+@query(BLOCKS + """SELECT doc_id, string_agg(CASE WHEN tag = 'h1' THEN '## ' || own WHEN tag = 'li' THEN '- ' || own ELSE own END, chr(10) || chr(10) ORDER BY block_seq) AS markdown
+FROM blocks WHERE own <> '' GROUP BY doc_id""")
+def markdown_per_page(spark, sf_dir):
+    """Markdown of every page."""
+    return render.markdown(page_blocks(table(spark, sf_dir, "pages")))
+
+
+def _lines(spark, sf_dir) -> DataFrame:
+    """Documents' lines as text blocks, fifty to a page; every seventh is a heading."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("block_seq", "text"))
+    return docs.withColumns({"type": F.lit("text"), "page_idx": F.floor(F.col("block_seq") / 50).cast("int"), "text_level": F.when(F.col("block_seq") % 7 == 0, 1)})
+
+
+_LINES = """WITH arr AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS a FROM documents),
+lines AS (SELECT doc_id, unnest(a) AS text, CAST(generate_subscripts(a, 1) - 1 AS INT) AS block_seq FROM arr)
+"""
+
+
+@query(_LINES + "SELECT doc_id, block_seq, text, CAST(block_seq // 50 + 1 AS INT) AS page_number, CASE WHEN block_seq % 7 = 0 THEN 'title' END AS type FROM lines WHERE trim(text) <> ''")
+def doc_lines_chunks(spark, sf_dir):
+    """Documents' lines as chunks."""
+    return project.project(_lines(spark, sf_dir), chunk_type=True)
+
+
+@query(_LINES + """SELECT doc_id, block_seq, text FROM (
+  SELECT *, last_value(CASE WHEN block_seq % 7 = 0 THEN length(text) % 2 = 0 END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY block_seq ROWS UNBOUNDED PRECEDING) AS gone FROM lines)
+WHERE NOT gone""")
+def section_filter(spark, sf_dir):
+    """Sections whose heading has an even number of letters are left out."""
+    return sections.without_sections(_lines(spark, sf_dir), F.length("text") % 2 == 0).select("doc_id", "block_seq", "text")
+
+
+@query("SELECT lower(regexp_replace(l, '^\\s+|\\s+$', '', 'g')) AS heading, regexp_matches(lower(regexp_replace(l, '^\\s+|\\s+$', '', 'g')), '^\\s*([ivxlcdm]+\\.?|\\d+\\.?|\\w+\\.?)?\\s*(acknowledge?ments?|author\\s+contributions?|bibliography|conflict\\s+of\\s+interest|credit\\s+authorship\\s+contribution\\s+statement|data\\s+availability|declaration\\s+of\\s+competing\\s+interest|declaration\\s+of\\s+interests?|declarations?|literature\\s+cited|online|r\\s+e\\s+f\\s+e\\s+r\\s+e\\s+n\\s+c\\s+e\\s+s|references?)\\s*[:.]?\\s*$') AS dropped, count(*) AS n FROM (SELECT p_type || CASE p_size % 4 WHEN 0 THEN '' WHEN 1 THEN ' References' END AS l FROM part UNION ALL SELECT p_size || '. References' FROM part UNION ALL SELECT 'IV. Data availability:' FROM part) WHERE l IS NOT NULL GROUP BY 1, 2")
+def heading_filter(spark, sf_dir):
+    """Which headings open a section that is left out."""
+    p = table(spark, sf_dir, "part")
+    suffix = F.when(F.col("p_size") % 4 == 0, "").when(F.col("p_size") % 4 == 1, " References")
+    l = p.select(F.concat("p_type", suffix).alias("l")).unionByName(p.select(F.concat("p_size", F.lit(". References")).alias("l"))).unionByName(p.select(F.lit("IV. Data availability:").alias("l")))  # noqa: E741
+    return l.filter("l IS NOT NULL").groupBy(F.lower(T.strip("l")).alias("heading"), T.is_dropped_heading("l").alias("dropped")).agg(F.count("*").alias("n"))
+
+
+def _turns(spark, sf_dir) -> DataFrame:
+    """Messages with every fifth emptied; system and first messages count as titles."""
+    t = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.when((F.col("conv_id") + F.col("turn")) % 5 == 0, "").otherwise(F.regexp_replace("text", "\n", " ")).alias("text"))
+    return t.withColumn("line", F.when(F.col("text") != "", C.context_line(F.col("text"), F.floor(F.col("turn") / 2), F.col("turn") == 0)))
+
+
+_TURNS = """WITH turns AS (SELECT conv_id, turn, role, CASE WHEN (conv_id + turn) % 5 = 0 THEN '' ELSE replace(text, chr(10), ' ') END AS text FROM conversations),
+full_lines AS (SELECT *, '[Page ' || (turn // 2 + 1) || '] [ChunkType=' || CASE WHEN turn = 0 THEN 'Title' ELSE 'Body' END || '] ' || text AS line,
+  row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM turns WHERE text <> ''),
+asked AS (SELECT t.conv_id, t.turn, (SELECT count(*) FROM full_lines f WHERE f.conv_id = t.conv_id AND f.turn < t.turn) AS n FROM turns t WHERE role = 'assistant'),
+met AS (SELECT a.conv_id, a.turn,
+  coalesce(string_agg(f.line, chr(10) ORDER BY f.turn) FILTER (WHERE f.turn < a.turn AND f.k > a.n - 2), '') AS before,
+  coalesce(string_agg(f.line, chr(10) ORDER BY f.turn) FILTER (WHERE f.turn > a.turn AND f.k <= a.n + 2 + CAST(EXISTS (SELECT 1 FROM full_lines s WHERE s.conv_id = a.conv_id AND s.turn = a.turn) AS INT)), '') AS after
+  FROM asked a LEFT JOIN full_lines f ON f.conv_id = a.conv_id GROUP BY a.conv_id, a.turn, a.n)
+"""
+
+
+def _context(spark, sf_dir) -> DataFrame:
+    return C.context(_turns(spark, sf_dir), group="conv_id", order="turn", line="line", at=F.col("role") == "assistant")
+
+
+@query()
+def context_window(spark, sf_dir):
+    """Two non-empty messages before and after each answer. (A turn may occur twice in a conversation; tests hold it against brute force.)"""
+    return _context(spark, sf_dir).select("conv_id", "turn", "before", "after")
+
+
+@query()
+def context_prompt(spark, sf_dir):
+    """The prompt made of an answer's surroundings, with the place of its caption."""
+    got = _context(spark, sf_dir)
+    return got.select("conv_id", "turn", C.prompt(F.col("role"), F.lit(""), F.col("before"), F.col("after"), F.floor(F.col("turn") / 2)).alias("prompt"))
+
+
+@query("""WITH keyed AS (SELECT source, doc_id, sha256('2' || chr(0) || sha256(coalesce(text, '')) || chr(0) || coalesce(lang, '')) AS key FROM documents),
+firsts AS (SELECT *, min(doc_id) OVER (PARTITION BY source, key) AS f FROM keyed)
+SELECT source, doc_id, key, CAST(dense_rank() OVER (PARTITION BY source ORDER BY f) AS INT) AS image_seq FROM firsts""")
+def request_key_dedup(spark, sf_dir):
+    """Equal texts of a source are one request, numbered by first use."""
+    d = table(spark, sf_dir, "documents")
+    keyed = d.select("source", "doc_id", figures.request_key(F.sha2(F.coalesce("text", F.lit("")), 256), F.coalesce("lang", F.lit(""))).alias("key"))
+    return figures.first_seen_numbers(keyed, group="source", order="doc_id", key="key").select("source", "doc_id", "key", "image_seq")
+
+
+@query("SELECT d.doc_id, d.lang, l.quality, l.toxic, l.doc_id IS NOT NULL AS found FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")
+def merge_results(spark, sf_dir):
+    """Results joined to their documents."""
+    d, lab = table(spark, sf_dir, "documents").select("doc_id", "lang"), table(spark, sf_dir, "labels").withColumn("found", F.lit(True))
+    return d.join(lab, "doc_id", "left").select("doc_id", "lang", "quality", "toxic", F.coalesce("found", F.lit(False)).alias("found"))
+
+
+@query("SELECT d.doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
+def missing_results(spark, sf_dir):
+    """Documents without a result."""
+    d = table(spark, sf_dir, "documents").select("doc_id")
+    return figures.pending(d, table(spark, sf_dir, "labels"), ["doc_id"])
+
+
+@query("""SELECT p_partkey, CASE
+  WHEN p_size / 2000.0 < CASE WHEN p_partkey % 3 = 0 THEN 0.005 ELSE 0.01 END THEN 'area'
+  WHEN p_retailprice / 100.0 > 10 THEN 'box_aspect'
+  WHEN greatest(p_size * 8, 100) / CAST(least(p_size * 8, 100) AS DOUBLE) > 10 THEN 'aspect'
+  WHEN p_partkey % 3 <> 0 AND least(p_size * 8, 100) < 96 THEN 'side'
+  WHEN p_partkey % 3 <> 0 AND p_size * 8 * 100 < 9216 THEN 'pixels'
+  WHEN p_partkey % 3 <> 0 AND p_partkey * 100 < 10240 THEN 'bytes' END AS skip_reason FROM part""")
+def figure_selection(spark, sf_dir):
+    """The first rule by which a figure is left out."""
+    p = table(spark, sf_dir, "part")
+    reason = figures.skip_reason(area_ratio=F.col("p_size") / 2000.0, box_aspect=F.col("p_retailprice") / 100.0, width=F.col("p_size") * 8, height=F.lit(100), size=F.col("p_partkey") * 100, captioned=F.col("p_partkey") % 3 == 0)
+    return p.select("p_partkey", reason.alias("skip_reason"))
+
+
+@query("""SELECT p_partkey AS doc_id, CASE p_size % 6 WHEN 0 THEN 'image' WHEN 1 THEN 'text' WHEN 2 THEN 'list' WHEN 3 THEN 'text' WHEN 4 THEN 'table' ELSE 'image' END AS type,
+  CASE WHEN p_size % 6 = 1 THEN p_name ELSE p_type END AS text,
+  CASE WHEN p_size % 6 IN (0, 5) THEN p_brand || '|' || p_name END AS caption,
+  CASE WHEN p_partkey % 5 < 4 THEN p_size * (500 + p_partkey % 5) / 1000 ELSE CAST(p_size AS DOUBLE) END AS x FROM part""")
+def normalize_types(spark, sf_dir):
+    """Parser types to block types, generated bodies to captions, boxes to points."""
+    p = table(spark, sf_dir, "part")
+    names = F.array(*map(F.lit, ("chart", "code", "index", "page_footnote", "table", "image")))
+    b = p.select(
+        F.col("p_partkey").alias("doc_id"), F.lit(0).alias("block_seq"), F.get(names, F.col("p_size") % 6).alias("type"), F.col("p_type").alias("text"),
+        F.when(F.col("p_size") % 6 == 0, F.array("p_brand")).alias("chart_caption"), F.when(F.col("p_size") % 6 == 5, F.array("p_brand")).alias("image_caption"),
+        F.col("p_name").alias("content"), F.col("p_name").alias("code_body"), (F.col("p_partkey") % 5).cast("int").alias("page_idx"),
+        F.array(*[F.col("p_size").cast("double")] * 4).alias("bbox"),
+    )
+    pages = p.filter(F.col("p_partkey") % 5 < 4).select(F.col("p_partkey").alias("doc_id"), (F.col("p_partkey") % 5).cast("int").alias("page_idx"), (500.0 + F.col("p_partkey") % 5).alias("width_pt"), F.lit(800.0).alias("height_pt"))
+    out = project.normalize(b, pages)
+    return out.select("doc_id", "type", "text", F.when(F.col("type") == "image", F.array_join("img_caption", "|")).alias("caption"), F.get("bbox", 0).alias("x"))
+
+
+@query("SELECT p_partkey, contains(p_name || CASE p_partkey % 4 WHEN 0 THEN '☐' WHEN 1 THEN '☑' ELSE '' END, '☐') OR p_partkey % 4 = 1 AS marked FROM part")
+def checkbox_gate(spark, sf_dir):
+    """Whether any field holds a checkbox."""
+    p = table(spark, sf_dir, "part")
+    mark = F.when(F.col("p_partkey") % 4 == 0, "☐").when(F.col("p_partkey") % 4 == 1, "☑").otherwise("")
+    return p.select("p_partkey", reconcile.has_mark(F.concat("p_name", mark), F.col("p_type")).alias("marked"))
+
+
+@query("""WITH t AS (SELECT p_size AS page, p_partkey AS target, unnest(string_split(p_brand || ' ' || p_type, ' ')) AS label FROM part),
+tl AS (SELECT DISTINCT page, target, regexp_replace(label, '^[ :;,]+|[ :;,]+$', '', 'g') AS l FROM t),
+s AS (SELECT DISTINCT p_size AS page, p_partkey AS row_nr, unnest(string_split(p_type, ' ')) AS label FROM part UNION SELECT DISTINCT p_size, p_partkey, string_split(p_brand || ' ' || p_type, ' ')[1] FROM part),
+sl AS (SELECT page, row_nr, regexp_replace(label, '^[ :;,]+|[ :;,]+$', '', 'g') AS l FROM s),
+score AS (SELECT tl.page, tl.target, sl.row_nr, count(DISTINCT tl.l) AS score FROM tl JOIN sl ON tl.page = sl.page AND tl.l <> '' AND sl.l <> ''
+  AND (tl.l = sl.l OR (length(sl.l) >= 4 AND starts_with(tl.l, sl.l)) OR (length(tl.l) >= 4 AND starts_with(sl.l, tl.l))) GROUP BY ALL),
+best AS (SELECT *, row_number() OVER (PARTITION BY page, target ORDER BY score DESC, row_nr) AS r FROM score),
+size AS (SELECT page, target, count(DISTINCT l) AS n FROM tl GROUP BY ALL)
+SELECT b.page, b.target, b.row_nr, b.score FROM best b JOIN size USING (page, target) WHERE r = 1 AND score >= least(2, n)""")
+def label_match_best_row(spark, sf_dir):
+    """For each part's words the part of the same size that shares most of them."""
+    p = table(spark, sf_dir, "part")
+    targets = p.select(F.col("p_size").alias("page"), F.col("p_partkey").alias("target"), F.explode(F.split(F.concat_ws(" ", "p_brand", "p_type"), " ")).alias("label"))
+    sources = p.select(F.col("p_size").alias("page"), F.col("p_partkey").alias("row_nr"), F.explode(F.split("p_type", " ")).alias("label")).unionByName(p.select(F.col("p_size").alias("page"), F.col("p_partkey").alias("row_nr"), F.split(F.concat_ws(" ", "p_brand", "p_type"), " ")[0].alias("label"))).distinct()
+    return reconcile.best_rows(targets, sources, page=["page"], target="target")
+
+
+@query("""WITH RECURSIVE w AS (SELECT user_id, value, event_id, row_number() OVER (PARTITION BY user_id ORDER BY value, event_id) AS k FROM events WHERE value IS NOT NULL),
+f(user_id, k, anchor, row_nr, event_id) AS (
+  SELECT user_id, k, value, 0, event_id FROM w WHERE k = 1
+  UNION ALL SELECT w.user_id, w.k, CASE WHEN abs(f.anchor - w.value) <= 3.0 THEN f.anchor ELSE w.value END, f.row_nr + CASE WHEN abs(f.anchor - w.value) <= 3.0 THEN 0 ELSE 1 END, w.event_id
+  FROM f JOIN w ON w.user_id = f.user_id AND w.k = f.k + 1)
+SELECT user_id, row_nr, count(*) AS n_words, string_agg(event_id, ' ' ORDER BY event_id) AS words FROM f GROUP BY ALL""")
+def visual_rows(spark, sf_dir):
+    """Events of a user as words whose value is their height, folded into rows by anchor."""
+    e = table(spark, sf_dir, "events").filter("value IS NOT NULL").select("user_id", F.col("value").alias("y_min"), F.col("event_id").cast("double").alias("x_min"), F.col("event_id").cast("string").alias("text"))
+    rows = reconcile.visual_rows(e, page=["user_id"])
+    return rows.select("user_id", "row_nr", F.size("words").cast("long").alias("n_words"), F.array_join("words", " ").alias("words"))
+
+
+@query("""WITH w AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN '<think>so' || chr(10) || 'it is</think>' || chr(10) || 'Here is the summary:' || chr(10) WHEN 1 THEN 'Image Description: [Page 2] [ChunkType=Image]' || chr(10) ELSE '' END || 'x ' || coalesce(string_split(text, chr(10))[1], '') AS t FROM documents),
+a AS (SELECT doc_id, regexp_replace(t, '(?is)^\\s*<think>.*?</think>\\s*', '') AS t FROM w),
+b AS (SELECT doc_id, regexp_replace(t, '(?i)^\\s*(?:Here (?:is|are) (?:the |a )?(?:summary|analysis|key findings))[：:,，]\\s*', '') AS t FROM a),
+c AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(t, '(?i)^\\s*Image Description:\\s*', ''), '(?i)\\[Page\\s+\\d+\\]', '', 'g'), '(?i)\\[ChunkType=[^\\]]+\\]', '', 'g') AS t FROM b)
+SELECT doc_id, regexp_replace(regexp_replace(t, '[ ]*\\n[ ]*', chr(10), 'g'), '^\\s+|\\s+$', '', 'g') AS clean FROM c""".replace("\\\\", "\\"))
+def sanitize_chain(spark, sf_dir):
+    """Wrappers taken off the documents' first lines."""
+    d = table(spark, sf_dir, "documents")
+    wrap = F.when(F.col("doc_id") % 3 == 0, "<think>so\nit is</think>\nHere is the summary:\n").when(F.col("doc_id") % 3 == 1, "Image Description: [Page 2] [ChunkType=Image]\n").otherwise("")
+    return d.select("doc_id", T.sanitize(F.concat(wrap, F.lit("x "), F.coalesce(F.get(F.split("text", "\n"), 0), F.lit("")))).alias("clean"))
+
+
+@query("SELECT doc_id, regexp_matches(text, '(?i)licen[sc]e') AS required, NOT regexp_matches(text, '(?i)all rights reserved|confidential') AS allowed FROM documents WHERE text IS NOT NULL")
+def pattern_check(spark, sf_dir):
+    """Required and forbidden patterns of every document."""
+    d = table(spark, sf_dir, "documents").filter("text IS NOT NULL")
+    return d.select("doc_id", F.col("text").rlike("(?i)licen[sc]e").alias("required"), (~F.col("text").rlike("(?i)all rights reserved|confidential")).alias("allowed"))
+
+
+@query("SELECT doc_id AS key, sha256(coalesce(text, '')) AS sha256 FROM documents WHERE NOT (doc_id % 4 <> 0 AND doc_id % 3 <> 0)")
+def journal_resume(spark, sf_dir):
+    """What a second run has to submit: new inputs, and those whose content has changed."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha256"))
+    earlier = d.filter(F.col("key") % 4 != 0).select("key", F.when(F.col("key") % 3 == 0, "old").otherwise(F.col("sha256")).alias("sha256"), F.lit("SUCCESS").alias("state"))
+    return ledger.to_submit(d, earlier)
+
+
+def _messages(spark, sf_dir) -> DataFrame:
+    """Events as messages of jobs (users); their generation rises and falls."""
+    e = table(spark, sf_dir, "events")
+    return e.select(F.col("user_id").alias("job_id"), "event_id", "ts", (F.col("event_id") % 7).alias("generation"), F.col("event_type").alias("state"))
+
+
+@query("SELECT user_id AS job_id, event_id, CAST(generation AS BIGINT) AS generation FROM (SELECT *, event_id % 7 AS generation, max(event_id % 7) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS g FROM events) WHERE generation >= g")
+def generation_fence(spark, sf_dir):
+    """Messages of no older generation than those before them."""
+    return ledger.fence(_messages(spark, sf_dir), order="event_id").select("job_id", "event_id", "generation")
+
+
+@query("SELECT user_id AS job_id, arg_max(event_type, (ts, event_id)) AS state, count(*) AS n_messages FROM events GROUP BY 1")
+def job_state_latest(spark, sf_dir):
+    """The last state of each job."""
+    return ledger.latest_state(_messages(spark, sf_dir), order=["ts", "event_id"])
+
+
+@query("""SELECT user_id AS key, event_id, CASE WHEN row_number() OVER w = 1 THEN 'created' WHEN first_value(event_type) OVER w = event_type THEN 'same' ELSE 'conflict' END AS outcome
+FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)""")
+def create_once(spark, sf_dir):
+    """The first request of a key makes the job; others are the same or in conflict."""
+    m = table(spark, sf_dir, "events").select(F.col("user_id").alias("key"), "event_id", F.col("event_type").alias("fingerprint"))
+    return ledger.create_once(m, order="event_id").select("key", "event_id", "outcome")
+
+
+@query("SELECT event_type AS queue, count(*) FILTER (WHERE user_id % 2 = 0) AS urgent, count(*) FILTER (WHERE user_id % 2 <> 0) AS normal, count(*) AS total FROM events GROUP BY 1")
+def queue_depth(spark, sf_dir):
+    """Messages of each queue by priority."""
+    e = table(spark, sf_dir, "events").select(F.col("event_type").alias("queue"), F.when(F.col("user_id") % 2 == 0, "urgent").otherwise("normal").alias("priority"))
+    return ledger.queue_depth(e, queue="queue", priority="priority", priorities=["urgent", "normal"])
+
+
+@query("SELECT o_orderkey AS job_id FROM orders WHERE o_orderstatus = 'F' AND epoch(TIMESTAMP '1998-08-02') - floor(epoch(o_orderdate)) >= 86400 * 1000")
+def retention_candidates(spark, sf_dir):
+    """Finished orders of a thousand days or more ago."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("job_id"), F.when(F.col("o_orderstatus") == "F", "SUCCESS").otherwise("STARTED").alias("state"), F.col("o_orderdate").alias("updated_at"), F.lit(None).cast("timestamp").alias("completed_at"))
+    return ledger.collectable(o, now=F.lit("1998-08-02 00:00:00").cast("timestamp"), retention_s=86400 * 1000).select("job_id")
+
+
+@query("SELECT event_type, quantile_disc(value, 0.95) AS p95, quantile_disc(value, 0.5) AS p50, median(value) AS middle FROM events GROUP BY 1")
+def latency_nearest_rank(spark, sf_dir):
+    """Nearest-rank percentiles and the median."""
+    e = table(spark, sf_dir, "events")
+    return e.groupBy("event_type").agg(metrics.nearest_rank("value", 0.95).alias("p95"), metrics.nearest_rank("value", 0.5).alias("p50"), F.median("value").alias("middle"))
+
+
+@query("SELECT event_type, list_sort(list(value))[CAST(floor((count(value) - 1) * 0.95::DOUBLE) AS BIGINT) + 1] AS p95 FROM events WHERE value IS NOT NULL GROUP BY 1")
+def latency_floor_index(spark, sf_dir):
+    """The other percentile: the value at a floored index."""
+    return metrics.floor_index(table(spark, sf_dir, "events"), group="event_type", value="value", p=0.95, name="p95")
+
+
+@query("SELECT event_type, count(*) AS total, CAST(max(floor(epoch(ts))) - min(floor(epoch(ts))) AS BIGINT) AS seconds FROM events GROUP BY 1")
+def throughput(spark, sf_dir):
+    """Events and seconds of each kind."""
+    e = table(spark, sf_dir, "events").withColumn("one", F.lit(1).cast("long"))
+    return metrics.throughput(e, group="event_type", amount="one", start="ts", stop="ts").select("event_type", "total", "seconds")
+
+
+@query("SELECT user_id, event_id, CAST((row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1) % 3 AS INT) AS slot FROM events")
+def round_robin(spark, sf_dir):
+    """Events of a user dealt over three slots."""
+    return ledger.round_robin(table(spark, sf_dir, "events"), within="user_id", order="event_id", n=3).select("user_id", "event_id", "slot")
+
+
+@query("SELECT event_type, user_id, n AS pending FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY n, user_id) AS r FROM (SELECT event_type, user_id, count(*) AS n FROM events GROUP BY ALL)) WHERE r = 1")
+def least_pending(spark, sf_dir):
+    """The user with the fewest events of each kind."""
+    loads = table(spark, sf_dir, "events").groupBy("event_type", "user_id").agg(F.count("*").alias("pending"))
+    return ledger.least_pending(loads, group="event_type", worker="user_id", pending="pending")
+
+
+@query("SELECT source, doc_id FROM (SELECT d.source, d.doc_id, row_number() OVER (PARTITION BY d.source ORDER BY d.doc_id) AS r FROM documents d WHERE d.doc_id NOT IN (SELECT doc_id FROM labels)) WHERE r <= 32")
+def wave_limit(spark, sf_dir):
+    """The first 32 documents of each source that have no label yet (the wave is the feature)."""
+    d, done = table(spark, sf_dir, "documents").select("source", "doc_id"), table(spark, sf_dir, "labels").select("doc_id").distinct()
+    return figures.pending(d, d.join(done, "doc_id", "left_semi"), ["source", "doc_id"], wave=32)
+
+
+@query("SELECT CAST(row_number() OVER (ORDER BY c, s_suppkey, p) - 1 AS INT) AS position, s_suppkey AS source_index, CAST(p AS INT) AS source_page FROM (SELECT c, s_suppkey, unnest(generate_series(0, CAST(s_suppkey % 3 AS INT))) AS p FROM supplier, range(4) r(c)) QUALIFY position < 250")
+def case_builder(spark, sf_dir):
+    """The pages of the suppliers' files, over and over, up to 250 (the limit is the feature)."""
+    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("source_index"), (F.col("s_suppkey") % 3 + 1).cast("int").alias("n_pages"))
+    return metrics.case_pages(s, pages=250, cycles=4)
+
+
+@query("""SELECT coalesce(string_agg(DISTINCT ext, ', ' ORDER BY ext), '') AS extensions, count(*) AS n FROM (SELECT page_id, lower(regexp_extract(url, '(\\.[^./\\\\?#]+)(?:[?#].*)?$', 1)) AS ext FROM pages WHERE regexp_matches(url, '[.]html(?:[?#].*)?$'))""".replace("\\\\.", "\\.").replace("\\\\\\\\", "\\\\"))
+def extension_list(spark, sf_dir):
+    """Distinct extensions of the pages' addresses."""
+    ext = table(spark, sf_dir, "pages").filter(F.col("url").rlike("[.]html(?:[?#].*)?$")).select(T.extension("url").alias("ext"))
+    return ext.agg(T.extension_list(F.collect_set("ext")).alias("extensions"), F.count("*").alias("n"))
+
+
+@query("SELECT lang, count(*) AS n_files, CAST(sum(octet_length(encode(coalesce(text, '')))) AS BIGINT) AS n_bytes FROM documents GROUP BY 1")
+def dry_run_summary(spark, sf_dir):
+    """Files and bytes of each kind."""
+    return table(spark, sf_dir, "documents").groupBy("lang").agg(F.count("*").alias("n_files"), F.sum(F.octet_length(F.coalesce("text", F.lit("")))).alias("n_bytes"))
+
+
+@query("SELECT o_orderpriority AS backend, CASE WHEN starts_with(o_orderpriority, '1') THEN 'standard' ELSE 'standard' END AS tier, count(*) AS n FROM orders GROUP BY 1, 2")
+def tier_names(spark, sf_dir):
+    """Unknown backend names mean the standard tier."""
+    return table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("backend"), T.tier("o_orderpriority").alias("tier")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT c_custkey, r_name, rep AS repetition FROM customer, region, range(3) t(rep)")
+def request_plan(spark, sf_dir):
+    """Every customer with every region, three times; the seeded order is the rank's."""
+    c, r = table(spark, sf_dir, "customer").select("c_custkey"), table(spark, sf_dir, "region").select("r_name")
+    return metrics.request_plan(c, r, repetitions=3, seed=42).select("c_custkey", "r_name", F.col("repetition").cast("long"))
+
+
+QUERIES["page_blocks"] = QUERIES.pop("page_blocks_query")
+ORACLES["page_blocks"] = ORACLES.pop("page_blocks_query")
