@@ -125,7 +125,7 @@ def redact(docs: DataFrame, *, scope: int = 400, need: int = 2, mark: str = "[SE
     def cut(text, found):
         return type(text)([_cut(t, s, mark) for t, s in zip(text, found, strict=True)])
 
-    out = docs_keyed.join(spans, ["doc_id", "_text"], "left").withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(cut("text", "_spans")))
+    out = docs_keyed.join(spans.hint("shuffle_hash"), ["doc_id", "_text"], "left").withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(cut("text", "_spans")))
     out = out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
     return out.select(*docs.columns)
 
