@@ -100,7 +100,7 @@ def tier(backend: Column | str) -> Column:
 def url_list(c: Column | str) -> Column:
     """Array of addresses from a JSON array or a comma-separated string."""
     given = F.when(F.ltrim(c).startswith("["), F.from_json(c, "array<string>")).otherwise(F.split(c, ","))
-    return F.filter(F.transform(given, F.trim), lambda u: u != "")
+    return F.filter(F.transform(given, lambda u: F.trim(u)), lambda u: u != "")
 
 
 def member_name(c: Column | str) -> Column:
