@@ -6,14 +6,16 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
-def fenced(messages: DataFrame, *, timeout_s: int = 86_400) -> DataFrame:
+def fenced(messages: DataFrame, *, timeout_s: int | None = None) -> DataFrame:
     """job_id, generation, state of the messages that are not late.
 
     `messages`: job_id string, generation long, state string, seq long. The newest
-    generation of a job is kept as state for `timeout_s` after its last message.
+    generation of a job is kept as state, for `timeout_s` after its last message
+    if that is given.
     """
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -24,11 +26,12 @@ def fenced(messages: DataFrame, *, timeout_s: int = 86_400) -> DataFrame:
         rows = pd.concat(list(batches)).sort_values("seq", kind="stable")
         top = rows["generation"].cummax().clip(lower=newest)
         state.update((int(top.iloc[-1]),))
-        state.setTimeoutDuration(timeout_s * 1000)
+        if timeout_s is not None:
+            state.setTimeoutDuration(timeout_s * 1000)
         yield rows.loc[rows["generation"] >= top, ["job_id", "generation", "state", "seq"]]
 
-    schema = "job_id string, generation long, state string, seq long"
-    return messages.groupBy("job_id").applyInPandasWithState(run, schema, "newest long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    kind = GroupStateTimeout.NoTimeout if timeout_s is None else GroupStateTimeout.ProcessingTimeTimeout
+    return messages.groupBy("job_id").applyInPandasWithState(run, "job_id string, generation long, state string, seq long", "newest long", "append", kind)
 
 
 def created(requests: DataFrame, *, watermark: str = "1 day") -> DataFrame:
@@ -38,6 +41,4 @@ def created(requests: DataFrame, *, watermark: str = "1 day") -> DataFrame:
 
 def latest(messages: DataFrame) -> DataFrame:
     """job_id, state, n_messages: a running aggregate for update or complete output."""
-    from pyspark.sql import functions as F
-
     return messages.groupBy("job_id").agg(F.max_by("state", "seq").alias("state"), F.count("*").alias("n_messages"))
