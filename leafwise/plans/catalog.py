@@ -165,13 +165,13 @@ def _turns(spark, sf_dir) -> DataFrame:
 
 
 _TURNS = """WITH turns AS (SELECT conv_id, turn, role, CASE WHEN (conv_id + turn) % 5 = 0 THEN '' ELSE replace(text, chr(10), ' ') END AS text FROM conversations),
-full_lines AS (SELECT *, '[Page ' || (turn // 2 + 1) || '] [ChunkType=' || CASE WHEN turn = 0 THEN 'Title' ELSE 'Body' END || '] ' || text AS line,
-  row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM turns WHERE text <> ''),
-asked AS (SELECT t.conv_id, t.turn, (SELECT count(*) FROM full_lines f WHERE f.conv_id = t.conv_id AND f.turn < t.turn) AS n FROM turns t WHERE role = 'assistant'),
-met AS (SELECT a.conv_id, a.turn,
-  coalesce(string_agg(f.line, chr(10) ORDER BY f.turn) FILTER (WHERE f.turn < a.turn AND f.k > a.n - 2), '') AS before,
-  coalesce(string_agg(f.line, chr(10) ORDER BY f.turn) FILTER (WHERE f.turn > a.turn AND f.k <= a.n + 2 + CAST(EXISTS (SELECT 1 FROM full_lines s WHERE s.conv_id = a.conv_id AND s.turn = a.turn) AS INT)), '') AS after
-  FROM asked a LEFT JOIN full_lines f ON f.conv_id = a.conv_id GROUP BY a.conv_id, a.turn, a.n)
+numbered AS (SELECT *, '[Page ' || (turn // 2 + 1) || '] [ChunkType=' || CASE WHEN turn = 0 THEN 'Title' ELSE 'Body' END || '] ' || text AS line,
+  CAST(text <> '' AS INT) AS self, CAST(sum(CAST(text <> '' AS INT)) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS INT) AS k FROM turns),
+arr AS (SELECT conv_id, list(line ORDER BY turn) AS ls FROM numbered WHERE text <> '' GROUP BY 1),
+met AS (SELECT n.conv_id, n.turn, n.role,
+  coalesce(array_to_string(list_slice(ls, greatest(k - self - 2, 0) + 1, k - self), chr(10)), '') AS before,
+  coalesce(array_to_string(list_slice(ls, k + 1, k + 2), chr(10)), '') AS after
+  FROM numbered n LEFT JOIN arr ON arr.conv_id = n.conv_id WHERE n.role = 'assistant')
 """
 
 
@@ -179,13 +179,14 @@ def _context(spark, sf_dir) -> DataFrame:
     return C.context(_turns(spark, sf_dir), group="conv_id", order="turn", line="line", at=F.col("role") == "assistant")
 
 
-@query()
+@query(_TURNS + "SELECT conv_id, turn, before, after FROM met")
 def context_window(spark, sf_dir):
-    """Two non-empty messages before and after each answer. (A turn may occur twice in a conversation; tests hold it against brute force.)"""
+    """Two non-empty messages before and after each answer."""
     return _context(spark, sf_dir).select("conv_id", "turn", "before", "after")
 
 
-@query()
+@query(_TURNS + """SELECT conv_id, turn, concat_ws(chr(10), 'Image caption (Page ' || (turn // 2 + 1) || '): ' || role,
+  CASE WHEN trim(before) <> '' THEN 'Context before: ' || before END, CASE WHEN trim(after) <> '' THEN 'Context after: ' || after END) AS prompt FROM met""")
 def context_prompt(spark, sf_dir):
     """The prompt made of an answer's surroundings, with the place of its caption."""
     got = _context(spark, sf_dir)
