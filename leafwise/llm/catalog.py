@@ -16,4 +16,4 @@ QUERIES = {
     "op9_simhash": simhash.op9_simhash,
     "op10_decontaminate": decontaminate.op10_decontaminate,
 }
-ORACLES = {"op5_urls": urls.ORACLE}
+ORACLES = {"op3_embeddings": embeddings.ORACLE, "op5_urls": urls.ORACLE}
