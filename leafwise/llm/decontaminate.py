@@ -1,10 +1,10 @@
-"""Benchmark decontamination by rare seeds and Smith-Waterman alignment (operator 10).
+"""Benchmark decontamination by short seeds and Smith-Waterman alignment (operator 10).
 
 The test items' word n-grams are looked up in every text; runs of hits of one
-item make passages. Over all documents it is counted how often each n-gram is
-hit; an item's seeds are its rarer n-grams: those not found much more often than
-the item's median one. A passage with a seed is aligned with its item by
-Smith-Waterman over words, so edited, reordered or partial copies still score.
+item make passages. A passage that shares too few words with its item to reach
+either bound, in whatever order, is left out in the scan; all others are aligned
+with their item by Smith-Waterman over words, so edited, reordered or partial
+copies still score. How often an n-gram is found elsewhere does not matter.
 
 The items are the stated query side. They are taken in blocks of BLOCK items
 (about that many times fifty n-grams go to every task), whatever their number;
@@ -20,6 +20,7 @@ empty tables give an empty result.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,15 +30,15 @@ from pyspark.sql import functions as F
 
 from .common import spool, table, texts
 
-#: Words of a seed.
-SEED = 5
+#: Words of a seed: a copy with every fourth word changed still holds some.
+SEED = 3
 #: Items whose n-grams are sent to the tasks at once.
 BLOCK = 5_000
 #: Words lower-cased, without the punctuation around them.
 WORD = re.compile(r"[^\W_]+(?:['’-][^\W_]+)*")
 MATCH, DIFFER, GAP = 2, -1, -1
 
-_PASSAGES = "doc_id long, row long, item_id long, hits array<long>, passage string"
+_PASSAGES = "doc_id long, row long, item_id long, passage string"
 
 
 def words_of(text: str) -> list[str]:
@@ -51,10 +52,11 @@ class Seeds:
         self.ids: dict[str, int] = {}
         grams: dict[tuple[int, ...], list[tuple[int, int]]] = {}
         self.length: dict[int, int] = {}
-        self.short: dict[int, list[int]] = {}  # shorter n-grams, by size
+        self.bags: dict[int, Counter] = {}  # how often an item holds each word
         for nr, (_, text) in enumerate(items):
             w = [self.ids.setdefault(x, len(self.ids) + 1) for x in words_of(text or "")]
             self.length[nr] = len(w)
+            self.bags[nr] = Counter(w)
             if not w:
                 continue
             n = min(SEED, len(w))
@@ -74,10 +76,13 @@ class Seeds:
             out ^= out >> np.uint64(29)
         return out
 
-    def hits(self, w: list[str]) -> list[tuple[int, int]]:
-        """(position, index of the n-gram) of every n-gram of the items in a text's words."""
+    def known(self, w: list[str]) -> np.ndarray:
+        """The ids of a text's words (0: no item's)."""
         get = self.ids.get
-        known = np.array([get(x, 0) for x in w], np.uint64)
+        return np.array([get(x, 0) for x in w], np.uint64)
+
+    def hits(self, known: np.ndarray) -> list[tuple[int, int]]:
+        """(position, index of the n-gram) of every n-gram of the items in a text's words."""
         found: list[tuple[int, int]] = []
         for n in self.sizes:
             if len(known) < n:
@@ -98,9 +103,15 @@ class Seeds:
             found += zip(at[good].tolist(), spot[good].tolist(), strict=True)
         return found
 
+    def shared(self, nr: int, part: np.ndarray) -> int:
+        """Words that an item and a stretch of a text have in common; no alignment matches more."""
+        ids, n = np.unique(part, return_counts=True)
+        bag = self.bags[nr]
+        return sum(min(k, bag[x]) for x, k in zip(ids.tolist(), n.tolist(), strict=True) if x in bag)
 
-def passages(docs: DataFrame, items: list[tuple[int, str]]) -> DataFrame:
-    """doc_id, row, item_id, hits (n-grams' keys), passage: each stretch of a text that hits an item."""
+
+def passages(docs: DataFrame, items: list[tuple[int, str]], share: float) -> DataFrame:
+    """doc_id, row, item_id, passage: each stretch of a text that hits an item and has at least `share` of its words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seeds = Seeds(items)
@@ -108,26 +119,26 @@ def passages(docs: DataFrame, items: list[tuple[int, str]]) -> DataFrame:
             out: list[tuple] = []
             for doc_id, row, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "row", "text")), strict=True):
                 w = words_of(text)
-                by_item: dict[int, list[tuple[int, int, int]]] = {}
-                for at, spot in seeds.hits(w):
+                known = seeds.known(w)
+                by_item: dict[int, list[tuple[int, int]]] = {}
+                for at, spot in seeds.hits(known):
                     for nr, place in seeds.where[spot]:
-                        by_item.setdefault(nr, []).append((at, spot, place))
+                        by_item.setdefault(nr, []).append((at, place))
                 for nr, found in by_item.items():
                     n = seeds.length[nr]
                     found.sort()
                     begin = 0
                     for k in range(1, len(found) + 1):
-                        if k == len(found) or found[k][0] - found[k - 1][0] > n:  # a new stretch
-                            part = found[begin:k]
-                            # the item may begin as far before the first hit, and end as far behind the last, as the hits lie in it
-                            a = max(0, part[0][0] - part[0][2] - n // 4 - 2)
-                            b = min(len(w), part[-1][0] + (n - part[-1][2]) + n // 4 + 2)
-                            keys = sorted({int(seeds.keys[s].astype(np.int64)) for _, s, _ in part})
-                            out.append((doc_id, row, items[nr][0], keys, " ".join(w[a:b])))
+                        if k == len(found) or found[k][0] - found[k - 1][0] > n + SEED:  # a new stretch
+                            # the item may begin as far before any hit, and end as far behind it, as the hit lies in it
+                            a = max(0, min(at - place for at, place in found[begin:k]) - n // 4 - 2)
+                            b = min(len(w), max(at - place for at, place in found[begin:k]) + n + n // 4 + 2)
+                            if seeds.shared(nr, known[a:b]) >= share * n:
+                                out.append((doc_id, row, items[nr][0], " ".join(w[a:b])))
                             begin = k
-            columns = zip(*out, strict=True) if out else [[]] * 5
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "row", "item_id", "hits", "passage"])
+            columns = zip(*out, strict=True) if out else [[]] * 4
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "row", "item_id", "passage"])
 
     return docs.mapInArrow(run, _PASSAGES)
 
@@ -184,22 +195,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, least: float = 0.5, l
     rows = texts(docs).withColumn("row", F.monotonically_increasing_id())
     made = None
     for items in blocks_of(benchmark):
-        part = _judge(spark, passages(rows, items), items, least, least_words)
+        # A score of `least` takes that share of matched words, the other bound 40 %.
+        part = _judge(passages(rows, items, min(least, 0.4)), items, least, least_words)
         made = part if made is None else made.unionByName(part)
     if made is None:
         return spark.createDataFrame([], "doc_id long, row long, item_id long, score double, matched long, n_words long")
     return made
 
 
-def _judge(spark: SparkSession, found: DataFrame, items: list[tuple[int, str]], least: float, least_words: int) -> DataFrame:
+def _judge(found: DataFrame, items: list[tuple[int, str]], least: float, least_words: int) -> DataFrame:
     found = spool(found)
-    # How many documents hit each n-gram; an item's seeds are those not far above its median count.
-    counts = found.select("row", F.explode("hits").alias("gram")).distinct().groupBy("gram").agg(F.count("*").alias("n"))
-    grams = found.select("item_id", F.explode("hits").alias("gram")).distinct().join(counts, "gram")
-    seeds = grams.join(grams.groupBy("item_id").agg(F.percentile_approx("n", 0.5, 10_000).alias("median")), "item_id").filter("n <= 2 * median + 10").groupBy("item_id").agg(F.collect_set("gram").alias("seeds"))
     # Equal passages of an item are one row with many places.
-    forms = found.groupBy("item_id", "passage").agg(F.first("hits").alias("hits"))
-    asked = forms.join(seeds, "item_id").filter(F.arrays_overlap("hits", "seeds")).select("item_id", "passage")
+    asked = found.select("item_id", "passage").distinct()
     texts_of = {}
     for item_id, text in items:
         texts_of.setdefault(item_id, []).append(words_of(text))

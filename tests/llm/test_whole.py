@@ -2,7 +2,7 @@
 
 import random
 
-from leafwise.llm import shingles
+from leafwise.llm import decontaminate, shingles
 
 
 def least_of(ids, links):
@@ -53,3 +53,17 @@ def test_near_copies_equal_brute_force(spark, monkeypatch):
     kept = [r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()]
     assert sorted(kept, key=str) == sorted([i for i in ids if want[i] == i] + [None], key=str)
     assert shingles.near_copies(docs.filter("false")).count() == 0
+
+
+def test_repeated_and_evenly_edited_leaks_are_found(spark):
+    rnd = random.Random(2)
+    word = lambda: "".join(rnd.choice("abcdefghijklm") for _ in range(6))
+    noise = lambda n: " ".join(word() for _ in range(n))
+    item = [word() for _ in range(38)]
+    edited = " ".join(word() if k in (6, 12, 18, 24, 30, 33, 36) else x for k, x in enumerate(item))
+    fourth = " ".join(word() if k % 4 == 3 else x for k, x in enumerate(item))
+    docs = [(1, f"{noise(9)} {' '.join(item)} {noise(9)}"), (2, f"{noise(40)} {fourth} {noise(40)}"), (3, f"{noise(20)} {' '.join(item[:8])} {noise(20)}")]
+    docs += [(100 + i, f"{noise(40)} {edited} {noise(40)}") for i in range(200)]
+    benchmark = spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), benchmark).collect()}
+    assert got == {(1, 7), (2, 7)} | {(100 + i, 7) for i in range(200)}
