@@ -1,13 +1,18 @@
 r"""Chat formatting by quotation linking (operator 8), in DataFrame functions alone.
 
-Lines of a message are parsed into quote levels (the `>` marks in front). A run of
-lines of one level is a passage; passages are normalised (letters in lower case,
-white space and punctuation folded) and hashed line by line. A quoted line is linked to the
-latest earlier message of its conversation that holds the line at level zero;
-that is a running maximum over (conversation, line), so a line that very many
-messages share makes no pairs. A message answers the message that most of its
-quoted lines lead to (the latest on a tie), else the message before it. The
-conversation is rebuilt from the messages without quotes, ordered by threads.
+Lines of a message are parsed into quote levels (the `>` marks in front). Lines
+are normalised (letters in lower case, white space and punctuation folded) and
+hashed, and so are the runs of SHINGLE words that begin in a line and go on over
+the line breaks of its passage (lines of one level that follow each other), as
+mail programs rewrap what they quote. A quoted line is linked to the latest
+earlier message of its conversation that holds the line at level zero, or else
+to the latest that holds one of its runs; that is a running maximum over
+(conversation, hash), so a line that very many messages share makes no pairs.
+
+A message answers the message that most lines of its lowest linked level lead to
+(the latest on a tie): what it quotes itself is at level one, and deeper levels
+are quotes in that quote, which count only where no lower level leads anywhere.
+The conversation is rebuilt from the messages without quotes, ordered by threads.
 
 Defined results: null texts count as empty; messages without a quote keep their
 text, but for white space at the ends; a message of quotes alone has an empty
@@ -28,6 +33,10 @@ MARKS = r"^[ \t]*((?:>[ \t]?)+)"
 #: Introductions such as "On Monday, X wrote:" directly before a quote belong to it.
 INTRO = r"(?i)^.{0,200}\b(?:wrote|said|schrieb|escribi[oó]|a [eé]crit)[ \t]*:[ \t]*$"
 
+#: Words of a run that is sought across line breaks, and the lines after its first that it can reach.
+SHINGLE = 5
+REACH = SHINGLE - 1
+
 
 def quote_level(line: Column) -> Column:
     """Number of `>` marks in front of a line."""
@@ -40,7 +49,7 @@ def normal(line: Column) -> Column:
 
 
 def parsed(messages: DataFrame) -> DataFrame:
-    """id, conv_id, turn, role, body, lines (array of struct level, hash): messages taken apart; `id` tells rows apart."""
+    """id, conv_id, turn, role, body, lines (array of struct level, line): messages taken apart; `id` tells rows apart."""
     lines = F.split(F.coalesce("text", F.lit("")), r"\r\n|\r|\n")
     # An introduction counts as quoted if the next line is a quote.
     cut = F.transform("cut", lambda x, i: F.struct(F.when((x["level"] == 0) & x["line"].rlike(INTRO) & (F.coalesce(F.get(F.col("cut.level"), i + 1), F.lit(0)) > 0), F.lit(-1)).otherwise(x["level"]).alias("level"), x["line"].alias("line")))
@@ -48,20 +57,42 @@ def parsed(messages: DataFrame) -> DataFrame:
     rows = messages.select(F.monotonically_increasing_id().alias("id"), "conv_id", "turn", "role", first.alias("cut")).withColumn("cut", cut)
     body = F.array_join(F.transform(F.filter("cut", lambda x: x["level"] == 0), lambda x: x["line"]), "\n")
     hashed = F.transform("cut", lambda x: F.struct(x["level"].alias("level"), normal(x["line"]).alias("line")))
-    kept = F.transform(F.filter(hashed, lambda x: (x["level"] >= 0) & (x["line"] != "")), lambda x: F.struct(x["level"].alias("level"), F.xxhash64(x["line"]).alias("hash")))
-    return rows.select("id", "conv_id", "turn", "role", F.regexp_replace(body, r"^\s+|\s+$", "").alias("body"), F.array_distinct(kept).alias("lines"), F.array_max(F.transform("cut", lambda x: x["level"])).alias("marks"))
+    kept = F.filter(hashed, lambda x: (x["level"] >= 0) & (x["line"] != ""))
+    return rows.select("id", "conv_id", "turn", "role", F.regexp_replace(body, r"^\s+|\s+$", "").alias("body"), kept.alias("lines"), F.array_max(F.transform("cut", lambda x: x["level"])).alias("marks"))
+
+
+def line_hashes(lines: Column) -> Column:
+    """Array of struct level, line, whole, hash: the hash of every line (whole), and of the runs of words that begin in it."""
+
+    def of(x: Column, i: Column) -> Column:
+        level = x["level"]
+        words = F.split(x["line"], " ")
+        after = F.transform(F.filter(F.slice(lines, i + 2, REACH), lambda y: y["level"] == level), lambda y: F.split(y["line"], " "))
+        both = F.concat(words, F.flatten(after))
+        before = F.when(i > 0, F.get(lines, i - 1)["level"])
+        # A passage of fewer words than a run is a run of all its words.
+        starts = F.when(F.size(both) < SHINGLE, F.when(before.eqNullSafe(level), F.lit(0)).otherwise(F.lit(1))).otherwise(F.least(F.size(words), F.size(both) - SHINGLE + 1))
+        runs = F.transform(F.slice(F.sequence(F.lit(1), F.size(words)), F.lit(1), starts), lambda j: F.xxhash64(F.array_join(F.slice(both, j, F.lit(SHINGLE)), " "), F.lit("run")))
+        line = F.xxhash64(x["line"])
+        out = lambda h, whole: F.struct(level.alias("level"), line.alias("line"), F.lit(whole).alias("whole"), h.alias("hash"))
+        return F.concat(F.array(out(line, True)), F.transform(runs, lambda h: out(h, False)))
+
+    return F.array_distinct(F.flatten(F.transform(lines, of)))
 
 
 def quote_links(messages: DataFrame) -> DataFrame:
-    """id, quoted_turn, n_lines: the earlier message that most quoted lines of a message lead to. `messages`: see parsed()."""
-    lines = messages.filter("conv_id IS NOT NULL AND turn IS NOT NULL").select("id", "conv_id", "turn", F.explode("lines").alias("l")).select("id", "conv_id", "turn", "l.level", "l.hash")
+    """id, quoted_turn, n_lines: the earlier message that most quoted lines of a message's lowest linked level lead to. `messages`: see parsed()."""
+    given = messages.filter("conv_id IS NOT NULL AND turn IS NOT NULL")
+    # Only conversations that quote are looked into, and there only lines and runs that are quoted.
+    given = given.join(given.filter("marks > 0").select("conv_id").distinct(), "conv_id", "left_semi")
+    lines = given.select("id", "conv_id", "turn", F.explode(line_hashes(F.col("lines"))).alias("l")).select("id", "conv_id", "turn", "l.*")
     quoted = lines.filter("level > 0").select("conv_id", "hash").distinct()
-    # Only lines that are quoted somewhere in their conversation go on.
     asked = lines.join(quoted, ["conv_id", "hash"], "left_semi")
     earlier = W.partitionBy("conv_id", "hash").orderBy("turn").rangeBetween(W.unboundedPreceding, -1)
     led = asked.withColumn("source", F.max(F.when(F.col("level") == 0, F.col("turn"))).over(earlier)).filter("level > 0 AND source IS NOT NULL")
-    counted = led.groupBy("id", "source").agg(F.count_distinct("hash").alias("n_lines"))
-    return counted.groupBy("id").agg(F.max(F.struct("n_lines", "source")).alias("best")).select("id", F.col("best.source").alias("quoted_turn"), "best.n_lines")
+    by_line = led.groupBy("id", "level", "line").agg(F.max(F.struct("whole", "source"))["source"].alias("source"))
+    counted = by_line.groupBy("id", "level", "source").agg(F.count("*").alias("n_lines"))
+    return counted.groupBy("id").agg(F.max(F.struct(-F.col("level"), "n_lines", "source")).alias("best")).select("id", F.col("best.source").alias("quoted_turn"), "best.n_lines")
 
 
 def threads(answers: DataFrame, *, rounds: int = 40) -> DataFrame:

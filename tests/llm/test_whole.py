@@ -2,7 +2,7 @@
 
 import random
 
-from leafwise.llm import decontaminate, shingles
+from leafwise.llm import decontaminate, quotes, shingles
 
 
 def least_of(ids, links):
@@ -67,3 +67,19 @@ def test_repeated_and_evenly_edited_leaks_are_found(spark):
     benchmark = spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
     got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), benchmark).collect()}
     assert got == {(1, 7), (2, 7)} | {(100 + i, 7) for i in range(200)}
+
+
+def test_nested_and_rewrapped_quotes(spark):
+    rows = [
+        (1, 0, "first line here\nsecond line here\nthird line here"),
+        (1, 1, "> first line here\n> second line here\n> third line here\nmy answer to all this"),
+        (1, 2, "> > first line here\n> > second line here\n> > third line here\n> my answer to all this\nfine"),
+        (1, 3, "a sentence of some length that the\nmail program wraps in another place\nwhen it is quoted"),
+        (1, 4, "> a sentence of some length\n> that the mail program wraps in\n> another place when it is quoted\nyes"),
+        (1, 5, "> > first line here\nonly deeper"),
+        (2, 0, "so\nbe it"),
+        (2, 1, "> so be it\nfine"),
+    ]
+    df = spark.createDataFrame([(c, t, "user", x) for c, t, x in rows], "conv_id long, turn long, role string, text string")
+    got = {(r.conv_id, r.turn): (r.reply_to, r.thread_depth) for r in quotes.reply_order(df).collect()}
+    assert got == {(1, 0): (None, 0), (1, 1): (0, 1), (1, 2): (1, 2), (1, 3): (None, 0), (1, 4): (3, 1), (1, 5): (0, 1), (2, 0): (None, 0), (2, 1): (0, 1)}
