@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from leafwise.functions.text import label, labels_match
+from leafwise.functions.text import label, labels_match, unescape
 
 #: Fixed values.
 MARKS, SELECTED = "☐☑□■", "☑■"
@@ -20,25 +20,25 @@ def has_mark(*texts: Column) -> Column:
 def visual_rows(words: DataFrame, *, page: list[str], y: str = "y_min", x: str = "x_min", text: str = "text", tolerance: float = ROW_TOLERANCE) -> DataFrame:
     """page columns, row_nr, words: words in rows of a page; a row's words lie within `tolerance` of its first word.
 
-    A row starts where its anchor is left, not where a gap is, so rows are folded
-    over the page's words in order. The fold's unit is one page.
+    A row starts where its anchor is left, not where a gap is, so a page's distinct
+    heights are folded in order to the heights at which rows start; words then find
+    their row by height.
     """
-    word = F.struct(F.col(y).cast("double").alias("y"), F.col(x).cast("double").alias("x"), F.col(text).alias("w"))
-    row = "struct<a:double,ws:array<struct<x:double,w:string>>>"
-    got = words.groupBy(*page).agg(F.array_sort(F.collect_list(word)).alias("ws"))
-    fold = F.aggregate(
-        "ws",
-        F.array().cast(f"array<{row}>"),
-        lambda acc, e: F.when(
-            (F.size(acc) > 0) & (F.abs(F.element_at(acc, -1)["a"] - e["y"]) <= tolerance),
-            F.concat(
-                F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))),
-                F.array(F.struct(F.element_at(acc, -1)["a"].alias("a"), F.concat(F.element_at(acc, -1)["ws"], F.array(F.struct(e["x"].alias("x"), e["w"].alias("w")))).alias("ws"))),
-            ),
-        ).otherwise(F.concat(acc, F.array(F.struct(e["y"].alias("a"), F.array(F.struct(e["x"].alias("x"), e["w"].alias("w"))).alias("ws"))))),
+    height = F.col(y).cast("double")
+    levels = words.groupBy(*page).agg(F.array_sort(F.collect_set(height)).alias("ys"))
+    starts = F.aggregate(
+        "ys",
+        F.struct(F.lit(None).cast("double").alias("anchor"), F.array().cast("array<double>").alias("starts")),
+        lambda acc, e: F.when(F.coalesce(F.abs(acc["anchor"] - e) <= tolerance, F.lit(False)), acc).otherwise(F.struct(e.alias("anchor"), F.concat(acc["starts"], F.array(e)).alias("starts"))),
+        lambda acc: acc["starts"],
     )
-    out = got.select(*page, F.posexplode(fold).alias("row_nr", "r"))
-    return out.select(*page, "row_nr", F.transform(F.array_sort("r.ws"), lambda e: e["w"]).alias("words"))
+    rows = levels.select(*page, F.posexplode(starts).alias("row_nr", "from_y"))
+    # Words and row starts are put in one order of heights; a word belongs to the last start before it.
+    marks = rows.select(*page, F.col("from_y").alias("_y"), F.lit(0).alias("_kind"), F.col("row_nr").alias("_start"), F.lit(None).cast("double").alias("_x"), F.lit(None).cast("string").alias("_w"))
+    own = words.select(*page, height.alias("_y"), F.lit(1).alias("_kind"), F.lit(None).cast("int").alias("_start"), F.col(x).cast("double").alias("_x"), F.col(text).alias("_w"))
+    before = W.partitionBy(*page).orderBy("_y", "_kind").rowsBetween(W.unboundedPreceding, W.currentRow)
+    placed = marks.unionByName(own).withColumn("_at", F.last("_start", ignorenulls=True).over(before)).filter("_kind = 1")
+    return placed.groupBy(*page, F.col("_at").alias("row_nr")).agg(F.transform(F.array_sort(F.collect_list(F.struct("_x", "_y", "_w"))), lambda e: e["_w"]).alias("words"))
 
 
 def source_entries(rows: DataFrame, *, page: list[str]) -> DataFrame:
@@ -60,19 +60,57 @@ def text_entries(value: Column) -> Column:
     return F.filter(made, lambda e: label(e["label"]) != "")
 
 
-def best_rows(targets: DataFrame, sources: DataFrame, *, page: list[str], target: str) -> DataFrame:
+def strip_tags(value: Column) -> Column:
+    return unescape(F.regexp_replace(value, r"<[^>]+>", " "))
+
+
+#: Cells and rows of tables.
+CELL = r"(?is)<t[dh]\b[^>]*>(.*?)</t[dh]>"
+ROW = r"(?is)<tr\b[^>]*>.*?</tr>"
+
+
+def fragment_entries(value: Column) -> Column:
+    """text_entries() of each table cell of a fragment in order, or of the whole fragment where it has no cell; tags are no text."""
+    cells = F.regexp_extract_all(value, F.lit(CELL), 1)
+    of = lambda c: text_entries(strip_tags(c))
+    return F.when(F.size(cells) > 0, F.flatten(F.transform(cells, of))).otherwise(of(value))
+
+
+def _prefixes(c: Column, *, whole: bool) -> Column:
+    """A label's beginnings of four letters or more; `whole`: itself too, however short."""
+    proper = F.transform(F.sequence(F.lit(4), F.length(c) - 1), lambda n: F.substring(c, F.lit(1), n))
+    parts = F.when(F.length(c) > 4, proper).otherwise(F.array().cast("array<string>"))
+    return F.concat(parts, F.array(c)) if whole else parts
+
+
+def matches(targets: DataFrame, sources: DataFrame, *, page: list[str], on: list[str]) -> DataFrame:
+    """page columns, `on`, row_nr: which target labels fit a label of which source row of their page.
+
+    Labels fit if they are equal or the shorter one, of four letters or more, begins
+    the longer one. Both ways are equal joins: a whole label meets the beginnings
+    of the other side.
+    """
+    t = targets.select(*page, *on, label("label").alias("_l")).filter("_l <> ''")
+    s = sources.select(*page, "row_nr", label("label").alias("_l")).filter("_l <> ''").distinct()
+    longer = s.select(*page, "row_nr", F.explode(_prefixes(F.col("_l"), whole=True)).alias("_l")).distinct()
+    shorter = t.select(*page, *on, F.explode(_prefixes(F.col("_l"), whole=False)).alias("_l"))
+    keys = [*page, "_l"]
+    return t.join(longer, keys).unionByName(shorter.join(s, keys)).select(*page, *on, "row_nr").distinct()
+
+
+def best_rows(targets: DataFrame, sources: DataFrame, *, page: list[str], target: str, entry: str = "entry_nr") -> DataFrame:
     """page columns, target, row_nr, score: for each target the source row that matches most of its entries.
 
-    `targets`: page columns, target, label; `sources`: page columns, row_nr, label.
+    `targets`: page columns, target, entry (a number that tells a target's entries
+    apart, as labels may repeat), label; `sources`: page columns, row_nr, label.
     Ties go to the first row; a match needs two entries, or all if there is one.
     """
-    t = targets.withColumn("_t", label("label"))
-    s = sources.withColumn("_s", label("label")).drop("label")
-    met = t.join(s, page).filter(labels_match(F.col("_s"), F.col("_t")))
-    score = met.groupBy(*page, target, "row_nr").agg(F.count_distinct("_t").alias("score"))
-    size = t.groupBy(*page, target).agg(F.count_distinct("_t").alias("_n"))
-    best = score.withColumn("_r", F.row_number().over(W.partitionBy(*page, target).orderBy(F.desc("score"), "row_nr"))).filter("_r = 1")
-    return best.join(size, [*page, target]).filter(F.col("score") >= F.least(F.lit(2), F.col("_n"))).select(*page, target, "row_nr", "score")
+    fine = targets.filter(label("label") != "")
+    score = matches(fine, sources, page=page, on=[target, entry]).groupBy(*page, target, "row_nr").agg(F.count("*").alias("score"))
+    size = fine.groupBy(*page, target).agg(F.count_distinct(entry).alias("_n"))
+    best = score.groupBy(*page, target).agg(F.max(F.struct("score", (-F.col("row_nr")).alias("nr"))).alias("m"))
+    met = best.join(size, [*page, target]).filter(F.col("m.score") >= F.least(F.lit(2), F.col("_n")))
+    return met.select(*page, target, (-F.col("m.nr")).alias("row_nr"), F.col("m.score").alias("score"))
 
 
 def set_mark(text: Column, name: Column, selected: Column) -> Column:
@@ -83,20 +121,74 @@ def set_mark(text: Column, name: Column, selected: Column) -> Column:
     return F.when(selected, F.regexp_replace(text, off, whole("☑"))).otherwise(F.regexp_replace(text, on, whole("☐")))
 
 
-def repair(fragments: DataFrame, sources: DataFrame, *, page: list[str], target: str) -> DataFrame:
+def _options(sources: DataFrame, page: list[str]) -> DataFrame:
+    """page columns, row_nr, options: the marked options of each source row, in order."""
+    return sources.groupBy(*page, "row_nr").agg(F.array_sort(F.collect_list(F.struct("entry_nr", "label", "selected"))).alias("options"))
+
+
+def _group(labels: Column) -> Column:
+    """What a cell and a source row have in common if the cell lacks its first mark only."""
+    return F.array_join(labels, "\x01")
+
+
+def restore_leading(fragments: DataFrame, options: DataFrame, *, page: list[str], text: str) -> DataFrame:
+    """Fragments with the first mark put back in cells that hold the options of exactly one source row of the page, and n_restored.
+
+    The row has three options or more and a first label of four letters or more;
+    cells and rows meet as equal strings of labels, by a map of the page's rows.
+    """
+    fit = options.filter((F.size("options") >= 3) & (F.length(label(F.col("options")[0]["label"])) >= 4))
+    one = fit.groupBy(*page, _group(F.transform("options", lambda o: o["label"])).alias("g")).agg(F.count("*").alias("n"), F.first(F.col("options")[0]["selected"]).alias("on")).filter("n = 1")
+    maps = one.groupBy(*page).agg(F.map_from_entries(F.collect_list(F.struct("g", "on"))).alias("_on"))
+    parts = F.split(F.regexp_replace(text, r"(?is)(<t[dh]\b[^>]*>)(.*?)(</t[dh]>)", "\x02$1\x03$2\x04$3"), "\x02")
+    cell = lambda x: F.regexp_extract(x, "(?s)\x03(.*?)\x04", 1)
+    group = lambda x: F.regexp_replace(F.regexp_replace(cell(x), r"^\s+|\s+$", ""), rf"\s*[{MARKS}]\s*", "\x01")
+    found = lambda x: F.when(x.contains("\x03"), F.try_element_at("_on", group(x)))
+    put = lambda x: F.regexp_replace(x, "(?s)\x03(\\s*)", F.concat(F.lit("$1"), F.when(found(x).isNull(), "").when(found(x), "☑").otherwise("☐")))
+    met = fragments.join(maps, page, "left").withColumn("_parts", parts)
+    fixed = F.array_join(F.transform("_parts", lambda x: F.regexp_replace(put(x), "[\x03\x04]", "")), "")
+    n = F.size(F.filter("_parts", lambda x: found(x).isNotNull()))
+    none = F.col("_on").isNull()
+    return met.withColumns({"n_restored": F.when(none, 0).otherwise(n), text: F.when(none, F.col(text)).otherwise(fixed)}).drop("_on", "_parts")
+
+
+def repair_fragments(fragments: DataFrame, sources: DataFrame, *, page: list[str], target: str) -> DataFrame:
     """Fragments (page columns, target, text) with marks set as their best source row has them, and n_changes.
 
     A fragment's options are set one after the other in order, as later labels
     may begin like earlier ones.
     """
-    entries = fragments.select(*page, target, F.explode(text_entries(F.col("text"))).alias("e")).select(*page, target, "e.label")
+    options = _options(sources, page)
+    given = restore_leading(fragments.select(*page, target, "text"), options, page=page, text="text")
+    entries = given.select(*page, target, F.posexplode(fragment_entries(F.col("text"))).alias("entry_nr", "e")).select(*page, target, "entry_nr", "e.label")
     best = best_rows(entries, sources, page=page, target=target)
-    options = sources.groupBy(*page, "row_nr").agg(F.array_sort(F.collect_list(F.struct("entry_nr", "label", "selected"))).alias("_options"))
-    met = fragments.join(best, [*page, target], "left").join(options, [*page, "row_nr"], "left")
-    first = lambda e: F.filter("_options", lambda s: labels_match(label(s["label"]), label(e["label"])))
-    plan = F.filter(F.transform(text_entries(F.col("text")), lambda e: F.struct(e["label"].alias("label"), F.get(first(e), 0)["selected"].alias("selected"))), lambda p: p["selected"].isNotNull())
-    done = F.when(F.col("_options").isNull(), F.col("text")).otherwise(F.aggregate(plan, F.col("text"), lambda acc, p: set_mark(acc, p["label"], p["selected"])))
+    met = given.join(best, [*page, target], "left").join(options, [*page, "row_nr"], "left")
+    first = lambda e: F.filter("options", lambda s: labels_match(label(s["label"]), label(e["label"])))
+    plan = F.filter(F.transform(fragment_entries(F.col("text")), lambda e: F.struct(e["label"].alias("label"), F.get(first(e), 0)["selected"].alias("selected"))), lambda p: p["selected"].isNotNull())
+    done = F.when(F.col("options").isNull(), F.col("text")).otherwise(F.aggregate(plan, F.col("text"), lambda acc, p: set_mark(acc, p["label"], p["selected"])))
     marks = lambda c: F.regexp_replace(c, f"[^{MARKS}]", "")
     out = met.withColumn("fixed", done)
     changed = F.size(F.filter(F.zip_with(F.split(marks(F.col("text")), ""), F.split(marks(F.col("fixed")), ""), lambda a, b: a != b), lambda x: x))
-    return out.withColumn("n_changes", F.when(F.col("text") == F.col("fixed"), 0).otherwise(changed)).select(*page, target, F.col("fixed").alias("text"), "n_changes")
+    return out.select(*page, target, F.col("fixed").alias("text"), (F.col("n_restored") + F.when(F.col("text") == F.col("fixed"), 0).otherwise(changed)).alias("n_changes"))
+
+
+def repair(values: DataFrame, sources: DataFrame, *, page: list[str], target: str) -> DataFrame:
+    """Values (page columns, target, text) with marks set right, and n_changes.
+
+    The rows of a table are repaired one by one; a value without table rows, or
+    with rows of which none changes, is repaired as a whole.
+    """
+    text = F.coalesce("text", F.lit(""))
+    table = F.lower(text).contains("<tr")
+    cut = F.split(F.regexp_replace(text, f"({ROW})", "\x01$1\x01"), "\x01")
+    whole = F.array(F.struct(F.lit(-1).alias("_nr"), text.alias("text")))
+    pieces = F.when(table, F.concat(whole, F.transform(cut, lambda x, i: F.struct(i.alias("_nr"), x.alias("text"))))).otherwise(whole)
+    rows = values.select(*page, target, F.explode(pieces).alias("p")).select(*page, F.struct(target, "p._nr").alias("_piece"), "p.text")
+    asked = (F.col("_piece._nr") == -1) | F.col("text").rlike(f"^{ROW}$")
+    fixed = repair_fragments(rows.filter(asked), sources, page=page, target="_piece").unionByName(rows.filter(~asked).withColumn("n_changes", F.lit(0)))
+    of = F.struct(F.col("_piece._nr").alias("nr"), "text", "n_changes")
+    got = fixed.groupBy(*page, F.col(f"_piece.{target}").alias(target)).agg(F.array_sort(F.collect_list(of)).alias("ps"))
+    inner = F.filter("ps", lambda x: x["nr"] >= 0)
+    n = F.aggregate(inner, F.lit(0), lambda acc, x: acc + x["n_changes"])
+    by_row = n > 0
+    return got.select(*page, target, F.when(by_row, F.array_join(F.transform(inner, lambda x: x["text"]), "")).otherwise(F.col("ps")[0]["text"]).alias("text"), F.when(by_row, n).otherwise(F.col("ps")[0]["n_changes"]).alias("n_changes"))
