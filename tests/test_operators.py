@@ -5,7 +5,7 @@ import hashlib
 import pytest
 from pyspark.sql import functions as F
 
-from leafwise.operators import context, figures, ledger, metrics, providers, reconcile
+from leafwise.operators import context, figures, ledger, metrics, providers
 from leafwise.sources import files
 from leafwise.streaming import ledger as streams
 
@@ -21,9 +21,9 @@ def test_context_window(spark):
 
 
 def test_prompt(spark):
-    df = spark.range(1).select(context.context_line(F.lit("Before [Page 1]"), F.lit(0), F.lit(False)).alias("b"), context.context_line(F.lit("After"), F.lit(0), F.lit(False), positions=False).alias("a"))
-    out = df.select(context.prompt(F.lit("Printed caption"), F.lit(" "), F.col("b"), F.col("a"), F.lit(0)).alias("p")).first().p
-    assert out == "Image caption (Page 1): Printed caption\nContext before: [Page 1] [ChunkType=Body] Before [Page 1]\nContext after: [ChunkType=Body] After"
+    df = spark.range(1).select(context.context_line(F.lit("Load [Page 4]"), F.lit(0), F.lit(False)).alias("b"), context.context_line(F.lit("Speed"), F.lit(0), F.lit(False), positions=False).alias("a"))
+    out = df.select(context.prompt(F.lit("Fig. of a pump"), F.lit(" "), F.col("b"), F.col("a"), F.lit(0)).alias("p")).first().p
+    assert out == "Image caption (Page 1): Fig. of a pump\nContext before: [Page 1] [ChunkType=Body] Load [Page 4]\nContext after: [ChunkType=Body] Speed"
 
 
 def test_request_keys_and_numbers(spark):
@@ -41,18 +41,6 @@ def test_skip_reasons(spark):
     assert [r.r for r in got.orderBy("i").collect()] == [w for _, w in cases]
 
 
-def test_checkbox_repair(spark):
-    words = [(0, 10.0, 0, "■男"), (0, 10.0, 9, "□女"), (0, 50.0, 0, "□"), (0, 52.0, 9, "正高级"), (0, 51.0, 20, "■副高级")]
-    df = spark.createDataFrame(words, "page_idx int, y_min double, x_min int, text string")
-    rows = reconcile.visual_rows(df, page=["page_idx"])
-    assert [r.words for r in rows.orderBy("row_nr").collect()] == [["■男", "□女"], ["□", "正高级", "■副高级"]]
-    entries = reconcile.source_entries(rows, page=["page_idx"])
-    assert {(r.label, r.selected) for r in entries.collect()} == {("男", True), ("女", False), ("正高级", False), ("副高级", True)}
-    frag = spark.createDataFrame([(0, 1, "☐男 ☐女"), (0, 2, "☐副高级"), (0, 3, "☐其他"), (0, 4, "plain")], "page_idx int, cell int, text string")
-    out = {r.cell: (r.text, r.n_changes) for r in reconcile.repair(frag, entries, page=["page_idx"], target="cell").collect()}
-    assert out == {1: ("☑男 ☐女", 1), 2: ("☑副高级", 1), 3: ("☐其他", 0), 4: ("plain", 0)}
-
-
 def test_ledger(spark):
     m = spark.createDataFrame([("a", 1, 1, "x"), ("a", 2, 2, "x"), ("a", 3, 1, "y"), ("b", 1, 5, "z")], "job_id string, ts int, generation int, state string")
     assert {(r.job_id, r.ts) for r in ledger.fence(m).collect()} == {("a", 1), ("a", 2), ("b", 1)}
