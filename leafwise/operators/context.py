@@ -1,7 +1,9 @@
 """Text around a figure: the nearest non-empty lines before and after it, and the prompt made of them.
 
-A document's non-empty lines become one ordered array; each figure slices it. No
-block is joined with another.
+Each non-empty line carries the few lines up to it and from it on; a figure takes
+those of the nearest line on either side. All of it are windows over one
+partitioning by document: no block is joined with another, and no array is longer
+than the window.
 """
 
 from __future__ import annotations
@@ -10,7 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from leafwise.functions.text import is_blank
+from leafwise.functions.text import is_blank, strip
+from leafwise.operators.project import image_text, list_text, table_text
+from leafwise.schema import conform
 
 
 def context_line(text: Column, page: Column, title: Column, *, positions: bool = True) -> Column:
@@ -19,17 +23,30 @@ def context_line(text: Column, page: Column, title: Column, *, positions: bool =
     return F.concat_ws(" ", where, F.when(title, "[ChunkType=Title]").otherwise("[ChunkType=Body]"), text)
 
 
-def context(rows: DataFrame, *, group: str, order: str, line: str, at: Column, window: int = 2) -> DataFrame:
+def context_text(blocks: DataFrame) -> DataFrame:
+    """Blocks with `context` (what a block says to its neighbours) and `context_title`; other blocks than text, lists, tables and figures say nothing.
+
+    A figure says its printed captions and notes, not the generated ones.
+    """
+    b = conform(blocks)
+    kind, own = F.col("type"), F.coalesce("text", F.lit(""))
+    said = F.when(kind.isin("text", "equation"), own).when(kind == "list", list_text()).when(kind == "table", table_text()).when(kind == "image", image_text(generated=False))
+    return b.withColumns({"context": F.when(~is_blank(said), strip(said)), "context_title": kind.isin("text", "equation", "list") & F.col("text_level").isNotNull()})
+
+
+def context(rows: DataFrame, *, group: str, order: str, line: str, at: Column, window: int = 2, names: tuple[str, str] = ("before", "after")) -> DataFrame:
     """The rows where `at` holds, with `before` and `after`: up to `window` non-empty lines of `line` on either side."""
     full = ~is_blank(line)
-    so_far = W.partitionBy(group).orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow)
-    numbered = rows.withColumns({"_self": full.cast("int"), "_n": F.sum(full.cast("int")).over(so_far).cast("int"), "_at": at})
-    lines = numbered.filter(full).groupBy(group).agg(F.transform(F.array_sort(F.collect_list(F.struct(order, line))), lambda x: x[line]).alias("_lines"))
-    met = numbered.filter("_at").join(lines, group, "left").withColumn("_lines", F.coalesce("_lines", F.array().cast("array<string>")))
-    prior = F.col("_n") - F.col("_self")
-    before = F.slice("_lines", F.greatest(prior - window, F.lit(0)) + 1, F.least(F.lit(window), prior))
-    after = F.slice("_lines", F.col("_n") + 1, F.lit(window))
-    return met.withColumns({"before": F.array_join(before, "\n"), "after": F.array_join(after, "\n")}).drop("_self", "_n", "_at", "_lines")
+    flagged = rows.withColumns({"_full": full, "_at": at})
+    lines = W.partitionBy(group, "_full")
+    up_to = F.collect_list(line).over(lines.orderBy(order).rowsBetween(1 - window, W.currentRow))
+    onward = F.collect_list(line).over(lines.orderBy(order).rowsBetween(W.currentRow, window - 1))
+    held = flagged.withColumns({"_to": F.when(F.col("_full"), up_to), "_on": F.when(F.col("_full"), onward)})
+    # The nearest line before is the last one so far; the nearest after it is the last one so far from the other end.
+    rest = W.partitionBy(group).rowsBetween(W.unboundedPreceding, -1)
+    near = held.withColumns({"_to": F.last("_to", ignorenulls=True).over(rest.orderBy(order)), "_on": F.last("_on", ignorenulls=True).over(rest.orderBy(F.desc(order)))})
+    text = lambda c: F.array_join(F.coalesce(c, F.array().cast("array<string>")), "\n")
+    return near.filter("_at").withColumns({names[0]: text(F.col("_to")), names[1]: text(F.col("_on"))}).drop("_full", "_at", "_to", "_on")
 
 
 def prompt(caption: Column, footnote: Column, before: Column, after: Column, page: Column | None = None) -> Column:

@@ -6,6 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from leafwise.functions.text import is_blank
+from leafwise.operators.context import context, context_line, context_text, prompt
+from leafwise.operators.project import captions, footnotes, image_text
+from leafwise.schema import conform
+
 #: Least share of the page (less if captioned), greatest aspect, least side, area and file size if uncaptioned.
 MIN_AREA, MIN_AREA_CAPTIONED, MAX_ASPECT, MIN_SIDE, MIN_PIXELS, MIN_BYTES = 0.01, 0.005, 10.0, 96, 9216, 10240
 KEY_VERSION = "2"
@@ -36,11 +41,66 @@ def request_key(digest: Column, context: Column) -> Column:
     return F.sha2(F.concat(F.lit(KEY_VERSION), F.char(F.lit(0)), digest, F.char(F.lit(0)), context), 256)
 
 
-def first_seen_numbers(rows: DataFrame, *, group: str, order: str, key: str) -> DataFrame:
-    """`rows` with image_seq: keys numbered from 1 by first use in their group; a NULL key is its own."""
+def first_seen_numbers(rows: DataFrame, *, group: str, order: str, key: str, slices: int = 1024) -> DataFrame:
+    """`rows` with image_seq: keys numbered from 1 by first use in their group; a NULL key is its own. `order` is a number.
+
+    A group of any size is numbered in `slices` parts: first uses are counted by
+    their slice of the group's order, and a key's number is its place in its
+    slice after the keys of all slices before.
+    """
     own = F.coalesce(F.col(key), F.concat(F.lit("row:"), F.col(order)))
-    first = F.min(order).over(W.partitionBy(group, own))
-    return rows.withColumn("_first", first).withColumn("image_seq", F.dense_rank().over(W.partitionBy(group).orderBy("_first"))).drop("_first")
+    keyed = rows.withColumn("_own", own)
+    firsts = keyed.groupBy(group, "_own").agg(F.min(order).alias("_first"))
+    ends = firsts.groupBy(group).agg(F.min("_first").alias("_low"), F.max("_first").alias("_high"))
+    width = (F.col("_high") - F.col("_low")) / slices + 1
+    sliced = firsts.join(ends, firsts[group].eqNullSafe(ends[group])).select(firsts["*"], F.floor((F.col("_first") - F.col("_low")) / width).alias("_slice"))
+    sizes = sliced.groupBy(F.col(group).alias("_g"), F.col("_slice").alias("_s")).agg(F.count_distinct("_first").alias("_n"))
+    before = sizes.withColumn("_n", F.coalesce(F.sum("_n").over(W.partitionBy("_g").orderBy("_s").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    ranked = sliced.withColumn("_r", F.dense_rank().over(W.partitionBy(group, "_slice").orderBy("_first")))
+    numbers = ranked.join(before, ranked[group].eqNullSafe(before["_g"]) & (ranked["_slice"] == before["_s"])).select(F.col(group).alias("_g"), F.col("_own").alias("_k"), (F.col("_n") + F.col("_r")).cast("int").alias("image_seq"))
+    return keyed.join(numbers, keyed[group].eqNullSafe(numbers["_g"]) & (keyed["_own"] == numbers["_k"])).drop("_own", "_g", "_k")
+
+
+def measures(blocks: DataFrame) -> DataFrame:
+    """Blocks with area_ratio and box_aspect from bbox and page_size; NULL where they can't be known. A box of a normalised page (bbox_normalized) has no aspect."""
+    b = blocks if "bbox_normalized" in blocks.columns else blocks.withColumn("bbox_normalized", F.lit(False))
+    side = lambda i: F.greatest(F.get("bbox", i + 2) - F.get("bbox", i), F.lit(0.0))
+    page = F.get("page_size", 0) * F.get("page_size", 1)
+    sized = (F.size("bbox") == 4) & (F.size("page_size") == 2) & (F.get("page_size", 0) > 0) & (F.get("page_size", 1) > 0)
+    wide = (F.size("bbox") == 4) & (side(0) > 0) & (side(1) > 0) & ~F.coalesce("bbox_normalized", F.lit(False))
+    return b.withColumns({"area_ratio": F.when(sized, side(0) * side(1) / page), "box_aspect": F.when(wide, F.greatest(side(0), side(1)) / F.least(side(0), side(1)))})
+
+
+def with_file(blocks: DataFrame) -> Column:
+    """All-image selection: every figure that names a file."""
+    return (F.col("type") == "image") & ~is_blank("img_path")
+
+
+def image_jobs(blocks: DataFrame, files: DataFrame, *, window: int = 2, positions: bool = False) -> DataFrame:
+    """The figures that a model is asked about: doc_id, block_seq, image_seq, page_number, img_path, prompt, base_text, key.
+
+    `files`: doc_id, img_path, sha256, width, height, size of the image files (a
+    file that is missing raises). Figures are left out by skip_reason(); equal
+    pixels in an equal context (without positions, unless `positions`) are one
+    request, numbered by first use in the document.
+    """
+    said = context_text(measures(conform(blocks)))
+    for name, kept in (("_line", True), ("_bare", positions)):
+        said = said.withColumn(name, F.when(F.col("context").isNotNull(), context_line(F.col("context"), F.coalesce("page_idx", F.lit(-1)), F.col("context_title"), positions=kept)))
+    page, at = F.coalesce("page_idx", F.lit(-1)), with_file(said)
+    near = context(said.withColumn("_figure", at), group="doc_id", order="block_seq", line="_line", at=F.lit(True), window=window)
+    near = context(near, group="doc_id", order="block_seq", line="_bare", at=F.col("_figure"), window=window, names=("_bare_before", "_bare_after"))
+    met = near.join(files.select("doc_id", "img_path", F.col("sha256").alias("_sha"), F.col("width").alias("_w"), F.col("height").alias("_h"), F.col("size").alias("_size")), ["doc_id", "img_path"], "left")
+    there = F.when(F.col("_size").isNull(), F.raise_error(F.concat(F.lit("Missing image asset: "), "img_path")).cast("boolean")).otherwise(True)
+    caption, note = F.array_join(captions(generated=False), "\n"), F.array_join(footnotes(), "\n")
+    reason = skip_reason(area_ratio=F.col("area_ratio"), box_aspect=F.col("box_aspect"), width=F.col("_w"), height=F.col("_h"), size=F.col("_size"), captioned=(caption != "") | (note != ""))
+    asked = met.filter(there).filter(reason.isNull())
+    bare = prompt(caption, note, F.col("_bare_before"), F.col("_bare_after"), page if positions else None)
+    out = asked.select(
+        "doc_id", "block_seq", (F.coalesce("page_idx", F.lit(0)) + 1).alias("page_number"), "img_path", prompt(caption, note, F.col("before"), F.col("after"), page).alias("prompt"),
+        image_text(generated=False).alias("base_text"), F.when(F.col("_sha").isNotNull(), request_key(F.col("_sha"), bare)).alias("key"),
+    )
+    return first_seen_numbers(out, group="doc_id", order="block_seq", key="key")
 
 
 def distinct_requests(rows: DataFrame, *, group: str) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from leafwise.functions.identity import canonical_json, digest
+
 TERMINAL = ("SUCCESS", "FAILURE", "EXPIRED")
 
 
@@ -73,6 +75,77 @@ def unacked_queue(raw: Column) -> Column:
     return F.get_json_object(raw, "$[2]")
 
 
+#: Which states may follow which.
+MOVES = {"PENDING": ("STARTED", "SUCCESS", "FAILURE"), "STARTED": ("SUCCESS", "FAILURE"), "FAILURE": ("PENDING", "EXPIRED"), "SUCCESS": ("EXPIRED",), "EXPIRED": ()}
+
+
+def legal_move(before: Column, after: Column) -> Column:
+    """Whether a job in state `before` (NULL: no job yet) may go to `after`; to stay is no move and always legal."""
+    legal = F.create_map(*[x for state, nexts in MOVES.items() for x in (F.lit(state), F.array(*map(F.lit, nexts)).cast("array<string>"))])
+    return F.when(before.isNull(), after == "PENDING").otherwise((before == after) | F.coalesce(F.array_contains(F.try_element_at(legal, before), after), F.lit(False)))
+
+
+def apply_moves(messages: DataFrame, *, job: str = "job_id", order: list[str], state: str = "state") -> DataFrame:
+    """job, state, n_applied, n_rejected: each job's state after its messages in order, where illegal moves are passed over."""
+    seen = messages.groupBy(job).agg(F.array_sort(F.collect_list(F.struct(*order, state))).alias("ms"))
+    step = lambda acc, m: F.when(legal_move(acc["state"], m[state]), F.struct(m[state].alias("state"), (acc["n"] + 1).alias("n"))).otherwise(acc)
+    done = F.aggregate("ms", F.struct(F.lit(None).cast("string").alias("state"), F.lit(0).cast("long").alias("n")), step)
+    return seen.withColumn("r", done).select(job, F.col("r.state").alias("state"), F.col("r.n").alias("n_applied"), (F.size("ms") - F.col("r.n")).alias("n_rejected"))
+
+
+def unpublished(outbox: DataFrame, receipts: DataFrame) -> DataFrame:
+    """Outbox rows (job_id, generation) without a receipt for the same generation, if theirs is the job's newest: what a recovery sends again."""
+    newest = outbox.groupBy("job_id").agg(F.max("generation").alias("_g"))
+    left = outbox.join(receipts.select("job_id", "generation").distinct(), ["job_id", "generation"], "left_anti")
+    return left.join(newest, "job_id").filter(F.col("generation") == F.col("_g")).drop("_g")
+
+
+def checked_parts(manifest: DataFrame, parts: DataFrame, *, version: int = 1) -> DataFrame:
+    """job_id, fault: NULL for a checkpoint that can be used again, else the first thing wrong with it.
+
+    `manifest`: job_id, version, path, sha256 (a row for each part); `parts`:
+    job_id, path, content. Paths must lie inside the job's folder.
+    """
+    met = manifest.join(parts.select("job_id", "path", F.sha2(F.col("content").cast("binary"), 256).alias("_found")), ["job_id", "path"], "left")
+    outside = F.col("path").startswith("/") | F.exists(F.split("path", "/"), lambda p: p == "..")
+    fault = F.when(F.col("version") != version, "version").when(outside, "path").when(F.col("_found").isNull(), "missing").when(F.col("_found") != F.col("sha256"), "content")
+    return met.withColumn("_fault", fault).groupBy("job_id").agg(F.min_by("_fault", F.struct(F.col("_fault").isNull(), "path")).alias("fault"))
+
+
+def profile_sha(settings: Column) -> Column:
+    """The hash of a job's settings (a map from names to JSON values) in canonical form."""
+    return digest(canonical_json(settings))
+
+
+def profile_fits(stored: Column, settings: Column, *, images: Column) -> Column:
+    """Whether results made under the profile `stored` can be used under `settings`; with images, version 1 is as good as version 2."""
+    older = F.map_concat(F.map_filter(settings, lambda k, v: k != "version"), F.create_map(F.lit("version"), F.lit("1")))
+    return (stored == profile_sha(settings)) | (images & (stored == profile_sha(older)))
+
+
+def progress(requests: DataFrame, results: DataFrame, keys: list[str]) -> DataFrame:
+    """first key, images_total, images_completed, stage: `vision` while a result is missing, then `merge`."""
+    done = results.select(*keys).distinct().withColumn("_done", F.lit(1))
+    out = requests.join(done, keys, "left").groupBy(keys[0]).agg(F.count("*").alias("images_total"), F.count("_done").alias("images_completed"))
+    return out.withColumn("stage", F.when(F.col("images_completed") < F.col("images_total"), "vision").otherwise("merge"))
+
+
+def route(priority: Column, stage: Column, queues: dict[str, str]) -> Column:
+    """The queue of a stage for a priority: `queues` names those of normal work by stage, urgent work has one with `_urgent` behind."""
+    named = F.try_element_at(F.create_map(*[F.lit(x) for pair in queues.items() for x in pair]), stage)
+    return F.when(priority == "urgent", F.concat(named, F.lit("_urgent"))).otherwise(named)
+
+
+def queue_union(*lists: Column) -> Column:
+    """Queues of several lists, each once, where it first stands."""
+    return F.array_distinct(F.concat(*lists))
+
+
+def failure_kinds(chain: Column, most: int = 8) -> Column:
+    """The distinct kinds of the first `most` errors of a chain of causes, the outermost first (a bounded report)."""
+    return F.array_distinct(F.slice(F.filter(chain, lambda k: k.isNotNull()), 1, most))
+
+
 def round_robin(rows: DataFrame, *, within: str, order: str, n: int) -> DataFrame:
     """`rows` with slot 0..n-1, dealt in order within each group."""
     return rows.withColumn("slot", F.pmod(F.row_number().over(W.partitionBy(within).orderBy(order)) - 1, F.lit(n)))
@@ -86,9 +159,3 @@ def least_pending(loads: DataFrame, *, group: str, worker: str, pending: str) ->
 def verified(results: DataFrame, markers: DataFrame) -> DataFrame:
     """Results (job_id, body) whose completion marker (job_id, sha256) fits their content."""
     return results.join(markers, "job_id").filter(F.sha2("body", 256) == F.col("sha256")).drop("sha256")
-
-
-def capacity_state(endpoints: DataFrame, *, now: Column, ttl_s: int = 30) -> DataFrame:
-    """`endpoints` (until, checked_at, healthy) with circuit: open while cooling down, half_open after it, stale or closed."""
-    age = F.unix_timestamp(now) - F.unix_timestamp("checked_at")
-    return endpoints.withColumn("circuit", F.when(F.col("until") > now, "open").when(F.col("until").isNotNull(), "half_open").when(F.coalesce(age, F.lit(ttl_s + 1)) > ttl_s, "stale").when(F.col("healthy"), "closed").otherwise("open"))

@@ -31,16 +31,59 @@ def throughput(rows: DataFrame, *, group: str, amount: str, start: str, stop: st
 
 
 def request_plan(cases: DataFrame, endpoints: DataFrame, *, repetitions: int, seed: int) -> DataFrame:
-    """Every case, endpoint and repetition once, in a seeded order. `endpoints` is a configured list."""
-    plan = cases.crossJoin(F.broadcast(endpoints)).withColumn("repetition", F.explode(F.sequence(F.lit(0), F.lit(repetitions - 1))))
+    """Every case, endpoint and repetition once, with rank: the seeded order in which they are sent.
+
+    `endpoints` is a configured list; the planner sends it to the tasks only below
+    its own size limit.
+    """
+    numbers = F.explode(F.sequence(F.lit(0), F.lit(repetitions - 1)))
+    plan = cases.crossJoin(endpoints).withColumn("repetition", numbers)
     return plan.withColumn("rank", F.xxhash64(F.lit(seed), *plan.columns))
 
 
 def case_pages(sources: DataFrame, *, pages: int, cycles: int) -> DataFrame:
-    """position, source_index, source_page: the pages of the sources (source_index, n_pages), over and over, up to `pages`."""
-    every = sources.select(F.explode(F.sequence(F.lit(0), F.lit(cycles - 1))).alias("cycle"), "source_index", F.explode(F.sequence(F.lit(0), F.col("n_pages") - 1)).alias("source_page"))
-    placed = every.withColumn("position", F.row_number().over(W.orderBy("cycle", "source_index", "source_page")) - 1)
-    return placed.filter(F.col("position") < pages).select("position", "source_index", "source_page")
+    """position, source_index, source_page: the pages of the sources (source_index, n_pages), over and over, up to `pages`.
+
+    Positions follow from running sums over the sources; only sources whose pages
+    begin below `pages` are taken apart.
+    """
+    before = W.orderBy("source_index").rowsBetween(W.unboundedPreceding, -1)
+    # No more than `pages` sources have a page to give.
+    first = sources.select("source_index", "n_pages").filter("n_pages > 0").orderBy("source_index").limit(pages)
+    total = sources.agg(F.sum("n_pages").alias("_total"))
+    placed = first.withColumn("_at", F.coalesce(F.sum("n_pages").over(before), F.lit(0))).crossJoin(total)
+    begun = placed.withColumn("_cycle", F.explode(F.sequence(F.lit(0), F.lit(cycles - 1)))).withColumn("_at", F.col("_cycle") * F.col("_total") + F.col("_at")).filter(F.col("_at") < pages)
+    every = begun.select("_at", "source_index", F.explode(F.sequence(F.lit(0), F.col("n_pages") - 1)).alias("source_page"))
+    return every.select((F.col("_at") + F.col("source_page")).cast("int").alias("position"), "source_index", "source_page").filter(F.col("position") < pages)
+
+
+def letters(text: Column) -> Column:
+    """Code points that are no white space."""
+    return F.length(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)[\s\x1c-\x1f]+", ""))
+
+
+def has_text_layer(pages: DataFrame, *, text: str = "text", least: int = 32) -> DataFrame:
+    """doc_id, n_letters, has_text: whether a document's pages hold `least` letters or more."""
+    out = pages.groupBy("doc_id").agg(F.sum(letters(F.col(text))).alias("n_letters"))
+    return out.withColumn("has_text", F.col("n_letters") >= least)
+
+
+def pattern_faults(text: Column, *, required: list[str], forbidden: list[str]) -> Column:
+    """struct(missing, forbidden, ok): required patterns that a text lacks and forbidden ones that it holds, in any letter case. A NULL text is empty."""
+    text = F.coalesce(text, F.lit(""))
+    chosen = lambda patterns, held: F.filter(F.array(*[F.when(text.rlike(f"(?i){p}") == held, F.lit(p)) for p in patterns]).cast("array<string>"), lambda x: x.isNotNull())
+    missing, found = chosen(required, False), chosen(forbidden, True)
+    return F.struct(missing.alias("missing"), found.alias("forbidden"), ((F.size(missing) == 0) & (F.size(found) == 0)).alias("ok"))
+
+
+def endpoint_report(results: DataFrame, *, endpoint: str = "endpoint", ok: str = "ok", tokens: str = "completion_tokens") -> DataFrame:
+    """endpoint, requests, passed, completion_tokens; unknown tokens count as none."""
+    return results.groupBy(endpoint).agg(F.count("*").alias("requests"), F.count_if(F.coalesce(F.col(ok), F.lit(False))).alias("passed"), F.sum(F.coalesce(F.col(tokens), F.lit(0))).alias("completion_tokens"))
+
+
+def file_summary(files: DataFrame, *, kind: str, size: Column) -> DataFrame:
+    """kind, n_files, n_bytes: what a dry run would submit."""
+    return files.groupBy(kind).agg(F.count("*").alias("n_files"), F.sum(size).alias("n_bytes"))
 
 
 def same_set(a: DataFrame, b: DataFrame) -> bool:

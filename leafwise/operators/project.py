@@ -134,17 +134,69 @@ def normalize(blocks: DataFrame, pages: DataFrame | None = None) -> DataFrame:
     }).drop("width_pt", "height_pt")
 
 
-def page_range(blocks: DataFrame, first: int | None = None, last: int | None = None) -> DataFrame:
-    """Blocks on the 0-based pages first..last."""
+def _check_range(first: int | None, last: int | None) -> None:
     for p in (first, last):
         if p is not None and (isinstance(p, bool) or p < 0):
             raise ValueError("page numbers are not negative")
-    if first is not None and last is not None and last < first:
+    if last is not None and last < (first or 0):
         raise ValueError("the last page is before the first")
+
+
+def range_text(first: int = 0, last: int | None = None) -> str:
+    """The 0-based pages first..last as a parser's option: `a-b` from 1, `a-r1` up to the end, `all`."""
+    _check_range(first, last)
+    if last is not None:
+        return f"{first + 1}-{last + 1}"
+    return f"{first + 1}-r1" if first else "all"
+
+
+def page_range(blocks: DataFrame, first: int | None = None, last: int | None = None) -> DataFrame:
+    """Blocks on the 0-based pages first..last."""
+    _check_range(first, last)
     page = F.coalesce("page_idx", F.lit(0))
     return blocks.filter((page >= (first or 0)) & (page <= (last if last is not None else 2**31 - 1)))
 
 
+def pages_of(blocks: DataFrame, pages: str) -> DataFrame:
+    """Blocks on the pages that a range_text() names; `rN` counts from a document's last page."""
+    if pages == "all":
+        return blocks
+    first, _, last = pages.partition("-")
+    if not last.startswith("r"):
+        return page_range(blocks, int(first) - 1, int(last) - 1)
+    page = F.coalesce("page_idx", F.lit(0))
+    ends = blocks.groupBy("doc_id").agg((F.max(page) + 1 - int(last[1:])).alias("_end"))
+    return page_range(blocks, int(first) - 1).join(ends, "doc_id").filter(page <= F.col("_end")).drop("_end")
+
+
+def project_articles(blocks: DataFrame) -> DataFrame:
+    """doc_id, block_seq, text, page_number, type of scientific articles: equations may be titles as well, and there are no headers or footers.
+
+    `blocks` without the sections that sections.without_sections() leaves out.
+    """
+    b = conform(blocks)
+    own, kind = F.coalesce("text", F.lit("")), F.col("type")
+    figure = F.concat(_arr("img_caption"), _arr("img_footnote"))
+    table = F.concat(_arr("table_caption"), _arr("table_footnote"))
+    listed = F.exists(_arr("list_items"), lambda x: ~is_blank(x)) | ~is_blank(own)
+    text = (
+        F.when(kind.isin("text", "equation") & ~is_blank(own), own)
+        .when((kind == "list") & listed, list_text())
+        .when((kind == "table") & ((F.size(table) > 0) | (F.coalesce("table_body", F.lit("")) != "")), table_text())
+        .when((kind == "image") & (F.size(figure) > 0), F.array_join(figure, "\n"))
+    )
+    title = F.when(kind.isin("text", "equation") & F.col("text_level").isNotNull(), "title")
+    return b.select("doc_id", "block_seq", text.alias("text"), (F.coalesce("page_idx", F.lit(0)) + 1).alias("page_number"), title.alias("type")).filter("text IS NOT NULL")
+
+
+def checked_assets(blocks: DataFrame, files: DataFrame) -> DataFrame:
+    """`blocks`; reading them raises if a block names an image file that `files` (doc_id, img_path) doesn't hold."""
+    held = files.select("doc_id", "img_path").distinct().withColumn("_held", F.lit(True))
+    lost = ~is_blank("img_path") & F.col("_held").isNull()
+    met = blocks.join(held, ["doc_id", "img_path"], "left")
+    return met.filter(F.when(lost, F.raise_error(F.concat(F.lit("Missing image asset: "), "img_path")).cast("boolean")).otherwise(True)).select(*blocks.columns)
+
+
 def visible(chunks: DataFrame, *, chunk_type: bool) -> DataFrame:
     """What a response shows: no page numbers; headers, footers and types only on request."""
     out = chunks.filter("type IS NULL OR type <> 'page_number'")

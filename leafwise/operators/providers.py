@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leafwise.functions.text import sanitize
+from leafwise.operators.figures import image_jobs
+from leafwise.operators.project import project
+from leafwise.schema import conform
 
 #: Fixed value: what a figure without any usable answer says.
 UNRECOGNISED = "[图片内容无法识别]"
@@ -31,8 +34,13 @@ def stub(prompts: pd.Series) -> pd.Series:
     return "Figure of " + prompts.str.len().astype(str) + " letters"
 
 
-def answers(requests: DataFrame, *, providers: list[str], prompt: str = "prompt", strict: bool = False) -> DataFrame:
-    """`requests` with vision_text: the first provider in order that answers; unusable answers give the fixed mark."""
+def answers(requests: DataFrame, *, providers: list[str], prompt: str = "prompt", strict: bool = False, valid: Callable[[pd.Series], pd.Series] | None = None) -> DataFrame:
+    """`requests` with vision_text: the first provider in order that answers; unusable answers give the fixed mark.
+
+    A provider that raises has failed for its batch and the next one is asked. A
+    blank answer counts as none, and so does one that `valid` (a function from a
+    Series of answers to a Series of booleans) rejects.
+    """
     tried = [REGISTRY[p] for p in providers]
 
     @F.pandas_udf("string")
@@ -40,9 +48,31 @@ def answers(requests: DataFrame, *, providers: list[str], prompt: str = "prompt"
         out = pd.Series([None] * len(prompts), index=prompts.index, dtype=object)
         for f in tried:
             left = out.isna()
-            if left.any():
-                out[left] = f(prompts[left])
+            if not left.any():
+                break
+            try:
+                got = f(prompts[left])
+            except Exception:  # noqa: BLE001 - whatever a plug-in raises, the next one has its turn
+                continue
+            good = got.notna() & (got.fillna("").str.strip() != "")
+            if valid is not None and good.any():
+                good &= valid(got.fillna("")).astype(bool)
+            out[left] = got.where(good, None)
         return out
 
     clean = sanitize(F.col("_raw"), strict=strict)
     return requests.withColumn("_raw", ask(prompt)).withColumn("vision_text", F.when(F.coalesce(clean, F.lit("")) == "", UNRECOGNISED).otherwise(clean)).drop("_raw")
+
+
+def describe(jobs: DataFrame, *, providers: list[str], strict: bool = False) -> DataFrame:
+    """doc_id, block_seq, image_seq, vision_text for every job: each distinct request is asked once and its answer goes to all its places."""
+    asked = jobs.groupBy("doc_id", "image_seq").agg(F.min_by("prompt", "block_seq").alias("prompt"))
+    got = answers(asked, providers=providers, strict=strict).select("doc_id", "image_seq", "vision_text")
+    return jobs.select("doc_id", "block_seq", "image_seq").join(got, ["doc_id", "image_seq"])
+
+
+def parse_with_images(blocks: DataFrame, files: DataFrame, *, providers: list[str], chunk_type: bool = False) -> DataFrame:
+    """Blocks to chunks with a model's words for the figures: jobs, answers, and the two-stage projection."""
+    told = describe(image_jobs(blocks, files), providers=providers)
+    met = conform(blocks).drop("image_seq").join(told, ["doc_id", "block_seq"], "left")
+    return project(met, mode="two_stage", chunk_type=chunk_type)

@@ -21,12 +21,24 @@ def without_lone_surrogates(raw: Column) -> Column:
     return F.regexp_replace(raw, _PAIR, "$1")
 
 
+#: Levels of lists in lists that are flattened.
+DEPTH = 4
+
+
+def _parts(v: Column, depth: int) -> Column:
+    """A variant as an array of strings: lists in order, whatever they hold, and single values as they read."""
+    one = F.array(F.try_variant_get(v, "$", "string"))
+    if not depth:
+        return one
+    inner = F.flatten(F.transform(F.try_variant_get(v, "$", "array<variant>"), lambda x: _parts(x, depth - 1)))
+    return F.when(F.schema_of_variant(v).startswith("ARRAY"), inner).otherwise(one)
+
+
 def _strings(v: Column, path: str) -> Column:
-    """A field as an array of strings: NULL if absent, empty if null."""
+    """A field as an array of non-blank strings: NULL if absent, empty if null; nested lists are flattened."""
     got = F.try_variant_get(v, path, "variant")
-    many, one = F.try_variant_get(v, path, "array<string>"), F.try_variant_get(v, path, "string")
-    flat = F.when(F.schema_of_variant(got).startswith("ARRAY"), many).otherwise(F.array(one))
-    return F.when(got.isNull(), F.lit(None)).when(F.is_variant_null(got), F.array().cast("array<string>")).otherwise(F.filter(flat, lambda x: F.trim(F.coalesce(x, F.lit(""))) != ""))
+    flat = F.filter(_parts(got, DEPTH), lambda x: F.trim(F.coalesce(x, F.lit(""))) != "")
+    return F.when(got.isNull(), F.lit(None)).when(F.is_variant_null(got), F.array().cast("array<string>")).otherwise(flat)
 
 
 def content_blocks(docs: DataFrame, *, body: str = "body") -> DataFrame:
