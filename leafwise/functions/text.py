@@ -119,21 +119,26 @@ def safe_filename(c: Column | str, suffix: str) -> Column:
 
 
 #: The named character references that forms hold.
-REFERENCES = {"lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": "\u00a0", "ensp": "\u2002", "emsp": "\u2003", "thinsp": "\u2009", "ndash": "–", "mdash": "—", "middot": "·", "hellip": "…", "times": "×", "deg": "°", "plusmn": "±"}
+REFERENCES = {"lt": "<", "gt": ">", "quot": '"', "apos": "'", "#39": "'", "copy": "©", "nbsp": "\u00a0", "ensp": "\u2002", "emsp": "\u2003", "thinsp": "\u2009", "ndash": "–", "mdash": "—", "middot": "·", "hellip": "…", "times": "×", "deg": "°", "plusmn": "±"}
+
+
+def named(c: Column | str) -> Column:
+    """The character references above as characters; an ampersand last."""
+    c = c if isinstance(c, Column) else F.col(c)
+    for name, char in REFERENCES.items():
+        c = F.replace(c, F.lit(f"&{name};"), F.lit(char))
+    return F.replace(c, F.lit("&amp;"), F.lit("&"))
 
 
 def unescape(c: Column | str) -> Column:
-    """Character references as characters: numbers of either base, and the names above; an ampersand last."""
+    """Character references as characters: numbers of either base, and the names above."""
     c = c if isinstance(c, Column) else F.col(c)
     number = lambda x: F.when(F.lower(F.substring(x, 3, 1)) == "x", F.conv(F.regexp_extract(x, "(?i)^&#x([0-9a-f]+);$", 1), 16, 10)).otherwise(F.regexp_extract(x, "^&#([0-9]+);$", 1)).cast("long")
     letter = lambda n: F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
     fine = lambda n: (n > 0) & (n < 0x110000) & ~n.between(0xD800, 0xDFFF)
     parts = F.split(F.regexp_replace(c, r"(?i)(&#(?:[0-9]{1,7}|x[0-9a-f]{1,6});)", "\x01$1\x01"), "\x01")
     shown = F.transform(parts, lambda x: F.when(x.startswith("&#") & fine(number(x)), letter(number(x))).otherwise(x))
-    c = F.when(c.contains("&#"), F.array_join(shown, "")).otherwise(c)
-    for name, char in REFERENCES.items():
-        c = F.replace(c, F.lit(f"&{name};"), F.lit(char))
-    return F.replace(c, F.lit("&amp;"), F.lit("&"))
+    return named(F.when(c.contains("&#"), F.array_join(shown, "")).otherwise(c))
 
 
 def label(c: Column | str) -> Column:

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from leafwise.functions import identity
 from leafwise.functions import text as T
 from leafwise.operators import context as C
 from leafwise.operators import figures, ledger, metrics, project, reconcile, render, sections
@@ -40,7 +42,7 @@ tagged AS (
 blocks AS (
   SELECT doc_id, CAST(block_seq AS INT) AS block_seq, tag,
          CASE tag WHEN 'title' THEN 'header' WHEN 'footer' THEN 'footer' WHEN 'li' THEN 'list' ELSE 'text' END AS type,
-         regexp_replace(replace(replace(replace(replace(replace(replace(raw, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', chr(160)), '&amp;', '&'),
+         regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(raw, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&apos;', ''''), '&#39;', ''''), '&copy;', '©'), '&nbsp;', chr(160)), '&ensp;', chr(8194)), '&emsp;', chr(8195)), '&thinsp;', chr(8201)), '&ndash;', '–'), '&mdash;', '—'), '&middot;', '·'), '&hellip;', '…'), '&times;', '×'), '&deg;', '°'), '&plusmn;', '±'), '&amp;', '&'),
                         '^[\s\x{a0}\x{2028}\x{2029}\x1c-\x1f]+|[\s\x{a0}\x{2028}\x{2029}\x1c-\x1f]+$', '', 'g') AS own,
          CAST(block_seq // 10 AS INT) AS page_idx
   FROM tagged WHERE tag <> '')
@@ -113,8 +115,7 @@ def plain_text_per_page(spark, sf_dir):
     """Ordered plain text and chunk count of every page."""
     pages = table(spark, sf_dir, "pages")
     chunks = project.project(page_blocks(pages), chunk_type=True)
-    txt = render.plain_text(chunks, pages.select(F.col("page_id").alias("doc_id")))
-    return txt.join(chunks.groupBy("doc_id").agg(F.count("*").alias("n")), "doc_id", "left").select("doc_id", "txt", F.coalesce("n", F.lit(0)).alias("n_chunks"))
+    return render.plain_text(chunks, pages.select(F.col("page_id").alias("doc_id")))
 
 
 @query(BLOCKS + """SELECT doc_id, string_agg(CASE WHEN tag = 'h1' THEN '## ' || own WHEN tag = 'li' THEN '- ' || own ELSE own END, chr(10) || chr(10) ORDER BY block_seq) AS markdown
@@ -141,19 +142,39 @@ def doc_lines_chunks(spark, sf_dir):
     return project.project(_lines(spark, sf_dir), chunk_type=True)
 
 
-@query(_LINES + """SELECT doc_id, block_seq, text FROM (
-  SELECT *, last_value(CASE WHEN block_seq % 7 = 0 THEN length(text) % 2 = 0 END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY block_seq ROWS UNBOUNDED PRECEDING) AS gone FROM lines)
+#: A heading of each kind and others between them, by the line's number; real headings are rare in the documents.
+_HEADED = ("Methods", "References", "2. Results", "IV. Data availability:", "Outlook", "Acknowledgements")
+
+
+def _articles(spark, sf_dir) -> DataFrame:
+    """Documents' lines, where every seventh is a heading."""
+    names = F.array(*map(F.lit, _HEADED))
+    return _lines(spark, sf_dir).withColumn("text", F.when(F.col("text_level").isNotNull(), F.get(names, F.pmod(F.col("doc_id") + F.col("block_seq") / 7, F.lit(6)).cast("int"))).otherwise(F.col("text")))
+
+
+@query(_LINES + """, headed AS (SELECT doc_id, block_seq, CASE WHEN block_seq % 7 = 0 THEN ['Methods', 'References', '2. Results', 'IV. Data availability:', 'Outlook', 'Acknowledgements'][CAST((doc_id + block_seq // 7) % 6 AS INT) + 1] ELSE text END AS text FROM lines)
+SELECT doc_id, block_seq, text FROM (
+  SELECT *, last_value(CASE WHEN block_seq % 7 = 0 THEN text IN ('References', 'IV. Data availability:', 'Acknowledgements') END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY block_seq ROWS UNBOUNDED PRECEDING) AS gone FROM headed)
 WHERE NOT gone""")
 def section_filter(spark, sf_dir):
-    """Sections whose heading has an even number of letters are left out."""
-    return sections.without_sections(_lines(spark, sf_dir), F.length("text") % 2 == 0).select("doc_id", "block_seq", "text")
+    """Sections under back-matter headings are left out."""
+    return sections.without_sections(_articles(spark, sf_dir)).select("doc_id", "block_seq", "text")
+
 
+@query(_LINES + """, headed AS (SELECT doc_id, block_seq, block_seq % 7 = 0 AS title, CASE WHEN block_seq % 7 = 0 THEN ['Methods', 'References', '2. Results', 'IV. Data availability:', 'Outlook', 'Acknowledgements'][CAST((doc_id + block_seq // 7) % 6 AS INT) + 1] ELSE text END AS text FROM lines),
+kept AS (SELECT * FROM (SELECT *, last_value(CASE WHEN title THEN text IN ('References', 'IV. Data availability:', 'Acknowledgements') END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY block_seq ROWS UNBOUNDED PRECEDING) AS gone FROM headed) WHERE NOT gone)
+SELECT doc_id, block_seq, text, CAST(block_seq // 50 + 1 AS INT) AS page_number, CASE WHEN title THEN 'title' END AS type FROM kept WHERE trim(text) <> ''""")
+def article_chunks(spark, sf_dir):
+    """Articles without their back matter, as chunks; equations take every third line that is no heading."""
+    kept = sections.without_sections(_articles(spark, sf_dir))
+    return project.project_articles(kept.withColumn("type", F.when((F.col("block_seq") % 3 == 0) & F.col("text_level").isNull(), "equation").otherwise("text")))
 
-@query("SELECT lower(regexp_replace(l, '^\\s+|\\s+$', '', 'g')) AS heading, regexp_matches(lower(regexp_replace(l, '^\\s+|\\s+$', '', 'g')), '^\\s*([ivxlcdm]+\\.?|\\d+\\.?|\\w+\\.?)?\\s*(acknowledge?ments?|author\\s+contributions?|bibliography|conflict\\s+of\\s+interest|credit\\s+authorship\\s+contribution\\s+statement|data\\s+availability|declaration\\s+of\\s+competing\\s+interest|declaration\\s+of\\s+interests?|declarations?|literature\\s+cited|online|r\\s+e\\s+f\\s+e\\s+r\\s+e\\s+n\\s+c\\s+e\\s+s|references?)\\s*[:.]?\\s*$') AS dropped, count(*) AS n FROM (SELECT p_type || CASE p_size % 4 WHEN 0 THEN '' WHEN 1 THEN ' References' END AS l FROM part UNION ALL SELECT p_size || '. References' FROM part UNION ALL SELECT 'IV. Data availability:' FROM part) WHERE l IS NOT NULL GROUP BY 1, 2")
+
+@query("SELECT lower(regexp_replace(l, '^\\s+|\\s+$', '', 'g')) AS heading, regexp_matches(lower(regexp_replace(l, '^\\s+|\\s+$', '', 'g')), '^\\s*([ivxlcdm]+\\.?|\\d+\\.?|\\w+\\.?)?\\s*(acknowledge?ments?|author\\s+contributions?|bibliography|conflict\\s+of\\s+interest|credit\\s+authorship\\s+contribution\\s+statement|data\\s+availability|declaration\\s+of\\s+competing\\s+interest|declaration\\s+of\\s+interests?|declarations?|literature\\s+cited|online|r\\s+e\\s+f\\s+e\\s+r\\s+e\\s+n\\s+c\\s+e\\s+s|references?)\\s*[:.]?\\s*$') AS dropped, count(*) AS n FROM (SELECT p_type || CASE p_size % 4 WHEN 0 THEN '' WHEN 1 THEN ' References' ELSE ' ' || p_brand END AS l FROM part UNION ALL SELECT p_size || '. References' FROM part UNION ALL SELECT 'IV. Data availability:' FROM part) WHERE l IS NOT NULL GROUP BY 1, 2")
 def heading_filter(spark, sf_dir):
     """Which headings open a section that is left out."""
     p = table(spark, sf_dir, "part")
-    suffix = F.when(F.col("p_size") % 4 == 0, "").when(F.col("p_size") % 4 == 1, " References")
+    suffix = F.when(F.col("p_size") % 4 == 0, "").when(F.col("p_size") % 4 == 1, " References").otherwise(F.concat(F.lit(" "), "p_brand"))
     l = p.select(F.concat("p_type", suffix).alias("l")).unionByName(p.select(F.concat("p_size", F.lit(". References")).alias("l"))).unionByName(p.select(F.lit("IV. Data availability:").alias("l")))  # noqa: E741
     return l.filter("l IS NOT NULL").groupBy(F.lower(T.strip("l")).alias("heading"), T.is_dropped_heading("l").alias("dropped")).agg(F.count("*").alias("n"))
 
@@ -203,11 +224,12 @@ def request_key_dedup(spark, sf_dir):
     return figures.first_seen_numbers(keyed, group="source", order="doc_id", key="key").select("source", "doc_id", "key", "image_seq")
 
 
-@query("SELECT d.doc_id, d.lang, l.quality, l.toxic, l.doc_id IS NOT NULL AS found FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")
+@query("SELECT d.doc_id, d.lang, CASE WHEN l.doc_id IS NOT NULL THEN coalesce(CAST(l.quality AS VARCHAR), '-') || '/' || coalesce(CAST(l.toxic AS VARCHAR), '-') END AS vision_text FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")
 def merge_results(spark, sf_dir):
-    """Results joined to their documents."""
-    d, lab = table(spark, sf_dir, "documents").select("doc_id", "lang"), table(spark, sf_dir, "labels").withColumn("found", F.lit(True))
-    return d.join(lab, "doc_id", "left").select("doc_id", "lang", "quality", "toxic", F.coalesce("found", F.lit(False)).alias("found"))
+    """Results joined to their documents, which are figures with the document's number as theirs."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.lit(0).alias("block_seq"), "lang", F.col("doc_id").cast("int").alias("image_seq"))
+    results = table(spark, sf_dir, "labels").select("doc_id", F.col("doc_id").cast("int").alias("image_seq"), F.concat_ws("/", F.coalesce(F.col("quality").cast("string"), F.lit("-")), F.coalesce(F.col("toxic").cast("string"), F.lit("-"))).alias("vision_text"))
+    return project.merge_vision(d, results).select("doc_id", "lang", "vision_text")
 
 
 @query("SELECT d.doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
@@ -258,23 +280,41 @@ def checkbox_gate(spark, sf_dir):
     return p.select("p_partkey", reconcile.has_mark(F.concat("p_name", mark), F.col("p_type")).alias("marked"))
 
 
-@query("""WITH t AS (SELECT p_size AS page, p_partkey AS target, unnest(string_split(p_brand || ' ' || p_type, ' ')) AS label FROM part),
-tl AS (SELECT DISTINCT page, target, regexp_replace(label, '^[ :;,]+|[ :;,]+$', '', 'g') AS l FROM t),
+@query("""WITH t AS (SELECT p_size AS page, p_partkey AS target, string_split(p_brand || ' ' || p_type || ' ' || p_brand, ' ') AS a FROM part),
+tl AS (SELECT page, target, unnest(a) AS label, generate_subscripts(a, 1) AS nr FROM t),
+tn AS (SELECT page, target, nr, regexp_replace(label, '^[ :;,]+|[ :;,]+$', '', 'g') AS l FROM tl),
 s AS (SELECT DISTINCT p_size AS page, p_partkey AS row_nr, unnest(string_split(p_type, ' ')) AS label FROM part UNION SELECT DISTINCT p_size, p_partkey, string_split(p_brand || ' ' || p_type, ' ')[1] FROM part),
 sl AS (SELECT page, row_nr, regexp_replace(label, '^[ :;,]+|[ :;,]+$', '', 'g') AS l FROM s),
-score AS (SELECT tl.page, tl.target, sl.row_nr, count(DISTINCT tl.l) AS score FROM tl JOIN sl ON tl.page = sl.page AND tl.l <> '' AND sl.l <> ''
-  AND (tl.l = sl.l OR (length(sl.l) >= 4 AND starts_with(tl.l, sl.l)) OR (length(tl.l) >= 4 AND starts_with(sl.l, tl.l))) GROUP BY ALL),
+score AS (SELECT tn.page, tn.target, sl.row_nr, count(DISTINCT tn.nr) AS score FROM tn JOIN sl ON tn.page = sl.page AND tn.l <> '' AND sl.l <> ''
+  AND (tn.l = sl.l OR (length(sl.l) >= 4 AND starts_with(tn.l, sl.l)) OR (length(tn.l) >= 4 AND starts_with(sl.l, tn.l))) GROUP BY ALL),
 best AS (SELECT *, row_number() OVER (PARTITION BY page, target ORDER BY score DESC, row_nr) AS r FROM score),
-size AS (SELECT page, target, count(DISTINCT l) AS n FROM tl GROUP BY ALL)
+size AS (SELECT page, target, count(*) AS n FROM tn WHERE l <> '' GROUP BY ALL)
 SELECT b.page, b.target, b.row_nr, b.score FROM best b JOIN size USING (page, target) WHERE r = 1 AND score >= least(2, n)""")
 def label_match_best_row(spark, sf_dir):
-    """For each part's words the part of the same size that shares most of them."""
+    """For each part's words (the brand twice) the part of the same size that fits most of them."""
     p = table(spark, sf_dir, "part")
-    targets = p.select(F.col("p_size").alias("page"), F.col("p_partkey").alias("target"), F.explode(F.split(F.concat_ws(" ", "p_brand", "p_type"), " ")).alias("label"))
-    sources = p.select(F.col("p_size").alias("page"), F.col("p_partkey").alias("row_nr"), F.explode(F.split("p_type", " ")).alias("label")).unionByName(p.select(F.col("p_size").alias("page"), F.col("p_partkey").alias("row_nr"), F.split(F.concat_ws(" ", "p_brand", "p_type"), " ")[0].alias("label"))).distinct()
+    words = F.split(F.concat_ws(" ", "p_brand", "p_type", "p_brand"), " ")
+    targets = p.select(F.col("p_size").alias("page"), F.col("p_partkey").alias("target"), F.posexplode(words).alias("entry_nr", "label"))
+    sources = p.select(F.col("p_size").alias("page"), F.col("p_partkey").alias("row_nr"), F.explode(F.split("p_type", " ")).alias("label")).unionByName(p.select(F.col("p_size").alias("page"), F.col("p_partkey").alias("row_nr"), F.get(words, 0).alias("label"))).distinct()
     return reconcile.best_rows(targets, sources, page=["page"], target="target")
 
 
+@query("""WITH w AS (SELECT p_partkey, string_split(p_type || ' ' || p_name, ' ') AS a, p_partkey % 2 = 0 AS b1, p_partkey % 3 = 0 AS b2, p_partkey % 5 = 0 AS b3 FROM part WHERE len(string_split(p_type || ' ' || p_name, ' ')) >= 3)
+SELECT p_partkey, '<table><tr><th>Finish</th></tr><tr><td>' || CASE WHEN b1 THEN '☑' ELSE '☐' END || a[1] || ' ' || CASE WHEN b2 THEN '☑' ELSE '☐' END || a[2] || ' ' || CASE WHEN b3 THEN '☑' ELSE '☐' END || a[3] || '</td></tr></table>' AS text,
+  CAST(CASE WHEN p_partkey % 7 = 0 THEN 1 ELSE CAST(b1 AS INT) END + CAST(b2 AS INT) + CAST(b3 AS INT) AS INT) AS n_changes FROM w""")
+def checkbox_repair(spark, sf_dir):
+    """Each part's words as unmarked options of a table row, every seventh without its first mark, set right by positional words."""
+    p = table(spark, sf_dir, "part").withColumn("a", F.split(F.concat_ws(" ", "p_type", "p_name"), " ")).filter(F.size("a") >= 3)
+    on = lambda i: F.col("p_partkey") % (2, 3, 5)[i] == 0
+    words = p.select("p_partkey", F.posexplode(F.array(*[F.concat(F.when(on(i), "■").otherwise("□"), F.get("a", i)) for i in range(3)])).alias("at", "text"))
+    words = words.select("p_partkey", F.lit(20.0).alias("y_min"), F.col("at").cast("double").alias("x_min"), "text")
+    sources = reconcile.source_entries(reconcile.visual_rows(words, page=["p_partkey"]), page=["p_partkey"])
+    first = F.when(F.col("p_partkey") % 7 == 0, "").otherwise("☐")
+    cell = F.concat(first, F.get("a", 0), F.lit(" ☐"), F.get("a", 1), F.lit(" ☐"), F.get("a", 2))
+    values = p.select("p_partkey", F.lit(0).alias("nr"), F.concat(F.lit("<table><tr><th>Finish</th></tr><tr><td>"), cell, F.lit("</td></tr></table>")).alias("text"))
+    return reconcile.repair(values, sources, page=["p_partkey"], target="nr").select("p_partkey", "text", "n_changes")
+
+
 @query("""WITH RECURSIVE w AS (SELECT user_id, value, event_id, row_number() OVER (PARTITION BY user_id ORDER BY value, event_id) AS k FROM events WHERE value IS NOT NULL),
 f(user_id, k, anchor, row_nr, event_id) AS (
   SELECT user_id, k, value, 0, event_id FROM w WHERE k = 1
@@ -288,23 +328,38 @@ def visual_rows(spark, sf_dir):
     return rows.select("user_id", "row_nr", F.size("words").cast("long").alias("n_words"), F.array_join("words", " ").alias("words"))
 
 
-@query("""WITH w AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN '<think>so' || chr(10) || 'it is</think>' || chr(10) || 'Here is the summary:' || chr(10) WHEN 1 THEN 'Image Description: [Page 2] [ChunkType=Image]' || chr(10) ELSE '' END || 'x ' || coalesce(string_split(text, chr(10))[1], '') AS t FROM documents),
+@query("""WITH w AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN '<think>so' || chr(10) || 'it is</think>' || chr(10) || 'Here is the summary:' || chr(10) WHEN 1 THEN 'Image Description: [Page 2] [ChunkType=Image]' || chr(10) ELSE '' END || 'x ' || coalesce(text, '') AS t FROM documents),
 a AS (SELECT doc_id, regexp_replace(t, '(?is)^\\s*<think>.*?</think>\\s*', '') AS t FROM w),
 b AS (SELECT doc_id, regexp_replace(t, '(?i)^\\s*(?:Here (?:is|are) (?:the |a )?(?:summary|analysis|key findings))[：:,，]\\s*', '') AS t FROM a),
 c AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(t, '(?i)^\\s*Image Description:\\s*', ''), '(?i)\\[Page\\s+\\d+\\]', '', 'g'), '(?i)\\[ChunkType=[^\\]]+\\]', '', 'g') AS t FROM b)
-SELECT doc_id, regexp_replace(regexp_replace(t, '[ ]*\\n[ ]*', chr(10), 'g'), '^\\s+|\\s+$', '', 'g') AS clean FROM c""".replace("\\\\", "\\"))
+SELECT doc_id, regexp_replace(regexp_replace(t, '[ \\t]*(\\n)[ \\t]*', chr(10), 'g'), '^\\s+|\\s+$', '', 'g') AS clean FROM c""".replace("\\\\", "\\"))
 def sanitize_chain(spark, sf_dir):
-    """Wrappers taken off the documents' first lines."""
+    """Wrappers taken off the documents' whole texts, and every line stripped."""
     d = table(spark, sf_dir, "documents")
     wrap = F.when(F.col("doc_id") % 3 == 0, "<think>so\nit is</think>\nHere is the summary:\n").when(F.col("doc_id") % 3 == 1, "Image Description: [Page 2] [ChunkType=Image]\n").otherwise("")
-    return d.select("doc_id", T.sanitize(F.concat(wrap, F.lit("x "), F.coalesce(F.get(F.split("text", "\n"), 0), F.lit("")))).alias("clean"))
+    return d.select("doc_id", T.sanitize(F.concat(wrap, F.lit("x "), F.coalesce("text", F.lit("")))).alias("clean"))
 
 
-@query("SELECT doc_id, regexp_matches(text, '(?i)licen[sc]e') AS required, NOT regexp_matches(text, '(?i)all rights reserved|confidential') AS allowed FROM documents WHERE text IS NOT NULL")
+@query("""WITH t AS (SELECT doc_id, coalesce(text, '') AS x FROM documents),
+f AS (SELECT doc_id, list_filter(['licen[sc]e', 'password'], lambda p: NOT regexp_matches(x, '(?i)' || p)) AS m, list_filter(['all rights reserved', 'confidential'], lambda p: regexp_matches(x, '(?i)' || p)) AS g FROM t)
+SELECT doc_id, array_to_string(m, '|') AS missing, array_to_string(g, '|') AS forbidden, len(m) = 0 AND len(g) = 0 AS ok FROM f""")
 def pattern_check(spark, sf_dir):
-    """Required and forbidden patterns of every document."""
-    d = table(spark, sf_dir, "documents").filter("text IS NOT NULL")
-    return d.select("doc_id", F.col("text").rlike("(?i)licen[sc]e").alias("required"), (~F.col("text").rlike("(?i)all rights reserved|confidential")).alias("allowed"))
+    """Required patterns that each document lacks and forbidden ones that it holds."""
+    d = table(spark, sf_dir, "documents").select("doc_id", metrics.pattern_faults(F.col("text"), required=["licen[sc]e", "password"], forbidden=["all rights reserved", "confidential"]).alias("f"))
+    return d.select("doc_id", F.array_join("f.missing", "|").alias("missing"), F.array_join("f.forbidden", "|").alias("forbidden"), F.col("f.ok").alias("ok"))
+
+
+@query("SELECT event_type AS endpoint, count(*) AS requests, count(*) FILTER (WHERE coalesce(value > 50, false)) AS passed, CAST(sum(user_id) AS BIGINT) AS completion_tokens FROM events GROUP BY 1")
+def endpoint_report(spark, sf_dir):
+    """Requests, passes and tokens of each endpoint."""
+    e = table(spark, sf_dir, "events").select(F.col("event_type").alias("endpoint"), (F.col("value") > 50).alias("ok"), F.col("user_id").cast("long").alias("completion_tokens"))
+    return metrics.endpoint_report(e)
+
+
+@query("SELECT doc_id, CAST(sum(length(regexp_replace(coalesce(text, ''), '\\s+', '', 'g'))) AS BIGINT) AS n_letters, sum(length(regexp_replace(coalesce(text, ''), '\\s+', '', 'g'))) >= 32 AS has_text FROM documents GROUP BY 1".replace("\\\\", "\\"))
+def text_layer(spark, sf_dir):
+    """Letters of each document, and whether they are enough to be text."""
+    return metrics.has_text_layer(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 @query("SELECT doc_id AS key, sha256(coalesce(text, '')) AS sha256 FROM documents WHERE NOT (doc_id % 4 <> 0 AND doc_id % 3 <> 0)")
@@ -368,11 +423,11 @@ def latency_floor_index(spark, sf_dir):
     return metrics.floor_index(table(spark, sf_dir, "events"), group="event_type", value="value", p=0.95, name="p95")
 
 
-@query("SELECT event_type, count(*) AS total, CAST(max(floor(epoch(ts))) - min(floor(epoch(ts))) AS BIGINT) AS seconds FROM events GROUP BY 1")
+@query("SELECT *, CASE WHEN seconds > 0 THEN total / CAST(seconds AS DOUBLE) END AS per_second FROM (SELECT event_type, count(*) AS total, CAST(max(floor(epoch(ts))) - min(floor(epoch(ts))) AS BIGINT) AS seconds FROM events GROUP BY 1)")
 def throughput(spark, sf_dir):
-    """Events and seconds of each kind."""
+    """Events, seconds, and events a second of each kind."""
     e = table(spark, sf_dir, "events").withColumn("one", F.lit(1).cast("long"))
-    return metrics.throughput(e, group="event_type", amount="one", start="ts", stop="ts").select("event_type", "total", "seconds")
+    return metrics.throughput(e, group="event_type", amount="one", start="ts", stop="ts")
 
 
 @query("SELECT user_id, event_id, CAST((row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1) % 3 AS INT) AS slot FROM events")
@@ -402,30 +457,136 @@ def case_builder(spark, sf_dir):
     return metrics.case_pages(s, pages=250, cycles=4)
 
 
-@query("""SELECT coalesce(string_agg(DISTINCT ext, ', ' ORDER BY ext), '') AS extensions, count(*) AS n FROM (SELECT page_id, lower(regexp_extract(url, '(\\.[^./\\\\?#]+)(?:[?#].*)?$', 1)) AS ext FROM pages WHERE regexp_matches(url, '[.]html(?:[?#].*)?$'))""".replace("\\\\.", "\\.").replace("\\\\\\\\", "\\\\"))
+@query("""SELECT coalesce(string_agg(DISTINCT nullif(ext, ''), ', ' ORDER BY nullif(ext, '')), '') AS extensions, count(*) AS n FROM (SELECT lower(regexp_extract(coalesce(url, ''), '(\\.[^./\\\\?#]+)(?:[?#].*)?$', 1)) AS ext FROM pages)""".replace("\\\\", "\\"))
 def extension_list(spark, sf_dir):
-    """Distinct extensions of the pages' addresses."""
-    ext = table(spark, sf_dir, "pages").filter(F.col("url").rlike("[.]html(?:[?#].*)?$")).select(T.extension("url").alias("ext"))
+    """Distinct extensions of all pages' addresses."""
+    ext = table(spark, sf_dir, "pages").select(T.extension(F.coalesce("url", F.lit(""))).alias("ext"))
     return ext.agg(T.extension_list(F.collect_set("ext")).alias("extensions"), F.count("*").alias("n"))
 
 
 @query("SELECT lang, count(*) AS n_files, CAST(sum(octet_length(encode(coalesce(text, '')))) AS BIGINT) AS n_bytes FROM documents GROUP BY 1")
 def dry_run_summary(spark, sf_dir):
     """Files and bytes of each kind."""
-    return table(spark, sf_dir, "documents").groupBy("lang").agg(F.count("*").alias("n_files"), F.sum(F.octet_length(F.coalesce("text", F.lit("")))).alias("n_bytes"))
+    return metrics.file_summary(table(spark, sf_dir, "documents"), kind="lang", size=F.octet_length(F.coalesce("text", F.lit(""))))
 
 
-@query("SELECT o_orderpriority AS backend, CASE WHEN starts_with(o_orderpriority, '1') THEN 'standard' ELSE 'standard' END AS tier, count(*) AS n FROM orders GROUP BY 1, 2")
+@query("""WITH b AS (SELECT CASE o_orderkey % 8 WHEN 0 THEN 'pipeline' WHEN 1 THEN ' VLM-http' WHEN 2 THEN 'Flash' WHEN 3 THEN 'basic' WHEN 4 THEN 'advanced ' WHEN 5 THEN '' WHEN 6 THEN NULL ELSE o_orderpriority END AS backend FROM orders)
+SELECT backend, CASE WHEN lower(trim(backend)) IN ('flash', 'basic', 'standard', 'advanced') THEN lower(trim(backend)) WHEN lower(trim(backend)) = 'pipeline' THEN 'basic'
+  WHEN lower(trim(backend)) LIKE 'vlm-%' OR coalesce(trim(backend), '') = '' THEN 'advanced' ELSE 'standard' END AS tier, count(*) AS n FROM b GROUP BY 1, 2""")
 def tier_names(spark, sf_dir):
-    """Unknown backend names mean the standard tier."""
-    return table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("backend"), T.tier("o_orderpriority").alias("tier")).agg(F.count("*").alias("n"))
+    """Tier names, older backend names and unknown ones (priorities) to tiers."""
+    o = table(spark, sf_dir, "orders")
+    names = F.array(*map(F.lit, ("pipeline", " VLM-http", "Flash", "basic", "advanced ", "", None)))
+    backend = F.when(F.col("o_orderkey") % 8 == 7, F.col("o_orderpriority")).otherwise(F.get(names, (F.col("o_orderkey") % 8).cast("int")))
+    return o.groupBy(backend.alias("backend"), T.tier(backend).alias("tier")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT c_custkey, r_name, rep AS repetition FROM customer, region, range(3) t(rep)")
+@query("SELECT c_custkey, r_name, rep AS repetition, count(*) OVER (PARTITION BY c_custkey) AS n_of_case, true AS ranked FROM customer, region, range(3) t(rep)")
 def request_plan(spark, sf_dir):
-    """Every customer with every region, three times; the seeded order is the rank's."""
+    """Every customer with every region, three times; ranks differ between all requests of a case and do not change from run to run."""
     c, r = table(spark, sf_dir, "customer").select("c_custkey"), table(spark, sf_dir, "region").select("r_name")
-    return metrics.request_plan(c, r, repetitions=3, seed=42).select("c_custkey", "r_name", F.col("repetition").cast("long"))
+    plan = metrics.request_plan(c, r, repetitions=3, seed=42)
+    again = F.xxhash64(F.lit(42), "c_custkey", "r_name", "repetition")
+    per = W.partitionBy("c_custkey")
+    return plan.select("c_custkey", "r_name", F.col("repetition").cast("long").alias("repetition"), F.size(F.collect_set("rank").over(per)).cast("long").alias("n_of_case"), (F.col("rank") == again).alias("ranked"))
+
+
+@query("""WITH j AS (SELECT o_orderkey AS job_id, list_sort([o_orderkey % 3, o_orderkey % 5 + 3, o_orderkey % 7 + 6]) AS k FROM orders)
+SELECT job_id, ['PENDING', 'STARTED', 'SUCCESS'][CAST(job_id % 3 AS INT) + 1] AS last_named,
+  CASE job_id % 3 WHEN 0 THEN 'PENDING' WHEN 1 THEN 'STARTED' ELSE 'EXPIRED' END AS state, CASE job_id % 3 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 4 END AS n_applied, CASE job_id % 3 WHEN 0 THEN 2 WHEN 1 THEN 2 ELSE 1 END AS n_rejected FROM j""")
+def job_moves(spark, sf_dir):
+    """Each order as a job with messages of which some are no legal moves."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("job_id"))
+    # pending only; started and then thrown back; finished, failed too late, collected
+    told = {0: ["PENDING", "EXPIRED", "EXPIRED"], 1: ["PENDING", "STARTED", "PENDING", "EXPIRED"], 2: ["PENDING", "STARTED", "SUCCESS", "FAILURE", "EXPIRED"]}
+    lists = F.when(F.col("job_id") % 3 == 0, F.array(*map(F.lit, told[0]))).when(F.col("job_id") % 3 == 1, F.array(*map(F.lit, told[1]))).otherwise(F.array(*map(F.lit, told[2])))
+    messages = o.select("job_id", F.posexplode(lists).alias("ts", "state"))
+    named = F.get(F.array(*map(F.lit, ("PENDING", "STARTED", "SUCCESS"))), (F.col("job_id") % 3).cast("int"))
+    return ledger.apply_moves(messages, order=["ts"]).select("job_id", named.alias("last_named"), "state", F.col("n_applied").cast("int").alias("n_applied"), F.col("n_rejected").cast("int").alias("n_rejected"))
+
+
+@query("""SELECT o_orderkey AS job_id, CAST(o_custkey % 4 AS INT) AS generation FROM orders o WHERE o_orderkey % 3 <> 0""")
+def outbox_recovery(spark, sf_dir):
+    """Orders whose publication has no receipt of its newest generation; every order was published before under an older one."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("job_id"), (F.col("o_custkey") % 4).cast("int").alias("generation"))
+    outbox = o.unionByName(o.select("job_id", (F.col("generation") - 1).alias("generation")))
+    receipts = o.filter(F.col("job_id") % 3 == 0).unionByName(o.filter(F.col("job_id") % 2 == 0).select("job_id", (F.col("generation") - 1).alias("generation")))
+    return ledger.unpublished(outbox, receipts)
+
+
+@query("""SELECT l_orderkey AS doc_id, count(*) AS images_total, count(*) FILTER (WHERE l_linenumber % 3 <> 0) AS images_completed, CASE WHEN count(*) FILTER (WHERE l_linenumber % 3 = 0) > 0 THEN 'vision' ELSE 'merge' END AS stage FROM lineitem GROUP BY 1""")
+def vision_progress(spark, sf_dir):
+    """Lines of orders as figures of documents, two thirds of them answered."""
+    asked = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("image_seq"))
+    return ledger.progress(asked, asked.filter(F.col("image_seq") % 3 != 0), ["doc_id", "image_seq"])
+
+
+@query("""SELECT s_suppkey AS job_id, CASE s_suppkey % 5 WHEN 1 THEN 'content' WHEN 2 THEN 'missing' WHEN 3 THEN 'version' WHEN 4 THEN 'path' END AS fault FROM supplier""")
+def checkpoint_faults(spark, sf_dir):
+    """Checkpoints of two parts for each supplier: whole, changed, lost, of another version, or outside their folder."""
+    p = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("job_id"), F.explode(F.array(F.lit("a.json"), F.lit("b.json"))).alias("path"), "s_name")
+    kind, second = F.col("job_id") % 5, F.col("path") == "b.json"
+    path = F.when((kind == 4) & second, "../b.json").otherwise(F.col("path"))
+    manifest = p.select("job_id", F.when(kind == 3, 2).otherwise(1).alias("version"), path.alias("path"), F.sha2("s_name", 256).alias("sha256"))
+    parts = p.filter(~((kind == 2) & second)).select("job_id", path.alias("path"), F.when((kind == 1) & second, F.concat("s_name", F.lit("?"))).otherwise(F.col("s_name")).alias("content"))
+    return ledger.checked_parts(manifest, parts)
+
+
+@query("""SELECT c_custkey, sha256('{"acct": ' || CAST(c_nationkey AS VARCHAR) || ', "name": "' || c_name || '"}') AS profile, 'q.' || CASE c_custkey % 2 WHEN 0 THEN 'parse_urgent' ELSE 'merge' END AS queue FROM customer""")
+def profile_and_route(spark, sf_dir):
+    """The hash of each customer's settings in canonical form, and the queue of its work."""
+    c = table(spark, sf_dir, "customer")
+    settings = F.create_map(F.lit("name"), identity.json_string(F.col("c_name")), F.lit("acct"), F.col("c_nationkey").cast("string"))
+    even = F.col("c_custkey") % 2 == 0
+    queue = ledger.route(F.when(even, "urgent").otherwise("normal"), F.when(even, "parse").otherwise("merge"), {"parse": "q.parse", "merge": "q.merge"})
+    return c.select("c_custkey", ledger.profile_sha(settings).alias("profile"), queue.alias("queue"))
+
+
+@query("""SELECT c_custkey, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || ['8', '9', 'a', 'b'][CAST(('0x' || substr(h, 17, 1))::INT % 4 AS INT) + 1] || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS job_id
+FROM (SELECT c_custkey, lower(sha1(from_hex('6ba7b8109dad11d180b400c04fd430c8') || encode('parse' || chr(0) || c_name))) AS h FROM customer)""")
+def job_ids(spark, sf_dir):
+    """The version-5 UUID of each customer's name."""
+    return table(spark, sf_dir, "customer").select("c_custkey", identity.job_id("6ba7b810-9dad-11d1-80b4-00c04fd430c8", F.lit("parse"), F.col("c_name")).alias("job_id"))
+
+
+def _form_blocks(spark, sf_dir) -> DataFrame:
+    """Parts as blocks of documents by size: tables, equations, figures with captions and notes, lists, texts."""
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_name", "p_type", "p_brand")
+    kind = F.get(F.array(*map(F.lit, ("table", "equation", "image", "list", "text"))), (F.col("p_partkey") % 5).cast("int"))
+    image, tab = kind == "image", kind == "table"
+    return p.select(
+        F.col("p_size").cast("int").alias("doc_id"), F.col("p_partkey").cast("int").alias("block_seq"), kind.alias("type"),
+        F.when(kind.isin("equation", "text"), F.col("p_name")).alias("text"), F.when(F.col("p_partkey") % 3 == 0, 1).alias("text_level"), F.lit(0).alias("page_idx"),
+        F.when(kind == "list", F.split("p_type", " ")).alias("list_items"),
+        F.when(tab, F.array("p_brand")).alias("table_caption"), F.when(tab, F.col("p_name")).alias("table_body"), F.when(tab & (F.col("p_partkey") % 2 == 0), F.array("p_type")).alias("table_footnote"),
+        F.when(image & (F.col("p_partkey") % 4 != 0), F.col("p_type")).alias("img_path"), F.when(image & (F.col("p_partkey") % 3 != 0), F.array("p_brand")).alias("img_caption"), F.when(image, F.array("p_type")).alias("img_footnote"),
+    )
+
+
+_FORMS = """WITH b AS (SELECT p_size AS doc_id, p_partkey AS block_seq, ['table', 'equation', 'image', 'list', 'text'][CAST(p_partkey % 5 AS INT) + 1] AS type, p_partkey AS k, p_name, p_type, p_brand FROM part),
+said AS (SELECT *, CASE type WHEN 'table' THEN p_brand || chr(10) || p_name || CASE WHEN k % 2 = 0 THEN chr(10) || p_type ELSE '' END WHEN 'list' THEN replace(p_type, ' ', chr(10))
+  WHEN 'image' THEN CASE WHEN k % 3 <> 0 THEN p_brand || chr(10) ELSE '' END || p_type ELSE p_name END AS said, type IN ('equation', 'text', 'list') AND k % 3 = 0 AS title FROM b)
+"""
+
+
+@query(_FORMS + "SELECT CAST(doc_id AS INT) AS doc_id, CAST(block_seq AS INT) AS block_seq, said AS text, 1 AS page_number, CASE WHEN type = 'text' AND k % 3 = 0 THEN 'title' END AS type FROM said")
+def project_forms(spark, sf_dir):
+    """Tables, equations, captioned figures and lists as chunks."""
+    return project.project(_form_blocks(spark, sf_dir), chunk_type=True)
+
+
+@query(_FORMS + """, lined AS (SELECT *, '[Page 1] [ChunkType=' || CASE WHEN title THEN 'Title' ELSE 'Body' END || '] ' || said AS line, '[ChunkType=' || CASE WHEN title THEN 'Title' ELSE 'Body' END || '] ' || said AS bare FROM said),
+near AS (SELECT *, concat_ws(chr(10), lag(line, 2) OVER w, lag(line) OVER w) AS before, concat_ws(chr(10), lead(line) OVER w, lead(line, 2) OVER w) AS after,
+  concat_ws(chr(10), lag(bare, 2) OVER w, lag(bare) OVER w) AS bare_before, concat_ws(chr(10), lead(bare) OVER w, lead(bare, 2) OVER w) AS bare_after FROM lined WINDOW w AS (PARTITION BY doc_id ORDER BY block_seq)),
+asked AS (SELECT *, CASE WHEN k % 3 <> 0 THEN 'Image caption (Page 1): ' || p_brand || chr(10) ELSE '' END || 'Image footnote (Page 1): ' || p_type || CASE WHEN before <> '' THEN chr(10) || 'Context before: ' || before ELSE '' END || CASE WHEN after <> '' THEN chr(10) || 'Context after: ' || after ELSE '' END AS prompt,
+  sha256('2' || chr(0) || sha256(p_type) || chr(0) || CASE WHEN k % 3 <> 0 THEN 'Image caption: ' || p_brand || chr(10) ELSE '' END || 'Image footnote: ' || p_type || CASE WHEN bare_before <> '' THEN chr(10) || 'Context before: ' || bare_before ELSE '' END || CASE WHEN bare_after <> '' THEN chr(10) || 'Context after: ' || bare_after ELSE '' END) AS key
+  FROM near WHERE type = 'image' AND k % 4 <> 0)
+SELECT CAST(doc_id AS INT) AS doc_id, CAST(block_seq AS INT) AS block_seq, prompt, key, CAST(dense_rank() OVER (PARTITION BY doc_id ORDER BY f) AS INT) AS image_seq FROM (SELECT *, min(block_seq) OVER (PARTITION BY doc_id, key) AS f FROM asked)""")
+def image_jobs(spark, sf_dir):
+    """The figures that a model is asked about, with prompts, keys and numbers."""
+    blocks = _form_blocks(spark, sf_dir)
+    files = blocks.filter("img_path IS NOT NULL").select("doc_id", "img_path").distinct().select("doc_id", "img_path", F.sha2("img_path", 256).alias("sha256"), F.lit(400).alias("width"), F.lit(300).alias("height"), F.lit(50_000).alias("size"))
+    return figures.image_jobs(blocks, files).select("doc_id", "block_seq", "prompt", "key", "image_seq")
 
 
 QUERIES["page_blocks"] = QUERIES.pop("page_blocks_query")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafwise.functions.text import strip, unescape
+from leafwise.functions.text import named, strip
 
 #: A mark is set before each tag that begins or ends a block; scripts and styles are no text.
 OPENING = r"(?is)<(/?(?:title|h1|p|li|footer|nav|ul|article|head|body|html|br)\b)"
@@ -19,11 +19,13 @@ def page_blocks(pages: DataFrame, *, per_page: int = PAGE_BLOCKS) -> DataFrame:
     for tag in ("script", "style"):
         bare = F.regexp_replace(bare, f"(?is)<{tag}\\b.*?</{tag}>", "")
     parts = F.split(F.regexp_replace(bare, OPENING, "\x01<$1"), "\x01")
-    part = pages.select(F.col("page_id").alias("doc_id"), F.posexplode(parts).alias("block_seq", "part"))
-    tag = F.lower(F.regexp_extract("part", BLOCK, 1))
-    text = strip(unescape(F.regexp_replace(F.regexp_extract("part", BLOCK, 2), r"<[^>]*>", "")))
-    kind = F.when(tag == "title", "header").when(tag == "footer", "footer").when(tag == "li", "list").otherwise("text")
-    out = part.withColumns({"tag": tag, "own": text}).filter("tag <> ''")
+    # A part is taken apart once, inside the array; only blocks leave it.
+    tag = lambda x: F.lower(F.regexp_extract(x, BLOCK, 1))
+    own = lambda x: F.regexp_extract(x, BLOCK, 2)
+    shaped = F.transform(parts, lambda x, i: F.struct(i.alias("seq"), tag(x).alias("tag"), own(x).alias("raw")))
+    part = pages.select(F.col("page_id").alias("doc_id"), F.explode(F.filter(shaped, lambda p: p["tag"] != "")).alias("p")).select("doc_id", F.col("p.seq").alias("block_seq"), "p.tag", "p.raw")
+    out = part.select("doc_id", "block_seq", "tag", strip(named(F.regexp_replace("raw", r"<[^>]*>", ""))).alias("own"))
+    kind = F.when(F.col("tag") == "title", "header").when(F.col("tag") == "footer", "footer").when(F.col("tag") == "li", "list").otherwise("text")
     return out.select(
         "doc_id", "block_seq", kind.alias("type"),
         F.when(F.col("tag") != "li", F.col("own")).alias("text"),
