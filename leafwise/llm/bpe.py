@@ -1,17 +1,20 @@
 """BPE encoding and decoding by a dynamic program over prefixes (operator 1).
 
 For every prefix of a pre-token exactly one vocabulary entry can be the last
-token of the prefix's encoding. A suffix automaton over the vocabulary lists the
-entries that end at a position; the entry is taken whose start prefix ends in a
-token that is compatible with it. Two tokens are
-compatible if the merges, replayed on both together, leave them apart. Following
-the stored last tokens backwards from the end of the word gives the exact ids.
+token of the prefix's encoding. An automaton over the vocabulary with suffix links
+reads the word once, from left to right: its state is the longest part of an entry
+that ends here, and the links lead to all entries that end here, the longest
+first. The entry is taken whose start prefix ends in a token that is compatible
+with it. Two tokens are compatible if the merges, replayed on both together,
+leave them apart. Following the stored last tokens backwards from the end of the
+word gives the exact ids.
 
-Texts are lines of work of their own: no shuffle, no state between rows but a
-bounded cache of encoded words.
+Texts are lines of work of their own: no shuffle, no state between rows but
+bounded stores of encoded words.
 
 Defined results: a null text counts as empty; an empty text has no tokens, the
-hash of no bytes and an empty decoded text; repeated rows give repeated rows;
+hash of no bytes and an empty decoded text; a text of any length is encoded
+whole; repeated rows give repeated rows; an empty table gives an empty result;
 further columns of the input are not read.
 """
 
@@ -32,8 +35,8 @@ from .common import map_texts, table, texts
 
 #: Stands for the end-of-word mark inside words; no byte maps to it.
 END = "\ue000"
-#: Words a task keeps encoded.
-CACHE_WORDS = 400_000
+#: Words, runs of words and token pairs that a Python worker keeps, half of them as an older generation.
+WORDS, RUNS, PAIRS = 360_000, 240_000, 400_000
 
 
 def byte_letters() -> list[str]:
@@ -43,6 +46,23 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in plain else chr(next(others)) for b in range(256)]
 
 
+class Kept(dict):
+    """Key -> what `make` gives for it. Of two generations the older one is forgotten when the younger is full, so what is often asked stays."""
+
+    def __init__(self, make: Callable, most: int) -> None:
+        self.make, self.most, self.old = make, most, {}
+
+    def __missing__(self, key):
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        found = self.old.get(key)
+        if found is None:
+            found = self.make(key)
+        self[key] = found
+        return found
+
+
 class PrefixEncoder:
     """Encodes single pre-tokens with the vocabulary and merges of a tokenizer file."""
 
@@ -59,22 +79,50 @@ class PrefixEncoder:
             token = vocab[a + b]
             self.rank[vocab[a], vocab[b]] = rank
             self.made[token], self.parts[token] = rank, (vocab[a], vocab[b])
-        self.apart: dict[tuple[int, int], bool] = {}
+        most = max(vocab.values()) + 1
+        self.apart = Kept(lambda pair: self.compatible(*divmod(pair, most)), PAIRS // 2)
+        self.most = most
         self.letters = dict(enumerate(byte_letters()))
         letters = set(self.letters.values())
-        #: Suffix automaton: from a prefix's end backwards, letter -> (token that is read so far or -1, next state).
-        self.suffixes: dict = {}
+        entries: list[tuple[str, int]] = []
         for text, token in vocab.items():
             body = text.removesuffix(self.mark) if self.mark and text.endswith(self.mark) else text
             if not body or not set(body) <= letters:
                 continue
             if token in self.parts and not self.compatible(*self.parts[token], upto=self.made[token]):
                 continue  # the merges never reach this entry
-            *rest, first = reversed(body + END if body != text else body)
-            node = self.suffixes
-            for letter in rest:
-                node = node.setdefault(letter, (-1, {}))[1]
-            node[first] = (token, node[first][1] if first in node else {})
+            entries.append((body + END if body != text else body, token))
+        self.build(entries)
+
+    def build(self, entries: list[tuple[str, int]]) -> None:
+        """The automaton: steps of each state; the state of its longest proper suffix; token and length where an entry ends; the next such state by suffixes."""
+        steps: list[dict[str, int]] = [{}]
+        token, length = array("i", [-1]), array("i", [0])
+        for text, number in entries:
+            at = 0
+            for letter in text:
+                further = steps[at].get(letter)
+                if further is None:
+                    further = steps[at][letter] = len(steps)
+                    steps.append({})
+                    token.append(-1)
+                    length.append(length[at] + 1)
+                at = further
+            token[at] = number
+        suffix, entry = array("i", bytes(4 * len(steps))), array("i", bytes(4 * len(steps)))
+        level = [0]
+        while level:
+            below = []
+            for at in level:
+                for letter, further in steps[at].items():
+                    back = suffix[at]
+                    while at and back and letter not in steps[back]:
+                        back = suffix[back]
+                    suffix[further] = steps[back].get(letter, 0) if at else 0
+                    entry[further] = further if token[further] >= 0 else entry[suffix[further]]
+                    below.append(further)
+            level = below
+        self.steps, self.suffix, self.entry, self.token, self.length = steps, suffix, entry, token, length
 
     def compatible(self, left: int, right: int, upto: float = float("inf")) -> bool:
         """Whether no merge below rank `upto` joins the two tokens, or parts of them, over their border.
@@ -107,26 +155,19 @@ class PrefixEncoder:
         size = len(text)
         last = [-1] * (size + 1)  # the token that ends each prefix
         lengths = [0] * (size + 1)
-        apart = self.apart
-        if len(apart) > 1 << 20:
-            apart.clear()
-        for end in range(1, size + 1):
-            node, start, found = self.suffixes, end, []
-            while start and (step := node.get(text[start - 1])):
-                start -= 1
-                token, node = step
-                if token >= 0:
-                    found.append((token, start))
-            for token, start in reversed(found):
-                if start:
-                    before = last[start]
-                    fits = apart.get((before, token))
-                    if fits is None:
-                        fits = apart[before, token] = before >= 0 and self.compatible(before, token)
-                    if not fits:
-                        continue
-                last[end], lengths[end] = token, end - start
-                break
+        steps, suffix, entry, tokens, sizes, apart, most = self.steps, self.suffix, self.entry, self.token, self.length, self.apart, self.most
+        at = 0
+        for end, letter in enumerate(text, 1):
+            while (further := steps[at].get(letter)) is None and at:
+                at = suffix[at]
+            at = further or 0
+            fits = entry[at]
+            while fits:
+                token, n = tokens[fits], sizes[fits]
+                if n == end or (before := last[end - n]) >= 0 and apart[before * most + token]:
+                    last[end], lengths[end] = token, n
+                    break
+                fits = entry[suffix[fits]]
         ids = []
         while size:
             ids.append(last[size])
@@ -134,19 +175,6 @@ class PrefixEncoder:
         return ids[::-1]
 
 
-class WordCache(dict):
-    """Word -> what `make` gives for it, forgotten when too many words are held."""
-
-    def __init__(self, make: Callable[[str], tuple], most: int = CACHE_WORDS) -> None:
-        self.make, self.most = make, most
-
-    def __missing__(self, word: str) -> tuple:
-        if len(self) >= self.most:
-            self.clear()
-        made = self[word] = self.make(word)
-        return made
-
-
 class TextCoder:
     """Whole texts to ids and back, for files of the word-end kind (lower case, white space dropped)."""
 
@@ -162,9 +190,9 @@ class TextCoder:
         self.encoder = PrefixEncoder(spec)
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.cut = re.compile("(" + "|".join(re.escape(t) for t in self.special) + ")")
-        words = WordCache(lambda w: self.shape(self.encoder.encode(w)))
-        self.plain = WordCache(lambda run: self.join([words[w] for w in self.WORDS.findall(run)]))
-        self.lettered = WordCache(lambda w: self.shape(self.encoder.encode_letters(w)))
+        words = Kept(lambda w: self.shape(self.encoder.encode(w)), WORDS // 2)
+        self.plain = Kept(lambda run: self.join([words[w] for w in self.WORDS.findall(run)]), RUNS // 2)
+        self.lettered = Kept(lambda w: self.shape(self.encoder.encode_letters(w)), RUNS // 2)
 
     def shape(self, ids: list[int]) -> tuple[bytes, str]:
         piece = self.encoder.piece
