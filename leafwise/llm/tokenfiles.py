@@ -1,15 +1,16 @@
 """Token ids in files of an adaptive context-mixing range coder (operator 2).
 
 Ids are coded in blocks of BLOCK, each from a fresh model and with a checksum of
-its ids, so a block can be read, or be found damaged, without the others. For
-each id an order-2 and an order-1 prediction (what followed the last two ids, or
-the last one, when they were met before in the block) are mixed by how often
-they have lately been right: a range coder step says which of them holds. If
-neither does, the id's two bytes follow, under adaptive order-0 counts. A range
-coder turns the steps into 16-bit words.
+its ids, so a block can be read, or be found damaged, without the others. The
+model is a mixture of id distributions: what followed the last two ids in the
+block (order 2), what followed the last one (order 1), how often each id has
+occurred in the block (order 0), and all ids alike. The weights are learned step
+by step, for each state of trust in orders 2 and 1. A range coder of 64 bits
+turns each id into its share of the mixture; an id that several orders name is
+coded by the highest of them.
 
 Blocks of a frame run side by side as lanes of numpy arrays, step by step, in
-writing and reading alike.
+writing and reading alike. The frame's header has a checksum of its own.
 
 Documents are range partitioned and sorted by doc_id; a partition is written as
 frames of whole documents, one row of a Parquet file each. Positions within
@@ -17,8 +18,10 @@ partitions are known while writing; the partitions' totals, summed up in order,
 give the starts in the whole.
 
 Defined results: a null text counts as empty and has the end id alone; null
-doc_ids come first; rows that share a doc_id follow each other; an empty table
-gives an empty result.
+doc_ids come first; rows that share a doc_id follow each other; a text of any
+length is one document in one frame, coded LANES blocks at a time; further
+columns of the input are not read; an empty table gives an empty result. Ids
+must be below 65535.
 """
 
 from __future__ import annotations
@@ -32,127 +35,176 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .bpe import WordCache
-from .common import shared_dir, table, texts
-
-BLOCK = 4096
-FRAME_IDS = 1024 * BLOCK
-MAGIC = b"LWT1"
-SLOTS = 1 << 12  # entries of a lane's prediction tables
-REFRESH = 256  # steps between refreshes of the order-0 counts
-ORDER0 = 4096  # their sum
-TOP = (1 << 56) - 1
-U = np.uint64
-
-
-class Mixer:
-    """The model of `lanes` blocks that are coded side by side."""
+from .bpe import Kept, byte_letters
+from .common import shared_dir, slices, table, texts
+
+BLOCK = 1024
+LANES = 8192  # blocks that are coded side by side
+FRAME_IDS = LANES * BLOCK
+BYTES = 16 << 20  # of texts that are encoded at once
+MAGIC = b"LWT2"
+SLOTS, SHIFT = 1 << 9, np.uint32(23)  # entries of a block's tables of orders 1 and 2, and what a 32-bit hash is shifted by to give one
+SPREAD = np.array([[2654435761], [2246822519]], np.uint32)
+#: Steps before which order 0 is counted anew.
+COUNTED = (16, 48, 128, 256, 384, 512, 768)
+U, TOP = np.uint64, (1 << 64) - 1
+NONE, LOW16, LOW32 = 65535, np.uint32(65535), np.uint64((1 << 32) - 1)
+
+#: Weights are kept as the ends of the shares of orders 2, 1 and 0 of 1 << 16, three fields of 20 bits in a number.
+#: A step moves them by 1 / 32 towards the order that held, but leaves each share 64 or more.
+#: States: the trusts (0 to 3) of order 2 and order 1, and whether both name the same id.
+STATES, TRUST, AGREE = 32, np.array([[1], [4]], np.uint16), np.uint16(16)
+RATE, FIELD, SLOW = 5, (1 << 20) - 1, 0x7FFF | 0x7FFF << 20 | 0x7FFF << 40
+PLACES = np.array([[0], [20], [40]])
+EVEN = 8192 | 12288 << 20 | 40960 << 40
+TOWARDS = np.array([sum((65536 - (4 - i) * 96 if i > kind else i * 96) >> RATE << 20 * (i - 1) for i in (1, 2, 3)) for kind in range(4)], np.int64)
+
+
+class Mixture:
+    """The adaptive model of `lanes` blocks that are coded side by side.
+
+    An id is drawn from a mixture of four distributions: what followed the last
+    two ids (order 2), what followed the last id (order 1), how often ids have
+    occurred in the block (order 0), and all ids alike. The weights are learned
+    for each block and each state of trust in orders 2 and 1; where these two
+    agree, they are one prediction with one weight.
+    """
 
     def __init__(self, lanes: int) -> None:
-        self.base = np.arange(lanes, dtype=np.int64) * SLOTS
-        self.ids = [np.full(lanes * SLOTS, 65535, np.int64) for _ in range(2)]  # what followed, by order 1 and 2
-        self.trust = [np.zeros(lanes * SLOTS, np.int64) for _ in range(2)]  # how often it was right in a row, 3 at most
-        self.hits = np.full((lanes * 16, 3), 2, np.int64)  # order 2, order 1, neither; by both trusts
-        self.ctx = np.arange(lanes, dtype=np.int64) * 16
-        self.counts = np.ones((2, lanes, 256), np.int64)
-        self.last = np.zeros((2, lanes), np.int64)
-
-    def predict(self, n: int) -> None:
-        """Predictions and step counts of the first `n` lanes."""
-        one, two = self.last[0, :n], self.last[1, :n]
-        self.slot = [self.base[:n] + ((one * 40503) >> 4 & SLOTS - 1), self.base[:n] + ((one * 40503 + two * 60493) >> 5 & SLOTS - 1)]
-        self.guess = [t[s] for t, s in zip(self.ids, self.slot, strict=True)]
-        self.sure = [t[s] for t, s in zip(self.trust, self.slot, strict=True)]
-        self.row = self.ctx[:n] + self.sure[1] * 4 + self.sure[0]
-        self.share = self.hits[self.row]
-
-    def learn(self, n: int, ids: np.ndarray, step: np.ndarray) -> None:
-        for k in range(2):
-            self.ids[k][self.slot[k]] = ids
-            self.trust[k][self.slot[k]] = np.where(self.guess[k] == ids, np.minimum(self.sure[k] + 1, 3), 0)
-        self.hits[self.row, step] += 24
+        self.lane = np.arange(lanes, dtype=np.int64)
+        self.after = np.full(2 * lanes * SLOTS, NONE, np.uint32)  # trust << 16 | the id that followed; orders 1 and 2
+        self.base = np.arange(2 * lanes, dtype=np.int64).reshape(2, lanes) * SLOTS
+        self.weights = np.full(lanes * STATES, EVEN, np.int64)
+        self.states = self.lane * STATES
+        self.last = np.zeros((2, lanes), np.uint32)
+        self.n = 0  # ids of each block that order 0 has counted
+
+    def count(self, ids: np.ndarray) -> None:
+        """Order 0 from the ids so far (a row for each block): for each occurrence, sorted, id, place and number of its id's occurrences."""
+        rows, self.n = ids.shape
+        keys = (self.lane[:rows, None] << 16).astype(np.uint32) | ids
+        keys.sort(axis=1)
+        keys = keys.ravel()
+        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        size = np.diff(first, append=len(keys))
+        self.keys = keys.take(first)
+        self.runs = (size << 32) | (first % self.n << 16) | (self.keys & LOW16)
+        self.size = size
+
+    def held(self) -> np.ndarray:
+        return self.runs.repeat(self.size)
+
+    def find(self, ids: np.ndarray) -> np.ndarray:
+        """The entry of order 0 of each id (a row for each block), or -1."""
+        keys = ((self.lane[: len(ids), None] << 16).astype(np.uint32) | ids).ravel()
+        at = np.searchsorted(self.keys, keys)
+        at[at == len(self.keys)] = 0
+        entry = self.runs.take(at)
+        entry[self.keys.take(at) != keys] = -1
+        return entry.reshape(ids.shape)
+
+    def predict(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of the first `n` blocks: the ids of orders 1 and 2, and where the weights of orders 2, 1 and 0 end."""
+        hashes = self.last[:, :n] * SPREAD
+        hashes[1] ^= hashes[0]
+        self.slot = self.base[:, :n] + (hashes >> SHIFT)
+        self.entry = self.after.take(self.slot).view(np.uint16).reshape(2, n, 2)
+        guess, trust = self.entry[:, :, 0], self.entry[:, :, 1]
+        self.state = self.states[:n] + (trust[0] + trust[1] + (guess[0] == guess[1]) * AGREE)
+        self.mix = self.weights.take(self.state)
+        return guess, (self.mix >> PLACES & FIELD).view(U)
+
+    def learn(self, n: int, ids: np.ndarray, kind: np.ndarray) -> None:
+        self.weights[self.state] = self.mix - (self.mix >> RATE & SLOW) + TOWARDS.take(kind)
+        new = np.empty((2, n, 2), np.uint16)
+        new[:, :, 0] = ids
+        np.multiply(np.minimum(self.entry[:, :, 1] + TRUST, TRUST * 3), self.entry[:, :, 0] == ids, out=new[:, :, 1])
+        self.after[self.slot] = new.view(np.uint32)[:, :, 0]
         self.last[1, :n] = self.last[0, :n]
         self.last[0, :n] = ids
 
-    def order0(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """(freq, cum) of both bytes, summing to ORDER0 in each lane."""
-        c = self.counts[:, :n]
-        freq = 1 + c * (ORDER0 - 256) // c.sum(axis=2, keepdims=True)
-        freq[:, :, 0] += ORDER0 - freq.sum(axis=2)
-        return freq, np.cumsum(freq, axis=2) - freq
+
+def chunks(longest: int) -> Iterator[tuple[int, int]]:
+    """The stretches of steps between two counts of order 0."""
+    at = [0, *(t for t in COUNTED if t < longest), longest]
+    return zip(at[:-1], at[1:], strict=True)
 
 
 def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
-    """Each block's ids as coded words; blocks must not be empty."""
+    """Each block's ids as coded 32-bit words; blocks must not be empty.
+
+    `low` and `width` are the interval of a range coder, 64 bits wide. A carry
+    goes to the word before and is resolved over all words at the end.
+    """
     order = sorted(range(len(blocks)), key=lambda i: -len(blocks[i]))
     sizes = np.array([len(blocks[i]) for i in order])
     lanes, longest = len(blocks), int(sizes[0])
-    ids = np.zeros((longest, lanes), np.int64)
+    ids = np.zeros((lanes, longest), np.uint16)
     for lane, i in enumerate(order):
-        ids[: len(blocks[i]), lane] = blocks[i]
-    model = Mixer(lanes)
+        ids[lane, : len(blocks[i])] = blocks[i]
+    model = Mixture(lanes)
     low, width = np.zeros(lanes, U), np.full(lanes, TOP, U)
-    out, at = np.zeros((lanes, 4 * longest + 16), "<u2"), np.zeros(lanes, np.int64)
-    missed: list[tuple[np.ndarray, np.ndarray]] = []
-
-    def put(where: np.ndarray | slice, cum: np.ndarray, freq: np.ndarray, total) -> None:
-        lo, r = low[where], width[where]
-        r = r // U(total) if np.isscalar(total) else r // total.astype(U)
-        lo = lo + r * cum.astype(U)
-        r = r * freq.astype(U)
-        rows = np.arange(lanes)[where]
-        while True:
-            settled = (lo ^ (lo + r)) < U(1 << 40)
-            short = ~settled & (r < U(1 << 24))
-            if short.any():
-                r[short] = (U(1 << 56) - lo[short]) & U((1 << 24) - 1)
-            go = np.flatnonzero(settled | short)
-            if not len(go):
-                break
-            lane = rows[go]
-            out[lane, at[lane]] = (lo[go] >> U(40)).astype(np.uint16)
-            at[lane] += 1
-            lo[go] = (lo[go] << U(16)) & U(TOP)
-            r[go] <<= U(16)
-        low[where], width[where] = lo, r
-
+    out, at = np.zeros((longest + 2, lanes), np.int64), np.zeros(lanes, np.int64)
+    ends = np.zeros((5, lanes), U)
     n = lanes
-    for t in range(longest):
-        while sizes[n - 1] <= t:
-            n -= 1
-        if t % REFRESH == 0:
-            for lane, bytes_ in missed:
-                np.add.at(model.counts, (0, lane, bytes_ >> 8), 16)
-                np.add.at(model.counts, (1, lane, bytes_ & 255), 16)
-            missed = []
-            freq, cum = model.order0(n)
-        x = ids[t, :n]
-        model.predict(n)
-        step = np.where(model.guess[1] == x, 0, np.where(model.guess[0] == x, 1, 2))
-        share = model.share
-        total = share.sum(axis=1)
-        put(slice(0, n), np.where(step == 0, 0, np.where(step == 1, share[:, 0], share[:, 0] + share[:, 1])), share[np.arange(n), step], total)
-        lane = np.flatnonzero(step == 2)
-        if len(lane):
-            y = x[lane]
-            for k, byte in ((0, y >> 8), (1, y & 255)):
-                put(lane, cum[k, lane, byte], freq[k, lane, byte], ORDER0)
-            missed.append((lane, y))
-        model.learn(n, x, step)
-    for lane in range(lanes):  # the rest of the interval's lower end
-        rest = int(low[lane])
-        for k in range(4):
-            out[lane, at[lane] + k] = (rest >> 40) & 65535
-            rest = (rest << 16) & TOP
+    for a, b in chunks(longest):
+        n = int(np.searchsorted(-sizes, -a, side="left"))
+        found = np.full((b - a, n), -1, np.int64)
+        if a:
+            model.count(ids[:n, :a])
+            found = np.ascontiguousarray(model.find(ids[:n, a:b]).T)
+        coming = np.ascontiguousarray(ids[:n, a:b].T)
+        other = 3 - (found >= 0).view(np.uint8)
+        for t in range(a, b):
+            while sizes[n - 1] <= t:
+                n -= 1
+            x, entry, w = coming[t - a, :n], found[t - a, :n], width[:n]
+            guess, shares = model.predict(n)
+            one, two = guess == x
+            kind = other[t - a, :n] * ~(one | two) + (one & ~two)
+            r = w >> U(16)
+            np.multiply(r, shares, out=ends[1:4, :n])
+            ends[4, :n] = w
+            spot = kind * np.int64(lanes) + model.lane[:n]
+            add = ends.ravel().take(spot)
+            w = ends.ravel().take(spot + lanes) - add
+            k = np.flatnonzero(kind == 2)
+            if len(k):
+                e = entry.take(k).view(np.uint16).reshape(-1, 4)
+                r = w.take(k) // U(model.n)
+                add[k] += r * e[:, 1]
+                w[k] = r * e[:, 2]
+            k = np.flatnonzero(kind == 3)
+            if len(k):
+                r = w.take(k) >> U(16)
+                add[k] += r * x.take(k)
+                w[k] = r
+            now = low[:n] + add
+            k = np.flatnonzero(now < add)
+            if len(k):
+                out[at.take(k) - 1, k] += 1
+            k = np.flatnonzero(w <= LOW32)
+            if len(k):
+                out[at.take(k), k] = now.take(k) >> U(32)
+                at[k] += 1
+                now[k] <<= U(32)
+                w[k] <<= U(32)
+            low[:n], width[:n] = now, w
+            model.learn(n, x, kind)
+    out[at, model.lane], out[at + 1, model.lane] = low >> U(32), low & LOW32
+    for t in range(int(at.max()) + 1, 0, -1):
+        out[t - 1] += out[t] >> 32
+    words = out.astype("<u4").T
     coded: list[bytes] = [b""] * lanes
     for lane, i in enumerate(order):
-        coded[i] = out[lane, : at[lane] + 4].tobytes()
+        coded[i] = words[lane, : at[lane] + 2].tobytes()
     return coded
 
 
@@ -161,113 +213,119 @@ def decode_blocks(coded: list[bytes], counts: list[int]) -> list[np.ndarray]:
     order = sorted(range(len(coded)), key=lambda i: -counts[i])
     sizes = np.array([counts[i] for i in order])
     lanes, longest = len(coded), int(sizes[0])
-    words = np.zeros((lanes, max(len(c) for c in coded) // 2 + 8), U)
+    words = np.zeros((max(longest, max(len(c) for c in coded) // 4) + 4, lanes), np.uint32)
     for lane, i in enumerate(order):
-        got = np.frombuffer(coded[i], "<u2")
-        words[lane, : len(got)] = got
-    model = Mixer(lanes)
-    low, width, code = np.zeros(lanes, U), np.full(lanes, TOP, U), np.zeros(lanes, U)
-    at = np.full(lanes, 4, np.int64)
-    # 56 bits are three words and a half: the window is kept 16 bits ahead.
-    code = (words[:, 0] << U(40)) | (words[:, 1] << U(24)) | (words[:, 2] << U(8)) | (words[:, 3] >> U(8))
-    half = words[:, 3] & U(255)
-    ids = np.zeros((longest, lanes), np.int64)
-    missed: list[tuple[np.ndarray, np.ndarray]] = []
-
-    def place(where, total) -> tuple[np.ndarray, np.ndarray]:
-        r = width[where] // (U(total) if np.isscalar(total) else total.astype(U))
-        return r, np.minimum(((code[where] - low[where]) & U(TOP)) // r, (U(total) if np.isscalar(total) else total.astype(U)) - U(1)).astype(np.int64)
-
-    def take(where, r: np.ndarray, cum: np.ndarray, freq: np.ndarray) -> None:
-        lo, c, h = low[where] + r * cum.astype(U), code[where], half[where]
-        r = r * freq.astype(U)
-        rows = np.arange(lanes)[where]
-        while True:
-            settled = (lo ^ (lo + r)) < U(1 << 40)
-            short = ~settled & (r < U(1 << 24))
-            if short.any():
-                r[short] = (U(1 << 56) - lo[short]) & U((1 << 24) - 1)
-            go = np.flatnonzero(settled | short)
-            if not len(go):
-                break
-            lane = rows[go]
-            word = words[lane, at[lane]]
-            at[lane] += 1
-            c[go] = ((c[go] << U(16)) & U(TOP)) | (h[go] << U(8)) | (word >> U(8))
-            h[go] = word & U(255)
-            lo[go] = (lo[go] << U(16)) & U(TOP)
-            r[go] <<= U(16)
-        low[where], width[where], code[where], half[where] = lo, r, c, h
-
+        got = np.frombuffer(coded[i], "<u4", len(coded[i]) // 4)
+        words[: len(got), lane] = got
+    model = Mixture(lanes)
+    width, code = np.full(lanes, TOP, U), words[0].astype(U) << U(32) | words[1]
+    at = np.full(lanes, 2, np.int64)
+    ids = np.zeros((lanes, longest), np.uint16)
+    ends = np.zeros((5, lanes), U)
     n = lanes
-    for t in range(longest):
-        while sizes[n - 1] <= t:
-            n -= 1
-        if t % REFRESH == 0:
-            for lane, bytes_ in missed:
-                np.add.at(model.counts, (0, lane, bytes_ >> 8), 16)
-                np.add.at(model.counts, (1, lane, bytes_ & 255), 16)
-            missed = []
-            freq, cum = model.order0(n)
-            which = np.repeat(np.tile(np.arange(256, dtype=np.uint8), 2 * n), freq.ravel()).reshape(2, n, ORDER0)
-        model.predict(n)
-        share = model.share
-        everything = slice(0, n)
-        r, spot = place(everything, share.sum(axis=1))
-        first, second = share[:, 0], share[:, 0] + share[:, 1]
-        step = (spot >= first).astype(np.int64) + (spot >= second)
-        take(everything, r, np.where(step == 0, 0, np.where(step == 1, first, second)), share[np.arange(n), step])
-        x = np.where(step == 0, model.guess[1], model.guess[0])
-        lane = np.flatnonzero(step == 2)
-        if len(lane):
-            y = np.zeros(len(lane), np.int64)
-            for k in range(2):
-                r, spot = place(lane, ORDER0)
-                byte = which[k, lane, spot].astype(np.int64)
-                take(lane, r, cum[k, lane, byte], freq[k, lane, byte])
-                y = y << 8 | byte
-            x[lane] = y
-            missed.append((lane, y))
-        ids[t, :n] = x
-        model.learn(n, x, step)
-    out: list[np.ndarray] = [np.zeros(0, np.int64)] * lanes
+    for a, b in chunks(longest):
+        n = int(np.searchsorted(-sizes, -a, side="left"))
+        rows = n
+        held = np.zeros(n, np.int64)
+        if a:
+            model.count(ids[:n, :a])
+            held = model.held()
+        made = np.zeros((b - a, n), np.uint16)
+        for t in range(a, b):
+            while sizes[n - 1] <= t:
+                n -= 1
+            w, c = width[:n], code[:n]
+            (g1, g2), shares = model.predict(n)
+            r = w >> U(16)
+            np.multiply(r, shares, out=ends[1:4, :n])
+            ends[4, :n] = w
+            kind = (c >= ends[1:4, :n]).sum(axis=0, dtype=np.uint8)
+            spot = kind * np.int64(lanes) + model.lane[:n]
+            low = ends.ravel().take(spot)
+            w = ends.ravel().take(spot + lanes) - low
+            c = c - low
+            x = g1 + (g2 - g1) * (kind == 0)
+            k = np.flatnonzero(kind == 2)
+            if len(k):
+                own, before = c.take(k), max(1, model.n)
+                r = w.take(k) // U(before)
+                e = held.take(k * before + np.minimum(own // np.maximum(r, U(1)), U(before - 1)).view(np.int64)).view(np.uint16).reshape(-1, 4)
+                x[k] = e[:, 0]
+                c[k] = own - r * e[:, 1]
+                w[k] = r * e[:, 2]
+            k = np.flatnonzero(kind == 3)
+            if len(k):
+                own, r = c.take(k), w.take(k) >> U(16)
+                y = np.minimum(own // np.maximum(r, U(1)), U(LOW16))
+                x[k] = y
+                c[k] = own - r * y
+                w[k] = r
+            k = np.flatnonzero(w <= LOW32)
+            if len(k):
+                spot = at.take(k)
+                c[k] = c.take(k) << U(32) | words[spot, k]
+                at[k] = spot + 1
+                w[k] <<= U(32)
+            width[:n], code[:n] = w, c
+            made[t - a, :n] = x
+            model.learn(n, x, kind)
+        ids[:rows, a:b] = made.T
+    out: list[np.ndarray] = [np.zeros(0, np.uint16)] * lanes
     for lane, i in enumerate(order):
-        out[i] = ids[: counts[i], lane]
+        out[i] = ids[lane, : counts[i]]
     return out
 
 
 def write_frame(start: int, doc_ids: list[int | None], sizes: list[int], ids: np.ndarray) -> bytes:
-    """A frame: header, documents, block table, blocks."""
+    """A frame: header, documents, block table, the checksum of all these, blocks. LANES blocks are coded at once."""
+    if len(ids) and int(ids.max()) >= NONE:
+        raise ValueError(f"ids must be below {NONE}")
     blocks = [ids[a : a + BLOCK] for a in range(0, len(ids), BLOCK)]
-    coded = encode_blocks(blocks)
+    coded = [c for a in range(0, len(blocks), LANES) for c in encode_blocks(blocks[a : a + LANES])]
     known = np.array([d is not None for d in doc_ids], np.uint8)
     heads = np.array([(len(b), crc32(b.astype("<u4").tobytes()), len(c)) for b, c in zip(blocks, coded, strict=True)], "<u4")
-    return b"".join([MAGIC, struct.pack("<qII", start, len(doc_ids), len(blocks)), np.array([d or 0 for d in doc_ids], "<i8").tobytes(), known.tobytes(), np.array(sizes, "<u4").tobytes(), heads.tobytes(), *coded])
+    head = b"".join([MAGIC, struct.pack("<qII", start, len(doc_ids), len(blocks)), np.array([d or 0 for d in doc_ids], "<i8").tobytes(), known.tobytes(), np.array(sizes, "<u4").tobytes(), heads.tobytes()])
+    return b"".join([head, struct.pack("<I", crc32(head)), *coded])
 
 
 def read_frame(body: bytes) -> tuple[int, list[int | None], np.ndarray, np.ndarray]:
-    """(start, doc_ids, sizes, ids) of a frame; raises ValueError if a block's checksum fails."""
-    if body[:4] != MAGIC:
+    """(start, doc_ids, sizes, ids) of a frame; raises ValueError if the checksum of the header or of a block fails."""
+    if body[:4] != MAGIC or len(body) < 24:
         raise ValueError("not a token frame")
     start, docs, blocks = struct.unpack_from("<qII", body, 4)
+    upto = 20 + 13 * docs + 12 * blocks
+    if len(body) < upto + 4 or struct.unpack_from("<I", body, upto)[0] != crc32(body[:upto]):
+        raise ValueError("the header is damaged")
     at = 20
     doc_ids, at = np.frombuffer(body, "<i8", docs, at), at + 8 * docs
     known, at = np.frombuffer(body, "u1", docs, at), at + docs
     sizes, at = np.frombuffer(body, "<u4", docs, at), at + 4 * docs
-    heads, at = np.frombuffer(body, "<u4", 3 * blocks, at).reshape(-1, 3), at + 12 * blocks
-    ends = at + np.cumsum(heads[:, 2].astype(np.int64))
+    heads = np.frombuffer(body, "<u4", 3 * blocks, at).reshape(-1, 3)
+    ends = upto + 4 + np.cumsum(heads[:, 2].astype(np.int64))
     coded = [body[e - int(n) : e] for e, n in zip(ends.tolist(), heads[:, 2], strict=True)]
-    found = decode_blocks(coded, heads[:, 0].tolist())
+    if any(len(c) < 8 or len(c) != n for c, n in zip(coded, heads[:, 2].tolist(), strict=True)):
+        raise ValueError("the frame is cut short")
+    found = [x for a in range(0, blocks, LANES) for x in decode_blocks(coded[a : a + LANES], heads[a : a + LANES, 0].tolist())]
     for nr, (block, head) in enumerate(zip(found, heads, strict=True)):
         if crc32(block.astype("<u4").tobytes()) != head[1]:
             raise ValueError(f"block {nr} is damaged")
-    return start, [int(d) if k else None for d, k in zip(doc_ids, known, strict=True)], sizes, np.concatenate(found).astype("<u4")
+    return start, [int(d) if k else None for d, k in zip(doc_ids, known, strict=True)], sizes, np.concatenate([np.zeros(0, np.uint16), *found]).astype("<u4")
 
 
 class ByteCoder:
-    """Whole texts to ids with a byte-level tokenizer file; pieces between the file's own cuts are encoded once and kept."""
-
-    ELSE = re.compile("[\x1c-\x1fƀ-\U0010ffff]")
+    """Whole texts to ids with a byte-level tokenizer file.
+
+    Texts of a batch are cut at single spaces into runs; each distinct run is
+    looked at once in the batch, and its pieces (between the file's own cuts) are
+    encoded by the library's model and kept.
+    """
+
+    #: Texts with these are left to the library: special tokens, control and far letters.
+    ELSE = re.compile("<\\||[\x1c-\x1fƀ-\U0010ffff]")
+    #: Runs with these, and empty ones, stand beside other white space: their text's pieces are found in the whole text.
+    JOINED = re.compile("^$|[\t\x0b-\r\x85\xa0]|^\n|\n$")
+    #: Most runs: a word, marks behind it, and perhaps a line feed with another word and marks.
+    PLAIN = re.compile("([A-Za-zªµºÀ-ÖØ-öø-ſ]+)(MARK*)(?:\n([A-Za-zªµºÀ-ÖØ-öø-ſ]+)(MARK*))?".replace("MARK", "[!-&(-/:;=-@[-`{-~¡-©«-±´¶-¸»¿×÷]"))
     #: The word pattern of byte-level files, for letters up to U+017F.
     PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-zªµºÀ-ÖØ-öø-ſ]+| ?[0-9²³¹¼½¾]+| ?[^\t-\r \x85\xa0A-Za-zªµºÀ-ÖØ-öø-ſ0-9²³¹¼½¾]+|[\t-\r \x85\xa0]+(?![^\t-\r \x85\xa0])|[\t-\r \x85\xa0]+")
 
@@ -275,16 +333,61 @@ class ByteCoder:
         self.rules = Tokenizer.from_file(path)
         self.rules.no_truncation()
         self.rules.no_padding()
-        self.cache = WordCache(lambda piece: self.whole(piece))
+        model, letters = self.rules.model, dict(enumerate(byte_letters()))
+        space = letters[32]
 
-    def whole(self, text: str) -> bytes:
-        return array("I", self.rules.encode(text, add_special_tokens=False).ids).tobytes()
+        def encode(piece: str) -> bytes:
+            plain = space + piece[1:] if piece[:1] == " " and piece[1:].isascii() and piece[1:].isalpha() else piece.encode().decode("latin-1").translate(letters)
+            return array("I", [t.id for t in model.tokenize(plain)]).tobytes()
+
+        self.pieces = Kept(encode, 450_000)
 
     def code(self, text: str) -> bytes:
-        if "<|" in text or self.ELSE.search(text) is not None:
-            return self.whole(text)
-        cache = self.cache
-        return b"".join([cache[p] for p in self.PIECES.findall(text)])
+        """One text's ids."""
+        if self.ELSE.search(text) is not None:
+            return array("I", self.rules.encode(text, add_special_tokens=False).ids).tobytes()
+        pieces = self.pieces
+        return b"".join([pieces[p] for p in self.PIECES.findall(text)])
+
+    def code_all(self, texts: pa.StringArray) -> Iterator[bytes]:
+        """The ids of each text."""
+        cut = pc.split_pattern(texts, " ")
+        runs = cut.flatten().dictionary_encode()
+        # Runs hold no spaces, so they can leave Arrow as one string.
+        names = pc.binary_join(pa.ListArray.from_arrays([0, len(runs.dictionary)], runs.dictionary), " ")[0].as_py().split(" ")
+        which = runs.indices.to_numpy(zero_copy_only=False).copy()
+        begin = cut.offsets.to_numpy()[:-1] - cut.offsets[0].as_py()
+        pieces, find = self.pieces, self.PIECES.findall
+        coded, odd, plain = [], [], self.PLAIN.fullmatch
+        for k, run in enumerate(names):
+            if run.isascii() and run.isalpha():
+                coded.append(pieces[" " + run])
+            elif (found := plain(run)) is not None:
+                word, marks, second, after = found.groups()
+                ids = pieces[" " + word] + pieces[marks] if marks else pieces[" " + word]
+                if second:
+                    ids += pieces["\n"] + pieces[second] + (pieces[after] if after else b"")
+                coded.append(ids)
+            elif self.JOINED.search(run) is not None or self.ELSE.search(run) is not None:
+                odd.append(k)
+                coded.append(b"")
+            else:
+                coded.append(b"".join([pieces[p] for p in find(" " + run)]))
+        alone = np.logical_or.reduceat(np.isin(which, odd), begin) if odd else np.zeros(len(texts), bool)
+        # The first run of a text has no space before it.
+        firsts = [names[k] for k in which[begin].tolist()]
+        which[begin] = np.arange(len(firsts)) + len(names)
+        coded += [b"" if skip else b"".join([pieces[p] for p in find(run)]) for run, skip in zip(firsts, alone.tolist(), strict=True)]
+        sizes = np.fromiter(map(len, coded), np.int32, len(coded)) // 4
+        pool, start = np.frombuffer(b"".join(coded), "<u4"), np.cumsum(sizes, dtype=np.int32) - sizes
+        own = sizes[which]
+        place = np.cumsum(own) - own
+        total = int(own.sum())
+        shift = (start[which] - place).astype(np.int32 if total < 1 << 30 else np.int64)
+        ids = pool.take(np.repeat(shift, own) + np.arange(total, dtype=shift.dtype))
+        ends = np.append(place, len(ids))[np.append(begin[1:], len(which))]
+        for k, (a, b) in enumerate(zip(place[begin].tolist(), ends.tolist(), strict=True)):
+            yield self.code(texts[k].as_py()) if alone[k] else ids[a:b].tobytes()
 
 
 @lru_cache(1)
@@ -307,9 +410,9 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, *, end_id: int = 2)
             body = write_frame(start, names, sizes, np.frombuffer(b"".join(parts), "<u4"))
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([frame], pa.int32()), pa.array([sum(sizes)], pa.int64()), pa.array([body], pa.binary())], names=["part", "frame", "n_ids", "body"])
 
-        for batch in given:
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                ids = coder.code(text) + end
+        for batch in (part for whole in given for part in slices(whole, "text", BYTES)):
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), coder.code_all(batch.column("text")), strict=True):
+                ids += end
                 if parts and held_ids + len(ids) // 4 > FRAME_IDS:
                     yield flush()
                     start, frame, held_ids, names, parts = start + held_ids, frame + 1, 0, [], []
@@ -319,8 +422,9 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, *, end_id: int = 2)
         if parts:
             yield flush()
 
-    ordered = texts(docs).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
-    ordered.mapInArrow(run, "part int, frame int, n_ids long, body binary").write.option("compression", "uncompressed").parquet(path)
+    # Rows that share a doc_id, or have none, are told apart by a hash, so that any number of them is dealt over partitions.
+    ordered = texts(docs).withColumn("_h", F.xxhash64("text")).repartitionByRange("doc_id", "_h").sortWithinPartitions("doc_id", "_h")
+    ordered.select("doc_id", "text").mapInArrow(run, "part int, frame int, n_ids long, body binary").write.option("compression", "uncompressed").parquet(path)
 
 
 def read_tokens(spark: SparkSession, path: str, *, with_ids: bool = False) -> DataFrame:
