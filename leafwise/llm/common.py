@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -23,14 +23,44 @@ def texts(docs: DataFrame, *more: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir; a temporary one where that is unset (tests)."""
+    """The folder the cluster names in spark.checkpoint.dir. Where it names none, only a local session gets one: its one machine sees every folder."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="spark-leafwise-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """`name`, longer by as many underscores as it takes to be no column of `df`."""
+    held = {c.lower() for c in df.columns}
+    while name.lower() in held:
+        name += "_"
+    return name
+
+
+def marked(docs: DataFrame, found: DataFrame, how: str) -> DataFrame:
+    """`docs` joined with `found` (doc_id, t, and further columns that `docs` does not have) on doc_id, null or not, and the text's hash t.
+
+    Rows that share a doc_id and differ in text are so told apart. The smaller
+    side is hashed; texts are not sorted.
+    """
+    right = found.withColumnsRenamed({"doc_id": "found_doc_id", "t": "found_t"}).alias("found").hint("shuffle_hash")
+    left = docs.alias("docs")
+    met = left.join(right, F.col("docs.doc_id").eqNullSafe(F.col("found.found_doc_id")) & (text_hash(F.col("docs.text")) == F.col("found.found_t")), how)
+    if how in ("left_semi", "left_anti"):
+        return met
+    return met.select("docs.*", *[F.col(f"found.{c}") for c in found.columns if c not in ("doc_id", "t")])
+
+
+def text_hash(text) -> Column:
+    """A 64-bit hash of a text (null: of the empty one)."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def spool(df: DataFrame, *, codec: str = "zstd") -> DataFrame:
     """Write `df` as Parquet into the shared folder and read it again.
 

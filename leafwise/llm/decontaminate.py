@@ -13,8 +13,11 @@ Equal passages are aligned once.
 
 Defined results: null texts and null items count as empty and match nothing;
 items with fewer words than a seed are sought as one n-gram of all their words;
-repeated documents give repeated rows; repeated items match each on its own;
-empty tables give an empty result.
+a document is a doc_id, null or not, with a text: rows that repeat both give one
+result, rows that share a doc_id and differ in text each their own; repeated
+items are one item, items that share an item_id and differ in text match each on
+its own; null item_ids are not sought; texts of any length are read whole;
+further columns are not read; empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import spool, table, texts
+from .common import spool, table, text_hash, texts
 
 #: Words of a seed: a copy with every fourth word changed still holds some.
 SEED = 3
@@ -38,7 +41,7 @@ BLOCK = 5_000
 WORD = re.compile(r"[^\W_]+(?:['’-][^\W_]+)*")
 MATCH, DIFFER, GAP = 2, -1, -1
 
-_PASSAGES = "doc_id long, row long, item_id long, passage string"
+_PASSAGES = "doc_id long, t long, item_id long, passage string"
 
 
 def words_of(text: str) -> list[str]:
@@ -111,13 +114,18 @@ class Seeds:
 
 
 def passages(docs: DataFrame, items: list[tuple[int, str]], share: float) -> DataFrame:
-    """doc_id, row, item_id, passage: each stretch of a text that hits an item and has at least `share` of its words."""
+    """doc_id, t, item_id, passage: each stretch of a text that hits an item and has at least `share` of its words.
+
+    Where hits chain over more than six times the item's words, the stretch is cut
+    into pieces of that length, each half over the next: an alignment of a positive
+    score covers three times the item's words at most, so it lies whole in one.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seeds = Seeds(items)
         for batch in batches:
             out: list[tuple] = []
-            for doc_id, row, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "row", "text")), strict=True):
+            for doc_id, t, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "t", "text")), strict=True):
                 w = words_of(text)
                 known = seeds.known(w)
                 by_item: dict[int, list[tuple[int, int]]] = {}
@@ -133,42 +141,48 @@ def passages(docs: DataFrame, items: list[tuple[int, str]], share: float) -> Dat
                             # the item may begin as far before any hit, and end as far behind it, as the hit lies in it
                             a = max(0, min(at - place for at, place in found[begin:k]) - n // 4 - 2)
                             b = min(len(w), max(at - place for at, place in found[begin:k]) + n + n // 4 + 2)
-                            if seeds.shared(nr, known[a:b]) >= share * n:
-                                out.append((doc_id, row, items[nr][0], " ".join(w[a:b])))
+                            for c in range(a, max(a + 1, b - 3 * n), 3 * n):
+                                d = min(b, c + 6 * n)
+                                if seeds.shared(nr, known[c:d]) >= share * n:
+                                    out.append((doc_id, t, items[nr][0], " ".join(w[c:d])))
                             begin = k
             columns = zip(*out, strict=True) if out else [[]] * 4
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "row", "item_id", "passage"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "t", "item_id", "passage"])
 
     return docs.mapInArrow(run, _PASSAGES)
 
 
 def align(item: list[str], passage: list[str]) -> tuple[int, int, int]:
-    """Best local alignment of two word lists: (score, matched words, aligned words of the item)."""
+    """Best local alignment of two word lists: (score, matched words, aligned words of the item).
+
+    One row of scores is held at a time, with the matched words and the beginning
+    of the alignment that ends in each place.
+    """
     ids: dict[str, int] = {}
-    a = np.array([ids.setdefault(w, len(ids)) for w in item])
-    b = np.array([ids.setdefault(w, len(ids)) for w in passage])
-    if not len(a) or not len(b):
-        return 0, 0, 0
-    steps = np.arange(len(b) + 1) * -GAP
-    score = np.zeros((len(a) + 1, len(b) + 1), np.int64)
-    for i in range(1, len(a) + 1):
-        best = np.maximum(np.where(b == a[i - 1], MATCH, DIFFER) + score[i - 1, :-1], score[i - 1, 1:] + GAP)
-        row = np.maximum(np.concatenate([[0], best]), 0)
-        # gaps along the row: the running maximum of score plus the way back
-        score[i] = np.maximum.accumulate(row + steps) - steps
-    i, j = np.unravel_index(int(score.argmax()), score.shape)
-    top, end, same = int(score[i, j]), int(i), 0
-    while score[i, j] > 0:
-        s = score[i, j]
-        if s == score[i - 1, j - 1] + (MATCH if a[i - 1] == b[j - 1] else DIFFER):
-            same += int(a[i - 1] == b[j - 1])
-            i, j = i - 1, j - 1
-        elif s == score[i - 1, j] + GAP:
-            i -= 1
-        else:
-            j -= 1
-    return top, same, end - int(i)
+    a = [ids.setdefault(w, len(ids)) for w in item]
+    b = np.array([ids.setdefault(w, len(ids)) for w in passage], np.int64)
+    places = np.arange(len(b) + 1, dtype=np.int64)
+    score, same, begin = (np.zeros(len(b) + 1, np.int64) for _ in range(3))
+    best = (0, 0, 0)
+    for i, word in enumerate(a, 1):
+        hit = b == word
+        over, up = score[:-1] + np.where(hit, MATCH, DIFFER), score[1:] + GAP
+        across = over >= up
+        now, matched, began = np.zeros(len(b) + 1, np.int64), np.zeros(len(b) + 1, np.int64), np.full(len(b) + 1, i, np.int64)
+        now[1:] = np.where(across, over, up)
+        matched[1:] = np.where(across, same[:-1] + hit, same[1:])
+        began[1:] = np.where(across, np.where(score[:-1] > 0, begin[:-1], i - 1), begin[1:])
+        low = now <= 0
+        now[low], matched[low], began[low] = 0, 0, i
+        # gaps along the row: the running maximum of score plus the way back, with its place
+        reach = np.maximum.accumulate((now - GAP * places) << 32 | places)
+        spot = reach & ((1 << 32) - 1)
+        score, same, begin = (reach >> 32) + GAP * places, matched[spot], began[spot]
+        j = int(score.argmax())
+        if score[j] > best[0]:
+            best = int(score[j]), int(same[j]), i - int(begin[j])
+    return best
 
 
 def blocks_of(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
@@ -185,21 +199,21 @@ def blocks_of(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, *, least: float = 0.5, least_words: int = 10) -> DataFrame:
-    """doc_id, item_id, score, matched, n_words: documents that hold a copy of an item.
+    """doc_id, t (the text's hash), item_id, score, matched, n_words: documents that hold a copy of an item.
 
     `score`: alignment score over the best possible one of the item. A pair is
     returned if the score is `least` or more, or if `least_words` words that make
     up 40 % of the item match within the alignment and 80 % of the aligned words do.
     """
     spark = docs.sparkSession
-    rows = texts(docs).withColumn("row", F.monotonically_increasing_id())
+    rows = texts(docs).withColumn("t", text_hash(F.col("text")))
     made = None
     for items in blocks_of(benchmark):
         # A score of `least` takes that share of matched words, the other bound 40 %.
         part = _judge(passages(rows, items, min(least, 0.4)), items, least, least_words)
         made = part if made is None else made.unionByName(part)
     if made is None:
-        return spark.createDataFrame([], "doc_id long, row long, item_id long, score double, matched long, n_words long")
+        return spark.createDataFrame([], "doc_id long, t long, item_id long, score double, matched long, n_words long")
     return made
 
 
@@ -228,8 +242,11 @@ def _judge(found: DataFrame, items: list[tuple[int, str]], least: float, least_w
             columns = zip(*out, strict=True) if out else [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=["item_id", "passage", "score", "matched", "n_words"])
 
-    good = asked.repartition(F.xxhash64("passage")).mapInArrow(run, "item_id long, passage string, score double, matched long, n_words long")
-    return found.select("doc_id", "row", "item_id", "passage").join(good, ["item_id", "passage"]).groupBy("doc_id", "row", "item_id").agg(F.max(F.struct("score", "matched", "n_words")).alias("m")).select("doc_id", "row", "item_id", "m.*")
+    # Few bytes but much work: the number of tasks is set, so that they are not put together by size.
+    tasks = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    good = asked.repartition(tasks, "passage").mapInArrow(run, "item_id long, passage string, score double, matched long, n_words long")
+    met = found.join(good, ["item_id", "passage"])
+    return met.groupBy("doc_id", "t", "item_id").agg(F.max(F.struct("score", "matched", "n_words")).alias("m")).select("doc_id", "t", "item_id", "m.*")
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

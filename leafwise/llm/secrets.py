@@ -11,20 +11,24 @@ A scope is at least as wide as two bins, so each bin lies inside it or sticks
 out on one side only, where the first or last start decides exactly.
 
 Defined results: a null text counts as empty; empty texts have no spans and the
-hash of no bytes; texts of any length are scanned whole; repeated rows give
-repeated rows; further columns of the input are not read.
+hash of no bytes; texts and values of any length are scanned whole; repeated
+rows give repeated rows; null and repeated doc_ids are as good as others, as
+rows are told apart; an empty table gives an empty result; further columns of
+the input are not read, and redact() returns them as they are.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Callable
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import spool, table, texts
+from .common import marked, spool, table, text_hash, texts, unused
 
 #: The base patterns and their least lengths.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -34,9 +38,9 @@ LEAST = {"assign": 8, "access": 16, "hex": 32}
 
 #: Weak parts by role: they count only beside the other roles.
 WEAK = {
-    "id": re.compile(r"\b(?:user|username|login|account|client_?id|access_?key_?id)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9._@-]{3,128})", re.IGNORECASE | re.ASCII),
-    "pass": re.compile(r"\b(?:pass|pwd|passphrase|password|passwd|secret|token|api_?key|private_?key|credential)[\"']?\x20*[:=]\x20*[\"']?([^\s\"',;]{4,256})", re.IGNORECASE | re.ASCII),
-    "host": re.compile(r"\b(?:(?:host|server|endpoint|url|uri)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9._:/-]{4,256}|(?:https?|ftp|ssh|postgres|mysql|mongodb|redis|amqp)://[A-Za-z0-9._:@-]{3,256})", re.IGNORECASE | re.ASCII),
+    "id": re.compile(r"(?<![A-Za-z0-9])(?:user|username|login|account|client_?id|access_?key_?id)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9._@-]{3,})", re.IGNORECASE | re.ASCII),
+    "pass": re.compile(r"(?<![A-Za-z0-9])(?:pass|pwd|passphrase|password|passwd|secret|token|api_?key|private_?key|credential)[\"']?\x20*[:=]\x20*[\"']?([^\s\"',;]{4,})", re.IGNORECASE | re.ASCII),
+    "host": re.compile(r"(?<![A-Za-z0-9])(?:(?:host|server|endpoint|url|uri)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9._:/-]{4,}|(?:https?|ftp|ssh|postgres|mysql|mongodb|redis|amqp)://[A-Za-z0-9._:@-]{3,})", re.IGNORECASE | re.ASCII),
 }
 #: The role that a base kind plays for its neighbours.
 ROLE = {"assign": "pass", "access": "id", "hex": "pass"}
@@ -59,11 +63,16 @@ def weak_spans(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, i
     if "=" not in text and ":" not in text:
         return []
     found = [(m.start(), m.end(), role) for role, pattern in WEAK.items() for m in pattern.finditer(text)]
-    return [s for s in found if not any(a < s[1] and s[0] < b for a, b, _ in base)] if base else found
+    if not base:
+        return found
+    # Both lists are swept once: of the base spans that start before a part ends, the one that reaches furthest decides.
+    starts = [a for a, _, _ in base]
+    reach = list(accumulate((b for _, b, _ in base), max))
+    return [s for s in found if not (k := bisect_left(starts, s[1])) or reach[k - 1] <= s[0]]
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """doc_id, row, _text, base and weak: what single texts show. `row` tells rows apart that share a doc_id, `_text` is the text's hash."""
+    """doc_id, row, t, base and weak: what single texts show. `row` tells rows apart that share a doc_id, `t` is the text's hash."""
     span = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64()), ("kind", pa.string())]))
 
     def run(batches):
@@ -73,10 +82,10 @@ def scan(docs: DataFrame) -> DataFrame:
                 b = base_spans(text)
                 base.append([dict(zip(("start", "stop", "kind"), s, strict=True)) for s in b])
                 weak.append([dict(zip(("start", "stop", "kind"), s, strict=True)) for s in weak_spans(text, b)])
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "row", "_text")), pa.array(base, span), pa.array(weak, span)], names=["doc_id", "row", "_text", "base", "weak"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "row", "t")), pa.array(base, span), pa.array(weak, span)], names=["doc_id", "row", "t", "base", "weak"])
 
     kind = "array<struct<start:bigint,stop:bigint,kind:string>>"
-    return texts(docs).select("*", F.monotonically_increasing_id().alias("row"), F.xxhash64("text").alias("_text")).mapInArrow(run, f"doc_id long, row long, _text long, base {kind}, weak {kind}")
+    return texts(docs).select("*", F.monotonically_increasing_id().alias("row"), text_hash(F.col("text")).alias("t")).mapInArrow(run, f"doc_id long, row long, t long, base {kind}, weak {kind}")
 
 
 def link_parts(found: DataFrame, *, scope: int, need: int) -> DataFrame:
@@ -113,19 +122,17 @@ def find_secrets(docs: DataFrame, *, scope: int = 400, need: int = 2) -> DataFra
 def redact(docs: DataFrame, *, scope: int = 400, need: int = 2, mark: str = "[SECRET]") -> DataFrame:
     """`docs` with every span found replaced by `mark`; n_chars follows the text where there is such a column.
 
-    Spans are found and cut in one pass per text; the links come from the same
-    interval rule, applied to the parts of the one document.
+    Spans go to their rows by doc_id (null or not) and the text's hash, so rows
+    that share a doc_id are cut each by its own text.
     """
-    # Rows that share a doc_id may differ in text: the text's hash goes with the key.
-    keys = [F.col("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_text")]
-    spans = find_secrets(docs, scope=scope, need=need).select("doc_id", "_text", F.concat("base", "linked").alias("_spans")).filter(F.size("_spans") > 0).dropDuplicates(["doc_id", "_text"])
-    docs_keyed = docs.select("*", keys[1])
+    held = unused(docs, "spans")
+    spans = find_secrets(docs, scope=scope, need=need).select("doc_id", "t", F.concat("base", "linked").alias(held)).filter(F.size(held) > 0).dropDuplicates(["doc_id", "t"])
 
     @F.pandas_udf("string")
     def cut(text, found):
         return type(text)([_cut(t, s, mark) for t, s in zip(text, found, strict=True)])
 
-    out = docs_keyed.join(spans.hint("shuffle_hash"), ["doc_id", "_text"], "left").withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(cut("text", "_spans")))
+    out = marked(docs, spans, "left").withColumn("text", F.when(F.col(held).isNull(), F.col("text")).otherwise(cut("text", held)))
     out = out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
     return out.select(*docs.columns)
 

@@ -49,9 +49,10 @@ def test_near_copies_equal_brute_force(spark, monkeypatch):
     want = least_of(ids, links)
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     got = {r.doc_id: r.component_id for r in shingles.near_copies(docs).collect()}
-    assert got.pop(None) is None and got == want
+    copied = next(i for i, t in rows if i is not None and t == dict(rows)[None])
+    assert got.pop(None) == want[copied] and got == want
     kept = [r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()]
-    assert sorted(kept, key=str) == sorted([i for i in ids if want[i] == i] + [None], key=str)
+    assert sorted(kept) == [i for i in ids if want[i] == i]
     assert shingles.near_copies(docs.filter("false")).count() == 0
 
 
@@ -83,3 +84,44 @@ def test_nested_and_rewrapped_quotes(spark):
     df = spark.createDataFrame([(c, t, "user", x) for c, t, x in rows], "conv_id long, turn long, role string, text string")
     got = {(r.conv_id, r.turn): (r.reply_to, r.thread_depth) for r in quotes.reply_order(df).collect()}
     assert got == {(1, 0): (None, 0), (1, 1): (0, 1), (1, 2): (1, 2), (1, 3): (None, 0), (1, 4): (3, 1), (1, 5): (0, 1), (2, 0): (None, 0), (2, 1): (0, 1)}
+
+
+STAGE_SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, found string, spans string, t long, _text string"
+
+
+def stage_rows(rows):
+    return [(i, t, "en", "web", len(t or ""), "clash", "clash", 7, "clash") for i, t in rows]
+
+
+def test_stages_tell_rows_apart(spark, monkeypatch, tmp_path):
+    """Null and repeated doc_ids, repeated rows, empty texts, clashing columns, empty tables in every stage."""
+    import corpus_pipeline
+
+    rnd = random.Random(7)
+    noise = lambda n: " ".join("".join(rnd.choice("abcdefghijklm") for _ in range(6)) for _ in range(n))
+    item, one, two, three = noise(30), noise(60), noise(70), noise(50)
+    secret = "pass: " + "x9" * 165 + "\nuser: bob\nhost: db.example.com"
+    leak = f"{noise(20)} {item} {noise(20)}"
+    rows = [(None, leak), (1, f"{leak} end"), (1, two), (2, one), (2, three), (2, three), (None, one), (None, two + " x"), (3, secret), (None, f"{secret} more"), (4, ""), (5, None), (None, "")]
+    sf_dir = str(tmp_path)
+    spark.createDataFrame([(7, item), (8, None), (None, item)], "item_id long, text string").write.parquet(f"{sf_dir}/benchmark.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{sf_dir}/labels.parquet")
+    docs = spark.createDataFrame(stage_rows(rows), STAGE_SCHEMA).repartition(3)
+    named = lambda df: sorted(((r.doc_id, r.text) for r in df.collect()), key=str)
+    assert named(corpus_pipeline.quality(spark, docs, sf_dir)) == sorted(rows, key=str)
+    # copies: `leak` and its longer form, `three` twice, `one` without an id, `two` and its longer form without an id, the secrets, the empty texts
+    want = [(1, f"{leak} end"), (1, two), (2, one), (2, three), (3, secret), (4, "")]
+    kept = corpus_pipeline.near_duplicates(spark, docs, sf_dir)
+    assert kept.columns == docs.columns
+    got = named(kept)
+    assert sorted(set(got), key=str) == got and set(want) - {(3, secret)} <= set(got) and (None, one) not in got and (None, "") not in got and (5, None) not in got
+    clean = named(corpus_pipeline.decontaminate(spark, docs, sf_dir))
+    assert clean == sorted((r for r in rows if item not in (r[1] or "")), key=str)
+    cut = corpus_pipeline.secrets(spark, docs, sf_dir)
+    assert cut.columns == docs.columns
+    texts = named(cut)
+    assert len(texts) == len(rows) and not any("x9" in (t or "") or "bob" in (t or "") for _, t in texts)
+    assert {t for _, t in texts} >= {one, two, three, "", None}
+    assert corpus_pipeline.encode(spark, docs, sf_dir).count() == len(rows)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.filter("false"), sf_dir).count() == 0
