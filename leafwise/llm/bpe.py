@@ -36,7 +36,7 @@ from .common import map_texts, table, texts
 #: Stands for the end-of-word mark inside words; no byte maps to it.
 END = "\ue000"
 #: Words, runs of words and token pairs that a Python worker keeps, half of them as an older generation.
-WORDS, RUNS, PAIRS = 360_000, 240_000, 400_000
+WORDS, RUNS, PAIRS = 300_000, 120_000, 200_000
 
 
 def byte_letters() -> list[str]:
@@ -190,43 +190,37 @@ class TextCoder:
         self.encoder = PrefixEncoder(spec)
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.cut = re.compile("(" + "|".join(re.escape(t) for t in self.special) + ")")
-        words = Kept(lambda w: self.shape(self.encoder.encode(w)), WORDS // 2)
-        self.plain = Kept(lambda run: self.join([words[w] for w in self.WORDS.findall(run)]), RUNS // 2)
-        self.lettered = Kept(lambda w: self.shape(self.encoder.encode_letters(w)), RUNS // 2)
-
-    def shape(self, ids: list[int]) -> tuple[bytes, str]:
-        piece = self.encoder.piece
-        return array("I", ids).tobytes(), " ".join([piece[i] for i in ids])
-
-    @staticmethod
-    def join(parts: list[tuple[bytes, str]]) -> tuple[bytes, str]:
-        return parts[0] if len(parts) == 1 else (b"".join([p[0] for p in parts]), " ".join([p[1] for p in parts]))
-
-    def part(self, text: str) -> list[tuple[bytes, str]]:
+        words = Kept(lambda w: array("I", self.encoder.encode(w)).tobytes(), WORDS // 2)
+        self.plain = Kept(lambda run: b"".join([words[w] for w in self.WORDS.findall(run)]), RUNS // 2)
+        self.lettered = Kept(lambda w: array("I", self.encoder.encode_letters(w)).tobytes(), RUNS // 4)
+        #: The text of each id; ids that no entry has stand for no text.
+        self.texts = [""] * (max([*self.encoder.piece, *self.special.values()]) + 1)
+        for text, i in [*((t, i) for i, t in self.encoder.piece.items()), *self.special.items()]:
+            self.texts[i] = text
+
+    def part(self, text: str) -> list[bytes]:
         if self.ELSE.search(text) is None:
-            cache = self.plain
-            return [cache[run] for run in text.lower().split()]
+            return list(map(self.plain.__getitem__, text.lower().split()))
         words = self.rules.pre_tokenizer.pre_tokenize_str(self.rules.normalizer.normalize_str(text))
         return [self.lettered[w] for w, _ in words]
 
-    def code(self, text: str) -> list[tuple[bytes, str]]:
-        """(ids as little-endian bytes, decoded text) of each word; joined by nothing and by a space they are the whole."""
+    def code(self, text: str) -> bytes:
+        """A text's ids as little-endian bytes."""
         if "<|" not in text:
-            return self.part(text)
-        out: list[tuple[bytes, str]] = []
+            return b"".join(self.part(text))
+        out: list[bytes] = []
         for part in self.cut.split(text):
             if part in self.special:
-                out.append((np.array([self.special[part]], "<u4").tobytes(), part))
+                out.append(np.array([self.special[part]], "<u4").tobytes())
             else:
                 out += self.part(part)
-        return out
+        return b"".join(out)
 
     def ids(self, text: str) -> np.ndarray:
-        return np.frombuffer(b"".join([p[0] for p in self.code(text)]), "<u4")
+        return np.frombuffer(self.code(text), "<u4")
 
     def decode(self, ids: np.ndarray) -> str:
-        special = {i: t for t, i in self.special.items()}
-        return " ".join(special.get(i) or self.encoder.piece[i] for i in map(int, ids))
+        return " ".join(map(self.texts.__getitem__, ids.tolist()))
 
 
 @lru_cache(1)
@@ -247,9 +241,8 @@ def bpe_encode(docs: DataFrame, tokenizer: str, *, with_ids: bool = False) -> Da
         coder = coder_of(tokenizer)
 
         def judge(text: str) -> tuple:
-            parts = coder.code(text)
-            ids = b"".join([p[0] for p in parts])
-            back = " ".join([p[1] for p in parts]).encode()
+            ids = coder.code(text)
+            back = coder.decode(np.frombuffer(ids, "<u4")).encode()
             row = len(ids) // 4, sha256(ids).hexdigest(), sha256(back).hexdigest()
             return (*row, ids) if with_ids else row
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -61,17 +62,55 @@ def text_hash(text) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
+#: Folders that the innermost scratch() has to take away; None outside of any.
+_written: list[str] | None = None
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Take away a folder of any store that Spark can open."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What spool() writes within is taken away at the end: nothing that is read later may come from it."""
+    global _written
+    outer, _written = _written, []
+    try:
+        yield
+    finally:
+        for path in _written:
+            remove(spark, path)
+        _written = outer
+
+
 def spool(df: DataFrame, *, codec: str = "zstd") -> DataFrame:
     """Write `df` as Parquet into the shared folder and read it again.
 
     This cuts the lineage: a lost executor costs the re-reading of files that
-    every machine sees, never the work before.
+    every machine sees, never the work before. Files stay until the scratch()
+    around ends; outside of one they stay, as the caller may read them at any time.
     """
     path = f"{shared_dir(df.sparkSession)}/leafwise-{uuid.uuid4().hex}"
+    if _written is not None:
+        _written.append(path)
     df.write.option("compression", codec).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def kept_from(spark: SparkSession, made: Callable[[], DataFrame]) -> DataFrame:
+    """The rows of made(), written; all that it spooled on the way is taken away."""
+    path = f"{shared_dir(spark)}/leafwise-{uuid.uuid4().hex}"
+    with scratch(spark):
+        out = made()
+        out.write.option("compression", "zstd").parquet(path)
+    if _written is not None:
+        _written.append(path)
+    return spark.read.schema(out.schema).parquet(path)
+
+
 def slices(batch: pa.RecordBatch, column: str, limit: int) -> Iterator[pa.RecordBatch]:
     """Cut a batch into runs of rows of about `limit` bytes in `column` (a longer row stays whole)."""
     sizes = pc.binary_length(batch.column(column)).fill_null(0).to_pylist()

@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import spool, table
+from .common import kept_from, spool, table
 from .graph import components
 
 K, WIDE = 12, 48
@@ -379,7 +379,7 @@ def near_duplicates(vectors: DataFrame, *, threshold: float = 0.93, recall: floa
 
 def op3_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links, component and decision of every vector."""
-    return near_duplicates(table(spark, sf_dir, "embeddings"))
+    return kept_from(spark, lambda: near_duplicates(table(spark, sf_dir, "embeddings")))
 
 
 ORACLE = """

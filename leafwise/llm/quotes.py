@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import spool, table
+from .common import kept_from, spool, table
 
 MARKS = r"^[ \t]*((?:>[ \t]?)+)"
 #: Introductions such as "On Monday, X wrote:" directly before a quote belong to it.
@@ -128,4 +128,4 @@ def reply_order(messages: DataFrame) -> DataFrame:
 
 def op8_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every message without quotes, with what it answers and its place in the threads."""
-    return reply_order(table(spark, sf_dir, "conversations"))
+    return kept_from(spark, lambda: reply_order(table(spark, sf_dir, "conversations")))

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import map_texts, spool, table, texts
+from .common import kept_from, map_texts, spool, table, texts
 from .graph import components
 
 SEGMENTS = 4
@@ -127,5 +127,5 @@ def simhash_components(docs: DataFrame, *, words: int = 3, most: int = 2) -> Dat
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
-    found = simhash_components(table(spark, sf_dir, "documents"))
+    found = kept_from(spark, lambda: simhash_components(table(spark, sf_dir, "documents")))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -11,13 +11,17 @@ enough to bring equal anchors together; nothing is lost.
    also holds a few sampled suffixes' leading bytes.
 2. The samples give splitters; anchors' suffixes are range partitioned by their
    leading bytes (then by the gram's hash, so one frequent beginning is spread).
-   Six bytes an anchor are sent; a range sorts its share and answers with one bit
-   for each: whether the gram occurs again.
+   There is a range for each RANGE_BYTES of text, whatever the corpus. Six bytes
+   an anchor are sent; a range sorts its share and answers with one bit for each:
+   whether the gram occurs again. This only rules suffixes out.
 3. Anchors that do send the text of their windows, one for each distinct text in
    a batch and from its smallest doc_id; further documents with the same text in
-   the batch are known to be covered. A range sorts the windows by their hash and
-   then by doc_id and compares neighbours; equal windows never lie on two sides
-   of a splitter, as the splitters cut between grams.
+   the batch are known to be covered. A range sorts the suffixes that begin at
+   its anchors by multikey quicksort, eight bytes at a time, and compares
+   neighbours byte by byte; so it does with what stands before the anchors, read
+   backwards. Two windows are equal if their anchors stand in one run of equal
+   suffixes and in one run of equal beginnings. Suffixes of equal anchors never
+   lie on two sides of a splitter, as the splitters cut between grams.
 4. Covered stretches go back to their batch, where bytes are taken out.
 
 The bucketed table is read where it lies in steps 3 and 4: texts are never
@@ -25,7 +29,8 @@ shuffled. Frequent passages are summed up in each batch before they are sent.
 
 Defined results: a null text counts as empty; texts shorter than MATCH keep all
 bytes; rows that share a doc_id do not cover each other; a null doc_id counts as
-the largest; repeated rows give repeated rows; an empty table gives an empty one.
+the largest; repeated rows give repeated rows; texts of any length are read
+whole; further columns are not read; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -40,7 +45,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, table, texts
+from .common import kept_from, slices, table, texts
 
 MATCH = 50
 GRAM = 24
@@ -48,6 +53,8 @@ SPAN = MATCH - GRAM + 1  # grams in a window
 WIDE = MATCH + SPAN - 1  # bytes of the windows of one anchor, at most
 BATCH_BYTES = 6 << 20
 CHUNK = 1 << 19
+#: Bytes of text for each range of suffixes.
+RANGE_BYTES = 32 << 20
 SAMPLES = 64
 A, B, C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
@@ -92,12 +99,12 @@ class Batch:
         self.ends = ends
         self.starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
 
-    def anchors(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(first window, number of windows, gram's hash, order key) of each run of windows that share an anchor."""
+    def anchors(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(first window, number of windows, gram's hash, order key, anchor's place from the first window) of each run of windows that share an anchor."""
         size = len(self.buf) - MATCH + 1
         empty = np.zeros(0, np.int64)
         if size <= 0:
-            return empty, empty, empty.astype(np.uint64), empty.astype(np.uint64)
+            return empty, empty, empty.astype(np.uint64), empty.astype(np.uint64), empty
         long = self.ends - self.starts >= MATCH
         edge = np.zeros(len(self.buf) + 1, np.int8)
         edge[self.starts[long]] += 1
@@ -120,7 +127,7 @@ class Batch:
             count = np.diff(np.concatenate([first, [len(at)]]))
             keep = at[first] >= 0
             first, count, at = first[keep], count[keep], at[first[keep]]
-            made.append((first + c, count, h[at], lead_key(eight(part)[at], h[at])))
+            made.append((first + c, count, h[at], lead_key(eight(part)[at], h[at]), at - first))
         return tuple(np.concatenate(x) for x in zip(*made, strict=True))
 
     def context(self, first: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -139,15 +146,68 @@ def row_hash(rows: np.ndarray, count: np.ndarray) -> np.ndarray:
     return h
 
 
-def window_hashes(rows: np.ndarray) -> np.ndarray:
-    """Hash of the MATCH bytes from each of the SPAN places of each row."""
-    wide = rows.astype(np.uint64) + np.uint64(1)
-    wide *= A  # spreads bytes over all bits
-    so_far = np.zeros((rows.shape[0], WIDE + 1), np.uint64)
-    for i in range(WIDE):
-        so_far[:, i + 1] = so_far[:, i] * C + (wide[:, i] ^ (wide[:, i] >> np.uint64(32)))
-    power = np.uint64(pow(int(C), MATCH, 1 << 64))
-    return so_far[:, MATCH:] - so_far[:, : WIDE - MATCH + 1] * power
+def suffix_order(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, lcp) of byte strings of one width: their sorted order, and the bytes that each shares with the one before it.
+
+    A multikey quicksort, vectorised: all strings are sorted by eight bytes, then
+    those that are still equal by the next eight, and so on.
+    """
+    n, width = rows.shape
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    words = np.zeros((n, -(-width // 8) * 8), np.uint8)
+    words[:, :width] = rows
+    words = words.view(">u8").astype(np.uint64)
+    order = np.argsort(words[:, 0], kind="stable")
+    new = np.concatenate([[True], words[order[1:], 0] != words[order[:-1], 0]])
+    for k in range(1, words.shape[1]):
+        tied = ~new
+        tied[:-1] |= ~new[1:]
+        at = np.flatnonzero(tied)
+        if not len(at):
+            break
+        own = words[order[at], k]
+        run = np.cumsum(new)[at]
+        inner = np.lexsort((own, run))
+        order[at] = order[at[inner]]
+        own = own[inner]
+        new[at[1:]] |= (own[1:] != own[:-1]) & ~new[at[1:]]
+    lcp = np.zeros(n, np.int64)
+    for c in range(0, n, 1 << 16):
+        begin, stop = max(1, c), min(n, c + (1 << 16))
+        differ = rows[order[begin:stop]] != rows[order[begin - 1 : stop - 1]]
+        lcp[begin:stop] = np.where(differ.any(axis=1), differ.argmax(axis=1), width)
+    return order, lcp
+
+
+def covered_windows(rows: np.ndarray, lead: np.ndarray, count: np.ndarray, docs: np.ndarray) -> np.ndarray:
+    """A row for each anchor, a column for each of its windows: whether a smaller document has the same window.
+
+    `rows`: the bytes of an anchor's windows, zero behind their end; `lead`: where
+    in them the anchor begins; `count`: its number of windows.
+    """
+    n = len(rows)
+    padded = np.concatenate([rows, np.zeros((n, MATCH), np.uint8)], axis=1)
+    take = lambda places: np.take_along_axis(padded, places, axis=1)
+    after = take(lead[:, None] + np.arange(MATCH))
+    back = lead[:, None] - 1 - np.arange(SPAN - 1)
+    before = np.where(back >= 0, take(np.maximum(back, 0)), 0)
+    (order_a, lcp_a), (order_b, lcp_b) = suffix_order(after), suffix_order(before)
+    run = np.zeros((2, n), np.int64)
+    out = np.zeros((n, SPAN), bool)
+    for o in range(SPAN):  # windows with o bytes before the anchor
+        own = np.flatnonzero((o <= lead) & (o > lead - count))
+        if len(own) < 2:
+            continue
+        run[0, order_a] = np.cumsum(lcp_a < MATCH - o)
+        run[1, order_b] = np.cumsum(lcp_b < o)
+        key = run[0, own] * (n + 1) + run[1, own]
+        order = np.lexsort((docs[own], key))
+        new = np.concatenate([[True], key[order][1:] != key[order][:-1]])
+        least = docs[own][order][np.flatnonzero(new)][np.cumsum(new) - 1]
+        late = own[order][docs[own][order] > least]
+        out[late, lead[late] - o] = True
+    return out
 
 
 def batches_of(docs: DataFrame) -> DataFrame:
@@ -208,12 +268,19 @@ def _by_range(keys: np.ndarray, splitters: np.ndarray) -> Iterator[tuple[int, np
 
 
 def remove_repeats(docs: DataFrame, *, ranges: int | None = None) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (binary) of every document."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (binary) of every document. The table of batches stays, as the result reads it."""
+    return repeats(docs, ranges=ranges)[0]
+
+
+def repeats(docs: DataFrame, *, ranges: int | None = None) -> tuple[DataFrame, str]:
+    """remove_repeats(), and the name of its table of batches, which may be dropped when the result has been written."""
     spark = docs.sparkSession
-    ranges = ranges or max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    buckets = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
     name = f"leafwise_{uuid.uuid4().hex}"
-    batches_of(docs).write.option("compression", "uncompressed").bucketBy(ranges, "batch").saveAsTable(name, format="parquet")
+    batches_of(docs).write.option("compression", "uncompressed").bucketBy(buckets, "batch").saveAsTable(name, format="parquet")
     batches = spark.table(name)
+    size = batches.agg(F.sum(F.element_at("ends", -1)).alias("n")).first()["n"] or 0
+    ranges = ranges or max(buckets, int(size // RANGE_BYTES))
     marks = [i / ranges for i in range(1, ranges)]
     found = batches.select(F.explode("samples").alias("s")).agg(F.percentile_approx("s", marks, 10_000).alias("cuts")).first()["cuts"]
     splitters = np.array(sorted(found or []), np.uint64)
@@ -221,7 +288,7 @@ def remove_repeats(docs: DataFrame, *, ranges: int | None = None) -> DataFrame:
 
     def ask(given: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts_, _, _, _ in _opened(given):
-            _, _, h, keys = texts_.anchors()
+            _, _, h, keys, _ = texts_.anchors()
             yield _rows([(r, batch, h[part].view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()) for r, part in _by_range(keys, splitters)], "range batch body", kinds)
 
     def answer(given: pa.Table) -> pa.Table:
@@ -241,7 +308,7 @@ def remove_repeats(docs: DataFrame, *, ranges: int | None = None) -> DataFrame:
 
     def send(given: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts_, ids, replies, _ in _opened(given):
-            first, count, _, keys = texts_.anchors()
+            first, count, _, keys, lead = texts_.anchors()
             bits = {r["range"]: r["body"] for r in replies}
             out = []
             for r, part in _by_range(keys, splitters):
@@ -249,7 +316,7 @@ def remove_repeats(docs: DataFrame, *, ranges: int | None = None) -> DataFrame:
                 part = part[flags]
                 if not len(part):
                     continue
-                s, n = first[part], count[part]
+                s, n, at = first[part], count[part], lead[part]
                 place = np.searchsorted(texts_.ends, s, side="right")
                 rows = texts_.context(s, n)
                 kind = row_hash(rows, n)
@@ -262,7 +329,7 @@ def remove_repeats(docs: DataFrame, *, ranges: int | None = None) -> DataFrame:
                 if not mine.all():
                     out.append((r, -1 - batch, pack(place[~mine].astype("<i4"), off[~mine], (off + n + MATCH - 1)[~mine])))
                 m, keep = int(mine.sum()), np.arange(80) < (n + MATCH - 1)[:, None]
-                out.append((r, batch, pack(np.array([m], "<i8"), ids[place][mine], off[mine], place[mine].astype("<i4"), n[mine].astype(np.uint8), rows[mine][keep[mine]])))
+                out.append((r, batch, pack(np.array([m], "<i8"), ids[place][mine], off[mine], place[mine].astype("<i4"), n[mine].astype(np.uint8), at[mine].astype(np.uint8), rows[mine][keep[mine]])))
             yield _rows(out, "range batch body", kinds)
 
     def judge(given: pa.Table) -> pa.Table:
@@ -274,30 +341,18 @@ def remove_repeats(docs: DataFrame, *, ranges: int | None = None) -> DataFrame:
             raw = unpack(body)
             m = int(np.frombuffer(raw, "<i8", 1)[0])
             at, parts = 8, []
-            for kind, width in (("<i8", 8), ("<i8", 8), ("<i4", 4), ("u1", 1)):
+            for kind, width in (("<i8", 8), ("<i8", 8), ("<i4", 4), ("u1", 1), ("u1", 1)):
                 parts.append(np.frombuffer(raw, kind, m, at))
                 at += width * m
             held.append((batch, *parts, np.frombuffer(raw, np.uint8, offset=at)))
         if held:
-            ids, off, place, n = (np.concatenate([x[k] for x in held]) for k in (1, 2, 3, 4))
+            ids, off, place, n, lead = (np.concatenate([x[k] for x in held]) for k in range(1, 6))
             lengths = n.astype(np.int64)
-            total = int(lengths.sum())
-            h = np.zeros(total, np.uint64)
             where = np.concatenate([[0], np.cumsum(lengths)])
-            body = np.concatenate([x[5] for x in held])
-            begin = np.concatenate([[0], np.cumsum(lengths + MATCH - 1)])
-            for a in range(0, len(n), 1 << 15):
-                b = min(len(n), a + (1 << 15))
-                rows = np.zeros((b - a, WIDE), np.uint8)
-                rows[np.arange(WIDE) < (lengths[a:b] + MATCH - 1)[:, None]] = body[begin[a] : begin[b]]
-                h[where[a] : where[b]] = window_hashes(rows)[np.arange(SPAN) < lengths[a:b][:, None]]
+            rows = np.zeros((len(n), WIDE), np.uint8)
+            rows[np.arange(WIDE) < (lengths + MATCH - 1)[:, None]] = np.concatenate([x[6] for x in held])
             owner = np.repeat(np.arange(len(n)), lengths)
-            doc = ids[owner]
-            order = np.lexsort((doc, h))
-            new = np.concatenate([[True], h[order][1:] != h[order][:-1]])
-            least = doc[order][np.flatnonzero(new)][np.cumsum(new) - 1]
-            covered = np.zeros(total, bool)
-            covered[order] = doc[order] > least
+            covered = covered_windows(rows, lead.astype(np.int64), lengths, ids)[np.arange(SPAN) < lengths[:, None]]
             begins = covered & ~(np.concatenate([[False], covered[:-1]]) & np.concatenate([[False], owner[1:] == owner[:-1]]))
             stops = covered & ~(np.concatenate([covered[1:], [False]]) & np.concatenate([owner[1:] == owner[:-1], [False]]))
             i, j = np.flatnonzero(begins), np.flatnonzero(stops)
@@ -340,9 +395,12 @@ def remove_repeats(docs: DataFrame, *, ranges: int | None = None) -> DataFrame:
     again = asked.groupBy("range").applyInArrow(answer, schema)
     sent = with_replies(again).mapInArrow(send, schema)
     covered = sent.groupBy("range").applyInArrow(judge, "batch long, body binary")
-    return with_replies(covered).mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return with_replies(covered).mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"), name
 
 
 def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of every document without the strings of 50 bytes that earlier documents hold."""
-    return remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+    found, batches = repeats(table(spark, sf_dir, "documents"))
+    out = kept_from(spark, lambda: found.drop("kept"))
+    spark.sql(f"DROP TABLE {batches}")
+    return out

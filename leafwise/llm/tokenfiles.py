@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from .bpe import Kept, byte_letters
-from .common import shared_dir, slices, table, texts
+from .common import kept_from, remove, shared_dir, slices, table, texts
 
 BLOCK = 1024
 LANES = 8192  # blocks that are coded side by side
@@ -454,4 +454,6 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     path = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
     write_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), path)
-    return read_tokens(spark, path)
+    out = kept_from(spark, lambda: read_tokens(spark, path))
+    remove(spark, path)
+    return out

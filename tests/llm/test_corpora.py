@@ -40,6 +40,23 @@ def test_substrings(spark, monkeypatch):
     assert got == brute_removal(rows)
 
 
+def test_suffix_order():
+    rng = np.random.default_rng(3)
+    rows = np.concatenate([rng.integers(97, 99, (300, 19)), np.repeat(rng.integers(97, 99, (5, 19)), 9, axis=0)]).astype(np.uint8)
+    order, lcp = substrings.suffix_order(rows)
+    texts = [bytes(r) for r in rows]
+    assert [texts[i] for i in order] == sorted(texts)
+    for k in range(1, len(order)):
+        a, b = texts[order[k - 1]], texts[order[k]]
+        assert lcp[k] == next((i for i in range(19) if a[i] != b[i]), 19)
+
+
+def test_substrings_null_ids(spark):
+    rows = [(None, "z" * 70), (None, "z" * 70 + "end"), (5, "z" * 60), (2**62, "q" * 55 + "z" * 55)]
+    got = {(r.doc_id, r.n_bytes): r.n_removed for r in substrings.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(5, 60): 0, (2**62, 110): 55, (None, 70): 70, (None, 73): 70}
+
+
 def test_substrings_empty(spark):
     assert substrings.remove_repeats(spark.createDataFrame([], "doc_id long, text string"), ranges=2).count() == 0
 
