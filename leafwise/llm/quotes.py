@@ -12,13 +12,21 @@ to the latest that holds one of its runs; that is a running maximum over
 A message answers the message that most lines of its lowest linked level lead to
 (the latest on a tie): what it quotes itself is at level one, and deeper levels
 are quotes in that quote, which count only where no lower level leads anywhere.
-The conversation is rebuilt from the messages without quotes, ordered by threads.
+A message that quotes nothing known answers nothing: it begins a thread.
+
+The conversation is rebuilt from the messages without quotes, in reply order: a
+message is followed by its answers, each with all answers to it, by turn. Each
+message's follower in that order is found over its first answer, its next
+sibling, or the next sibling of the nearest message above it that has one; its
+place is its distance from the end. Both are pointers that double each round.
 
 Defined results: null texts count as empty; messages without a quote keep their
 text, but for white space at the ends; a message of quotes alone has an empty
 body; a quote without an original stays out of the body and links to nothing;
 rows with null conv_id or turn are returned with no links; repeated rows are
-told apart and give repeated rows; an empty table gives an empty result.
+told apart and give repeated rows, and messages that share a turn share a place;
+on a tie the latest original is answered; texts of any length are read whole;
+further columns are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -111,19 +119,56 @@ def threads(answers: DataFrame, *, rounds: int = 40) -> DataFrame:
     raise RuntimeError(f"threads did not settle in {rounds} rounds")
 
 
+def places(answers: DataFrame, *, rounds: int = 40) -> DataFrame:
+    """conv_id, turn, place: where each message of a thread stands in its reply order, from 0.
+
+    `answers`: conv_id, turn, quoted_turn, one row per message that answers one.
+    """
+    links = spool(answers.select("conv_id", "turn", F.col("quoted_turn").alias("up")).dropDuplicates(["conv_id", "turn"]))
+    siblings = W.partitionBy("conv_id", "up").orderBy("turn")
+    below = links.withColumn("beside", F.lead("turn").over(siblings))
+    tops = links.select("conv_id", F.col("up").alias("turn")).distinct().join(links, ["conv_id", "turn"], "left_anti")
+    nodes = spool(below.unionByName(tops.select("conv_id", "turn", F.lit(None).cast("long").alias("up"), F.lit(None).cast("long").alias("beside"))))
+    first = links.groupBy("conv_id", F.col("up").alias("turn")).agg(F.min("turn").alias("child"))
+    # Where to go on after all answers below: the next sibling, else that of the message above, and so on; `up` is null when that is settled.
+    at = spool(nodes.select("conv_id", "turn", F.when(F.col("beside").isNull(), F.col("up")).alias("up"), F.col("beside").alias("on")))
+    for _ in range(rounds):
+        if at.filter("up IS NOT NULL").isEmpty():
+            break
+        over = at.select("conv_id", F.col("turn").alias("up"), F.col("up").alias("further"), F.col("on").alias("found"))
+        met = at.join(over, ["conv_id", "up"], "left")
+        at = spool(met.select("conv_id", "turn", F.col("further").alias("up"), F.coalesce("on", "found").alias("on")))
+    else:
+        raise RuntimeError(f"reply order did not settle in {rounds} rounds")
+    follow = at.join(first, ["conv_id", "turn"], "left").select("conv_id", "turn", F.coalesce("child", "on").alias("on"))
+    left = spool(follow.withColumn("n", F.col("on").isNotNull().cast("long")))
+    for _ in range(rounds):
+        if left.filter("on IS NOT NULL").isEmpty():
+            break
+        over = left.select("conv_id", F.col("turn").alias("on"), F.col("on").alias("further"), F.col("n").alias("more"))
+        left = spool(left.join(over, ["conv_id", "on"], "left").select("conv_id", "turn", F.col("further").alias("on"), (F.col("n") + F.coalesce("more", F.lit(0))).alias("n")))
+    else:
+        raise RuntimeError(f"reply order did not settle in {rounds} rounds")
+    roots = threads(answers).select("conv_id", "turn", "root").unionByName(tops.select("conv_id", "turn", F.col("turn").alias("root")))
+    whole = left.select("conv_id", F.col("turn").alias("root"), F.col("n").alias("all"))
+    return left.join(roots, ["conv_id", "turn"]).join(whole, ["conv_id", "root"]).select("conv_id", "turn", (F.col("all") - F.col("n")).alias("place"))
+
+
 def reply_order(messages: DataFrame) -> DataFrame:
-    """conv_id, turn, role, body, quote_depth, reply_to, n_quoted, thread_root, thread_depth.
+    """conv_id, turn, role, body, quote_depth, reply_to, n_quoted, thread_root, thread_depth, place.
 
-    Sorted by conv_id, thread_root, turn, the messages of a conversation stand in
-    reply order: a thread follows the message that began it, answers follow what
-    they answer.
+    Sorted by conv_id, thread_root, place, the messages of a conversation stand in
+    reply order.
     """
     rows = spool(parsed(messages))
     links = spool(quote_links(rows))
     placed = rows.select("id", "conv_id", "turn").join(links, "id")
-    roots = threads(placed.groupBy("conv_id", "turn").agg(F.max_by("quoted_turn", F.struct("n_lines", "quoted_turn")).alias("quoted_turn")))
-    out = rows.join(links, "id", "left").join(roots, ["conv_id", "turn"], "left")
-    return out.select("conv_id", "turn", "role", "body", F.greatest("marks", F.lit(0)).alias("quote_depth"), F.col("quoted_turn").alias("reply_to"), F.coalesce("n_lines", F.lit(0)).cast("long").alias("n_quoted"), F.coalesce("root", "turn").alias("thread_root"), F.coalesce("depth", F.lit(0)).alias("thread_depth"))
+    answers = spool(placed.groupBy("conv_id", "turn").agg(F.max_by("quoted_turn", F.struct("n_lines", "quoted_turn")).alias("quoted_turn")))
+    out = rows.join(links, "id", "left").join(threads(answers), ["conv_id", "turn"], "left").join(places(answers), ["conv_id", "turn"], "left")
+    return out.select(
+        "conv_id", "turn", "role", "body", F.greatest("marks", F.lit(0)).alias("quote_depth"), F.col("quoted_turn").alias("reply_to"), F.coalesce("n_lines", F.lit(0)).cast("long").alias("n_quoted"),
+        F.coalesce("root", "turn").alias("thread_root"), F.coalesce("depth", F.lit(0)).alias("thread_depth"), F.coalesce("place", F.lit(0)).alias("place"),
+    )
 
 
 def op8_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:

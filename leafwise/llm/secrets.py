@@ -5,10 +5,11 @@ plain secret, an endpoint) mean nothing alone: an interval join over the
 document gives each weak part the scope around it, and the part is reported
 only if the scope holds complementary parts.
 
-The join is linear. Parts are summed up to the first and last start of each role
-in each bin of a document; a weak part looks at the bins that its scope touches.
-A scope is at least as wide as two bins, so each bin lies inside it or sticks
-out on one side only, where the first or last start decides exactly.
+The join is linear. Parts are summed up to the first start and the last end of
+each role in each bin of a document that they lie in; a weak part looks at the
+bins that its scope touches. A scope is at least as wide as two bins, so each bin
+lies inside it or sticks out on one side only, where the first start or the last
+end decides exactly.
 
 Defined results: a null text counts as empty; empty texts have no spans and the
 hash of no bytes; texts and values of any length are scanned whole; repeated
@@ -89,21 +90,22 @@ def scan(docs: DataFrame) -> DataFrame:
 
 
 def link_parts(found: DataFrame, *, scope: int, need: int) -> DataFrame:
-    """row, linked: the weak parts with parts of at least `need` other roles that start within `scope` code points.
+    """row, linked: the weak parts with parts of at least `need` other roles no more than `scope` code points away, from end to start.
 
-    Only documents with weak parts take part. Bins are `scope` wide, scopes twice that.
+    Only documents with weak parts take part. Bins are `scope` wide, scopes twice that or more.
     """
     found = found.filter(F.size("weak") > 0)
     role = F.create_map(*[F.lit(x) for pair in ROLE.items() for x in pair])
     weak = found.select("row", F.explode("weak").alias("s")).select("row", "s.start", "s.stop", F.col("s.kind").alias("role"))
     strong = found.select("row", F.explode("base").alias("s")).select("row", "s.start", "s.stop", role[F.col("s.kind")].alias("role"))
     bin_of: Callable[[Column], Column] = lambda c: F.floor(c / scope)
-    parts = weak.unionByName(strong).groupBy("row", bin_of(F.col("start")).alias("bin"), "role").agg(F.min("start").alias("first"), F.max("start").alias("last"))
-    around = weak.withColumn("bin", F.explode(F.sequence(bin_of(F.col("start") - scope), bin_of(F.col("start") + scope))))
+    lies_in = F.explode(F.sequence(bin_of(F.col("start")), bin_of(F.col("stop") - 1)))
+    parts = weak.unionByName(strong).withColumn("bin", lies_in).groupBy("row", "bin", "role").agg(F.min("start").alias("first"), F.max("stop").alias("last"))
+    around = weak.withColumn("bin", F.explode(F.sequence(bin_of(F.col("start") - scope), bin_of(F.col("stop") + scope))))
     near = (
         around.alias("w")
         .join(parts.alias("p"), (F.col("w.row") == F.col("p.row")) & (F.col("w.bin") == F.col("p.bin")) & (F.col("w.role") != F.col("p.role"))
-              & (F.col("p.last") >= F.col("w.start") - scope) & (F.col("p.first") <= F.col("w.start") + scope))
+              & (F.col("p.last") >= F.col("w.start") - scope) & (F.col("p.first") <= F.col("w.stop") + scope))
         .groupBy("w.row", "w.start", "w.stop", "w.role").agg(F.count_distinct("p.role").alias("others"))
     )
     return near.filter(F.col("others") >= need).groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "stop", F.concat(F.lit("weak_"), "role").alias("kind")))).alias("linked"))

@@ -1,0 +1,108 @@
+"""Nulls, empty and long texts, ties, repeats, empty tables and clashing columns, operator by operator."""
+
+import random
+from zlib import crc32
+
+import numpy as np
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+
+from leafwise.llm import bpe, decontaminate, quality, secrets, simhash, tokenfiles, urls
+
+WORD, BYTE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
+ROWS = [(1, "a text"), (1, "another"), (1, "a text"), (None, "a text"), (None, None), (2, ""), (3, "word " * 30_000)]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    names = ("t", "row", "n_tokens", "start", "part", "frame", "body", "fp", "h", "spans", "base", "label", "score", "x", "passage", "item_id")
+    return spark.createDataFrame(ROWS, "doc_id long, text string").withColumns({n: F.lit("clash") for n in names}).repartition(3)
+
+
+def test_bpe(spark, docs):
+    got = bpe.bpe_encode(docs, WORD).collect()
+    assert sorted((str(r.doc_id), r.n_tokens) for r in got) == sorted((str(i), len((t or "").split())) for i, t in ROWS)
+    assert bpe.bpe_encode(docs.filter("false"), WORD).count() == 0
+
+
+def test_token_files(spark, docs, tmp_path, monkeypatch):
+    monkeypatch.setattr(tokenfiles, "FRAME_IDS", 50)
+    path = f"file://{tmp_path}/tokens"
+    tokenfiles.write_tokens(docs, BYTE, path)
+    got = sorted((tuple(r) for r in tokenfiles.read_tokens(spark, path, with_ids=True).collect()), key=lambda r: r[1])
+    assert [r[0] for r in got][:2] == [None, None] and [r[0] for r in got][2:] == [1, 1, 1, 2, 3]
+    place = 0
+    for _, start, n, crc, ids in got:
+        assert (start, n, crc) == (place, len(ids) // 4, crc32(bytes(ids)))
+        place += n
+    assert min(r[2] for r in got) == 1 and got[-1][2] > 30_000
+    empty = f"file://{tmp_path}/empty"
+    tokenfiles.write_tokens(docs.filter("false"), BYTE, empty)
+    assert tokenfiles.read_tokens(spark, empty).count() == 0
+
+
+def test_token_header_damage():
+    body = tokenfiles.write_frame(3, [None, 7], [4, 1], np.arange(5, dtype="<u4"))
+    for at in (5, 21, 40, 50):
+        with pytest.raises(ValueError, match="header"):
+            tokenfiles.read_frame(body[:at] + bytes([body[at] ^ 1]) + body[at + 1 :])
+    with pytest.raises(ValueError, match="below"):
+        tokenfiles.write_frame(0, [1], [1], np.array([65535], "<u4"))
+
+
+def test_secrets(spark, docs):
+    long = "pass: " + "k" * 700 + "\nDB_USER=ann\nDB_HOST=db.example"
+    rows = [(None, long), (None, "token = abcdefgh1"), (1, "plain"), (1, long), (2, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({n: F.lit("clash") for n in ("_text", "spans", "_spans", "t", "found")})
+    clean = secrets.redact(df)
+    assert clean.columns == df.columns
+    assert sorted(str(r.text) for r in clean.collect()) == sorted(["[SECRET]\nDB_[SECRET]\nDB_[SECRET]", "[SECRET]", "plain", "[SECRET]\nDB_[SECRET]\nDB_[SECRET]", "None"])
+    assert secrets.find_secrets(docs).count() == len(ROWS)
+    assert secrets.find_secrets(docs.filter("false")).count() == 0 and secrets.redact(df.filter("false")).count() == 0
+
+
+def test_parts_of_a_long_text_are_swept():
+    text = "user: bob1 password=abcdefgh1 " * 20_000
+    base = secrets.base_spans(text)
+    assert len(base) == 20_000 and len(secrets.weak_spans(text, base)) == 20_000
+
+
+def test_quality(spark, docs):
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 0), (3, 0, 1)], "doc_id long, quality int, toxic int").withColumn("text", F.lit("clash"))
+    got = quality.quality_scores(docs, labels.drop("text")).collect()
+    assert len(got) == len(ROWS) and all(0 <= r.score <= 1 for r in got)
+    assert len({r.score for r in got if r.doc_id is None}) <= 2
+    assert quality.quality_scores(docs.filter("false"), labels.drop("text")).count() == 0
+
+
+def test_fingerprints(spark, docs):
+    got = {(r.doc_id, r.component_id) for r in simhash.simhash_components(docs).collect()}
+    assert got == {(1, 1), (None, None), (2, 2), (3, 3)}
+
+
+def test_decontamination(spark):
+    rnd = random.Random(4)
+    noise = lambda n: " ".join("".join(rnd.choice("abcdefghijkl") for _ in range(6)) for _ in range(n))
+    item = noise(25)
+    rows = [(1, f"{noise(9)} {item}"), (1, noise(30)), (1, f"{item} {item}"), (None, item), (2, ""), (3, None), (4, f"{noise(60_000)} {item} {noise(60_000)}"), (4, noise(40))]
+    rows += [rows[0]]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({n: F.lit("clash") for n in ("t", "row", "item_id", "passage", "score")})
+    bench = spark.createDataFrame([(7, item), (7, item), (8, ""), (9, None), (None, item)], "item_id long, text string").withColumn("doc_id", F.lit("clash"))
+    got = sorted(((r.doc_id, r.item_id, r.score) for r in decontaminate.contaminated(df, bench).collect()), key=str)
+    assert got == sorted([(1, 7, 1.0), (1, 7, 1.0), (None, 7, 1.0), (4, 7, 1.0)], key=str)  # two texts of 1
+    assert decontaminate.contaminated(df.filter("false"), bench).count() == 0
+
+
+def test_chained_hits_are_cut_into_pieces(spark):
+    item = "one two three four five six seven eight nine ten eleven twelve"
+    text = " ".join(f"{item} gap{i}" for i in range(3000))
+    found = decontaminate.contaminated(spark.createDataFrame([(1, text)], "doc_id long, text string"), spark.createDataFrame([(5, item)], "item_id long, text string")).collect()
+    assert [(r.doc_id, r.score) for r in found] == [(1, 1.0)]
+
+
+def test_urls(spark):
+    rules = spark.sql("SELECT * FROM VALUES " + ", ".join(map(str, urls.RULES)) + " AS r(verdict, host, path)")
+    pages = spark.createDataFrame([(None, "http://x.net/es/1"), (1, None), (1, "http://x.net/es/1"), (1, "http://x.net/es/1"), (2, "http://a.com/" + "p" * 20_000)], "page_id long, url string").withColumns({n: F.lit("clash") for n in ("key", "rule", "verdict", "path", "host")})
+    got = sorted(((r.page_id, r.rule) for r in urls.filter_urls(pages, rules).collect()), key=str)
+    assert got == sorted([(None, "net/es/"), (1, None), (1, "net/es/"), (1, "net/es/"), (2, "com/")], key=str)

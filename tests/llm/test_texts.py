@@ -107,14 +107,14 @@ def test_secrets_base_and_links(spark):
 
 def test_links_equal_brute_force(spark):
     rnd = random.Random(2)
-    parts = ["user: ann%d ", "host: h%d.example ", "pwd: abc%d ", "password=abcdefgh%d ", "lorem ipsum %d " * 8]
+    parts = ["pwd: " + "k" * 150 + "%d ", "user: ann%d ", "host: h%d.example ", "pwd: abc%d ", "password=abcdefgh%d ", "lorem ipsum %d " * 8]
     rows = [(i, "".join(rnd.choice(parts).replace("%d", str(rnd.randint(0, 99))) for _ in range(rnd.randint(0, 30)))) for i in range(60)]
     got = {r.doc_id: sorted((s.start, s.kind) for s in r.linked) for r in secrets.find_secrets(docs_of(spark, rows), scope=90, need=2).collect()}
     for d, t in rows:
         base = secrets.base_spans(t)
         weak = secrets.weak_spans(t, base)
         every = weak + [(a, b, secrets.ROLE[k]) for a, b, k in base]
-        want = [(a, f"weak_{r}") for a, _, r in weak if len({q for s, _, q in every if q != r and abs(s - a) <= 90}) >= 2]
+        want = [(a, f"weak_{r}") for a, b, r in weak if len({q for s, e, q in every if q != r and s <= b + 90 and e >= a - 90}) >= 2]
         assert got[d] == sorted(want)
 
 

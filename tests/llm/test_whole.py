@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from leafwise.llm import decontaminate, quotes, shingles
 
 
@@ -125,3 +127,45 @@ def test_stages_tell_rows_apart(spark, monkeypatch, tmp_path):
     assert corpus_pipeline.encode(spark, docs, sf_dir).count() == len(rows)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.filter("false"), sf_dir).count() == 0
+
+
+def test_reply_order_equals_brute_force(spark):
+    """Random conversations whose messages quote earlier ones, nested and rewrapped, against a plain parser and tree walk."""
+    rnd = random.Random(11)
+    word = lambda: "".join(rnd.choice("abcdefghijklmnop") for _ in range(7))
+    rows, want = [], {}
+    for conv in range(6):
+        own, up = {}, {}
+        for turn in range(25):
+            own[turn] = [" ".join(word() for _ in range(6)) for _ in range(3)]
+            if turn and rnd.random() < 0.8:
+                up[turn] = rnd.randrange(turn)
+            lines = []
+            if turn in up:
+                above = up[turn]
+                lines = [f"> {x}" for x in own[above][: rnd.randint(1, 3)]]
+                if above in up:
+                    lines = [f"> > {x}" for x in own[up[above]]] + lines
+            rows.append((conv, turn, "user", "\n".join(lines + own[turn])))
+
+        def walk(t, root, depth, out, up=up):
+            out.append((t, root, depth))
+            for c in sorted(x for x in up if up[x] == t):
+                walk(c, root, depth + 1, out)
+
+        for t in own:
+            if t not in up:
+                out: list = []
+                walk(t, t, 0, out)
+                for place, (x, root, depth) in enumerate(out):
+                    want[conv, x] = (up.get(x), root, depth, place, "\n".join(own[x]))
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumns({"place": F.lit("clash"), "id": F.lit("clash"), "body": F.lit("clash")}).repartition(3)
+    got = {(r.conv_id, r.turn): (r.reply_to, r.thread_root, r.thread_depth, r.place, r.body) for r in quotes.reply_order(df).collect()}
+    assert got == want
+
+
+def test_quotes_ties_and_long_texts(spark):
+    long = "\n".join(f"line number {i} of a long message" for i in range(5000))
+    rows = [(1, 0, "same words here"), (1, 1, "same words here"), (1, 2, "> same words here\nok"), (2, 0, long), (2, 1, "> line number 4999 of a long message\nyes")]
+    got = {(c, t): (r.reply_to, r.place) for r in quotes.reply_order(spark.createDataFrame([(c, t, "user", x) for c, t, x in rows], "conv_id long, turn long, role string, text string")).collect() for c, t in [(r.conv_id, r.turn)]}
+    assert got[1, 2] == (1, 1) and got[2, 1] == (0, 1) and got[1, 0] == (None, 0)
