@@ -123,7 +123,7 @@ def set_mark(text: Column, name: Column, selected: Column) -> Column:
 
 def _options(sources: DataFrame, page: list[str]) -> DataFrame:
     """page columns, row_nr, options: the marked options of each source row, in order."""
-    return sources.groupBy(*page, "row_nr").agg(F.array_sort(F.collect_list(F.struct("entry_nr", "label", "selected"))).alias("options"))
+    return sources.withColumn("norm", label("label")).groupBy(*page, "row_nr").agg(F.array_sort(F.collect_list(F.struct("entry_nr", "label", "selected", "norm"))).alias("options"))
 
 
 def _group(labels: Column) -> Column:
@@ -137,7 +137,7 @@ def restore_leading(fragments: DataFrame, options: DataFrame, *, page: list[str]
     The row has three options or more and a first label of four letters or more;
     cells and rows meet as equal strings of labels, by a map of the page's rows.
     """
-    fit = options.filter((F.size("options") >= 3) & (F.length(label(F.col("options")[0]["label"])) >= 4))
+    fit = options.filter((F.size("options") >= 3) & (F.length(F.col("options")[0]["norm"]) >= 4))
     one = fit.groupBy(*page, _group(F.transform("options", lambda o: o["label"])).alias("g")).agg(F.count("*").alias("n"), F.first(F.col("options")[0]["selected"]).alias("on")).filter("n = 1")
     maps = one.groupBy(*page).agg(F.map_from_entries(F.collect_list(F.struct("g", "on"))).alias("_on"))
     parts = F.split(F.regexp_replace(text, r"(?is)(<t[dh]\b[^>]*>)(.*?)(</t[dh]>)", "\x02$1\x03$2\x04$3"), "\x02")
@@ -159,13 +159,15 @@ def repair_fragments(fragments: DataFrame, sources: DataFrame, *, page: list[str
     may begin like earlier ones.
     """
     options = _options(sources, page)
-    given = restore_leading(fragments.select(*page, target, "text"), options, page=page, text="text")
-    entries = given.select(*page, target, F.posexplode(fragment_entries(F.col("text"))).alias("entry_nr", "e")).select(*page, target, "entry_nr", "e.label")
+    given = restore_leading(fragments.select(*page, target, "text"), options, page=page, text="text").withColumn("_entries", fragment_entries(F.col("text")))
+    # A label's normal form is worked out once, where the entries stand in rows.
+    entries = given.select(*page, target, F.posexplode("_entries").alias("entry_nr", "e")).select(*page, target, "entry_nr", "e.label", label("e.label").alias("norm"))
     best = best_rows(entries, sources, page=page, target=target)
-    met = given.join(best, [*page, target], "left").join(options, [*page, "row_nr"], "left")
-    first = lambda e: F.filter("options", lambda s: labels_match(label(s["label"]), label(e["label"])))
-    plan = F.filter(F.transform(fragment_entries(F.col("text")), lambda e: F.struct(e["label"].alias("label"), F.get(first(e), 0)["selected"].alias("selected"))), lambda p: p["selected"].isNotNull())
-    done = F.when(F.col("options").isNull(), F.col("text")).otherwise(F.aggregate(plan, F.col("text"), lambda acc, p: set_mark(acc, p["label"], p["selected"])))
+    chosen = entries.join(best, [*page, target]).join(options, [*page, "row_nr"])
+    fit = F.filter("options", lambda s: labels_match(s["norm"], F.col("norm")))
+    plans = chosen.withColumn("on", F.get(fit, 0)["selected"]).filter("on IS NOT NULL").groupBy(*page, target).agg(F.array_sort(F.collect_list(F.struct("entry_nr", "label", "on"))).alias("_plan"))
+    met = given.join(plans, [*page, target], "left")
+    done = F.when(F.col("_plan").isNull(), F.col("text")).otherwise(F.aggregate("_plan", F.col("text"), lambda acc, p: set_mark(acc, p["label"], p["on"])))
     marks = lambda c: F.regexp_replace(c, f"[^{MARKS}]", "")
     out = met.withColumn("fixed", done)
     changed = F.size(F.filter(F.zip_with(F.split(marks(F.col("text")), ""), F.split(marks(F.col("fixed")), ""), lambda a, b: a != b), lambda x: x))

@@ -10,12 +10,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
-def fenced(messages: DataFrame, *, timeout_s: int | None = None) -> DataFrame:
+def fenced(messages: DataFrame, *, timeout_s: int | None = 7 * 86_400) -> DataFrame:
     """job_id, generation, state of the messages that are not late.
 
     `messages`: job_id string, generation long, state string, seq long. The newest
     generation of a job is kept as state, for `timeout_s` after its last message
-    if that is given.
+    (None: for ever).
     """
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
