@@ -41,14 +41,18 @@ def request_key(digest: Column, context: Column) -> Column:
     return F.sha2(F.concat(F.lit(KEY_VERSION), F.char(F.lit(0)), digest, F.char(F.lit(0)), context), 256)
 
 
-def first_seen_numbers(rows: DataFrame, *, group: str, order: str, key: str, slices: int = 1024) -> DataFrame:
+def first_seen_numbers(rows: DataFrame, *, group: str, order: str, key: str, slices: int | None = None) -> DataFrame:
     """`rows` with image_seq: keys numbered from 1 by first use in their group; a NULL key is its own. `order` is a number.
 
-    A group of any size is numbered in `slices` parts: first uses are counted by
-    their slice of the group's order, and a key's number is its place in its
-    slice after the keys of all slices before.
+    Groups of a document's size are numbered in one window. With `slices` a group
+    of any size is numbered in that many parts: first uses are counted by their
+    slice of the group's order, and a key's number is its place in its slice after
+    the keys of all slices before; `rows` are then read several times.
     """
     own = F.coalesce(F.col(key), F.concat(F.lit("row:"), F.col(order)))
+    if slices is None:
+        first = rows.withColumn("_first", F.min(order).over(W.partitionBy(group, own)))
+        return first.withColumn("image_seq", F.dense_rank().over(W.partitionBy(group).orderBy("_first"))).drop("_first")
     keyed = rows.withColumn("_own", own)
     firsts = keyed.groupBy(group, "_own").agg(F.min(order).alias("_first"))
     ends = firsts.groupBy(group).agg(F.min("_first").alias("_low"), F.max("_first").alias("_high"))

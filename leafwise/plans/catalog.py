@@ -221,7 +221,7 @@ def request_key_dedup(spark, sf_dir):
     """Equal texts of a source are one request, numbered by first use."""
     d = table(spark, sf_dir, "documents")
     keyed = d.select("source", "doc_id", figures.request_key(F.sha2(F.coalesce("text", F.lit("")), 256), F.coalesce("lang", F.lit(""))).alias("key"))
-    return figures.first_seen_numbers(keyed, group="source", order="doc_id", key="key").select("source", "doc_id", "key", "image_seq")
+    return figures.first_seen_numbers(keyed, group="source", order="doc_id", key="key", slices=1024).select("source", "doc_id", "key", "image_seq")
 
 
 @query("SELECT d.doc_id, d.lang, CASE WHEN l.doc_id IS NOT NULL THEN coalesce(CAST(l.quality AS VARCHAR), '-') || '/' || coalesce(CAST(l.toxic AS VARCHAR), '-') END AS vision_text FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")

@@ -107,7 +107,7 @@ def test_context_of_any_window(spark, window):
 def test_numbers_of_first_use(spark):
     rows = [(g, (i * 37) % 1001, f"k{(i * i) % 50}") for g in (1, 2) for i in range(300)]
     df = spark.createDataFrame(rows, "d int, o int, key string").dropDuplicates(["d", "o"])
-    for slices in (1, 7, 1024):
+    for slices in (None, 1, 7, 1024):
         got = figures.first_seen_numbers(df, group="d", order="o", key="key", slices=slices).collect()
         for g in (1, 2):
             seen: dict = {}
