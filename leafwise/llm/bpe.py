@@ -36,7 +36,7 @@ from .common import map_texts, table, texts
 #: Stands for the end-of-word mark inside words; no byte maps to it.
 END = "\ue000"
 #: Words, runs of words and token pairs that a Python worker keeps, half of them as an older generation.
-WORDS, RUNS, PAIRS = 300_000, 120_000, 200_000
+WORDS, RUNS, PAIRS = 240_000, 80_000, 120_000
 
 
 def byte_letters() -> list[str]:

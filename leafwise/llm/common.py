@@ -62,6 +62,8 @@ def text_hash(text) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
+#: Spark's setting by which shuffle files go with their query.
+DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Folders that the innermost scratch() has to take away; None outside of any.
 _written: list[str] | None = None
 
@@ -75,12 +77,19 @@ def remove(spark: SparkSession, path: str) -> None:
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
-    """What spool() writes within is taken away at the end: nothing that is read later may come from it."""
+    """What spool() writes within is taken away at the end: nothing that is read later may come from it.
+
+    Within, Spark drops the shuffle files of each query when it has ended, as
+    what is needed of it has been written.
+    """
     global _written
     outer, _written = _written, []
+    before = spark.conf.get(DROP_SHUFFLES, "false")
+    spark.conf.set(DROP_SHUFFLES, "true")
     try:
         yield
     finally:
+        spark.conf.set(DROP_SHUFFLES, before)
         for path in _written:
             remove(spark, path)
         _written = outer
