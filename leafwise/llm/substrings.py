@@ -54,7 +54,7 @@ WIDE = MATCH + SPAN - 1  # bytes of the windows of one anchor, at most
 BATCH_BYTES = 6 << 20
 CHUNK = 1 << 19
 #: Bytes of text for each range of suffixes.
-RANGE_BYTES = 32 << 20
+RANGE_BYTES = 12 << 20
 SAMPLES = 64
 A, B, C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
@@ -187,11 +187,13 @@ def covered_windows(rows: np.ndarray, lead: np.ndarray, count: np.ndarray, docs:
     in them the anchor begins; `count`: its number of windows.
     """
     n = len(rows)
-    padded = np.concatenate([rows, np.zeros((n, MATCH), np.uint8)], axis=1)
-    take = lambda places: np.take_along_axis(padded, places, axis=1)
-    after = take(lead[:, None] + np.arange(MATCH))
-    back = lead[:, None] - 1 - np.arange(SPAN - 1)
-    before = np.where(back >= 0, take(np.maximum(back, 0)), 0)
+    after, before = np.zeros((n, MATCH), np.uint8), np.zeros((n, SPAN - 1), np.uint8)
+    for c in range(0, n, 1 << 14):
+        part, at = rows[c : c + (1 << 14)], lead[c : c + (1 << 14), None]
+        padded = np.concatenate([part, np.zeros((len(part), MATCH), np.uint8)], axis=1)
+        after[c : c + (1 << 14)] = np.take_along_axis(padded, at + np.arange(MATCH), axis=1)
+        back = at - 1 - np.arange(SPAN - 1)
+        before[c : c + (1 << 14)] = np.where(back >= 0, np.take_along_axis(padded, np.maximum(back, 0), axis=1), 0)
     (order_a, lcp_a), (order_b, lcp_b) = suffix_order(after), suffix_order(before)
     run = np.zeros((2, n), np.int64)
     out = np.zeros((n, SPAN), bool)
