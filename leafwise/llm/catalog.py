@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, embeddings, quality, quotes, secrets, simhash, substrings, tokenfiles, urls
+from . import bpe, decontaminate, embeddings, merkle, quality, quotes, resample, secrets, simhash, substrings, tokenfiles, toxicity, urls
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
@@ -15,5 +15,8 @@ QUERIES = {
     "op8_quotes": quotes.op8_quotes,
     "op9_simhash": simhash.op9_simhash,
     "op10_decontaminate": decontaminate.op10_decontaminate,
+    "op11_toxicity": toxicity.op11_toxicity,
+    "op12_merkle": merkle.op12_merkle,
+    "op13_resample": resample.op13_resample,
 }
-ORACLES = {"op3_embeddings": embeddings.ORACLE, "op5_urls": urls.ORACLE}
+ORACLES = {"op3_embeddings": embeddings.ORACLE, "op5_urls": urls.ORACLE, "op12_merkle": merkle.ORACLE, "op13_resample": resample.ORACLE}
