@@ -100,6 +100,14 @@ def unpublished(outbox: DataFrame, receipts: DataFrame) -> DataFrame:
     return left.join(newest, "job_id").filter(F.col("generation") == F.col("_g")).drop("_g")
 
 
+def handoff(outbox: DataFrame, claims: DataFrame, receipts: DataFrame) -> DataFrame:
+    """job_id, generation, handoff of each outbox row: `published` with a receipt, `uncertain` once claimed for sending, else `pending`."""
+    keys = ["job_id", "generation"]
+    told = claims.select(*keys, F.lit(1).alias("_step")).unionByName(receipts.select(*keys, F.lit(2).alias("_step"))).groupBy(*keys).agg(F.max("_step").alias("_step"))
+    state = F.when(F.col("_step") == 2, "published").when(F.col("_step") == 1, "uncertain").otherwise("pending")
+    return outbox.select(*keys).distinct().join(told, keys, "left").select(*keys, state.alias("handoff"))
+
+
 def checked_parts(manifest: DataFrame, parts: DataFrame, *, version: int = 1) -> DataFrame:
     """job_id, fault: NULL for a checkpoint that can be used again, else the first thing wrong with it.
 
