@@ -94,6 +94,16 @@ def extension_list(exts: Column) -> Column:
     return F.array_join(F.array_sort(F.array_distinct(dotted)), ", ")
 
 
+def chosen_formats(wanted: Column | str) -> Column:
+    """The dotted formats of a comma-separated list, each once and sorted; `all`: every supported one. One that is not supported raises with the names of those that are not."""
+    allowed = F.array(*[F.lit(f".{f}") for f in sorted({*PAGE_FORMATS, *OFFICE_FORMATS})])
+    named = F.transform(F.split(wanted, ","), lambda e: F.concat(F.lit("."), F.regexp_replace(F.lower(F.trim(e)), r"^\.+", "")))
+    unknown = F.array_sort(F.array_except(named, allowed))
+    error = F.raise_error(F.concat(F.lit("Unsupported extensions: "), F.array_join(unknown, ", "))).cast("array<string>")
+    given = F.when(F.size(unknown) > 0, error).otherwise(F.array_sort(F.array_union(named, F.array().cast("array<string>"))))
+    return F.when(F.lower(F.trim(wanted)) == "all", allowed).otherwise(given)
+
+
 def tier(backend: Column | str) -> Column:
     """Parse tier for a tier name or an older backend name."""
     name = F.lower(F.trim(backend))

@@ -80,29 +80,35 @@ def with_file(blocks: DataFrame) -> Column:
     return (F.col("type") == "image") & ~is_blank("img_path")
 
 
-def image_jobs(blocks: DataFrame, files: DataFrame, *, window: int = 2, positions: bool = False) -> DataFrame:
+def image_jobs(blocks: DataFrame, files: DataFrame, *, window: int = 2, positions: bool = False, every: bool = False, strict: bool = False) -> DataFrame:
     """The figures that a model is asked about: doc_id, block_seq, image_seq, page_number, img_path, prompt, base_text, key.
 
     `files`: doc_id, img_path, sha256, width, height, size of the image files (a
-    file that is missing raises). Figures are left out by skip_reason(); equal
-    pixels in an equal context (without positions, unless `positions`) are one
-    request, numbered by first use in the document.
+    file that is missing raises). Figures are left out by skip_reason(), none with
+    `every`; equal pixels in an equal context (without positions, unless
+    `positions`) are one request, numbered by first use in the document.
+
+    `strict` is for reading off what a figure says: captions and notes are neither
+    in the prompt nor in the context nor in base_text, and positions count.
     """
-    said = context_text(measures(conform(blocks)))
-    for name, kept in (("_line", True), ("_bare", positions)):
-        said = said.withColumn(name, F.when(F.col("context").isNotNull(), context_line(F.col("context"), F.coalesce("page_idx", F.lit(-1)), F.col("context_title"), positions=kept)))
-    page, at = F.coalesce("page_idx", F.lit(-1)), with_file(said)
-    near = context(said.withColumn("_figure", at), group="doc_id", order="block_seq", line="_line", at=F.lit(True), window=window)
-    near = context(near, group="doc_id", order="block_seq", line="_bare", at=F.col("_figure"), window=window, names=("_bare_before", "_bare_after"))
+    positions = positions or strict
+    said = context_text(measures(conform(blocks)), notes=not strict)
+    line = lambda kept: F.when(F.col("context").isNotNull(), context_line(F.col("context"), F.coalesce("page_idx", F.lit(-1)), F.col("context_title"), positions=kept))
+    said = said.withColumns({"_line": line(True)} if positions else {"_line": line(True), "_bare": line(False)})
+    page = F.coalesce("page_idx", F.lit(-1))
+    near = context(said, group="doc_id", order="block_seq", line="_line", at=with_file(said), window=window, also={} if positions else {"_bare": ("_bare_before", "_bare_after")})
     met = near.join(files.select("doc_id", "img_path", F.col("sha256").alias("_sha"), F.col("width").alias("_w"), F.col("height").alias("_h"), F.col("size").alias("_size")), ["doc_id", "img_path"], "left")
     there = F.when(F.col("_size").isNull(), F.raise_error(F.concat(F.lit("Missing image asset: "), "img_path")).cast("boolean")).otherwise(True)
-    caption, note = F.array_join(captions(generated=False), "\n"), F.array_join(footnotes(), "\n")
+    caption, note = (F.array_join(captions(generated=False), "\n"), F.array_join(footnotes(), "\n"))
     reason = skip_reason(area_ratio=F.col("area_ratio"), box_aspect=F.col("box_aspect"), width=F.col("_w"), height=F.col("_h"), size=F.col("_size"), captioned=(caption != "") | (note != ""))
-    asked = met.filter(there).filter(reason.isNull())
-    bare = prompt(caption, note, F.col("_bare_before"), F.col("_bare_after"), page if positions else None)
+    asked = met.filter(there) if every else met.filter(there).filter(reason.isNull())
+    if strict:
+        caption = note = F.lit("")
+    full = prompt(caption, note, F.col("before"), F.col("after"), page)
+    bare = full if positions else prompt(caption, note, F.col("_bare_before"), F.col("_bare_after"))
     out = asked.select(
-        "doc_id", "block_seq", (F.coalesce("page_idx", F.lit(0)) + 1).alias("page_number"), "img_path", prompt(caption, note, F.col("before"), F.col("after"), page).alias("prompt"),
-        image_text(generated=False).alias("base_text"), F.when(F.col("_sha").isNotNull(), request_key(F.col("_sha"), bare)).alias("key"),
+        "doc_id", "block_seq", (F.coalesce("page_idx", F.lit(0)) + 1).alias("page_number"), "img_path", full.alias("prompt"),
+        F.lit("").alias("base_text") if strict else image_text(generated=False).alias("base_text"), F.when(F.col("_sha").isNotNull(), request_key(F.col("_sha"), bare)).alias("key"),
     )
     return first_seen_numbers(out, group="doc_id", order="block_seq", key="key")
 

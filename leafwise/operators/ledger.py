@@ -39,6 +39,17 @@ def latest_state(messages: DataFrame, *, job: str = "job_id", order: list[str],
     return messages.groupBy(job).agg(F.max_by(state, F.struct(*order)).alias("state"), F.count("*").alias("n_messages"))
 
 
+def listing(jobs: DataFrame) -> DataFrame:
+    """Jobs as a listing shows them: by job_id, without what went wrong."""
+    return jobs.drop("error").orderBy("job_id")
+
+
+def catalog(models: DataFrame, *, group: str, name: str) -> DataFrame:
+    """group, models: the distinct model names of each group, sorted. Names are made distinct before they are gathered."""
+    held = models.select(group, name).filter(F.col(name).isNotNull()).distinct()
+    return held.groupBy(group).agg(F.array_sort(F.collect_list(name)).alias("models"))
+
+
 def collectable(jobs: DataFrame, *, now: Column, retention_s: int) -> DataFrame:
     """Jobs in a final state whose completion (or last change) is `retention_s` or more ago."""
     since = F.coalesce("completed_at", "updated_at")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -48,6 +48,18 @@ def markdown(blocks: DataFrame) -> DataFrame:
     return pieces.groupBy("doc_id").agg(ordered_text(pieces, "piece", "\n\n").alias("markdown"))
 
 
+def write_markdown(texts: DataFrame, path: str) -> None:
+    """One file of text for each document (doc_id, markdown), under a folder of its name: `doc_id=<id>/part-*.txt`, the text as it is, without a line end behind."""
+    one = texts.select(F.col("doc_id").cast("string").alias("doc_id"), F.coalesce("markdown", F.lit("")).alias("value"))
+    one.repartition("doc_id").sortWithinPartitions("doc_id").write.option("lineSep", "\x01").partitionBy("doc_id").text(path)
+
+
+def read_markdown(spark: SparkSession, path: str) -> DataFrame:
+    """doc_id, markdown of what write_markdown wrote."""
+    got = spark.read.schema("value string, doc_id string").text(path, wholetext=True)
+    return got.select("doc_id", F.regexp_replace("value", "\x01\\z", "").alias("markdown"))
+
+
 def responses(chunks: DataFrame, txt: DataFrame | None = None, *, nulls: bool = False) -> DataFrame:
     """doc_id, body: the JSON of each document's chunks, and its text if given."""
     fields = F.struct("text", "page_number", "type")
