@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from leafwise.sources.shared import kept
+
 
 def nearest_rank(value: str, p: float) -> Column:
     """The smallest value that a share `p` of the values does not exceed."""
@@ -24,6 +28,68 @@ def floor_index(rows: DataFrame, *, group: str, value: str, p: float, name: str)
     return placed.filter(F.col("_upto") > at).groupBy(group).agg(F.min(value).alias(name))
 
 
+#: Buckets of a range histogram; values of a group that are sorted as they are; targets that are broadcast.
+BUCKETS, FEW, BROADCAST = 1024, 10_000, 100_000
+_EDGE = 1.7e308
+
+
+def _linear(v: Column) -> Column:
+    return F.least(F.greatest(v, F.lit(-_EDGE)), F.lit(_EDGE)) / 4
+
+
+def _by_magnitude(v: Column) -> Column:
+    size = F.least(F.abs(v), F.lit(_EDGE))
+    return F.signum(v) * F.when(size < 1, F.log1p(size * 1e308)).otherwise(F.log(F.greatest(size, F.lit(1.0))) + math.log1p(1e308))
+
+
+def ranks(rows: DataFrame, *, group: str, value: str, shares: dict[str, float], path: str, rule: str = "nearest", few: int = FEW) -> DataFrame:
+    """group and a column for each of `shares`: the exact value at that rank, for groups of any size and any number of distinct values.
+
+    `rule`: `nearest` (rank ceil(n * p)) or `floor` (index floor((n - 1) * p)).
+    Each round counts the values that are still in question in BUCKETS ranges of
+    equal width and goes on with the range that holds the rank, by turns of the
+    values and of their magnitudes, so a few rounds do for any spread. Once a range
+    holds one value, or `few` rows, its value is picked. Nothing is sorted before
+    that, and no task holds more than counts. Nulls are left out, NaN is greater
+    than all; a group without values has no row. `path` is a folder for the rounds.
+    """
+    own = rows.select(F.col(group).alias("g"), F.col(value).cast("double").alias("v")).filter("v IS NOT NULL")
+    wanted = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.lit(float(p)).alias("p")) for n, p in shares.items()]))
+    rank = F.greatest(F.ceil(F.col("n") * F.col("p")), F.lit(1)) if rule == "nearest" else F.floor((F.col("n") - 1) * F.col("p")) + 1
+    todo = own.groupBy("g").agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).select("*", wanted.alias("w"))
+    todo = todo.select("g", "w.name", "w.p", "n", "lo", "hi").select("g", "name", rank.cast("long").alias("k"), F.lit(0).cast("long").alias("below"), "n", "lo", "hi")
+    todo = kept(todo, f"{path}/round=0")
+    done: list[DataFrame] = []
+    turn = 0
+    while True:
+        single = F.col("lo").eqNullSafe(F.col("hi"))
+        done.append(todo.filter(single).select("g", "name", F.col("lo").alias("found")))
+        left = todo.filter(~single)
+        count = left.count()
+        if not count:
+            break
+        side = F.broadcast(left) if count <= BROADCAST else left
+        met = own.join(side.withColumnRenamed("g", "_g"), F.col("g").eqNullSafe(F.col("_g")) & (F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("hi"))).drop("_g")
+        small = met.filter(F.col("n") <= few)
+        at = F.row_number().over(W.partitionBy("g", "name").orderBy("v"))
+        done.append(kept(small.withColumn("at", at).filter(F.col("at") == F.col("k") - F.col("below")).select("g", "name", F.col("v").alias("found")), f"{path}/small={turn}"))
+        scale = _by_magnitude if turn % 2 else _linear
+        top = F.when(F.isnan("hi"), F.lit(_EDGE)).otherwise(F.col("hi"))
+        width = scale(top) - scale(F.col("lo"))
+        place = F.when(width > 0, F.floor((scale(F.col("v")) - scale(F.col("lo"))) / width * BUCKETS)).otherwise(0)
+        # The ends have buckets of their own, so each round leaves less in question.
+        bucket = F.when(F.col("v").eqNullSafe(F.col("lo")), -1).when(F.col("v").eqNullSafe(F.col("hi")), BUCKETS + 1).when(F.isnan("v"), BUCKETS + 1).otherwise(F.least(F.greatest(place, F.lit(0)), F.lit(BUCKETS)))
+        held = met.filter(F.col("n") > few).groupBy("g", "name", "k", "below", bucket.alias("bucket")).agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+        before = F.sum("n").over(W.partitionBy("g", "name").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1))
+        upto = held.withColumn("below", F.col("below") + F.coalesce(before, F.lit(0)))
+        turn += 1
+        todo = kept(upto.filter((F.col("below") < F.col("k")) & (F.col("below") + F.col("n") >= F.col("k"))).select("g", "name", "k", "below", "n", "lo", "hi"), f"{path}/round={turn}")
+    found = done[0]
+    for more in done[1:]:
+        found = found.unionByName(more)
+    return found.groupBy(F.col("g").alias(group)).agg(*[F.max(F.when(F.col("name") == n, F.col("found"))).alias(n) for n in shares])
+
+
 def throughput(rows: DataFrame, *, group: str, amount: str, start: str, stop: str) -> DataFrame:
     """group, total, seconds, per_second."""
     out = rows.groupBy(group).agg(F.sum(amount).alias("total"), (F.max(F.unix_timestamp(stop)) - F.min(F.unix_timestamp(start))).alias("seconds"))

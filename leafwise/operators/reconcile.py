@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from leafwise.functions.text import label, labels_match, unescape
+from leafwise.sources.shared import kept
 
 #: Fixed values.
 MARKS, SELECTED = "☐☑□■", "☑■"
@@ -17,14 +22,25 @@ def has_mark(*texts: Column) -> Column:
     return F.exists(F.array(*texts), lambda t: F.coalesce(t, F.lit("")).rlike(f"[{MARKS}]"))
 
 
-def visual_rows(words: DataFrame, *, page: list[str], y: str = "y_min", x: str = "x_min", text: str = "text", tolerance: float = ROW_TOLERANCE) -> DataFrame:
+def visual_rows(words: DataFrame, *, page: list[str], y: str = "y_min", x: str = "x_min", text: str = "text", tolerance: float = ROW_TOLERANCE, path: str | None = None) -> DataFrame:
     """page columns, row_nr, words: words in rows of a page; a row's words lie within `tolerance` of its first word.
 
     A row starts where its anchor is left, not where a gap is, so a page's distinct
     heights are folded in order to the heights at which rows start; words then find
-    their row by height.
+    their row by height. For pages of any size name a folder, `path`: heights are
+    then folded over range partitions (row_anchors), and no page is gathered.
+    Words without a height are in no row then, and in the first one else.
     """
     height = F.col(y).cast("double")
+    if path is not None:
+        anchors = row_anchors(words, path, page=page, y=y, tolerance=tolerance)
+        starts = anchors.select(*page, "anchor").distinct()
+        numbers = starts.select(*[F.col(c).alias(f"_{c}") for c in page], F.col("anchor").alias("_a"), (F.row_number().over(W.partitionBy(*page).orderBy("anchor")) - 1).alias("row_nr"))
+        same = lambda left, right: [left[c].eqNullSafe(right[f"_{c}"]) for c in page]
+        named = anchors.join(numbers, [*same(anchors, numbers), anchors["anchor"] == numbers["_a"]]).select(*[F.col(c).alias(f"_{c}") for c in page], F.col(y).alias("_at"), "row_nr")
+        own = words.select(*page, height.alias("_y"), F.col(x).cast("double").alias("_x"), F.col(text).alias("_w"))
+        met = own.join(named, [*same(own, named), own["_y"] == named["_at"]])
+        return met.groupBy(*page, "row_nr").agg(F.transform(F.array_sort(F.collect_list(F.struct("_x", "_y", "_w"))), lambda e: e["_w"]).alias("words"))
     levels = words.groupBy(*page).agg(F.array_sort(F.collect_set(height)).alias("ys"))
     starts = F.aggregate(
         "ys",
@@ -41,6 +57,106 @@ def visual_rows(words: DataFrame, *, page: list[str], y: str = "y_min", x: str =
     return placed.groupBy(*page, F.col("_at").alias("row_nr")).agg(F.transform(F.array_sort(F.collect_list(F.struct("_x", "_y", "_w"))), lambda e: e["_w"]).alias("words"))
 
 
+def _past(ys: np.ndarray, tolerance: float) -> np.ndarray:
+    """For each of the sorted heights the place of the first one that lies more than `tolerance` behind it."""
+    at = np.searchsorted(ys, ys + tolerance, side="right")
+    last = len(ys) - 1
+    # ys + tolerance is rounded; the rule is the difference.
+    while (low := (at <= last) & (ys[np.minimum(at, last)] - ys <= tolerance)).any():
+        at = at + low
+    while (high := (at > np.arange(len(ys)) + 1) & (ys[at - 1] - ys > tolerance)).any():
+        at = at - high
+    return at
+
+
+def _crossing(ys: np.ndarray, tolerance: float) -> tuple[np.ndarray, np.ndarray]:
+    """What a run of sorted heights makes of an anchor before it: heights at which a first row may start, and the last anchor that follows from each; equal neighbours are one.
+
+    Starts are followed by doubling steps, so the work does not depend on how many rows there are.
+    """
+    after = np.append(_past(ys, tolerance), len(ys))
+    end = np.arange(len(ys) + 1)
+    reach = after.copy()
+    while not (reach == len(ys)).all():  # `end`: the last start on the way; `reach`: where it jumps to
+        end = np.where(reach < len(ys), end[np.minimum(reach, len(ys))], end)
+        reach = after[end]
+    entries = np.arange(min(int(after[0]) + 1, len(ys)))  # the heights near the first one, and the next behind them
+    exits = ys[end[entries]]
+    kept = np.append(exits[1:] != exits[:-1], True)
+    return ys[entries][kept], exits[kept]
+
+
+def row_anchors(heights: DataFrame, path: str, *, page: list[str], y: str, tolerance: float = ROW_TOLERANCE) -> DataFrame:
+    """page columns, y, anchor of each distinct height: the height at which its row starts. Pages may be of any size.
+
+    Heights are sorted over range partitions and folded in order; what a partition
+    needs of those before is one anchor. So each tells first what it would make of
+    any anchor before it (a few steps: the heights within `tolerance` of its
+    first), the driver follows these from partition to partition, and then each
+    folds its own heights. `path` is a folder for the sorted heights.
+    """
+    spark = heights.sparkSession
+    order = [F.col(c).asc_nulls_first() for c in (*page, y)]
+    named = heights.select(*page, F.col(y).cast("double").alias(y)).filter(F.col(y).isNotNull()).distinct()
+    run = kept(named.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({"_part": F.spark_partition_id(), "_page": F.to_json(F.struct(*page))}), path)
+
+    def pages(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, str, np.ndarray]]:
+        """Part, page and heights of each run of equal parts and pages."""
+        own, held = None, []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            names = pa.StructArray.from_arrays([batch.column("_part"), batch.column("_page")], names=["part", "page"]).to_pylist()
+            ys = batch.column(y).to_numpy()
+            cuts = [0, *(i for i in range(1, len(names)) if names[i] != names[i - 1]), len(names)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                key = (names[a]["part"], names[a]["page"])
+                if key != own and held:
+                    yield *own, np.concatenate(held)
+                    held = []
+                own = key
+                held.append(ys[a:b])
+        if held:
+            yield *own, np.concatenate(held)
+
+    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, name, ys in pages(batches):
+            entries, exits = _crossing(ys, tolerance)
+            yield pa.RecordBatch.from_pylist([{"_part": part, "_page": name, "first": float(ys[0]), "entries": entries.tolist(), "exits": exits.tolist()}], told)
+
+    told = pa.schema([("_part", pa.int32()), ("_page", pa.string()), ("first", pa.float64()), ("entries", pa.list_(pa.float64())), ("exits", pa.list_(pa.float64()))])
+    dealt = run.select("_part", "_page", y).repartition("_part").sortWithinPartitions("_part", "_page", y)
+    # Only pages that cross from one partition to another have an anchor to carry.
+    crossing = run.groupBy("_page").agg(F.min("_part").alias("a"), F.max("_part").alias("b")).filter("a < b").select("_page")
+    steps = dealt.mapInArrow(tell, "_part int, _page string, first double, entries array<double>, exits array<double>").join(crossing, "_page", "left_semi")
+    carried: dict[int, tuple[str, float]] = {}
+    before: dict[str, float] = {}
+    for r in steps.orderBy("_part", "first").toLocalIterator():
+        anchor = before.get(r["_page"])
+        if anchor is not None:
+            carried[r["_part"]] = (r["_page"], anchor)
+        at = 0 if anchor is None else next((i for i, e in enumerate(r["entries"]) if e - anchor > tolerance), -1)
+        before = {r["_page"]: anchor if at < 0 else r["exits"][at]}
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, name, ys in pages(batches):
+            after, anchors = _past(ys, tolerance), np.empty(len(ys))
+            at, (known, anchor) = 0, carried.get(part, ("", 0.0))
+            if known == name:
+                at = int(np.argmax(ys - anchor > tolerance)) if (ys - anchor > tolerance).any() else len(ys)
+                anchors[:at] = anchor
+            while at < len(ys):
+                anchors[at : after[at]] = ys[at]
+                at = int(after[at])
+            for a in range(0, len(ys), 65_536):
+                some = slice(a, a + 65_536)
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(ys[some])), pa.array(ys[some]), pa.array(anchors[some])], names=["_page", y, "anchor"])
+
+    shape = run.select(F.struct(*page)).schema[0].dataType.simpleString()
+    out = dealt.mapInArrow(fold, f"_page string, {y} double, anchor double")
+    return out.select(F.from_json("_page", shape).alias("_p"), y, "anchor").select("_p.*", y, "anchor")
+
+
 def source_entries(rows: DataFrame, *, page: list[str]) -> DataFrame:
     """page columns, row_nr, entry_nr, label, selected: the marked options of visual rows; a lone mark takes the next word."""
     word = rows.select(*page, "row_nr", F.posexplode("words").alias("at", "w"), "words")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafwise.functions import text as T
-from leafwise.operators import figures, ledger, project, providers, render, stages
+from leafwise.operators import figures, ledger, metrics, project, providers, reconcile, render, stages
 from leafwise.plans.catalog import _FORMS, _TYPED, BLOCKS, ORACLES, _form_blocks, query, table
 from leafwise.sources import blocks as parsed
 from leafwise.sources.html import page_blocks
@@ -241,6 +241,27 @@ def markdown_of_forms(spark, sf_dir):
     return render.read_markdown(spark, f"{base}/files").select(F.col("doc_id").cast("int").alias("doc_id"), "markdown")
 
 
+@query(ORACLES["visual_rows"].replace("user_id", "event_type"))
+def visual_rows_of_large_pages(spark, sf_dir):
+    """Events of a kind as words of one page, folded into rows over sorted range partitions with the anchor carried over their borders."""
+    e = table(spark, sf_dir, "events").filter("value IS NOT NULL").select("event_type", F.col("value").alias("y_min"), F.col("event_id").cast("double").alias("x_min"), F.col("event_id").cast("string").alias("text"))
+    rows = reconcile.visual_rows(e, page=["event_type"], path=shared_folder(spark, "rows"))
+    return rows.select("event_type", "row_nr", F.size("words").cast("long").alias("n_words"), F.array_join("words", " ").alias("words"))
+
+
+@query("SELECT event_type, quantile_disc(value, 0.95) AS p95, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.999) AS p999 FROM events WHERE value IS NOT NULL GROUP BY 1")
+def exact_percentiles(spark, sf_dir):
+    """Nearest-rank percentiles by range histograms, without sorting a group or holding its values."""
+    e = table(spark, sf_dir, "events")
+    return metrics.ranks(e, group="event_type", value="value", shares={"p95": 0.95, "p50": 0.5, "p999": 0.999}, path=shared_folder(spark, "ranks"), few=100)
+
+
+@query("SELECT l_returnflag, list_sort(list(l_extendedprice))[CAST(floor((count(l_extendedprice) - 1) * 0.9::DOUBLE) AS BIGINT) + 1] AS p90 FROM lineitem WHERE l_extendedprice IS NOT NULL GROUP BY 1")
+def exact_floor_index(spark, sf_dir):
+    """The value at a floored index of the sorted prices of each return flag, by range histograms."""
+    return metrics.ranks(table(spark, sf_dir, "lineitem"), group="l_returnflag", value="l_extendedprice", shares={"p90": 0.9}, path=shared_folder(spark, "ranks"), rule="floor", few=100)
+
+
 _EXTS = ("pdf", ".PNG", " docx", "tiff", "jpg", ".xls", "webp")
 
 
