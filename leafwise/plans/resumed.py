@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafwise.functions import text as T
-from leafwise.operators import figures, ledger, metrics, project, providers, reconcile, render, stages
+from leafwise.operators import captions, figures, ledger, metrics, project, providers, reconcile, render, stages
 from leafwise.plans.catalog import _FORMS, _TYPED, BLOCKS, ORACLES, _form_blocks, query, table
 from leafwise.sources import blocks as parsed
 from leafwise.sources.html import page_blocks
@@ -286,3 +286,25 @@ def job_listing(spark, sf_dir):
     """Jobs by id as a listing shows them: what went wrong is left out."""
     state = F.when(F.col("o_orderstatus") == "F", "SUCCESS").when(F.col("o_orderstatus") == "O", "PENDING").otherwise("FAILURE")
     return ledger.listing(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("job_id"), state.alias("state"), F.col("o_orderpriority").alias("error")))
+
+
+@query("""WITH k AS (SELECT p_size AS doc_id, p_partkey AS k, p_name, p_type, p_brand FROM part),
+f AS (SELECT doc_id, 'fig' AS kind, row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS position, CASE WHEN k % 4 <> 0 THEN 'fig:' || p_type END AS label, p_brand || ' [' || p_name || ']' AS caption, p_name || ' "' || k || '"' AS said FROM k WHERE k % 3 = 0),
+t AS (SELECT doc_id, 'tbl' AS kind, row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS position, CASE WHEN k % 4 <> 1 THEN CASE WHEN k % 2 = 0 THEN 'tbl:' ELSE '' END || replace(p_brand, '#', '-') END AS given, p_name AS caption FROM k WHERE k % 3 = 1),
+u AS (SELECT doc_id, kind, position, CASE WHEN given IS NULL THEN NULL WHEN starts_with(given, 'tbl:') THEN given ELSE 'tbl:' || given END AS label, caption, NULL AS said FROM t),
+b AS (SELECT *, min(position) OVER (PARTITION BY doc_id, kind, coalesce(label, 'at ' || position)) AS first FROM (SELECT * FROM f UNION ALL SELECT * FROM u)),
+n AS (SELECT *, CASE WHEN kind = 'tbl' OR label IS NOT NULL THEN dense_rank() OVER (PARTITION BY doc_id, kind, kind = 'fig' AND label IS NULL ORDER BY first) END AS number FROM b)
+SELECT CAST(doc_id AS INT) AS doc_id, kind, CAST(position AS INT) AS position, CASE WHEN kind = 'tbl' THEN coalesce(label, 'tbl:' || number) ELSE label END AS label, caption, said, CAST(number AS INT) AS number FROM n""")
+def caption_labels(spark, sf_dir):
+    """Figures and tables of Markdown texts that are made of parts: labels, numbers by first use, captions, and a quoted attribute."""
+    k = F.col("p_partkey")
+    brand = F.col("p_brand")
+    figure = F.concat(F.lit("!["), brand, F.lit(" ["), "p_name", F.lit("]](f.png){"), F.when(k % 4 != 0, F.concat(F.lit("#fig:"), "p_type")).otherwise(""), F.lit(" .c alt='"), "p_name", F.lit(' "'), k, F.lit("\"'}"))
+    label = F.when(k % 4 != 1, F.concat(F.lit(" {#"), F.when(k % 2 == 0, "tbl:").otherwise(""), F.regexp_replace(brand, "#", "-"), F.lit("}"))).otherwise("")
+    tabled = F.concat(F.lit(": "), "p_name", label, F.lit("\n\n| x |\n"))
+    line = F.when(k % 3 == 0, figure).when(k % 3 == 1, tabled).otherwise(F.col("p_name"))
+    docs = table(spark, sf_dir, "part").select(F.col("p_size").alias("doc_id"), F.struct(k, line.alias("line")).alias("l")).groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("l")), lambda x: x["line"]), "\n\n").alias("text"))
+    found = captions.with_captions(docs)
+    figs = found.select("doc_id", F.lit("fig").alias("kind"), F.posexplode("figures").alias("position", "x")).select("doc_id", "kind", "position", "x.label", "x.caption", F.try_element_at("x.pairs", F.lit("alt")).alias("said"), "x.number")
+    tabs = found.select("doc_id", F.lit("tbl").alias("kind"), F.posexplode("tables").alias("position", "x")).select("doc_id", "kind", "position", "x.label", "x.caption", F.lit(None).cast("string").alias("said"), "x.number")
+    return figs.unionByName(tabs)
