@@ -24,8 +24,8 @@ RUN = "_run"
 
 
 def content_digest(rows: DataFrame, part: str, name: str) -> DataFrame:
-    """part and the digest of its rows, whatever their order: a count, and the xor and sum of their 64-bit hashes. Pre-aggregated, so no part is gathered."""
-    h = F.xxhash64(*[F.to_json(F.struct(c)) for c in sorted(rows.columns) if c != part])
+    """part and the digest of its rows, whatever their order: a count, and the xor and sum of their 64-bit hashes (columns that hold maps have none). Pre-aggregated, so no part is gathered."""
+    h = F.xxhash64(*[x for c in sorted(rows.columns) if c != part for x in (F.col(c).isNull(), F.col(c))])
     total = F.sum(h.cast("decimal(38,0)"))
     return rows.groupBy(part).agg(F.concat_ws(":", F.count("*").cast("string"), F.bit_xor(h).cast("string"), total.cast("string")).alias(name))
 
