@@ -21,9 +21,8 @@ the input are not read, and redact() returns them as they are.
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
+from bisect import bisect_right
 from collections.abc import Callable
-from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -39,9 +38,9 @@ LEAST = {"assign": 8, "access": 16, "hex": 32}
 
 #: Weak parts by role: they count only beside the other roles.
 WEAK = {
-    "id": re.compile(r"(?<![A-Za-z0-9])(?:user|username|login|account|client_?id|access_?key_?id)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9._@-]{3,})", re.IGNORECASE | re.ASCII),
-    "pass": re.compile(r"(?<![A-Za-z0-9])(?:pass|pwd|passphrase|password|passwd|secret|token|api_?key|private_?key|credential)[\"']?\x20*[:=]\x20*[\"']?([^\s\"',;]{4,})", re.IGNORECASE | re.ASCII),
-    "host": re.compile(r"(?<![A-Za-z0-9])(?:(?:host|server|endpoint|url|uri)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9._:/-]{4,}|(?:https?|ftp|ssh|postgres|mysql|mongodb|redis|amqp)://[A-Za-z0-9._:@-]{3,})", re.IGNORECASE | re.ASCII),
+    "id": re.compile(r"(?:user|username|login|account|client_?id|access_?key_?id)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9._@-]{3,})", re.IGNORECASE | re.ASCII),
+    "pass": re.compile(r"(?:pass|pwd|passphrase|password|passwd|secret|token|api_?key|private_?key|credential)[\"']?\x20*[:=]\x20*[\"']?([^\s\"',;]{4,})", re.IGNORECASE | re.ASCII),
+    "host": re.compile(r"(?:(?:host|server|endpoint|url|uri)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9._:/-]{4,}|(?:https?|ftp|ssh|postgres|mysql|mongodb|redis|amqp)://[A-Za-z0-9._:@-]{3,})", re.IGNORECASE | re.ASCII),
 }
 #: The role that a base kind plays for its neighbours.
 ROLE = {"assign": "pass", "access": "id", "hex": "pass"}
@@ -60,16 +59,30 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 
 def weak_spans(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
-    """(start, end, role) of weak parts that no base span covers."""
+    """(start, end, role) of weak parts, without what base spans cover of them; a piece counts if it holds a letter or digit of the part's value."""
     if "=" not in text and ":" not in text:
         return []
-    found = [(m.start(), m.end(), role) for role, pattern in WEAK.items() for m in pattern.finditer(text)]
-    if not base:
-        return found
-    # Both lists are swept once: of the base spans that start before a part ends, the one that reaches furthest decides.
-    starts = [a for a, _, _ in base]
-    reach = list(accumulate((b for _, b, _ in base), max))
-    return [s for s in found if not (k := bisect_left(starts, s[1])) or reach[k - 1] <= s[0]]
+    whole: list[list[int]] = []  # base spans, those that touch as one
+    for a, b, _ in base:
+        if whole and a <= whole[-1][1]:
+            whole[-1][1] = max(whole[-1][1], b)
+        else:
+            whole.append([a, b])
+    ends = [b for _, b in whole]
+    found = []
+    for role, pattern in WEAK.items():
+        for m in pattern.finditer(text):
+            value = m.start(1) if m.lastindex else m.start()
+            at, k = m.start(), bisect_right(ends, m.start())
+            while k < len(whole) and whole[k][0] < m.end():
+                a, b = whole[k]
+                k += 1
+                if at < a and any(c.isalnum() for c in text[max(at, value) : a]):
+                    found.append((at, a, role))
+                at = b
+            if at < m.end() and any(c.isalnum() for c in text[max(at, value) : m.end()]):
+                found.append((at, m.end(), role))
+    return found
 
 
 def scan(docs: DataFrame) -> DataFrame:
