@@ -104,7 +104,9 @@ def request_plan(cases: DataFrame, endpoints: DataFrame, *, repetitions: int, se
     """
     numbers = F.explode(F.sequence(F.lit(0), F.lit(repetitions - 1)))
     plan = cases.crossJoin(endpoints).withColumn("repetition", numbers)
-    return plan.withColumn("rank", F.xxhash64(F.lit(seed), *plan.columns))
+    told = F.concat_ws("\0", F.lit(str(seed)), *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in plan.columns])
+    # The first 60 bits of a digest that any engine can compute again.
+    return plan.withColumn("rank", F.conv(F.substring(F.sha2(told, 256), 1, 15), 16, 10).cast("long"))
 
 
 def case_pages(sources: DataFrame, *, pages: int, cycles: int) -> DataFrame:

@@ -89,17 +89,26 @@ def test_only_text_becomes_title(spark):
 
 
 def test_normalize(spark):
+    """Each parser type becomes one that projection knows; boxes are scaled by each page's own size, where it is known."""
     from pyspark.sql import functions as F
 
-    b = spark.createDataFrame(
-        [(1, 0, "image", None, ["caption"], ["footnote"], "visible labels", None, None), (1, 1, "code", None, None, None, None, "print(1)", None), (1, 2, "index", None, None, None, None, None, ["Introduction"]), (1, 3, "page_footnote", "footnote", None, None, None, None, None)],
-        "doc_id int, block_seq int, type string, text string, image_caption array<string>, image_footnote array<string>, content string, code_body string, list_items array<string>",
-    ).withColumns({"page_idx": F.lit(10), "bbox": F.array(*map(F.lit, (100.0, 200.0, 500.0, 600.0)))})
-    pages = spark.createDataFrame([(1, 10, 600.0, 800.0)], "doc_id int, page_idx int, width_pt double, height_pt double")
-    rows = sorted(project.normalize(b, pages).collect(), key=lambda r: r.block_seq)
-    assert rows[0].img_caption == ["caption", "visible labels"] and rows[0].img_footnote == ["footnote"]
-    assert rows[0].bbox == [60, 160, 300, 480] and rows[0].page_size == [600, 800]
-    assert [(r.type, r.text) for r in rows[1:]] == [("text", "print(1)"), ("list", None), ("text", "footnote")]
+    fields = "doc_id int, block_seq int, page_idx int, type string, text string, image_caption array<string>, chart_caption array<string>, chart_footnote array<string>, content string, code_caption array<string>, code_body string, list_items array<string>"
+    given = [
+        (7, 0, 2, "chart", None, None, ["Yield by year", "t/ha"], ["estimated"], "2019 rises", None, None, None),
+        (7, 1, 2, "image", None, [], None, None, None, None, None, None),
+        (7, 2, 3, "code", None, None, None, None, None, ["Listing 4"], "SELECT 1;", None),
+        (7, 3, 3, "index", None, None, None, None, None, None, None, ["Soil ... 3", "Water ... 9"]),
+        (7, 4, 5, "page_footnote", "see annex B", None, None, None, None, None, None, None),
+        (7, 5, 5, "table", "kept", None, None, None, None, None, None, None),
+    ]
+    blocks = spark.createDataFrame(given, fields).withColumn("bbox", F.array(*map(F.lit, (0.0, 250.0, 1000.0, 300.0))))
+    pages = spark.createDataFrame([(7, 2, 420.0, 595.0), (7, 3, 842.0, 1191.0), (8, 5, 1.0, 1.0)], "doc_id int, page_idx int, width_pt double, height_pt double")
+    rows = {r.block_seq: r for r in project.normalize(blocks, pages).collect()}
+    assert [rows[k].type for k in range(6)] == ["image", "image", "text", "list", "text", "table"]
+    assert rows[0].img_caption == ["Yield by year", "t/ha", "2019 rises"] and rows[0].img_footnote == ["estimated"]
+    assert rows[1].img_caption == [] and rows[2].text == "Listing 4\nSELECT 1;" and rows[3].list_items == ["Soil ... 3", "Water ... 9"] and rows[4].text == "see annex B"
+    assert rows[0].bbox == pytest.approx([0, 148.75, 420, 178.5]) and rows[2].bbox == pytest.approx([0, 297.75, 842, 357.3]) and rows[2].page_size == [842, 1191]
+    assert rows[4].bbox == [0, 250, 1000, 300] and rows[4].page_size is None
 
 
 @pytest.mark.parametrize("first,last", [(-1, None), (2, 1), (True, None)])
