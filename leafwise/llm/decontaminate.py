@@ -66,9 +66,17 @@ class Seeds:
             for i in range(len(w) - n + 1):
                 grams.setdefault((*w[i : i + n], *[0] * (SEED - n)), []).append((nr, i))
         self.sizes = sorted({sum(x > 0 for x in g) for g in grams})
-        keys = np.array([self.key(np.array(g, np.uint64)[:, None])[0] for g in grams], np.uint64)
+        keys = self.key(np.array(list(grams), np.uint64).reshape(-1, SEED).T)
         order = np.argsort(keys, kind="stable")
-        self.keys, self.where = keys[order], [list(grams.values())[i] for i in order]
+        places = list(grams.values())
+        self.keys, self.where = keys[order], [places[i] for i in order.tolist()]
+        # For each word, the items that hold it and how often: all items' bags in three arrays.
+        held = sorted((x, nr, k) for nr, bag in self.bags.items() for x, k in bag.items())
+        columns = np.array(held, np.int64).reshape(-1, 3)
+        self.holder, self.times = columns[:, 1], columns[:, 2]
+        self.first = np.searchsorted(columns[:, 0], np.arange(len(self.ids) + 2))
+        self.lengths = np.array([self.length[nr] for nr in range(len(items))], np.int64)
+        self.longest = int(self.lengths.max(initial=0))
 
     @staticmethod
     def key(columns: np.ndarray) -> np.ndarray:
@@ -106,6 +114,27 @@ class Seeds:
             found += zip(at[good].tolist(), spot[good].tolist(), strict=True)
         return found
 
+    def likely(self, known: np.ndarray, at: list[int], share: float) -> list[tuple[int, int, np.ndarray]]:
+        """Regions (first and last hit) of a text's hits, and for each item whether it can share enough words with any stretch there.
+
+        A stretch of an item lies within its length and a quarter around its hits, so
+        what the region and such a margin around it hold of a word bounds what any
+        stretch in it holds. All items are counted at once.
+        """
+        margin = self.longest + self.longest // 4 + SEED + 3
+        out, begin = [], 0
+        for k in range(1, len(at) + 1):
+            if k < len(at) and at[k] - at[k - 1] <= margin:
+                continue
+            words, n = np.unique(known[max(0, at[begin] - margin) : at[k - 1] + margin], return_counts=True)
+            n, words = n[words > 0], words[words > 0].astype(np.int64)
+            size = self.first[words + 1] - self.first[words]
+            spot = np.repeat(self.first[words] - np.append(0, np.cumsum(size)[:-1]), size) + np.arange(size.sum())
+            most = np.bincount(self.holder[spot], weights=np.minimum(self.times[spot], np.repeat(n, size)), minlength=len(self.lengths))
+            out.append((at[begin], at[k - 1], most >= share * self.lengths))
+            begin = k
+        return out
+
     def shared(self, nr: int, part: np.ndarray) -> int:
         """Words that an item and a stretch of a text have in common; no alignment matches more."""
         ids, n = np.unique(part, return_counts=True)
@@ -129,9 +158,15 @@ def passages(docs: DataFrame, items: list[tuple[int, str]], share: float) -> Dat
                 w = words_of(text)
                 known = seeds.known(w)
                 by_item: dict[int, list[tuple[int, int]]] = {}
-                for at, spot in seeds.hits(known):
+                hits = sorted(seeds.hits(known))
+                regions = iter(seeds.likely(known, [at for at, _ in hits], share) if hits else [])
+                last, able = -1, np.zeros(0, bool)
+                for at, spot in hits:
+                    while at > last:
+                        _, last, able = next(regions)
                     for nr, place in seeds.where[spot]:
-                        by_item.setdefault(nr, []).append((at, place))
+                        if able[nr]:
+                            by_item.setdefault(nr, []).append((at, place))
                 for nr, found in by_item.items():
                     n = seeds.length[nr]
                     found.sort()

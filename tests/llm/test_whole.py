@@ -169,3 +169,34 @@ def test_quotes_ties_and_long_texts(spark):
     rows = [(1, 0, "same words here"), (1, 1, "same words here"), (1, 2, "> same words here\nok"), (2, 0, long), (2, 1, "> line number 4999 of a long message\nyes")]
     got = {(c, t): (r.reply_to, r.place) for r in quotes.reply_order(spark.createDataFrame([(c, t, "user", x) for c, t, x in rows], "conv_id long, turn long, role string, text string")).collect() for c, t in [(r.conv_id, r.turn)]}
     assert got[1, 2] == (1, 1) and got[2, 1] == (0, 1) and got[1, 0] == (None, 0)
+
+
+def test_decontamination_equals_all_pairs(spark):
+    """Items with a shared opening: every pair that a three-word seed and the alignment of whole texts find is found, and no other."""
+    rnd = random.Random(9)
+    vocabulary = [f"w{i}" for i in range(900)]
+    opening = "which of the following statements is true".split()
+    items = [(i, " ".join(opening + rnd.choices(vocabulary, k=rnd.randint(8, 40)))) for i in range(250)]
+    docs = []
+    for i in range(120):
+        words = rnd.choices(vocabulary, k=rnd.randint(0, 120))
+        if i % 3 == 0:
+            words[len(words) // 2 : len(words) // 2] = opening  # the opening alone is no copy
+        if i % 3 == 1:
+            copy = rnd.choice(items)[1].split()
+            for k in rnd.sample(range(len(copy)), len(copy) // rnd.choice([3, 4, 8])):
+                copy[k] = rnd.choice(vocabulary)
+            words[len(words) // 2 : len(words) // 2] = copy
+        docs.append((i, " ".join(words)))
+    want = set()
+    for d, text in docs:
+        w = text.split()
+        seeds = {tuple(w[k : k + 3]) for k in range(len(w) - 2)}
+        for i, item in items:
+            own = item.split()
+            if seeds & {tuple(own[k : k + 3]) for k in range(len(own) - 2)}:
+                score, same, width = decontaminate.align(own, w)
+                if score >= len(own) or (same >= 10 and same >= 0.4 * len(own) and same >= 0.8 * width):
+                    want.add((d, i))
+    got = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r.doc_id, r.item_id) for r in got.collect()} == want and len({d for d, _ in want}) > 20
