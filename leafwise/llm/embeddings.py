@@ -66,10 +66,11 @@ def points_of(vectors: DataFrame) -> DataFrame:
 
 
 def unit_rows(column: pa.Array) -> np.ndarray:
-    """Vectors of unit length, a row each; shorter ones are filled up with zeros."""
+    """Vectors of unit length, a row each; shorter ones are filled up with zeros. They are scaled by their largest part first, so that no square leaves the range of doubles."""
     lengths = pc.list_value_length(column).to_numpy(zero_copy_only=False).astype(np.int64)
     x = np.zeros((len(column), int(lengths.max(initial=1))))
     x[np.arange(x.shape[1]) < lengths[:, None]] = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    x /= np.abs(x).max(axis=1, keepdims=True, initial=5e-324)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -214,9 +215,17 @@ def links_of(pairs: DataFrame, threshold: float) -> DataFrame:
     return pairs.filter(F.col("sim") >= threshold).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def descend(points: DataFrame, graph: DataFrame, threshold: float) -> DataFrame:
-    """a, b, sim from one round: neighbours of neighbours, where one of the two links is fresh."""
+def descend(points: DataFrame, graph: DataFrame, threshold: float, member: DataFrame | None = None) -> DataFrame:
+    """a, b, sim from one round: neighbours of neighbours, where one of the two links is fresh.
+
+    `member` (point, component): what is joined already. Points all of whose
+    neighbours are in one component cannot join anything, so theirs are not compared.
+    """
     both = graph.select("a", "b", "fresh").unionByName(graph.select(F.col("b").alias("a"), F.col("a").alias("b"), "fresh")).groupBy("a", "b").agg(F.max("fresh").alias("fresh"))
+    if member is not None:
+        known = member.select(F.col("point").alias("b"), F.col("component").alias("of"))
+        spread = both.join(known, "b", "left").groupBy("a").agg(F.min(F.coalesce("of", "b")).alias("low"), F.max(F.coalesce("of", "b")).alias("high"))
+        both = both.join(spread.filter("low < high").select("a"), "a", "left_semi")
     # Long lists are dealt over groups by a hash of the neighbour.
     sizes = both.groupBy("a").agg(F.ceil(F.count("*") / GROUP).alias("groups"), F.max("fresh").alias("any")).filter("any = 1")
     met = both.join(sizes, "a").withColumn("g", F.pmod(F.xxhash64("a", "b"), F.col("groups"))).select("a", "b", "g")
@@ -229,8 +238,10 @@ def descend(points: DataFrame, graph: DataFrame, threshold: float) -> DataFrame:
 def refine(points: DataFrame, pairs: DataFrame, threshold: float, *, rounds: int) -> tuple[DataFrame, DataFrame]:
     """(graph, links) after up to `rounds` rounds from compared `pairs` (a, b, sim, fresh); it stops when a round finds no new link."""
     graph, links = spool(nearest(pairs, threshold)), spool(links_of(pairs, threshold))
+    # What the orders have joined already: dense groups are mostly one component by now.
+    member = spool(components(links).select(F.col("node").alias("point"), "component"))
     for _ in range(rounds):
-        found = spool(descend(points, graph, threshold).withColumn("fresh", F.lit(1)))
+        found = spool(descend(points, graph, threshold, member).withColumn("fresh", F.lit(1)))
         graph = spool(nearest(found.unionByName(graph.withColumn("fresh", F.lit(0))), threshold))
         more = links_of(found, threshold).join(links, ["a", "b"], "left_anti")
         if more.isEmpty():

@@ -141,3 +141,11 @@ def test_weak_spans_equal_brute_force():
                     runs[-1].append(i) if i == runs[-1][-1] + 1 else runs.append([i])
                 want |= {(r[0], r[-1] + 1, role) for r in runs if any(text[i].isalnum() for i in r if i >= value)}
         assert set(secrets.weak_spans(text, base)) == want
+
+
+def test_vectors_of_extreme_sizes(spark):
+    from leafwise.llm import embeddings
+
+    rows = [(1, [1e200, 0.0]), (2, [2e200, 1e198]), (3, [1e-200, 0.0]), (4, [0.0, 5e-324]), (5, [0.0, 1e300]), (6, [1.0, -1.0])]
+    got = embeddings.near_duplicates(spark.createDataFrame([(i, v, 0) for i, v in rows], "vec_id long, embedding array<double>, label int")).collect()
+    assert {r.vec_id: (r.n_links, r.component_id) for r in got} == {1: (2, 1), 2: (2, 1), 3: (2, 1), 4: (1, 4), 5: (1, 4), 6: (0, 6)}
