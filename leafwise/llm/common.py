@@ -43,13 +43,22 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
+#: Rows and bytes of `found` up to which marked() broadcasts it.
+MARKED_ROWS, MARKED_BYTES = 200_000, 16 << 20
+
+
 def marked(docs: DataFrame, found: DataFrame, how: str) -> DataFrame:
     """`docs` joined with `found` (doc_id, t, and further columns that `docs` does not have) on doc_id, null or not, and the text's hash t.
 
-    Rows that share a doc_id and differ in text are so told apart. The smaller
-    side is hashed; texts are not sorted.
+    Rows that share a doc_id and differ in text are so told apart. `found` is
+    written first and counted: below MARKED_ROWS rows and MARKED_BYTES bytes it is
+    broadcast and no text moves; beyond, the smaller side is hashed.
     """
-    right = found.withColumnsRenamed({"doc_id": "found_doc_id", "t": "found_t"}).alias("found").hint("shuffle_hash")
+    found = spool(found)
+    long = sum((F.octet_length(F.to_json(F.struct(c))) for c in found.columns if c not in ("doc_id", "t")), F.lit(16))
+    rows, size = found.agg(F.count("*"), F.coalesce(F.sum(long), F.lit(0))).first()
+    kind = "broadcast" if rows <= MARKED_ROWS and size <= MARKED_BYTES else "shuffle_hash"
+    right = found.withColumnsRenamed({"doc_id": "found_doc_id", "t": "found_t"}).alias("found").hint(kind)
     left = docs.alias("docs")
     met = left.join(right, F.col("docs.doc_id").eqNullSafe(F.col("found.found_doc_id")) & (text_hash(F.col("docs.text")) == F.col("found.found_t")), how)
     if how in ("left_semi", "left_anti"):
@@ -62,6 +71,8 @@ def text_hash(text) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
+#: Spark's setting for the rows that go to Python at once, and its value within scratch(): whole texts are long rows.
+BATCH_ROWS, FEW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "2000"
 #: Spark's setting by which shuffle files go with their query.
 DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Folders that the innermost scratch() has to take away; None outside of any.
@@ -84,12 +95,14 @@ def scratch(spark: SparkSession) -> Iterator[None]:
     """
     global _written
     outer, _written = _written, []
-    before = spark.conf.get(DROP_SHUFFLES, "false")
+    before = {k: spark.conf.get(k, v) for k, v in ((DROP_SHUFFLES, "false"), (BATCH_ROWS, "10000"))}
     spark.conf.set(DROP_SHUFFLES, "true")
+    spark.conf.set(BATCH_ROWS, FEW_ROWS)
     try:
         yield
     finally:
-        spark.conf.set(DROP_SHUFFLES, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
         for path in _written:
             remove(spark, path)
         _written = outer
@@ -106,7 +119,14 @@ def spool(df: DataFrame, *, codec: str = "zstd") -> DataFrame:
     if _written is not None:
         _written.append(path)
     df.write.option("compression", codec).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    read = df.sparkSession.read.schema(df.schema).parquet(path)
+    read.spooled_at = path
+    return read
+
+
+def forget(df: DataFrame) -> None:
+    """Take away what spool() has written of `df`, when nothing is to read it any more."""
+    remove(df.sparkSession, df.spooled_at)
 
 
 def kept_from(spark: SparkSession, made: Callable[[], DataFrame]) -> DataFrame:
