@@ -44,6 +44,8 @@ INTRO = r"(?i)^.{0,200}\b(?:wrote|said|schrieb|escribi[oó]|a [eé]crit)[ \t]*:[
 #: Words of a run that is sought across line breaks, and the lines after its first that it can reach.
 SHINGLE = 5
 REACH = SHINGLE - 1
+#: Places of a thread in one list of chats().
+PART = 1_000
 
 
 def quote_level(line: Column) -> Column:
@@ -171,6 +173,18 @@ def reply_order(messages: DataFrame) -> DataFrame:
     )
 
 
+def chats(ordered: DataFrame, *, part: int = PART) -> DataFrame:
+    """conv_id, thread_root, part, turns: the threads of reply_order() as lists of (role, body) in reply order.
+
+    A thread of more than `part` places comes in several parts, counted from 0, so
+    no list grows with a thread. Messages without a body are left out; those that
+    share a place stand by turn; a part without any has no row.
+    """
+    said = ordered.filter(F.col("body") != "").withColumn("part", F.floor(F.col("place") / part))
+    turns = F.array_sort(F.collect_list(F.struct("place", "turn", "role", "body")))
+    return said.groupBy("conv_id", "thread_root", "part").agg(F.transform(turns, lambda m: F.struct(m["role"].alias("role"), m["body"].alias("body"))).alias("turns"))
+
+
 def op8_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every message without quotes, with what it answers and its place in the threads."""
     return kept_from(spark, lambda: reply_order(table(spark, sf_dir, "conversations")))

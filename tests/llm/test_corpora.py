@@ -196,6 +196,11 @@ def test_quotes(spark):
     ]
     assert out == sorted(want, key=str)
     assert quotes.reply_order(df.filter("false")).count() == 0
+    lists = {(r.conv_id, r.thread_root, r.part): [(m.role, m.body) for m in r.turns] for r in quotes.chats(quotes.reply_order(df), part=2).collect()}
+    assert lists == {
+        (1, 0, 0): [("user", "First point here.\nSecond, point!"), ("user", "I agree.")], (1, 0, 1): [("user", "Me too.")],
+        (1, 1, 0): [("assistant", "An answer\nof two lines")], (2, 1, 0): [("user", "other conversation")] * 2,
+    }
 
 
 def test_decontamination(spark):
