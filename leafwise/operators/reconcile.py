@@ -199,6 +199,11 @@ def _prefixes(c: Column, *, whole: bool) -> Column:
     return F.concat(parts, F.array(c)) if whole else parts
 
 
+def _normal(entries: DataFrame) -> Column:
+    """The normal form of the entries' labels, which the column `norm` holds where it was worked out before."""
+    return F.col("norm") if "norm" in entries.columns else label("label")
+
+
 def matches(targets: DataFrame, sources: DataFrame, *, page: list[str], on: list[str]) -> DataFrame:
     """page columns, `on`, row_nr: which target labels fit a label of which source row of their page.
 
@@ -206,8 +211,8 @@ def matches(targets: DataFrame, sources: DataFrame, *, page: list[str], on: list
     the longer one. Both ways are equal joins: a whole label meets the beginnings
     of the other side.
     """
-    t = targets.select(*page, *on, label("label").alias("_l")).filter("_l <> ''")
-    s = sources.select(*page, "row_nr", label("label").alias("_l")).filter("_l <> ''").distinct()
+    t = targets.select(*page, *on, _normal(targets).alias("_l")).filter("_l <> ''")
+    s = sources.select(*page, "row_nr", _normal(sources).alias("_l")).filter("_l <> ''").distinct()
     longer = s.select(*page, "row_nr", F.explode(_prefixes(F.col("_l"), whole=True)).alias("_l")).distinct()
     shorter = t.select(*page, *on, F.explode(_prefixes(F.col("_l"), whole=False)).alias("_l"))
     keys = [*page, "_l"]
@@ -221,7 +226,7 @@ def best_rows(targets: DataFrame, sources: DataFrame, *, page: list[str], target
     apart, as labels may repeat), label; `sources`: page columns, row_nr, label.
     Ties go to the first row; a match needs two entries, or all if there is one.
     """
-    fine = targets.filter(label("label") != "")
+    fine = targets.filter(_normal(targets) != "")
     score = matches(fine, sources, page=page, on=[target, entry]).groupBy(*page, target, "row_nr").agg(F.count("*").alias("score"))
     size = fine.groupBy(*page, target).agg(F.count_distinct(entry).alias("_n"))
     best = score.groupBy(*page, target).agg(F.max(F.struct("score", (-F.col("row_nr")).alias("nr"))).alias("m"))
@@ -239,7 +244,7 @@ def set_mark(text: Column, name: Column, selected: Column) -> Column:
 
 def _options(sources: DataFrame, page: list[str]) -> DataFrame:
     """page columns, row_nr, options: the marked options of each source row, in order."""
-    return sources.withColumn("norm", label("label")).groupBy(*page, "row_nr").agg(F.array_sort(F.collect_list(F.struct("entry_nr", "label", "selected", "norm"))).alias("options"))
+    return sources.withColumn("norm", _normal(sources)).groupBy(*page, "row_nr").agg(F.array_sort(F.collect_list(F.struct("entry_nr", "label", "selected", "norm"))).alias("options"))
 
 
 def _group(labels: Column) -> Column:
@@ -268,16 +273,21 @@ def restore_leading(fragments: DataFrame, options: DataFrame, *, page: list[str]
     return met.withColumns({"n_restored": F.when(none, 0).otherwise(n), text: F.when(none, F.col(text)).otherwise(fixed)}).drop("_on", "_parts")
 
 
-def repair_fragments(fragments: DataFrame, sources: DataFrame, *, page: list[str], target: str) -> DataFrame:
+def repair_fragments(fragments: DataFrame, sources: DataFrame, *, page: list[str], target: str, path: str | None = None) -> DataFrame:
     """Fragments (page columns, target, text) with marks set as their best source row has them, and n_changes.
 
     A fragment's options are set one after the other in order, as later labels
-    may begin like earlier ones.
+    may begin like earlier ones. With a folder, `path`, what several steps read
+    (source entries, fragments, their entries) is worked out once and written there.
     """
+    once = lambda rows, name: rows if path is None else kept(rows, f"{path}/{name}")
+    sources = once(sources.withColumn("norm", _normal(sources)), "sources")
     options = _options(sources, page)
     given = restore_leading(fragments.select(*page, target, "text"), options, page=page, text="text").withColumn("_entries", fragment_entries(F.col("text")))
+    given = once(given, "given")
     # A label's normal form is worked out once, where the entries stand in rows.
     entries = given.select(*page, target, F.posexplode("_entries").alias("entry_nr", "e")).select(*page, target, "entry_nr", "e.label", label("e.label").alias("norm"))
+    entries = once(entries, "entries")
     best = best_rows(entries, sources, page=page, target=target)
     chosen = entries.join(best, [*page, target]).join(options, [*page, "row_nr"])
     fit = F.filter("options", lambda s: labels_match(s["norm"], F.col("norm")))
@@ -290,8 +300,8 @@ def repair_fragments(fragments: DataFrame, sources: DataFrame, *, page: list[str
     return out.select(*page, target, F.col("fixed").alias("text"), (F.col("n_restored") + F.when(F.col("text") == F.col("fixed"), 0).otherwise(changed)).alias("n_changes"))
 
 
-def repair(values: DataFrame, sources: DataFrame, *, page: list[str], target: str) -> DataFrame:
-    """Values (page columns, target, text) with marks set right, and n_changes.
+def repair(values: DataFrame, sources: DataFrame, *, page: list[str], target: str, path: str | None = None) -> DataFrame:
+    """Values (page columns, target, text) with marks set right, and n_changes; `path` as for repair_fragments().
 
     The rows of a table are repaired one by one; a value without table rows, or
     with rows of which none changes, is repaired as a whole.
@@ -303,7 +313,7 @@ def repair(values: DataFrame, sources: DataFrame, *, page: list[str], target: st
     pieces = F.when(table, F.concat(whole, F.transform(cut, lambda x, i: F.struct(i.alias("_nr"), x.alias("text"))))).otherwise(whole)
     rows = values.select(*page, target, F.explode(pieces).alias("p")).select(*page, F.struct(target, "p._nr").alias("_piece"), "p.text")
     asked = (F.col("_piece._nr") == -1) | F.col("text").rlike(f"^{ROW}$")
-    fixed = repair_fragments(rows.filter(asked), sources, page=page, target="_piece").unionByName(rows.filter(~asked).withColumn("n_changes", F.lit(0)))
+    fixed = repair_fragments(rows.filter(asked), sources, page=page, target="_piece", path=path).unionByName(rows.filter(~asked).withColumn("n_changes", F.lit(0)))
     of = F.struct(F.col("_piece._nr").alias("nr"), "text", "n_changes")
     got = fixed.groupBy(*page, F.col(f"_piece.{target}").alias(target)).agg(F.array_sort(F.collect_list(of)).alias("ps"))
     inner = F.filter("ps", lambda x: x["nr"] >= 0)

@@ -11,6 +11,7 @@ from leafwise.functions import text as T
 from leafwise.operators import context as C
 from leafwise.operators import figures, ledger, metrics, project, reconcile, render, sections
 from leafwise.sources.html import page_blocks
+from leafwise.sources.shared import shared_folder
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -312,7 +313,7 @@ def checkbox_repair(spark, sf_dir):
     first = F.when(F.col("p_partkey") % 7 == 0, "").otherwise("☐")
     cell = F.concat(first, F.get("a", 0), F.lit(" ☐"), F.get("a", 1), F.lit(" ☐"), F.get("a", 2))
     values = p.select("p_partkey", F.lit(0).alias("nr"), F.concat(F.lit("<table><tr><th>Finish</th></tr><tr><td>"), cell, F.lit("</td></tr></table>")).alias("text"))
-    return reconcile.repair(values, sources, page=["p_partkey"], target="nr").select("p_partkey", "text", "n_changes")
+    return reconcile.repair(values, sources, page=["p_partkey"], target="nr", path=shared_folder(spark, "repair")).select("p_partkey", "text", "n_changes")
 
 
 @query("""WITH RECURSIVE w AS (SELECT user_id, value, event_id, row_number() OVER (PARTITION BY user_id ORDER BY value, event_id) AS k FROM events WHERE value IS NOT NULL),
