@@ -590,4 +590,4 @@ def image_jobs(spark, sf_dir):
 QUERIES["page_blocks"] = QUERIES.pop("page_blocks_query")
 ORACLES["page_blocks"] = ORACLES.pop("page_blocks_query")
 
-from leafwise.plans import resumed  # noqa: E402, F401 - registers its queries
+from leafwise.plans import helpers, resumed  # noqa: E402, F401 - they register their queries
