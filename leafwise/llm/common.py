@@ -72,7 +72,7 @@ def text_hash(text) -> Column:
 
 
 #: Spark's setting for the rows that go to Python at once, and its value within scratch(): whole texts are long rows.
-BATCH_ROWS, FEW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "2000"
+BATCH_ROWS, FEW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "1000"
 #: Spark's setting by which shuffle files go with their query.
 DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Folders that the innermost scratch() has to take away; None outside of any.
@@ -86,6 +86,11 @@ def remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def few_rows(spark: SparkSession) -> None:
+    """From now on the session hands fewer rows to Python at once, for work on whole texts."""
+    spark.conf.set(BATCH_ROWS, FEW_ROWS)
+
+
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """What spool() writes within is taken away at the end: nothing that is read later may come from it.
