@@ -150,12 +150,12 @@ def durable_stages(spark, sf_dir):
 
 @query("SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS n_bytes, CAST(1 AS BIGINT) AS n_seen, CASE WHEN page_id % 6 < 4 THEN 'first' ELSE 'second' END AS run FROM pages")
 def cursor_scan(spark, sf_dir):
-    """Pages in files that a scan finds two at a time, over two runs; each page is seen once, in the run after its file came."""
+    """Pages in files that a scan finds a few at a time, over two runs; each page is seen once, in the run after its file came."""
     pages, base = table(spark, sf_dir, "pages").select("page_id", F.coalesce("html", F.lit("")).alias("html")), shared_folder(spark, "scan")
     schema = pages.schema
     for name, condition in (("first", "page_id % 6 < 4"), ("second", "page_id % 6 >= 4")):
-        pages.filter(condition).repartition(4).write.mode("append").parquet(f"{base}/in")
-        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).parquet(f"{base}/in")
+        pages.filter(condition).repartition("page_id").write.mode("append").parquet(f"{base}/in")
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 8).parquet(f"{base}/in")
         scan.scan_on(stream.withColumn("run", F.lit(name)), f"{base}/out", checkpoint=f"{base}/cp").awaitTermination()
     got = spark.read.schema("page_id long, html string, run string, batch int").parquet(f"{base}/out")
     return got.groupBy("page_id", "run").agg(F.max(F.octet_length("html")).cast("long").alias("n_bytes"), F.count("*").alias("n_seen"))
