@@ -216,7 +216,8 @@ def matches(targets: DataFrame, sources: DataFrame, *, page: list[str], on: list
     longer = s.select(*page, "row_nr", F.explode(_prefixes(F.col("_l"), whole=True)).alias("_l")).distinct()
     shorter = t.select(*page, *on, F.explode(_prefixes(F.col("_l"), whole=False)).alias("_l"))
     keys = [*page, "_l"]
-    return t.join(longer, keys).unionByName(shorter.join(s, keys)).select(*page, *on, "row_nr").distinct()
+    # Merged, as labels and their beginnings are many more than the file sizes let Spark expect.
+    return t.join(longer.hint("merge"), keys).unionByName(shorter.join(s.hint("merge"), keys)).select(*page, *on, "row_nr").distinct()
 
 
 def best_rows(targets: DataFrame, sources: DataFrame, *, page: list[str], target: str, entry: str = "entry_nr") -> DataFrame:
@@ -225,12 +226,24 @@ def best_rows(targets: DataFrame, sources: DataFrame, *, page: list[str], target
     `targets`: page columns, target, entry (a number that tells a target's entries
     apart, as labels may repeat), label; `sources`: page columns, row_nr, label.
     Ties go to the first row; a match needs two entries, or all if there is one.
+    Targets with the same entries are scored once, against the first of the rows
+    with the same labels; rows of a page are not paired.
     """
-    fine = targets.filter(_normal(targets) != "")
-    score = matches(fine, sources, page=page, on=[target, entry]).groupBy(*page, target, "row_nr").agg(F.count("*").alias("score"))
-    size = fine.groupBy(*page, target).agg(F.count_distinct(entry).alias("_n"))
-    best = score.groupBy(*page, target).agg(F.max(F.struct("score", (-F.col("row_nr")).alias("nr"))).alias("m"))
-    met = best.join(size, [*page, target]).filter(F.col("m.score") >= F.least(F.lit(2), F.col("_n")))
+    fine = targets.select(*page, target, entry, _normal(targets).alias("_l")).filter(F.col("_l") != "")
+    for c in (*page, target):
+        fine = fine.filter(F.col(c).isNotNull())
+    # Both groupings are by target, so rows move once.
+    each = fine.repartition(*page, target).groupBy(*page, target, entry).agg(F.array_sort(F.collect_set("_l")).alias("_ls"))
+    asked = each.groupBy(*page, target).agg(F.array_sort(F.collect_list("_ls")).alias("_entries"))
+    named = sources.select(*page, "row_nr", _normal(sources).alias("_l")).filter("_l <> ''")
+    rows = named.groupBy(*page, "row_nr").agg(F.array_sort(F.collect_set("_l")).alias("_ls")).groupBy(*page, "_ls").agg(F.min("row_nr").alias("row_nr"))
+    kinds = asked.groupBy(*page, "_entries").agg(F.min(target).alias("_kind"))
+    labels = kinds.select(*page, "_kind", F.posexplode("_entries").alias("_nr", "_of")).select(*page, "_kind", "_nr", F.explode("_of").alias("norm"))
+    score = matches(labels, rows.select(*page, "row_nr", F.explode("_ls").alias("norm")), page=page, on=["_kind", "_nr"]).groupBy(*page, "_kind", "row_nr").agg(F.count("*").alias("score"))
+    best = score.groupBy(*page, "_kind").agg(F.max(F.struct("score", (-F.col("row_nr")).alias("nr"))).alias("m"))
+    # Kinds may be as many as targets: what Spark guesses of their size is no ground to send them to the driver.
+    scored = kinds.join(best.hint("merge"), [*page, "_kind"]).filter(F.col("m.score") >= F.least(F.lit(2), F.size("_entries")))
+    met = asked.join(scored.hint("merge"), [*page, "_entries"])
     return met.select(*page, target, (-F.col("m.nr")).alias("row_nr"), F.col("m.score").alias("score"))
 
 

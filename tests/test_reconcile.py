@@ -55,3 +55,36 @@ def test_a_lost_mark_needs_one_row_that_fits(spark):
 def test_marks_present(spark):
     df = spark.createDataFrame([("☐x", None), ("x", "y"), (None, "a ■")], "a string, b string")
     assert [r.m for r in df.select(reconcile.has_mark(F.col("a"), F.col("b")).alias("m")).collect()] == [True, False, True]
+
+
+def _joined_rows(df):
+    """Rows that each join of the run plan made."""
+    out, todo = [], [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        plan = todo.pop()
+        name = plan.getClass().getSimpleName()
+        if "Join" in name:
+            out.append(plan.metrics().apply("numOutputRows").value())
+        if name == "AdaptiveSparkPlanExec":
+            todo.append(plan.executedPlan())
+        elif name.endswith("QueryStageExec"):
+            todo.append(plan.plan())
+        children = plan.children()
+        todo += [children.apply(i) for i in range(children.size())]
+    return out
+
+
+def test_rows_of_a_large_page_are_not_paired(spark):
+    n, names = 1500, ("Brand#1", "Brand#13", "Rose", "Mint")
+    kinds = [(names[i % 4], names[i // 4 % 3], i) for i in range(n)]
+    targets = spark.createDataFrame([(1, i, nr, label) for a, b, i in kinds for nr, label in enumerate((a, b, a))], "page int, target int, entry_nr int, label string")
+    sources = spark.createDataFrame([(1, i, label) for a, b, i in kinds for label in (b, a)], "page int, row_nr int, label string")
+    best = reconcile.best_rows(targets, sources, page=["page"], target="target")
+    got = {r.target: (r.row_nr, r.score) for r in best.collect()}
+    fits = lambda x, y: x == y or min(len(x), len(y)) >= 4 and (x.startswith(y) or y.startswith(x))
+    want = {}
+    for a, b, i in kinds:
+        score, row = max((sum(fits(x, c) or fits(x, d) for x in (a, b, a)), -j) for c, d, j in kinds[:12])
+        want[i] = (-row, score)
+    assert got == want
+    assert max(_joined_rows(best)) <= 2 * n
