@@ -7,6 +7,8 @@ label have no number; tables without one are labelled by the number they get.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,17 +25,24 @@ FIGURE = rf"!\[({_TEXT}+)\]\(([^()\s]+)(?:\s+(?:\"[^\"]*\"|'[^']*'))?\)({_LIST})
 TABLE = rf"(?m)^:[ \t]+([^\n]*?)[ \t]*({_LIST})?[ \t]*$(?=\n(?:[ \t]*\n)*[ \t]*[|+])"
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value worked out once: a column that is named again within a lambda is worked out again for each element."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def attributes(given: Column) -> Column:
     """struct(label, classes, pairs) of an attribute list: the last `#label` (NULL: none), the classes in order, and keys with their values without quotes; a key's last value counts."""
-    tokens = F.regexp_extract_all(F.coalesce(given, F.lit("")), F.lit(f"({_TOKEN})"), 1)
+    return _once(F.regexp_extract_all(F.coalesce(given, F.lit("")), F.lit(f"({_TOKEN})"), 1), _of_tokens)
+
+
+def _of_tokens(tokens: Column) -> Column:
     of = lambda mark: F.transform(F.filter(tokens, lambda t: t.startswith(mark)), lambda t: F.substring(t, F.lit(2), F.length(t)))
-    labels = of("#")
-    key = lambda t: F.regexp_extract(t, r"^([\w:-]+)=", 1)
     bare = lambda v: F.when(v.rlike(r"^[\"']"), F.regexp_replace(F.substring(v, F.lit(2), F.length(v) - 2), r"\\(.)", "$1")).otherwise(v)
-    named = F.transform(F.filter(tokens, lambda t: ~t.rlike(r"^[#.]")), lambda t: F.struct(key(t).alias("key"), bare(F.substring(t, F.length(key(t)) + 2, F.length(t))).alias("value")))
+    pair = lambda t: _once(F.regexp_extract(t, r"^([\w:-]+)=", 1), lambda k: F.struct(k.alias("key"), _once(F.substring(t, F.length(k) + 2, F.length(t)), bare).alias("value")))
+    named = F.transform(F.filter(tokens, lambda t: ~t.rlike(r"^[#.]")), pair)
     # Of equal keys the last one stays.
-    last = F.filter(named, lambda p, i: ~F.exists(F.slice(named, i + 2, F.size(named) + 1), lambda q: q["key"] == p["key"]))
-    return F.struct(F.element_at(F.when(F.size(labels) > 0, labels).otherwise(F.array(F.lit(None).cast("string"))), -1).alias("label"), of(".").alias("classes"), F.map_from_entries(last).alias("pairs"))
+    last = _once(named, lambda ps: F.filter(ps, lambda p, i: ~F.exists(F.slice(ps, i + 2, F.size(ps) + 1), lambda q: q["key"] == p["key"])))
+    return F.struct(F.try_element_at(of("#"), F.lit(-1)).alias("label"), of(".").alias("classes"), F.map_from_entries(last).alias("pairs"))
 
 
 def _found(text: Column, pattern: str, *groups: str) -> Column:
@@ -46,9 +55,10 @@ def figures(text: Column) -> Column:
     """Array of struct(caption, path, label, classes, pairs, number) of the figures in a text, in order; figures of one label share its number."""
     found = F.transform(_found(text, FIGURE, "caption", "path", "attrs"), lambda m: F.struct(strip(m["caption"]).alias("caption"), m["path"].alias("path"), attributes(m["attrs"]).alias("a")))
     found = F.filter(found, lambda m: m["caption"] != "")
-    labels = F.array_distinct(F.filter(F.transform(found, lambda m: m["a"]["label"]), lambda x: x.isNotNull()))
-    number = lambda m: F.when(m["a"]["label"].isNotNull(), F.array_position(labels, m["a"]["label"]).cast("int"))
-    return F.transform(found, lambda m: F.struct(m["caption"].alias("caption"), m["path"].alias("path"), m["a"]["label"].alias("label"), m["a"]["classes"].alias("classes"), m["a"]["pairs"].alias("pairs"), number(m).alias("number")))
+    labels = lambda ms: F.array_distinct(F.filter(F.transform(ms, lambda m: m["a"]["label"]), lambda x: x.isNotNull()))
+    number = lambda m, known: F.when(m["a"]["label"].isNotNull(), F.array_position(known, m["a"]["label"]).cast("int"))
+    told = lambda m, known: F.struct(m["caption"].alias("caption"), m["path"].alias("path"), m["a"]["label"].alias("label"), m["a"]["classes"].alias("classes"), m["a"]["pairs"].alias("pairs"), number(m, known).alias("number"))
+    return _once(found, lambda ms: _once(labels(ms), lambda known: F.transform(ms, lambda m: told(m, known))))
 
 
 def tables(text: Column) -> Column:
@@ -63,10 +73,11 @@ def tables(text: Column) -> Column:
 
     def step(acc: Column, m: Column) -> Column:
         named = F.when(m["label"].isNull(), F.concat(F.lit("tbl:"), F.size(acc["labels"]) + 1)).when(m["label"].startswith("tbl:"), m["label"]).otherwise(F.concat(F.lit("tbl:"), m["label"]))
-        return F.struct(F.array_union(acc["labels"], F.array(named)).alias("labels"), F.concat(acc["own"], F.array(named)).alias("own"))
+        labels = F.when(F.array_contains(acc["labels"], named), acc["labels"]).otherwise(F.concat(acc["labels"], F.array(named)))
+        return F.struct(labels.alias("labels"), F.concat(acc["own"], F.array(named)).alias("own"))
 
-    own = F.aggregate(given, start, step)
-    return F.transform(given, lambda m, i: F.struct(m["caption"].alias("caption"), F.get(own["own"], i).alias("label"), F.array_position(own["labels"], F.get(own["own"], i)).cast("int").alias("number")))
+    told = lambda m, label, labels: F.struct(m["caption"].alias("caption"), label.alias("label"), F.array_position(labels, label).cast("int").alias("number"))
+    return _once(given, lambda ms: _once(F.aggregate(ms, start, step), lambda own: F.transform(ms, lambda m, i: told(m, F.get(own["own"], i), own["labels"]))))
 
 
 def with_captions(texts: DataFrame, *, text: str = "text") -> DataFrame:

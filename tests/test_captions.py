@@ -1,5 +1,7 @@
 """Attribute lists, captions, label numbers and references of Markdown texts."""
 
+import time
+
 from pyspark.sql import functions as F
 
 from leafwise.operators import captions
@@ -64,3 +66,16 @@ def test_figure_blocks(spark):
     df = captions.with_captions(spark.createDataFrame([(text,)], "text string"))
     out = df.select(F.transform("figures", captions.figure_block).alias("b")).first().b
     assert out == ['::: {#fig:q .figure .a k="v \\"w\\""}\n![](p.png)\n\nCap\n:::', "::: {.figure}\n![](r.png)\n\nPlain\n:::"]
+
+
+def test_long_texts_take_time_in_proportion(spark):
+    def seconds(n):
+        lines = "".join(f"![Cap {i}](f.png){{#fig:{i % 50} .c alt='say \"{i}\"'}}\n\n: Table {i} {{#{i % 50}}}\n\n| x |\n\n: Bare {i}\n\n| x |\n\n" for i in range(n))
+        began = time.time()
+        row = captions.with_captions(spark.createDataFrame([(1, lines)], "doc_id int, text string")).first()
+        assert [(f.caption, f.label, f.number, f.pairs) for f in row.figures] == [(f"Cap {i}", f"fig:{i % 50}", i % 50 + 1, {"alt": f'say "{i}"'}) for i in range(n)]
+        assert len(row.tables) == 2 * n and row.tables[-1].number == len({t.label for t in row.tables})
+        return time.time() - began
+
+    seconds(2)
+    assert seconds(400) < 10
