@@ -279,7 +279,7 @@ def restore_leading(fragments: DataFrame, options: DataFrame, *, page: list[str]
     group = lambda x: F.regexp_replace(F.regexp_replace(cell(x), r"^\s+|\s+$", ""), rf"\s*[{MARKS}]\s*", "\x01")
     found = lambda x: F.when(x.contains("\x03"), F.try_element_at("_on", group(x)))
     put = lambda x: F.regexp_replace(x, "(?s)\x03(\\s*)", F.concat(F.lit("$1"), F.when(found(x).isNull(), "").when(found(x), "☑").otherwise("☐")))
-    met = fragments.join(maps, page, "left").withColumn("_parts", parts)
+    met = fragments.join(maps.hint("merge"), page, "left").withColumn("_parts", parts)
     fixed = F.array_join(F.transform("_parts", lambda x: F.regexp_replace(put(x), "[\x03\x04]", "")), "")
     n = F.size(F.filter("_parts", lambda x: found(x).isNotNull()))
     none = F.col("_on").isNull()
@@ -292,6 +292,8 @@ def repair_fragments(fragments: DataFrame, sources: DataFrame, *, page: list[str
     A fragment's options are set one after the other in order, as later labels
     may begin like earlier ones. With a folder, `path`, what several steps read
     (source entries, fragments, their entries) is worked out once and written there.
+    Written files are much smaller than their rows, so joins are merged by name:
+    by its guess Spark would send all pages' rows to the driver.
     """
     once = lambda rows, name: rows if path is None else kept(rows, f"{path}/{name}")
     sources = once(sources.withColumn("norm", _normal(sources)), "sources")
@@ -302,10 +304,10 @@ def repair_fragments(fragments: DataFrame, sources: DataFrame, *, page: list[str
     entries = given.select(*page, target, F.posexplode("_entries").alias("entry_nr", "e")).select(*page, target, "entry_nr", "e.label", label("e.label").alias("norm"))
     entries = once(entries, "entries")
     best = best_rows(entries, sources, page=page, target=target)
-    chosen = entries.join(best, [*page, target]).join(options, [*page, "row_nr"])
+    chosen = entries.join(best.hint("merge"), [*page, target]).join(options.hint("merge"), [*page, "row_nr"])
     fit = F.filter("options", lambda s: labels_match(s["norm"], F.col("norm")))
     plans = chosen.withColumn("on", F.get(fit, 0)["selected"]).filter("on IS NOT NULL").groupBy(*page, target).agg(F.array_sort(F.collect_list(F.struct("entry_nr", "label", "on"))).alias("_plan"))
-    met = given.join(plans, [*page, target], "left")
+    met = given.join(plans.hint("merge"), [*page, target], "left")
     done = F.when(F.col("_plan").isNull(), F.col("text")).otherwise(F.aggregate("_plan", F.col("text"), lambda acc, p: set_mark(acc, p["label"], p["on"])))
     marks = lambda c: F.regexp_replace(c, f"[^{MARKS}]", "")
     out = met.withColumn("fixed", done)

@@ -88,3 +88,11 @@ def test_rows_of_a_large_page_are_not_paired(spark):
         want[i] = (-row, score)
     assert got == want
     assert max(_joined_rows(best)) <= 2 * n
+
+
+def test_repair_sends_no_pages_to_the_driver(spark, tmp_path):
+    sources = sources_of(spark, (10, 1, "■Oak"), (10, 2, "□Elm"))
+    values = spark.createDataFrame([(1, 0, "<table><tr><td>☐Oak ☐Elm</td></tr></table>")], "page int, nr int, text string")
+    out = reconcile.repair(values, sources, page=["page"], target="nr", path=f"file://{tmp_path}/repair")
+    assert out.first().n_changes == 1
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
