@@ -7,9 +7,13 @@ it is the same for all sets; those prefixes are the join keys, so no pair is
 lost. Shingles that a sample shows to be frequent are taken last, which only
 makes keys small. What the keys bring together is confirmed by the exact sets.
 
-Equal sets are one point. Under each key all points first meet the key's least
-point, which joins groups of copies by a linear number of pairs; only points
-that are still apart are then compared pair by pair, dense keys in tiles. Before the sets
+Equal sets are one point. Points first meet by SimHash with pigeonring, as in
+operator 9: each is paired with the least point that its fingerprint reaches, and
+the exact sets confirm the pair. What 64 bits cannot tell (most pairs below a
+similarity of 0.9) is left to the keys: under each key whose points are not
+joined yet, those apart from the key's least point meet it, which takes a linear
+number of pairs; points that are apart even then are
+compared pair by pair, dense keys in tiles. Before the sets
 of a pair are sent, their parity bitmaps are compared: they differ in no more
 bits than the sets differ in shingles, so this too loses nothing.
 
@@ -34,6 +38,7 @@ from xxhash import xxh64_intdigest
 
 from .common import forget, kept_from, slices, spool, text_hash, texts
 from .graph import components
+from .simhash import links_within, majority
 
 #: One text in SAMPLE is read for frequent shingles; those it shows FREQUENT times or more go last, up to LISTED of them.
 SAMPLE, FREQUENT, LISTED = 16, 4, 200_000
@@ -94,26 +99,35 @@ def frequent(docs: DataFrame, words: int) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, t, h (the set's hash), n (its size), bits (its parities), prefix."""
+    """doc_id, t, h (the set's hash), n (its size), bits (its parities), fp (its SimHash), prefix."""
     last = frequent(docs, words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in slices(whole, "text", BYTES)):
-            h, n, bits, kept = [], [], [], []
+            h, n, bits, fp, kept = [], [], [], [], []
             for text in batch.column("text").to_pylist():
                 s = shingle_set(text, words)
                 late = np.isin(s, last, assume_unique=True)
                 h.append(xxh64_intdigest(s.tobytes(), 7))
                 n.append(len(s))
                 bits.append(parities(s))
+                fp.append(majority(s.astype(">u8")))
                 kept.append(np.concatenate([s[~late], s[late]])[: prefix_length(len(s))])
             offsets = pa.array(np.cumsum([0, *map(len, kept)]), pa.int32())
             flat = pa.array(np.concatenate([np.zeros(0, np.uint64), *kept]).view(np.int64))
             columns = [batch.column("doc_id"), batch.column("t"), pa.array(np.array(h, np.uint64).view(np.int64)), pa.array(n, pa.int64())]
-            columns += [pa.array(bits, pa.list_(pa.int64())), pa.ListArray.from_arrays(offsets, flat)]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "t", "h", "n", "bits", "prefix"])
+            columns += [pa.array(bits, pa.list_(pa.int64())), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.ListArray.from_arrays(offsets, flat)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "t", "h", "n", "bits", "fp", "prefix"])
 
-    return _keyed(docs).select("doc_id", "t", "text").mapInArrow(run, "doc_id long, t long, h long, n long, bits array<long>, prefix array<long>")
+    return _keyed(docs).select("doc_id", "t", "text").mapInArrow(run, "doc_id long, t long, h long, n long, bits array<long>, fp long, prefix array<long>")
+
+
+def starred(points: DataFrame) -> DataFrame:
+    """a, b: each point and the least one that its fingerprint reaches by pigeonring, a pair for a point."""
+    prints = points.groupBy("fp").agg(F.min("h").alias("id"))
+    found = components(links_within(prints))
+    named = prints.join(found, prints["id"] == found["node"], "left").select("fp", F.coalesce("component", "id").alias("a"))
+    return points.join(named, "fp").select("a", F.col("h").alias("b")).filter("a <> b")
 
 
 def possible(points: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -181,23 +195,31 @@ def near_copies(docs: DataFrame, *, words: int = 5) -> DataFrame:
     """
     prints = spool(prefixes(docs, words))
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t")
-    points = spool(prints.groupBy("h").agg(F.min(first).alias("rep"), F.first("n").alias("n"), F.first("bits").alias("bits")))
+    points = spool(prints.groupBy("h").agg(F.min(first).alias("rep"), *[F.first(c).alias(c) for c in ("n", "bits", "fp")]))
+    spark = docs.sparkSession
+
+    def placed_in(rows: DataFrame, links: DataFrame) -> DataFrame:
+        member = spool(components(links).withColumnRenamed("node", "h"))
+        how = "broadcast" if member.count() <= BROADCAST else "shuffle_hash"
+        return rows.join(member.hint(how), "h", "left").withColumn("component", F.coalesce("component", "h"))
+
+    # Sets are long, so they go as soon as their pairs are judged.
+    links = kept_from(spark, lambda: confirmed(docs, points, spool(possible(points, starred(points))), words))
     # Prefixes are read from where they were written first, not written again.
     keyed = prints.groupBy("h").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix")).select("h", "n", F.posexplode("prefix").alias("pos", "k"))
     key = W.partitionBy("k")
-    shared = spool(keyed.withColumns({"held": F.count("*").over(key), "low": F.min(F.struct("h", "n")).over(key)}).filter("held > 1"))
-    led = spool(shared.filter("h <> low.h AND 5 * least(n, low.n) >= 4 * greatest(n, low.n)").select(F.col("low.h").alias("a"), F.col("h").alias("b")).distinct())
-    # Sets are long, so they go as soon as their pairs are judged.
-    spark = docs.sparkSession
-    links = kept_from(spark, lambda: confirmed(docs, points, spool(possible(points, led)), words))
-    member = spool(components(links).withColumnRenamed("node", "h"))
-    how = "broadcast" if member.count() <= BROADCAST else "shuffle_hash"
-    rest = shared.filter("held > 2").select("k", "h", "n", "pos").join(member.hint(how), "h", "left").withColumn("component", F.coalesce("component", "h"))
+    met = placed_in(keyed, links).withColumns({"held": F.count("*").over(key), "low": F.min(F.struct("h", "n", "pos", "component")).over(key), "one": F.min("component").over(key), "other": F.max("component").over(key)})
+    shared = spool(met.filter("one <> other").drop("one", "other"))
+    left = F.least(F.col("n") - F.col("pos"), F.col("low.n") - F.col("low.pos"))  # common shingles if this one is the first
+    apart = shared.filter((F.col("component") != F.col("low.component")) & (9 * left >= 4 * (F.col("n") + F.col("low.n"))))
+    led = spool(apart.select(F.col("low.h").alias("a"), F.col("h").alias("b")).distinct())
+    links = links.unionByName(kept_from(spark, lambda: confirmed(docs, points, spool(possible(points, led)), words)))
+    rest = placed_in(shared.filter("held > 2").select("k", "h", "n", "pos"), links)
     more = kept_from(spark, lambda: possible(points, _meetings(rest).join(led, ["a", "b"], "left_anti")))
     forget(shared)
     if not more.isEmpty():
         links = links.unionByName(kept_from(spark, lambda: confirmed(docs, points, more, words)))
-        member = components(links).withColumnRenamed("node", "h")
+    member = components(links).withColumnRenamed("node", "h")
     placed = points.select("h", "rep").join(member, "h", "left").withColumn("component", F.coalesce("component", "h"))
     least = placed.groupBy("component").agg(F.min("rep").alias("first"))
     firsts = placed.join(least, "component").select("h", "first")

@@ -48,7 +48,11 @@ def fingerprint(text: str, words: int = 3) -> int:
     ends = np.cumsum([len(x) + 1 for x in w])
     starts = [0, *ends[:-words].tolist()]
     stops = (ends[words - 1 :] - 1).tolist()
-    hashes = np.array([xxh64_intdigest(joined[a:b], 42) for a, b in zip(starts, stops, strict=True)], dtype=">u8")
+    return majority(np.array([xxh64_intdigest(joined[a:b], 42) for a, b in zip(starts, stops, strict=True)], dtype=">u8"))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes (big-endian 64-bit)."""
     counts = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 1 << 16):
         part = hashes[at : at + (1 << 16)]

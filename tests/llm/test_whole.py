@@ -200,3 +200,21 @@ def test_decontamination_equals_all_pairs(spark):
                     want.add((d, i))
     got = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
     assert {(r.doc_id, r.item_id) for r in got.collect()} == want and len({d for d, _ in want}) > 20
+
+
+def test_near_copies_meet_by_fingerprint_first(spark, monkeypatch):
+    asked = []
+    own = shingles.links_within
+    monkeypatch.setattr(shingles, "links_within", lambda points, *more: asked.append(points.count()) or own(points, *more))
+    base = [f"word{i}" for i in range(400)]
+    texts = [" ".join(base[:k] + [f"new{k}"] + base[k + 1 :]) for k in range(5, 395, 30)] + [f"another text of its own {i} with words{i}" for i in range(5)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    points = shingles.prefixes(docs, 5).groupBy("h").agg(F.first("fp").alias("fp")).cache()
+    fps = {r.h: r.fp & (1 << 64) - 1 for r in points.collect()}
+    links = [(a, b) for a in fps for b in fps if a < b and (fps[a] ^ fps[b]).bit_count() <= 2]
+    least = least_of(sorted(fps), links)
+    got = sorted((r.a, r.b) for r in shingles.starred(points).collect())
+    assert links and got == sorted((a, b) for b, a in least.items() if a != b)
+    asked.clear()
+    assert {r.component_id for r in shingles.near_copies(docs).filter("doc_id < 13").collect()} == {0}
+    assert asked == [len(set(fps.values()))]
