@@ -24,14 +24,13 @@ import json
 import re
 from array import array
 from collections.abc import Callable
-from functools import lru_cache
 from hashlib import sha256
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from tokenizers import Tokenizer
 
-from .common import map_texts, table, texts
+from .common import held, map_texts, table, texts
 
 #: Stands for the end-of-word mark inside words; no byte maps to it.
 END = "\ue000"
@@ -71,17 +70,15 @@ class PrefixEncoder:
         self.mark = model.get("end_of_word_suffix") or ""
         vocab: dict[str, int] = model["vocab"]
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
-        self.piece = {i: t for t, i in vocab.items()}
-        self.rank: dict[tuple[int, int], int] = {}
-        self.made: dict[int, int] = {}  # the rank of the merge that makes a token
-        self.parts: dict[int, tuple[int, int]] = {}
+        self.most = most = max(vocab.values()) + 1
+        self.rank: dict[int, int] = {}  # of a pair: left * most + right
+        self.made = array("i", [-1]) * most  # the rank of the merge that makes a token
+        self.left, self.right = array("i", [0]) * most, array("i", [0]) * most
         for rank, (a, b) in enumerate(merges):
             token = vocab[a + b]
-            self.rank[vocab[a], vocab[b]] = rank
-            self.made[token], self.parts[token] = rank, (vocab[a], vocab[b])
-        most = max(vocab.values()) + 1
+            self.rank[vocab[a] * most + vocab[b]] = rank
+            self.made[token], self.left[token], self.right[token] = rank, vocab[a], vocab[b]
         self.apart = Kept(lambda pair: self.compatible(*divmod(pair, most)), PAIRS // 2)
-        self.most = most
         self.letters = dict(enumerate(byte_letters()))
         letters = set(self.letters.values())
         entries: list[tuple[str, int]] = []
@@ -89,7 +86,7 @@ class PrefixEncoder:
             body = text.removesuffix(self.mark) if self.mark and text.endswith(self.mark) else text
             if not body or not set(body) <= letters:
                 continue
-            if token in self.parts and not self.compatible(*self.parts[token], upto=self.made[token]):
+            if self.made[token] >= 0 and not self.compatible(self.left[token], self.right[token], upto=self.made[token]):
                 continue  # the merges never reach this entry
             entries.append((body + END if body != text else body, token))
         self.build(entries)
@@ -122,6 +119,8 @@ class PrefixEncoder:
                     entry[further] = further if token[further] >= 0 else entry[suffix[further]]
                     below.append(further)
             level = below
+        none: dict[str, int] = {}
+        steps = [s or none for s in steps]  # most states lead nowhere
         self.steps, self.suffix, self.entry, self.token, self.length = steps, suffix, entry, token, length
 
     def compatible(self, left: int, right: int, upto: float = float("inf")) -> bool:
@@ -131,18 +130,18 @@ class PrefixEncoder:
         pairs met are those that really stood side by side while merging. At
         equal ranks the pair further left merges first.
         """
-        made, parts, rank = self.made, self.parts, self.rank
+        made, rank, most = self.made, self.rank, self.most
         while True:
-            joined = rank.get((left, right))
+            joined = rank.get(left * most + right)
             if joined is not None and joined < upto:
                 return False
-            a, b = made.get(left, -1), made.get(right, -1)
+            a, b = made[left], made[right]
             if a < 0 and b < 0:
                 return True
             if a > b:
-                left, upto = parts[left][1], a
+                left, upto = self.right[left], a
             else:
-                right, upto = parts[right][0], b + 1
+                right, upto = self.left[right], b + 1
 
     def encode(self, word: str) -> list[int]:
         """The ids of one pre-token."""
@@ -186,7 +185,8 @@ class TextCoder:
     def __init__(self, path: str) -> None:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        self.rules = Tokenizer.from_file(path)
+        rules = Tokenizer.from_file(path)  # its model is not needed
+        self.normalize, self.pre_tokenize = rules.normalizer.normalize_str, rules.pre_tokenizer.pre_tokenize_str
         self.encoder = PrefixEncoder(spec)
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.cut = re.compile("(" + "|".join(re.escape(t) for t in self.special) + ")")
@@ -194,14 +194,15 @@ class TextCoder:
         self.plain = Kept(lambda run: b"".join([words[w] for w in self.WORDS.findall(run)]), RUNS // 2)
         self.lettered = Kept(lambda w: array("I", self.encoder.encode_letters(w)).tobytes(), RUNS // 4)
         #: The text of each id; ids that no entry has stand for no text.
-        self.texts = [""] * (max([*self.encoder.piece, *self.special.values()]) + 1)
-        for text, i in [*((t, i) for i, t in self.encoder.piece.items()), *self.special.items()]:
+        entries = [*spec["model"]["vocab"].items(), *self.special.items()]
+        self.texts = [""] * (max(i for _, i in entries) + 1)
+        for text, i in entries:
             self.texts[i] = text
 
     def part(self, text: str) -> list[bytes]:
         if self.ELSE.search(text) is None:
             return list(map(self.plain.__getitem__, text.lower().split()))
-        words = self.rules.pre_tokenizer.pre_tokenize_str(self.rules.normalizer.normalize_str(text))
+        words = self.pre_tokenize(self.normalize(text))
         return [self.lettered[w] for w, _ in words]
 
     def code(self, text: str) -> bytes:
@@ -223,10 +224,9 @@ class TextCoder:
         return " ".join(map(self.texts.__getitem__, ids.tolist()))
 
 
-@lru_cache(1)
 def coder_of(path: str) -> TextCoder:
-    """One coder for all tasks of a Python worker."""
-    return TextCoder(path)
+    """One coder for all tasks of a Python worker, until it does other work."""
+    return held(TextCoder, path)
 
 
 def bpe_encode(docs: DataFrame, tokenizer: str, *, with_ids: bool = False) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -158,6 +159,34 @@ def slices(batch: pa.RecordBatch, column: str, limit: int) -> Iterator[pa.Record
         yield batch.slice(start)
 
 
+#: What this Python worker keeps for its later tasks: one thing, by what made it.
+_held: dict[tuple, object] = {}
+
+
+def held(make: Callable, *args):
+    """make(*args), kept in this Python worker for the tasks that ask for the same next; what it kept before is let go."""
+    key = (make, *args)
+    if key not in _held:
+        let_go()
+        _held[key] = make(*args)
+        give_back()
+    return _held[key]
+
+
+def let_go() -> None:
+    """Drop what held() keeps. Python workers outlive the stages of a pipeline, so tasks of other work begin with this."""
+    if _held:
+        _held.clear()
+        give_back()
+
+
+def give_back() -> None:
+    """Hand the memory that nothing uses any more back to the machine, Arrow's and the C library's."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    pa.system_memory_pool().release_unused()
+
+
 def map_texts(docs: DataFrame, per_text: Callable[[], Callable[[str], tuple]], schema: str, key: str = "doc_id") -> DataFrame:
     """Rows (key, *values) for every row of (key, text).
 

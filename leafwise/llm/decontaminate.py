@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import spool, table, text_hash, texts
+from .common import let_go, spool, table, text_hash, texts
 
 #: Words of a seed: a copy with every fourth word changed still holds some.
 SEED = 3
@@ -151,6 +151,7 @@ def passages(docs: DataFrame, items: list[tuple[int, str]], share: float) -> Dat
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         seeds = Seeds(items)
         for batch in batches:
             out: list[tuple] = []
@@ -261,6 +262,7 @@ def _judge(found: DataFrame, items: list[tuple[int, str]], least: float, least_w
         texts_of.setdefault(item_id, []).append(words_of(text))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for batch in batches:
             out = []
             for item_id, passage in zip(*(batch.column(c).to_pylist() for c in ("item_id", "passage")), strict=True):

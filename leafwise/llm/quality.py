@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_texts, table, texts
+from .common import let_go, map_texts, table, texts
 
 PIECE = 1024
 PIECES = 6000
@@ -75,6 +75,7 @@ def dictionaries(rows: DataFrame) -> tuple[bytes, bytes] | None:
     """The dictionaries of good and bad text, from PIECES pieces of either."""
 
     def cut(batches):
+        let_go()
         for batch in batches:
             out = [(d, i, y, raw[at : at + PIECE]) for d, y, raw in zip(batch.column("doc_id").to_pylist(), batch.column("label").to_pylist(), (t.encode() for t in batch.column("text").to_pylist()), strict=True) for i, at in enumerate(range(0, len(raw), PIECE))]
             yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], kind) for k, kind in enumerate((pa.int64(), pa.int32(), pa.int32(), pa.binary()))], names=["doc_id", "nr", "label", "piece"])
@@ -123,6 +124,7 @@ def train(docs: DataFrame, labels: DataFrame, held_out: Column) -> Callable[[str
     chosen = rows.withColumn("text", F.concat_ws(" ", F.col("label").cast("string"), "text"))
 
     def start() -> Callable[[str], tuple]:
+        let_go()
         return lambda text: (int(text[0]), features(text[2:], good, bad))
 
     seen = map_texts(chosen, start, "doc_id long, label long, x array<double>").orderBy("doc_id").limit(2 * FIT_ROWS).collect()
@@ -155,6 +157,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, *, least: float = 0.5) -> Data
 
     @F.pandas_udf("double")
     def judge(text):
+        let_go()
         return text.map(lambda t: score(t or ""))
 
     return docs.filter(judge("text") >= least)

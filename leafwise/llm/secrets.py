@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import marked, spool, table, text_hash, texts, unused
+from .common import let_go, marked, spool, table, text_hash, texts, unused
 
 #: The base patterns and their least lengths.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -90,6 +90,7 @@ def scan(docs: DataFrame) -> DataFrame:
     span = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64()), ("kind", pa.string())]))
 
     def run(batches):
+        let_go()
         for batch in batches:
             base, weak = [], []
             for text in batch.column("text").to_pylist():
@@ -145,6 +146,7 @@ def redact(docs: DataFrame, *, scope: int = 400, need: int = 2, mark: str = "[SE
 
     @F.pandas_udf("string")
     def cut(text, found):
+        let_go()
         return type(text)([_cut(t, s, mark) for t, s in zip(text, found, strict=True)])
 
     out = marked(docs, spans, "left").withColumn("text", F.when(F.col(held).isNull(), F.col("text")).otherwise(cut("text", held)))

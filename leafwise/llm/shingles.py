@@ -36,7 +36,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import forget, kept_from, slices, spool, text_hash, texts
+from .common import forget, kept_from, let_go, slices, spool, text_hash, texts
 from .graph import components
 from .simhash import links_within, majority
 
@@ -89,6 +89,7 @@ def frequent(docs: DataFrame, words: int) -> np.ndarray:
     """Shingles that a sample of the texts holds often, sorted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for batch in (part for whole in batches for part in slices(whole, "text", BYTES)):
             for text in batch.column("text").to_pylist():
                 yield pa.RecordBatch.from_arrays([pa.array(shingle_set(text, words).view(np.int64))], names=["k"])
@@ -103,6 +104,7 @@ def prefixes(docs: DataFrame, words: int) -> DataFrame:
     last = frequent(docs, words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for batch in (part for whole in batches for part in slices(whole, "text", BYTES)):
             h, n, bits, fp, kept = [], [], [], [], []
             for text in batch.column("text").to_pylist():
@@ -144,6 +146,7 @@ def confirmed(docs: DataFrame, points: DataFrame, pairs: DataFrame, words: int)
     how = "broadcast" if asked.count() <= BROADCAST else "shuffle_hash"
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for batch in (part for whole in batches for part in slices(whole, "text", BYTES)):
             yield pa.RecordBatch.from_arrays([batch.column("h"), pa.array([shingle_set(t, words).tobytes() for t in batch.column("text").to_pylist()], pa.binary())], names=["h", "s"])
 
@@ -156,6 +159,7 @@ def confirmed(docs: DataFrame, points: DataFrame, pairs: DataFrame, words: int)
     leaders = dealt.select("a", "g").distinct().join(sets.withColumnRenamed("h", "a"), "a").select("a", "g", F.lit(0).alias("kind"), F.col("a").alias("b"), "s")
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         lead = np.zeros(0, np.uint64)
         for batch in (part for whole in batches for part in slices(whole, "s", BYTES)):
             out = []

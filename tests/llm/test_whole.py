@@ -218,3 +218,34 @@ def test_near_copies_meet_by_fingerprint_first(spark, monkeypatch):
     asked.clear()
     assert {r.component_id for r in shingles.near_copies(docs).filter("doc_id < 13").collect()} == {0}
     assert asked == [len(set(fps.values()))]
+
+
+def test_workers_let_the_coder_go_when_another_stage_begins(spark, monkeypatch):
+    """Python workers outlive a stage: what encode keeps in them must not stay there through the stages of the next run."""
+    import weakref
+
+    import corpus_pipeline
+    import public_tokenizers
+
+    from leafwise.llm import bpe, quality
+
+    docs = spark.createDataFrame([(i, f"text {i} of some words and user: me{i} host: a.example.com password: x{i}y" * 3) for i in range(12)], "doc_id long, text string").coalesce(1)
+    labels, items = docs.selectExpr("doc_id", "cast(doc_id % 2 as int) AS quality"), docs.selectExpr("doc_id AS item_id", "text").limit(2)
+    monkeypatch.setattr(corpus_pipeline, "table", lambda spark, sf_dir, name: {"labels": labels, "benchmark": items}[name])
+    ran, whole = {}, type(docs).mapInArrow
+
+    def noted(df, f, *more, **named):
+        ran.setdefault(stage, []).append(f)
+        return whole(df, f, *more, **named)
+
+    monkeypatch.setattr(type(docs), "mapInArrow", noted)
+    monkeypatch.setattr(quality, "held_out_rows", lambda *a: F.lit(False))
+    for stage, f in corpus_pipeline.STAGES:
+        f(spark, docs, "").collect()
+    assert list(ran) == [name for name, _ in corpus_pipeline.STAGES]
+    path = public_tokenizers.path("word_bpe_49k.json")
+    for stage, tasks in ran.items():
+        for task in tasks if stage != "encode" else tasks[:1]:
+            coder = weakref.ref(bpe.coder_of(path))
+            list(task(iter(())))
+            assert (coder() is None) == (stage != "encode"), stage
