@@ -15,7 +15,10 @@ joined yet, those apart from the key's least point meet it, which takes a linear
 number of pairs; points that are apart even then are
 compared pair by pair, dense keys in tiles. Before the sets
 of a pair are sent, their parity bitmaps are compared: they differ in no more
-bits than the sets differ in shingles, so this too loses nothing.
+bits than the sets differ in shingles, so this too loses nothing. Points of
+dense keys are compared so within the join itself, which gives only the pairs
+that are left; what is left anywhere is compared by bitmaps as long as the sets,
+as short ones tell long sets apart badly.
 
 Defined results: null texts count as empty; texts without words are copies of
 each other; texts with fewer words than a shingle have one shingle of all words;
@@ -27,11 +30,11 @@ an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
@@ -50,6 +53,8 @@ BROADCAST = 300_000
 BYTES = 1 << 21
 #: Longs of a parity bitmap.
 LONGS = 8
+#: Points of a key beyond which their bitmaps are compared within the join.
+DENSE = 24
 
 
 def shingle_set(text: str, words: int = 5) -> np.ndarray:
@@ -69,12 +74,26 @@ def prefix_length(n: int) -> int:
     return n - (4 * n + 4) // 5 + 1 if n else 0
 
 
-def parities(s: np.ndarray) -> np.ndarray:
+def parities(s: np.ndarray, longs: int = LONGS) -> np.ndarray:
     """A bitmap of a set: each bit is the parity of the number of shingles that fall on it."""
-    odd = np.bincount((s % np.uint64(64 * LONGS)).astype(np.int64), minlength=64 * LONGS) & 1
+    odd = np.bincount((s % np.uint64(64 * longs)).astype(np.int64), minlength=64 * longs) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+def wide_parities(s: np.ndarray) -> np.ndarray:
+    """The bitmap with two bits or more for a shingle; its length is a power of two."""
+    return parities(s, max(LONGS, 1 << (max(len(s) - 1, 0) >> 5).bit_length()))
+
+
+def least_difference(x: np.ndarray, y: np.ndarray) -> int:
+    """Shingles in which the sets of two bitmaps differ at least; the longer one is folded to the shorter one's length."""
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count((x ^ y).view(np.uint64)).sum())
+
+
 def similar(x: np.ndarray, y: np.ndarray) -> bool:
     """Whether two sorted sets have a Jaccard similarity of 4/5 or more: 9 * common >= 4 * (sum of the sizes)."""
     return 9 * len(np.intersect1d(x, y, assume_unique=True)) >= 4 * (len(x) + len(y))
@@ -136,23 +155,49 @@ def possible(points: DataFrame, pairs: DataFrame) -> DataFrame:
     """The `pairs` whose bitmaps allow the similarity: sets of similarity 4/5 differ in a ninth of their sizes' sum at most."""
     of = lambda c: points.select(F.col("h").alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"bits{c}"))
     met = pairs.join(of("a"), "a").join(of("b"), "b")
-    differ = sum((F.bit_count(F.col("bitsa")[i].bitwiseXOR(F.col("bitsb")[i])) for i in range(LONGS)), F.lit(0))
-    return met.filter(9 * differ <= F.col("na") + F.col("nb")).select("a", "b")
+    return met.filter(_allowed(F.col("bitsa"), F.col("bitsb"), F.col("na"), F.col("nb"))).select("a", "b")
 
 
-def confirmed(docs: DataFrame, points: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
-    """a, b of those `pairs` of points whose sets are similar. Each set is built once; a leader with many pairs is dealt over groups."""
+def _allowed(x: Column, y: Column, nx: Column, ny: Column) -> Column:
+    differ = sum((F.bit_count(x[i].bitwiseXOR(y[i])) for i in range(LONGS)), F.lit(0))
+    return 9 * differ <= nx + ny
+
+
+def _built(docs: DataFrame, points: DataFrame, pairs: DataFrame, words: int, make: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """h, n, s: for each point of `pairs` its number of shingles and the bytes of what `make` gives of its set."""
     asked = spool(points.select("h", "rep.doc_id", "rep.t").join(pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct(), "h", "left_semi"))
     how = "broadcast" if asked.count() <= BROADCAST else "shuffle_hash"
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         let_go()
         for batch in (part for whole in batches for part in slices(whole, "text", BYTES)):
-            yield pa.RecordBatch.from_arrays([batch.column("h"), pa.array([shingle_set(t, words).tobytes() for t in batch.column("text").to_pylist()], pa.binary())], names=["h", "s"])
+            sets = [shingle_set(t, words) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("h"), pa.array(map(len, sets), pa.int64()), pa.array([make(s).tobytes() for s in sets], pa.binary())], names=["h", "n", "s"])
 
     # Rows that repeat a doc_id and a text only repeat links.
     met = _keyed(docs).alias("x").join(asked.alias("y").hint(how), F.col("x.doc_id").eqNullSafe(F.col("y.doc_id")) & (F.col("x.t") == F.col("y.t")))
-    sets = spool(met.select("h", "text").mapInArrow(build, "h long, s binary"))
+    return spool(met.select("h", "text").mapInArrow(build, "h long, n long, s binary"))
+
+
+def _left_by_bitmaps(docs: DataFrame, points: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
+    """The `pairs` that the sets' wide bitmaps allow, a small part of the sets' own bytes."""
+    maps = _built(docs, points, pairs, words, wide_parities)
+    of = lambda c: maps.select(F.col("h").alias(c), F.col("n").alias(f"n{c}"), F.col("s").alias(f"s{c}"))
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
+        for batch in (part for whole in batches for part in slices(whole, "sa", BYTES)):
+            sides = zip(*(batch.column(c).to_pylist() for c in ("na", "nb", "sa", "sb")), strict=True)
+            fits = [9 * least_difference(np.frombuffer(x, np.int64), np.frombuffer(y, np.int64)) <= nx + ny for nx, ny, x, y in sides]
+            yield batch.select(["a", "b"]).filter(pa.array(fits, pa.bool_()))
+
+    return spool(pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(judge, "a long, b long"))
+
+
+def confirmed(docs: DataFrame, points: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
+    """a, b of those `pairs` of points whose sets are similar. Only sets of pairs that bitmaps allow are sent; a leader with many pairs is dealt over groups."""
+    pairs = _left_by_bitmaps(docs, points, pairs, words)
+    sets = _built(docs, points, pairs, words, lambda s: s).select("h", "s")
     sized = pairs.groupBy("a").agg(F.ceil(F.count("*") / GROUP).alias("groups"))
     dealt = pairs.select("a", "b").join(sized, "a").withColumn("g", F.pmod(F.xxhash64("b"), F.col("groups"))).select("a", "g", "b")
     members = dealt.join(sets.withColumnRenamed("h", "b"), "b").select("a", "g", F.lit(1).alias("kind"), "b", "s")
@@ -175,19 +220,27 @@ def confirmed(docs: DataFrame, points: DataFrame, pairs: DataFrame, words: int)
     return both.mapInArrow(judge, "a long, b long")
 
 
-def _meetings(shared: DataFrame) -> DataFrame:
-    """a, b: points of different components under one key whose sizes and places in the prefix allow the similarity."""
+def _meetings(points: DataFrame, shared: DataFrame) -> DataFrame:
+    """a, b: points of different components under one key whose sizes, places in the prefix and bitmaps allow the similarity."""
     key = W.partitionBy("k")
-    apart = shared.withColumns({"low": F.min("component").over(key), "high": F.max("component").over(key), "tiles": F.ceil(F.count("*").over(key) / TILE).cast("int")}).filter("low <> high")
+    apart = shared.withColumns({"low": F.min("component").over(key), "high": F.max("component").over(key), "held": F.count("*").over(key)}).filter("low <> high")
+    apart = apart.withColumn("tiles", F.ceil(F.col("held") / TILE).cast("int"))
     dealt = spool(apart.withColumn("tile", F.pmod(F.xxhash64("h"), F.col("tiles")).cast("int")).drop("low", "high"))
+    few = possible(points, _met(dealt.filter(F.col("held") <= DENSE), F.lit(True)).distinct())
+    many = dealt.filter(F.col("held") > DENSE).join(points.select("h", "bits"), "h")
+    return few.unionByName(_met(many, _allowed(F.col("x.bits"), F.col("y.bits"), F.col("x.n"), F.col("y.n")))).distinct()
+
+
+def _met(dealt: DataFrame, more: Column) -> DataFrame:
+    """a, b: points of one key and two tiles, or one, that fit and of which `more` holds."""
     x = dealt.withColumn("j", F.explode(F.sequence(F.col("tile"), F.col("tiles") - 1))).withColumnRenamed("tile", "i").alias("x")
     y = dealt.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("tile")))).withColumnRenamed("tile", "j").alias("y")
     left = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos"))  # common shingles if this one is the first
     fits = (
         (F.col("x.k") == F.col("y.k")) & (F.col("x.i") == F.col("y.i")) & (F.col("x.j") == F.col("y.j")) & (F.col("x.component") != F.col("y.component"))
-        & ((F.col("x.i") < F.col("x.j")) | (F.col("x.h") < F.col("y.h"))) & (9 * left >= 4 * (F.col("x.n") + F.col("y.n")))
+        & ((F.col("x.i") < F.col("x.j")) | (F.col("x.h") < F.col("y.h"))) & (9 * left >= 4 * (F.col("x.n") + F.col("y.n"))) & more
     )
-    return x.join(y, fits).select(F.least("x.h", "y.h").alias("a"), F.greatest("x.h", "y.h").alias("b")).distinct()
+    return x.join(y, fits).select(F.least("x.h", "y.h").alias("a"), F.greatest("x.h", "y.h").alias("b"))
 
 
 def near_copies(docs: DataFrame, *, words: int = 5) -> DataFrame:
@@ -205,21 +258,25 @@ def near_copies(docs: DataFrame, *, words: int = 5) -> DataFrame:
     def placed_in(rows: DataFrame, links: DataFrame) -> DataFrame:
         member = spool(components(links).withColumnRenamed("node", "h"))
         how = "broadcast" if member.count() <= BROADCAST else "shuffle_hash"
+        if how == "broadcast":  # rows are dealt by key before they get their component, which makes them shorter
+            rows = rows.repartition("k")
         return rows.join(member.hint(how), "h", "left").withColumn("component", F.coalesce("component", "h"))
 
     # Sets are long, so they go as soon as their pairs are judged.
     links = kept_from(spark, lambda: confirmed(docs, points, spool(possible(points, starred(points))), words))
     # Prefixes are read from where they were written first, not written again.
     keyed = prints.groupBy("h").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix")).select("h", "n", F.posexplode("prefix").alias("pos", "k"))
+    packed = keyed.select("h", F.shiftleft("n", 32).bitwiseOR(F.col("pos").cast("long")).alias("at"), "k")
     key = W.partitionBy("k")
-    met = placed_in(keyed, links).withColumns({"held": F.count("*").over(key), "low": F.min(F.struct("h", "n", "pos", "component")).over(key), "one": F.min("component").over(key), "other": F.max("component").over(key)})
+    unpacked = placed_in(packed, links).select("h", F.shiftright("at", 32).alias("n"), F.col("at").bitwiseAND(F.lit((1 << 32) - 1)).alias("pos"), "k", "component")
+    met = unpacked.withColumns({"held": F.count("*").over(key), "low": F.min(F.struct("h", "n", "pos", "component")).over(key), "one": F.min("component").over(key), "other": F.max("component").over(key)})
     shared = spool(met.filter("one <> other").drop("one", "other"))
     left = F.least(F.col("n") - F.col("pos"), F.col("low.n") - F.col("low.pos"))  # common shingles if this one is the first
     apart = shared.filter((F.col("component") != F.col("low.component")) & (9 * left >= 4 * (F.col("n") + F.col("low.n"))))
     led = spool(apart.select(F.col("low.h").alias("a"), F.col("h").alias("b")).distinct())
     links = links.unionByName(kept_from(spark, lambda: confirmed(docs, points, spool(possible(points, led)), words)))
     rest = placed_in(shared.filter("held > 2").select("k", "h", "n", "pos"), links)
-    more = kept_from(spark, lambda: possible(points, _meetings(rest).join(led, ["a", "b"], "left_anti")))
+    more = kept_from(spark, lambda: _meetings(points, rest).join(led, ["a", "b"], "left_anti"))
     forget(shared)
     if not more.isEmpty():
         links = links.unionByName(kept_from(spark, lambda: confirmed(docs, points, more, words)))

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from leafwise.llm import decontaminate, quotes, shingles
@@ -249,3 +250,28 @@ def test_workers_let_the_coder_go_when_another_stage_begins(spark, monkeypatch):
             coder = weakref.ref(bpe.coder_of(path))
             list(task(iter(())))
             assert (coder() is None) == (stage != "encode"), stage
+
+
+def test_unlike_points_of_dense_keys_and_long_sets_make_no_pairs(spark):
+    rng = np.random.default_rng(5)
+    # 60 points of one key whose sets share nothing else: before, each two of them were a pair that was written and then judged.
+    sets = [np.unique(rng.integers(0, 1 << 63, 200, dtype=np.uint64)) for _ in range(59)]
+    sets.append(np.sort(np.concatenate([sets[0][:195], rng.integers(0, 1 << 63, 5, dtype=np.uint64)])))
+    rows = [(i, len(s), [int(x) for x in shingles.parities(s)]) for i, s in enumerate(sets)]
+    points = spark.createDataFrame(rows, "h long, n long, bits array<long>").cache()
+    shared = points.selectExpr("1L AS k", "h", "n", "0L AS pos", "h AS component")
+    assert [(r.a, r.b) for r in shingles._meetings(points, shared).collect()] == [(0, 59)]
+    # Long sets: the short bitmaps allow unlike ones, the wide ones do not; bitmaps of any two lengths never show more than the sets differ in.
+    long = [np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64)) for n in (2000, 1900)]
+    seen = lambda bitmap, x, y: shingles.least_difference(bitmap(x), bitmap(y))
+    assert 9 * seen(shingles.parities, *long) <= sum(map(len, long)) < 9 * seen(shingles.wide_parities, *long)
+    for n, m in ((0, 3), (1, 1), (250, 270), (500, 640), (2000, 1700)):
+        x = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+        y = np.unique(np.concatenate([x[: m // 2], rng.integers(0, 1 << 63, m - m // 2, dtype=np.uint64)]))
+        assert seen(shingles.wide_parities, x, y) <= len(np.setxor1d(x, y))
+    words = [f"w{i}" for i in range(4000)]
+    docs = spark.createDataFrame([(0, " ".join(words[:2000])), (1, " ".join(words[1000:3000])), (2, " ".join(["x", *words[:2000]]))], "doc_id long, text string")
+    points = shingles.prefixes(docs, 5).select("h", F.struct("doc_id", "t").alias("rep"), "n", "bits").cache()
+    h = {r.rep.doc_id: r.h for r in points.collect()}
+    pairs = spark.createDataFrame([(h[0], h[1]), (h[0], h[2])], "a long, b long")
+    assert [(r.a, r.b) for r in shingles._left_by_bitmaps(docs, points, pairs, 5).collect()] == [(h[0], h[2])]
