@@ -42,7 +42,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .bpe import Kept, byte_letters
+from .bpe import byte_letters
 from .common import kept_from, remove, shared_dir, slices, table, texts
 
 BLOCK = 1024
@@ -52,6 +52,7 @@ BYTES = 16 << 20  # of texts that are encoded at once
 MAGIC = b"LWT2"
 SLOTS, SHIFT = 1 << 9, np.uint32(23)  # entries of a block's tables of orders 1 and 2, and what a 32-bit hash is shifted by to give one
 SPREAD = np.array([[2654435761], [2246822519]], np.uint32)
+ROWS = 128  # blocks whose order 0 is prepared at once for writing
 #: Steps before which order 0 is counted anew.
 COUNTED = (16, 48, 128, 256, 384, 512, 768)
 U, TOP = np.uint64, (1 << 64) - 1
@@ -60,7 +61,8 @@ NONE, LOW16, LOW32 = 65535, np.uint32(65535), np.uint64((1 << 32) - 1)
 #: Weights are kept as the ends of the shares of orders 2, 1 and 0 of 1 << 16, three fields of 20 bits in a number.
 #: A step moves them by 1 / 32 towards the order that held, but leaves each share 64 or more.
 #: States: the trusts (0 to 3) of order 2 and order 1, and whether both name the same id.
-STATES, TRUST, AGREE = 32, np.array([[1], [4]], np.uint16), np.uint16(16)
+STATES, AGREE = 32, np.uint32(16)
+TRUST, FULL, HIGH16 = np.array([[1 << 16], [4 << 16]], np.uint32), np.array([[(4 << 16) - 1], [(13 << 16) - 1]], np.uint32), np.uint32(65535 << 16)
 RATE, FIELD, SLOW = 5, (1 << 20) - 1, 0x7FFF | 0x7FFF << 20 | 0x7FFF << 40
 PLACES = np.array([[0], [20], [40]])
 EVEN = 8192 | 12288 << 20 | 40960 << 40
@@ -101,34 +103,26 @@ class Mixture:
     def held(self) -> np.ndarray:
         return self.runs.repeat(self.size)
 
-    def find(self, ids: np.ndarray) -> np.ndarray:
-        """The entry of order 0 of each id (a row for each block), or -1."""
-        keys = ((self.lane[: len(ids), None] << 16).astype(np.uint32) | ids).ravel()
-        at = np.searchsorted(self.keys, keys)
-        at[at == len(self.keys)] = 0
-        entry = self.runs.take(at)
-        entry[self.keys.take(at) != keys] = -1
-        return entry.reshape(ids.shape)
-
     def predict(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Of the first `n` blocks: the ids of orders 1 and 2, and where the weights of orders 2, 1 and 0 end."""
         hashes = self.last[:, :n] * SPREAD
         hashes[1] ^= hashes[0]
         self.slot = self.base[:, :n] + (hashes >> SHIFT)
-        self.entry = self.after.take(self.slot).view(np.uint16).reshape(2, n, 2)
-        guess, trust = self.entry[:, :, 0], self.entry[:, :, 1]
+        self.entry = self.after.take(self.slot)
+        guess, trust = self.entry.astype(np.uint16), self.entry >> np.uint32(16)
         self.state = self.states[:n] + (trust[0] + trust[1] + (guess[0] == guess[1]) * AGREE)
         self.mix = self.weights.take(self.state)
         return guess, (self.mix >> PLACES & FIELD).view(U)
 
-    def learn(self, n: int, ids: np.ndarray, kind: np.ndarray) -> None:
+    def learn(self, n: int, ids: np.ndarray, kind: np.ndarray, held: np.ndarray) -> None:
+        """`held`: where the ids of orders 1 and 2 were right."""
         self.weights[self.state] = self.mix - (self.mix >> RATE & SLOW) + TOWARDS.take(kind)
-        new = np.empty((2, n, 2), np.uint16)
-        new[:, :, 0] = ids
-        np.multiply(np.minimum(self.entry[:, :, 1] + TRUST, TRUST * 3), self.entry[:, :, 0] == ids, out=new[:, :, 1])
-        self.after[self.slot] = new.view(np.uint32)[:, :, 0]
         self.last[1, :n] = self.last[0, :n]
         self.last[0, :n] = ids
+        new = np.minimum(self.entry + TRUST, FULL)
+        new &= held * HIGH16
+        new |= self.last[0, :n]
+        self.after[self.slot] = new
 
 
 def chunks(longest: int) -> Iterator[tuple[int, int]]:
@@ -137,6 +131,31 @@ def chunks(longest: int) -> Iterator[tuple[int, int]]:
     return zip(at[:-1], at[1:], strict=True)
 
 
+def counted(ids: np.ndarray) -> np.ndarray:
+    """Order 0 of each id (a row for each block, all ids known), a column for each block: size << 16 | place of its occurrences among the ids counted last, sorted; size 0 if it is not among them."""
+    lanes, longest = ids.shape
+    out = np.zeros((longest, lanes), np.uint32)
+    for row in range(0, lanes, ROWS):
+        part = ids[row : row + ROWS]
+        keys = part.astype(np.uint32) << np.uint32(16) | np.arange(longest, dtype=np.uint32)
+        keys.sort(axis=1)
+        first = np.ones(part.shape, bool)
+        first[:, 1:] = (keys[:, 1:] ^ keys[:, :-1]) > LOW16
+        # The number of each place's id among the distinct ids of all these blocks.
+        number = np.empty(part.size, np.int64)
+        number[((np.arange(len(part)) * longest)[:, None] + (keys & LOW16)).ravel()] = np.cumsum(first) - 1
+        number = number.reshape(part.shape)
+        block = np.flatnonzero(first) // longest
+        size, upto = np.zeros(len(block), np.int64), 0
+        for a, b in chunks(longest):
+            if a:
+                size += np.bincount(number[:, upto:a].ravel(), minlength=len(block))
+                runs = (size << 16 | np.cumsum(size) - size - a * block).astype(np.uint32)
+                out[a:b, row : row + ROWS] = runs.take(number[:, a:b]).T
+            upto = a
+    return out
+
+
 def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
     """Each block's ids as coded 32-bit words; blocks must not be empty.
 
@@ -149,25 +168,21 @@ def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
     ids = np.zeros((lanes, longest), np.uint16)
     for lane, i in enumerate(order):
         ids[lane, : len(blocks[i])] = blocks[i]
-    model = Mixture(lanes)
+    model, runs = Mixture(lanes), counted(ids)
     low, width = np.zeros(lanes, U), np.full(lanes, TOP, U)
     out, at = np.zeros((longest + 2, lanes), np.int64), np.zeros(lanes, np.int64)
     ends = np.zeros((5, lanes), U)
     n = lanes
     for a, b in chunks(longest):
         n = int(np.searchsorted(-sizes, -a, side="left"))
-        found = np.full((b - a, n), -1, np.int64)
-        if a:
-            model.count(ids[:n, :a])
-            found = np.ascontiguousarray(model.find(ids[:n, a:b]).T)
         coming = np.ascontiguousarray(ids[:n, a:b].T)
-        other = 3 - (found >= 0).view(np.uint8)
+        other = 3 - (runs[a:b, :n] > LOW16).view(np.uint8)
         for t in range(a, b):
             while sizes[n - 1] <= t:
                 n -= 1
-            x, entry, w = coming[t - a, :n], found[t - a, :n], width[:n]
+            x, w = coming[t - a, :n], width[:n]
             guess, shares = model.predict(n)
-            one, two = guess == x
+            one, two = held = guess == x
             kind = other[t - a, :n] * ~(one | two) + (one & ~two)
             r = w >> U(16)
             np.multiply(r, shares, out=ends[1:4, :n])
@@ -177,10 +192,10 @@ def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
             w = ends.ravel().take(spot + lanes) - add
             k = np.flatnonzero(kind == 2)
             if len(k):
-                e = entry.take(k).view(np.uint16).reshape(-1, 4)
-                r = w.take(k) // U(model.n)
-                add[k] += r * e[:, 1]
-                w[k] = r * e[:, 2]
+                e = runs[t].take(k)
+                r = w.take(k) // U(a)
+                add[k] += r * (e & LOW16)
+                w[k] = r * (e >> np.uint32(16))
             k = np.flatnonzero(kind == 3)
             if len(k):
                 r = w.take(k) >> U(16)
@@ -197,7 +212,7 @@ def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
                 now[k] <<= U(32)
                 w[k] <<= U(32)
             low[:n], width[:n] = now, w
-            model.learn(n, x, kind)
+            model.learn(n, x, kind, held)
     out[at, model.lane], out[at + 1, model.lane] = low >> U(32), low & LOW32
     for t in range(int(at.max()) + 1, 0, -1):
         out[t - 1] += out[t] >> 32
@@ -235,11 +250,12 @@ def decode_blocks(coded: list[bytes], counts: list[int]) -> list[np.ndarray]:
             while sizes[n - 1] <= t:
                 n -= 1
             w, c = width[:n], code[:n]
-            (g1, g2), shares = model.predict(n)
+            (g1, g2), shares = guess, _ = model.predict(n)
             r = w >> U(16)
             np.multiply(r, shares, out=ends[1:4, :n])
             ends[4, :n] = w
-            kind = (c >= ends[1:4, :n]).sum(axis=0, dtype=np.uint8)
+            beyond = (c >= ends[1:4, :n]).view(np.uint8)
+            kind = beyond[0] + beyond[1] + beyond[2]
             spot = kind * np.int64(lanes) + model.lane[:n]
             low = ends.ravel().take(spot)
             w = ends.ravel().take(spot + lanes) - low
@@ -268,7 +284,7 @@ def decode_blocks(coded: list[bytes], counts: list[int]) -> list[np.ndarray]:
                 w[k] <<= U(32)
             width[:n], code[:n] = w, c
             made[t - a, :n] = x
-            model.learn(n, x, kind)
+            model.learn(n, x, kind, guess == x)
         ids[:rows, a:b] = made.T
     out: list[np.ndarray] = [np.zeros(0, np.uint16)] * lanes
     for lane, i in enumerate(order):
@@ -312,82 +328,107 @@ def read_frame(body: bytes) -> tuple[int, list[int | None], np.ndarray, np.ndarr
     return start, [int(d) if k else None for d, k in zip(doc_ids, known, strict=True)], sizes, np.concatenate([np.zeros(0, np.uint16), *found]).astype("<u4")
 
 
+def laid(pool: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Stretches of `pool`, one behind the other."""
+    total = int(size.sum())
+    shift = (start - (np.cumsum(size) - size)).astype(np.int32 if max(total, len(pool)) < 1 << 30 else np.int64)
+    return pool.take(np.repeat(shift, size) + np.arange(total, dtype=shift.dtype))
+
+
 class ByteCoder:
     """Whole texts to ids with a byte-level tokenizer file.
 
-    Texts of a batch are cut at single spaces into runs; each distinct run is
-    looked at once in the batch, and its pieces (between the file's own cuts) are
-    encoded by the library's model and kept.
+    Texts of a batch are cut at single spaces into runs; each distinct run is cut
+    into pieces (between the file's own cuts) once in the batch. Distinct pieces
+    that are not known yet are handed to the library's model, many at once, with a
+    letter between them that no merge reaches over.
     """
 
     #: Texts with these are left to the library: special tokens, control and far letters.
     ELSE = re.compile("<\\||[\x1c-\x1fƀ-\U0010ffff]")
     #: Runs with these, and empty ones, stand beside other white space: their text's pieces are found in the whole text.
-    JOINED = re.compile("^$|[\t\x0b-\r\x85\xa0]|^\n|\n$")
-    #: Most runs: a word, marks behind it, and perhaps a line feed with another word and marks.
-    PLAIN = re.compile("([A-Za-zªµºÀ-ÖØ-öø-ſ]+)(MARK*)(?:\n([A-Za-zªµºÀ-ÖØ-öø-ſ]+)(MARK*))?".replace("MARK", "[!-&(-/:;=-@[-`{-~¡-©«-±´¶-¸»¿×÷]"))
+    ODD = "^$|[\t\x0b-\r\x85\xa0]|^\n|\n$|" + ELSE.pattern
     #: The word pattern of byte-level files, for letters up to U+017F.
     PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-zªµºÀ-ÖØ-öø-ſ]+| ?[0-9²³¹¼½¾]+| ?[^\t-\r \x85\xa0A-Za-zªµºÀ-ÖØ-öø-ſ0-9²³¹¼½¾]+|[\t-\r \x85\xa0]+(?![^\t-\r \x85\xa0])|[\t-\r \x85\xa0]+")
+    #: A byte of no UTF-8 text.
+    BETWEEN = 255
+    #: Pieces in one call of the model, and those kept before a new generation begins; one older generation is kept too.
+    AT_ONCE, MOST = 100, 300_000
+    #: Texts whose ids are put together at once.
+    TEXTS = 200
 
     def __init__(self, path: str) -> None:
         self.rules = Tokenizer.from_file(path)
         self.rules.no_truncation()
         self.rules.no_padding()
-        model, letters = self.rules.model, dict(enumerate(byte_letters()))
-        space = letters[32]
-
-        def encode(piece: str) -> bytes:
-            plain = space + piece[1:] if piece[:1] == " " and piece[1:].isascii() and piece[1:].isalpha() else piece.encode().decode("latin-1").translate(letters)
-            return array("I", [t.id for t in model.tokenize(plain)]).tobytes()
-
-        self.pieces = Kept(encode, 450_000)
+        model, letters = self.rules.model, byte_letters()
+        self.model = Tokenizer(model)  # without the file's own cuts
+        self.letters = np.array([ord(x) for x in letters], np.uint16)
+        alone = sum(letters[self.BETWEEN] in entry for entry in self.rules.get_vocab(with_added_tokens=False)) == 1
+        split = alone and not (model.ignore_merges or model.continuing_subword_prefix or model.end_of_word_suffix)
+        self.between, self.at_once = self.model.token_to_id(letters[self.BETWEEN]), self.AT_ONCE if split else 1
+        self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def pieces(self, names: list[str]) -> list[bytes]:
+        """Each piece's ids."""
+        if len(self.known) >= self.MOST:
+            self.old, self.known = self.known, {}
+        known, old, new = self.known, self.old, []
+        for name in names:
+            if name not in known:
+                known[name] = found = old.get(name, b"")
+                if not found:
+                    new.append(name)
+        for k in range(0, len(new), self.at_once):
+            some = new[k : k + self.at_once]
+            joined = bytes([self.BETWEEN]).join([name.encode() for name in some])
+            spelt = self.letters[np.frombuffer(joined, np.uint8)].astype("<u2").tobytes().decode("utf-16-le")
+            ids = np.array(self.model.encode_batch_fast([spelt], add_special_tokens=False)[0].ids, "<u4")
+            raw, at = ids.tobytes(), 0
+            for name, end in zip(some, [*np.flatnonzero(ids == self.between).tolist(), len(ids)] if len(some) > 1 else [len(ids)], strict=True):
+                known[name] = raw[4 * at : 4 * end]
+                at = end + 1
+        return [known[name] for name in names]
 
     def code(self, text: str) -> bytes:
         """One text's ids."""
         if self.ELSE.search(text) is not None:
             return array("I", self.rules.encode(text, add_special_tokens=False).ids).tobytes()
-        pieces = self.pieces
-        return b"".join([pieces[p] for p in self.PIECES.findall(text)])
+        return b"".join(self.pieces(self.PIECES.findall(text)))
 
     def code_all(self, texts: pa.StringArray) -> Iterator[bytes]:
         """The ids of each text."""
         cut = pc.split_pattern(texts, " ")
         runs = cut.flatten().dictionary_encode()
-        # Runs hold no spaces, so they can leave Arrow as one string.
-        names = pc.binary_join(pa.ListArray.from_arrays([0, len(runs.dictionary)], runs.dictionary), " ")[0].as_py().split(" ")
         which = runs.indices.to_numpy(zero_copy_only=False).copy()
         begin = cut.offsets.to_numpy()[:-1] - cut.offsets[0].as_py()
-        pieces, find = self.pieces, self.PIECES.findall
-        coded, odd, plain = [], [], self.PLAIN.fullmatch
-        for k, run in enumerate(names):
-            if run.isascii() and run.isalpha():
-                coded.append(pieces[" " + run])
-            elif (found := plain(run)) is not None:
-                word, marks, second, after = found.groups()
-                ids = pieces[" " + word] + pieces[marks] if marks else pieces[" " + word]
-                if second:
-                    ids += pieces["\n"] + pieces[second] + (pieces[after] if after else b"")
-                coded.append(ids)
-            elif self.JOINED.search(run) is not None or self.ELSE.search(run) is not None:
-                odd.append(k)
-                coded.append(b"")
-            else:
-                coded.append(b"".join([pieces[p] for p in find(" " + run)]))
-        alone = np.logical_or.reduceat(np.isin(which, odd), begin) if odd else np.zeros(len(texts), bool)
+        odd = pc.match_substring_regex(runs.dictionary, self.ODD)
+        names, odd = runs.dictionary.filter(pc.invert(odd)), odd.to_numpy(zero_copy_only=False)
+        alone = np.logical_or.reduceat(odd[which], begin)
+        # Runs hold no spaces, so they can leave Arrow as one string, and a piece with a space begins a run.
+        found = self.PIECES.findall(" " + pc.binary_join(pa.ListArray.from_arrays([0, len(names)], names), " ")[0].as_py()) if len(names) else []
+        heads = np.flatnonzero([piece[0] == " " for piece in found])
         # The first run of a text has no space before it.
-        firsts = [names[k] for k in which[begin].tolist()]
-        which[begin] = np.arange(len(firsts)) + len(names)
-        coded += [b"" if skip else b"".join([pieces[p] for p in find(run)]) for run, skip in zip(firsts, alone.tolist(), strict=True)]
-        sizes = np.fromiter(map(len, coded), np.int32, len(coded)) // 4
-        pool, start = np.frombuffer(b"".join(coded), "<u4"), np.cumsum(sizes, dtype=np.int32) - sizes
-        own = sizes[which]
-        place = np.cumsum(own) - own
-        total = int(own.sum())
-        shift = (start[which] - place).astype(np.int32 if total < 1 << 30 else np.int64)
-        ids = pool.take(np.repeat(shift, own) + np.arange(total, dtype=shift.dtype))
-        ends = np.append(place, len(ids))[np.append(begin[1:], len(which))]
-        for k, (a, b) in enumerate(zip(place[begin].tolist(), ends.tolist(), strict=True)):
-            yield self.code(texts[k].as_py()) if alone[k] else ids[a:b].tobytes()
+        firsts = [[] if skip else self.PIECES.findall(run) for run, skip in zip(runs.dictionary.take(pa.array(which[begin])).to_pylist(), alone.tolist(), strict=True)]
+        count = np.zeros(len(odd) + len(firsts), np.int64)
+        count[: len(odd)][~odd] = np.diff(heads, append=len(found))
+        count[len(odd) :] = [len(own) for own in firsts]
+        which[begin] = np.arange(len(firsts)) + len(odd)
+        for own in firsts:
+            found += own
+        coded = self.pieces(found)
+        # From pieces to runs, and from runs to texts.
+        upto, last = np.append(0, np.cumsum(np.fromiter(map(len, coded), np.int64, len(coded)) // 4)), np.cumsum(count)
+        start, size = upto[last - count], upto[last] - upto[last - count]
+        pool = np.frombuffer(b"".join(coded), "<u4")
+        begin = np.append(begin, len(which))
+        for first in range(0, len(firsts), self.TEXTS):
+            cuts = begin[first : first + self.TEXTS + 1]
+            some = which[cuts[0] : cuts[-1]]
+            ids, place = laid(pool, start[some], size[some]), np.append(0, np.cumsum(size[some]))[cuts - cuts[0]].tolist()
+            for k, (a, b) in enumerate(zip(place[:-1], place[1:], strict=True), first):
+                yield self.code(texts[k].as_py()) if alone[k] else ids[a:b].tobytes()
 
 
 @lru_cache(1)
