@@ -131,10 +131,10 @@ def chunks(longest: int) -> Iterator[tuple[int, int]]:
     return zip(at[:-1], at[1:], strict=True)
 
 
-def counted(ids: np.ndarray) -> np.ndarray:
-    """Order 0 of each id (a row for each block, all ids known), a column for each block: size << 16 | place of its occurrences among the ids counted last, sorted; size 0 if it is not among them."""
+def counted(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order 0 of each id (a row for each block, all ids known), a column for each block: size << 16 | place of its occurrences among the ids counted last, sorted. And 2 where it is among them, else 3."""
     lanes, longest = ids.shape
-    out = np.zeros((longest, lanes), np.uint32)
+    out, kind = np.empty((longest, lanes), np.uint32), np.empty((longest, lanes), np.uint8)
     for row in range(0, lanes, ROWS):
         part = ids[row : row + ROWS]
         keys = part.astype(np.uint32) << np.uint32(16) | np.arange(longest, dtype=np.uint32)
@@ -148,19 +148,19 @@ def counted(ids: np.ndarray) -> np.ndarray:
         block = np.flatnonzero(first) // longest
         size, upto = np.zeros(len(block), np.int64), 0
         for a, b in chunks(longest):
-            if a:
-                size += np.bincount(number[:, upto:a].ravel(), minlength=len(block))
-                runs = (size << 16 | np.cumsum(size) - size - a * block).astype(np.uint32)
-                out[a:b, row : row + ROWS] = runs.take(number[:, a:b]).T
+            size += np.bincount(number[:, upto:a].ravel(), minlength=len(block))
+            runs = (size << 16 | np.cumsum(size) - size - a * block).astype(np.uint32).take(number[:, a:b]).T
+            out[a:b, row : row + ROWS] = runs
+            kind[a:b, row : row + ROWS] = 3 - (runs > LOW16).view(np.uint8)
             upto = a
-    return out
+    return out, kind
 
 
 def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
     """Each block's ids as coded 32-bit words; blocks must not be empty.
 
     `low` and `width` are the interval of a range coder, 64 bits wide. A carry
-    goes to the word before and is resolved over all words at the end.
+    goes to the words before at once.
     """
     order = sorted(range(len(blocks)), key=lambda i: -len(blocks[i]))
     sizes = np.array([len(blocks[i]) for i in order])
@@ -168,22 +168,21 @@ def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
     ids = np.zeros((lanes, longest), np.uint16)
     for lane, i in enumerate(order):
         ids[lane, : len(blocks[i])] = blocks[i]
-    model, runs = Mixture(lanes), counted(ids)
+    model, (runs, other) = Mixture(lanes), counted(ids)
     low, width = np.zeros(lanes, U), np.full(lanes, TOP, U)
-    out, at = np.zeros((longest + 2, lanes), np.int64), np.zeros(lanes, np.int64)
+    out, at = np.zeros((longest + 2, lanes), np.uint32), np.zeros(lanes, np.int64)
     ends = np.zeros((5, lanes), U)
     n = lanes
     for a, b in chunks(longest):
         n = int(np.searchsorted(-sizes, -a, side="left"))
         coming = np.ascontiguousarray(ids[:n, a:b].T)
-        other = 3 - (runs[a:b, :n] > LOW16).view(np.uint8)
         for t in range(a, b):
             while sizes[n - 1] <= t:
                 n -= 1
             x, w = coming[t - a, :n], width[:n]
             guess, shares = model.predict(n)
             one, two = held = guess == x
-            kind = other[t - a, :n] * ~(one | two) + (one & ~two)
+            kind = other[t, :n] * ~(one | two) + (one & ~two)
             r = w >> U(16)
             np.multiply(r, shares, out=ends[1:4, :n])
             ends[4, :n] = w
@@ -192,8 +191,7 @@ def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
             w = ends.ravel().take(spot + lanes) - add
             k = np.flatnonzero(kind == 2)
             if len(k):
-                e = runs[t].take(k)
-                r = w.take(k) // U(a)
+                e, r = runs[t].take(k), w.take(k) // U(a)
                 add[k] += r * (e & LOW16)
                 w[k] = r * (e >> np.uint32(16))
             k = np.flatnonzero(kind == 3)
@@ -202,9 +200,12 @@ def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
                 add[k] += r * x.take(k)
                 w[k] = r
             now = low[:n] + add
-            k = np.flatnonzero(now < add)
-            if len(k):
-                out[at.take(k) - 1, k] += 1
+            k, back = np.flatnonzero(now < add), 1
+            while len(k):
+                spot = at.take(k) - back
+                word = out[spot, k] + np.uint32(1)
+                out[spot, k] = word
+                k, back = k[word == 0], back + 1
             k = np.flatnonzero(w <= LOW32)
             if len(k):
                 out[at.take(k), k] = now.take(k) >> U(32)
@@ -214,9 +215,7 @@ def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
             low[:n], width[:n] = now, w
             model.learn(n, x, kind, held)
     out[at, model.lane], out[at + 1, model.lane] = low >> U(32), low & LOW32
-    for t in range(int(at.max()) + 1, 0, -1):
-        out[t - 1] += out[t] >> 32
-    words = out.astype("<u4").T
+    words = np.ascontiguousarray(out[: int(at.max()) + 2].T).astype("<u4", copy=False)
     coded: list[bytes] = [b""] * lanes
     for lane, i in enumerate(order):
         coded[i] = words[lane, : at[lane] + 2].tobytes()
@@ -339,9 +338,10 @@ class ByteCoder:
     """Whole texts to ids with a byte-level tokenizer file.
 
     Texts of a batch are cut at single spaces into runs; each distinct run is cut
-    into pieces (between the file's own cuts) once in the batch. Distinct pieces
-    that are not known yet are handed to the library's model, many at once, with a
-    letter between them that no merge reaches over.
+    into pieces (between the file's own cuts) once in the batch. The distinct pieces
+    are handed to the library's model, many at once, with a letter between them
+    that no merge reaches over; that takes less time than to look them up in a
+    store of earlier batches' pieces.
     """
 
     #: Texts with these are left to the library: special tokens, control and far letters.
@@ -352,10 +352,8 @@ class ByteCoder:
     PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-zªµºÀ-ÖØ-öø-ſ]+| ?[0-9²³¹¼½¾]+| ?[^\t-\r \x85\xa0A-Za-zªµºÀ-ÖØ-öø-ſ0-9²³¹¼½¾]+|[\t-\r \x85\xa0]+(?![^\t-\r \x85\xa0])|[\t-\r \x85\xa0]+")
     #: A byte of no UTF-8 text.
     BETWEEN = 255
-    #: Pieces in one call of the model, and those kept before a new generation begins; one older generation is kept too.
-    AT_ONCE, MOST = 100, 300_000
-    #: Texts whose ids are put together at once.
-    TEXTS = 200
+    #: Pieces in one call of the model, texts whose ids are put together at once, and pieces of odd texts that are looked at together.
+    AT_ONCE, TEXTS, MANY = 100, 200, 300_000
 
     def __init__(self, path: str) -> None:
         self.rules = Tokenizer.from_file(path)
@@ -367,35 +365,40 @@ class ByteCoder:
         alone = sum(letters[self.BETWEEN] in entry for entry in self.rules.get_vocab(with_added_tokens=False)) == 1
         split = alone and not (model.ignore_merges or model.continuing_subword_prefix or model.end_of_word_suffix)
         self.between, self.at_once = self.model.token_to_id(letters[self.BETWEEN]), self.AT_ONCE if split else 1
-        self.known: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def pieces(self, names: list[str]) -> list[bytes]:
-        """Each piece's ids."""
-        if len(self.known) >= self.MOST:
-            self.old, self.known = self.known, {}
-        known, old, new = self.known, self.old, []
-        for name in names:
-            if name not in known:
-                known[name] = found = old.get(name, b"")
-                if not found:
-                    new.append(name)
-        for k in range(0, len(new), self.at_once):
-            some = new[k : k + self.at_once]
-            joined = bytes([self.BETWEEN]).join([name.encode() for name in some])
+
+    def encode(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all pieces, one behind the other, and where each piece's begin (then the end)."""
+        number = {piece: k for k, piece in enumerate(dict.fromkeys(pieces))}
+        names, mark, coded = list(number), bytes([self.BETWEEN]) * (self.at_once > 1), [np.zeros(0, "<u4")]
+        for k in range(0, len(names), self.at_once):
+            joined = mark.join([name.encode() for name in names[k : k + self.at_once]]) + mark
             spelt = self.letters[np.frombuffer(joined, np.uint8)].astype("<u2").tobytes().decode("utf-16-le")
-            ids = np.array(self.model.encode_batch_fast([spelt], add_special_tokens=False)[0].ids, "<u4")
-            raw, at = ids.tobytes(), 0
-            for name, end in zip(some, [*np.flatnonzero(ids == self.between).tolist(), len(ids)] if len(some) > 1 else [len(ids)], strict=True):
-                known[name] = raw[4 * at : 4 * end]
-                at = end + 1
-        return [known[name] for name in names]
-
-    def code(self, text: str) -> bytes:
-        """One text's ids."""
-        if self.ELSE.search(text) is not None:
-            return array("I", self.rules.encode(text, add_special_tokens=False).ids).tobytes()
-        return b"".join(self.pieces(self.PIECES.findall(text)))
+            coded.append(np.array(self.model.encode_batch_fast([spelt], add_special_tokens=False)[0].ids, "<u4"))
+        pool = np.concatenate(coded)
+        ends = np.flatnonzero(pool == self.between) if mark else np.cumsum([len(ids) for ids in coded[1:]], dtype=np.int64)
+        start = np.append(0, ends[:-1] + len(mark))[: len(ends)]
+        order = np.fromiter(map(number.__getitem__, pieces), np.int64, len(pieces))
+        size = (ends - start)[order]
+        return laid(pool, start[order], size), np.append(0, np.cumsum(size))
+
+    def code_odd(self, texts: pa.StringArray, odd: list[int]) -> Iterator[tuple[int, bytes]]:
+        """The numbers of odd texts and their ids."""
+        some: list[tuple[int, int]] = []
+        pieces: list[str] = []
+        for k in odd:
+            text = texts[k].as_py()
+            if self.ELSE.search(text) is not None:
+                yield k, array("I", self.rules.encode(text, add_special_tokens=False).ids).tobytes()
+            else:
+                pieces += self.PIECES.findall(text)
+                some.append((k, len(pieces)))
+            if some and (len(pieces) >= self.MANY or k == odd[-1]):
+                ids, place = self.encode(pieces)
+                last = 0
+                for nr, upto in some:
+                    yield nr, ids[place[last] : place[upto]].tobytes()
+                    last = upto
+                some, pieces = [], []
 
     def code_all(self, texts: pa.StringArray) -> Iterator[bytes]:
         """The ids of each text."""
@@ -417,18 +420,17 @@ class ByteCoder:
         which[begin] = np.arange(len(firsts)) + len(odd)
         for own in firsts:
             found += own
-        coded = self.pieces(found)
         # From pieces to runs, and from runs to texts.
-        upto, last = np.append(0, np.cumsum(np.fromiter(map(len, coded), np.int64, len(coded)) // 4)), np.cumsum(count)
+        (pool, upto), last = self.encode(found), np.cumsum(count)
         start, size = upto[last - count], upto[last] - upto[last - count]
-        pool = np.frombuffer(b"".join(coded), "<u4")
+        apart = dict(self.code_odd(texts, np.flatnonzero(alone).tolist()))
         begin = np.append(begin, len(which))
         for first in range(0, len(firsts), self.TEXTS):
             cuts = begin[first : first + self.TEXTS + 1]
             some = which[cuts[0] : cuts[-1]]
             ids, place = laid(pool, start[some], size[some]), np.append(0, np.cumsum(size[some]))[cuts - cuts[0]].tolist()
             for k, (a, b) in enumerate(zip(place[:-1], place[1:], strict=True), first):
-                yield self.code(texts[k].as_py()) if alone[k] else ids[a:b].tobytes()
+                yield apart[k] if alone[k] else ids[a:b].tobytes()
 
 
 @lru_cache(1)
